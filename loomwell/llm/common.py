@@ -106,7 +106,11 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, SLICE_BYTES + 4096)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, p)]).astype(np.uint64)) for p in (_P, _P_INV)]
+        _powers[:] = []
+        for base in (_P, _P_INV):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers.append(np.cumprod(steps))
     return _powers[0], _powers[1]
 
 
@@ -152,3 +156,38 @@ class Words:
             np.cumsum((LOWER[self.raw].astype(np.uint64) + np.uint64(1)) * power[:n], out=self._sum[1:])
         ends = self.ends if k is None else np.minimum(self.ends, self.starts + k)
         return mix((self._sum[ends] - self._sum[self.starts]) * inverse[self.starts])
+
+
+# ---------------------------------------------------------------- bounded samples of labelled rows
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, training: Column, limit: int) -> DataFrame:
+    """(doc_id, text, lang, label) of at most ``limit`` training rows, a random choice by a hash of the id.
+
+    ``training`` is a condition on doc_id. Labels that are null teach nothing; of several for one id the
+    greatest counts. The chosen ids are at most ``limit``, and so may be broadcast.
+    """
+    known = labels.where(training & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
+    n = known.count()
+    chosen = known.withColumn("u", spread(F.col("doc_id"), 1)).where(F.col("u") < 1.2 * limit / max(1, n)).orderBy("u", "doc_id").limit(limit)
+    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy("u", "doc_id", "text").limit(limit).drop("u")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+class Adam:
+    """Steps on a list of arrays, in place."""
+
+    def __init__(self, arrays: list[np.ndarray], rate: float):
+        self.arrays, self.rate, self.t = arrays, rate, 0
+        self.m = [np.zeros_like(a) for a in arrays]
+        self.v = [np.zeros_like(a) for a in arrays]
+
+    def step(self, gradients: list[np.ndarray]) -> None:
+        self.t += 1
+        for a, g, m, v in zip(self.arrays, gradients, self.m, self.v):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            a -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)

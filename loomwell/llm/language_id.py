@@ -1,8 +1,8 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
 A language's dictionary is the joined text of a bounded random sample of its training documents. A
-text is cut into pieces, each piece is compressed once with every dictionary, and the language whose
-compressed sizes add up to the least is chosen. Pieces keep the dictionaries decisive: in one long
+text is brought to its lower-case letter words, cut into pieces, each piece is compressed once with
+every dictionary, and the language whose compressed sizes add up to the least is chosen. Pieces keep the dictionaries decisive: in one long
 frame the text's own past would soon take their place. All pieces of a text count.
 
 A text is *rejected* if it holds no letter, or if the runner-up's size is within ``min_margin`` of the
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, is_training, sliced, spread, utf8, with_columns
+from .common import is_held_out, is_training, sliced, spread, with_columns
 
 #: Training documents a language is learnt from at most, and bytes of its dictionary at most.
 SAMPLE_DOCS = 60
@@ -29,12 +29,20 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_CHARS = 10_000
 #: More languages than this are an error: the dictionaries are broadcast.
 MAX_LANGUAGES = 400
-PIECE_BYTES = 2048
-LEVEL = 3
+PIECE_BYTES = 1024
+#: Shorter texts are repeated up to this many bytes.
+SHORTEST = 128
+LEVEL = 6
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
 
-_letter = regex.compile(r"\p{L}").search
+_words = regex.compile(r"\p{L}+").findall
+
+
+def normal(text: str) -> bytes:
+    """The text's words of letters, lower-cased, with blanks around: case and marks say little about a language."""
+    words = _words(text.lower())
+    return f" {' '.join(words)} ".encode() if words else b""
 
 
 def learn(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -55,7 +63,7 @@ def learn(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, dic
     rows = rows.select("lang", "u", "text").orderBy("u", "text").limit(4 * sample_docs * len(sizes)).collect()
     out: dict[str, bytes] = {}
     for lang in sizes:
-        texts = [r["text"].encode() for r in rows if r["lang"] == lang][:sample_docs]
+        texts = [normal(r["text"]) for r in rows if r["lang"] == lang][:sample_docs]
         chosen, size = [], 0  # whole texts, as many as fit
         for t in texts:
             if size + len(t) < dictionary_bytes:
@@ -77,14 +85,16 @@ class Judge:
 
     def sizes(self, text: bytes) -> np.ndarray:
         """The text's compressed size with each language's dictionary."""
+        text *= -(-SHORTEST // len(text))  # a few bytes alone would be stored, not compressed, whatever the dictionary
         pieces = [text[i : i + self.piece_bytes] for i in range(0, len(text), self.piece_bytes)]
         return np.array([sum(len(e.compress(p)) for p in pieces) for e in self.encoders], dtype=np.float64)
 
-    def __call__(self, text: bytes) -> tuple[str, float, float]:
+    def __call__(self, text: str) -> tuple[str, float, float]:
         """(language, score from 0 to 1, margin to the runner-up as a share of the winner's size)."""
-        if not self.encoders or not text or not _letter(text.decode("utf-8", "replace")):
+        letters = normal(text)
+        if not self.encoders or not letters:
             return UNKNOWN, 0.0, 0.0
-        sizes = self.sizes(text)
+        sizes = self.sizes(letters)
         best = int(np.argmin(sizes))
         rest = np.delete(sizes, best)
         margin = float((rest.min() - sizes[best]) / sizes[best]) if len(rest) else 1.0
@@ -107,7 +117,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for part in sliced(parts):
-            found = [judge(t) for t in utf8(part.column("text"))]
+            found = [judge(t or "") for t in part.column("text").to_pylist()]
             yield with_columns(
                 part,
                 names,
