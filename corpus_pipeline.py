@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwell.llm import byte_bpe, decontamination, language_id, line_dedup
+from loomwell.llm import byte_bpe, decontamination, language_id, line_dedup, ngram_join
 from loomwell.llm.common import is_training, stored, table
 
 
@@ -32,6 +32,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(docs, out.where((F.col("n_dropped") == 0) | F.col("kept").rlike(r"\S")), "kept")
 
 
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 or more connect, the one with the least id stays.
+
+    Rows without an id stay; rows that share an id are one document, and stay or go together.
+    """
+    others = ngram_join.join(docs).where("class_id != doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; a document of which no word is left goes."""
     found = decontamination.find_spans(docs, table(spark, sf_dir, "benchmark"))
@@ -44,7 +53,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.query(docs)
 
 
-STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("decontamination", decontaminate), ("byte_bpe", encode)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", dedup_documents),
+    ("decontamination", decontaminate),
+    ("byte_bpe", encode),
+]
 
 ORACLE_SQL = None
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontamination, language_id, line_dedup, media_sequences, quality, toxicity
+from . import byte_bpe, chat_format, class_ngrams, decontamination, language_id, line_dedup, media_sequences, ngram_join, quality, toxicity
 from .common import table
 
 QUERIES = {
     "op1_media_sequences": lambda spark, d: media_sequences.query(table(spark, d, "documents")),
     "op2_byte_bpe": lambda spark, d: byte_bpe.query(table(spark, d, "documents")),
+    "op3_ngram_join": lambda spark, d: ngram_join.query(table(spark, d, "documents")),
     "op4_chat_format": lambda spark, d: chat_format.query(table(spark, d, "conversations")),
     "op5_quality": lambda spark, d: quality.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op6_benchmark_decontamination": lambda spark, d: decontamination.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op7_class_ngrams": lambda spark, d: class_ngrams.query(table(spark, d, "documents")),
     "op8_language_id": lambda spark, d: language_id.query(table(spark, d, "documents")),
     "op9_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
