@@ -6,3 +6,9 @@ FLAGSHIP = "passage_evidence"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+from .queries import claims, corpus, dialogue, evidence, images, knowledge  # noqa: E402
+
+for _module in (corpus, evidence, knowledge, claims, dialogue, images):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.SQL)
