@@ -15,7 +15,7 @@ def _in(language: Column, name: str) -> Column:
 
 def percent(share: Column) -> Column:
     """A share in per cent with one decimal, half to even."""
-    return F.concat(F.format_number(F.bround(share.cast("double") * 100.0, 1), "0.0"), F.lit("%"))
+    return F.concat(F.format_string("%.1f", F.bround(share.cast("double") * 100.0, 1)), F.lit("%"))
 
 
 def format_detections(detections: DataFrame, names: dict[str, str] = CLASS_NAMES_ID) -> DataFrame:

@@ -55,7 +55,8 @@ def metrics(responses: DataFrame, judged: DataFrame) -> DataFrame:
     grouped = judged.groupBy("response_id").agg(
         F.max("voided").alias("voided"),
         F.count("*").alias("claims"),
-        (F.sum("confidence") / F.count("*")).alias("mean"),
+        # Rounded, so that the order of additions doesn't decide at a threshold.
+        F.round(F.sum("confidence") / F.count("*"), 9).alias("mean"),
         (F.sum((~F.col("is_supported")).cast("int")) / F.count("*") * 100).alias("unsupported_pct"),
         ordered(strong).alias("well_supported"),
         ordered(weak).alias("unsupported"),

@@ -61,7 +61,7 @@ def completeness(symptoms: DataFrame, by_model: bool = False) -> DataFrame:
 
 
 def _split_list(value: Column) -> Column:
-    return F.transform(F.split(value, ","), F.trim)
+    return F.transform(F.split(value, ","), lambda x: F.trim(x))
 
 
 def merge_profiles(updates: DataFrame) -> DataFrame:

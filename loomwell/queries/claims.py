@@ -60,11 +60,13 @@ CLAIMS = """c AS (SELECT l_orderkey AS response_id, row_number() OVER (PARTITION
   'claim about part ' || l_partkey AS claim_text, l_returnflag <> 'R' AS is_supported, round(l_discount * 10, 1) AS confidence, l_partkey % 97 = 0 AS missing, l_partkey FROM lineitem),
 j AS (SELECT *, max(CAST(missing AS INT)) OVER (PARTITION BY response_id) = 1 AS voided FROM c)"""
 
+_BODY = """('{"claims": [{"claim_text": "user ' || user_id || ' acted", "claim_type": "fact"}' || CASE WHEN event_id % 3 = 0 THEN '' ELSE ', {"claim_text": "it is a ' || event_type || '"}' END || ']}')"""
+
 QUERIES = {f.__name__: f for f in (claim_verdict_join, claim_metrics, claim_citations, claim_parse)}
 
 SQL = {
     "claim_verdict_join": f"WITH {CLAIMS} SELECT response_id, CAST(claim_idx AS INT) AS claim_idx, CASE WHEN NOT missing THEN is_supported END AS is_supported, CASE WHEN NOT missing THEN confidence END AS confidence, voided FROM j",
-    "claim_metrics": f"""WITH {CLAIMS}, m AS (SELECT response_id, bool_or(voided) AS voided, count(*) AS n, avg(confidence) AS conf, count(*) FILTER (WHERE NOT is_supported) * 100.0 / count(*) AS pct,
+    "claim_metrics": f"""WITH {CLAIMS}, m AS (SELECT response_id, bool_or(voided) AS voided, count(*) AS n, round(avg(confidence), 9) AS conf, count(*) FILTER (WHERE NOT is_supported) * 100.0 / count(*) AS pct,
           list(claim_text ORDER BY claim_idx) FILTER (WHERE is_supported AND confidence >= 0.7) AS w, list(claim_text ORDER BY claim_idx) FILTER (WHERE NOT is_supported OR confidence < 0.4) AS u FROM j GROUP BY response_id),
         x AS (SELECT o_orderkey AS response_id, n IS NULL AS none, coalesce(voided, false) AS void, n, conf, pct, w, u, CASE WHEN pct < 35 THEN 'low' WHEN pct < 60 THEN 'medium' ELSE 'high' END AS risk FROM orders LEFT JOIN m ON response_id = o_orderkey)
         SELECT response_id, CASE WHEN none OR void THEN 0 ELSE n END AS claims, CASE WHEN none OR void THEN 0.5 ELSE round(conf, 6) END AS overall_confidence, CASE WHEN NOT none AND NOT void THEN round(pct, 6) END AS unsupported_pct,
@@ -74,7 +76,7 @@ SQL = {
         CASE WHEN len(u) > 0 THEN '❌ ' || len(u) || ' unsupported claims found. Use caution.' END, CASE WHEN conf < 0.6 THEN '🔴 Low confidence in response accuracy. Consult professional.' END) END AS recommendations FROM x""",
     "claim_citations": f"""WITH {CLAIMS} SELECT response_id, CAST(claim_idx AS INT) AS claim_idx, CAST(1 + l_partkey % 5 AS INT) AS id, 'source ' || (1 + l_partkey % 5) || ' ' || o_orderstatus AS title
         FROM j JOIN orders ON o_orderkey = response_id WHERE NOT missing AND 1 + l_partkey % 5 <= 4""",
-    "claim_parse": f"""WITH r AS (SELECT event_id AS response_id, {_FENCED} AS body FROM (SELECT event_id, {_WRAPPED.format(b="('{{" + '"claims": [{{"claim_text": "user ' + "' || user_id || '" + ' acted", "claim_type": "fact"}}' + "' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '" + ', {{"claim_text": "it is a ' + "' || event_type || '" + '"}}' + "' END || ']}}')")} AS raw FROM events)),
+    "claim_parse": f"""WITH r AS (SELECT event_id AS response_id, {_FENCED} AS body FROM (SELECT event_id, {_WRAPPED.format(b=_BODY)} AS raw FROM events)),
         a AS (SELECT response_id, unnest(CAST(json_extract(body, '$.claims') AS JSON[])) AS c, unnest(range(CAST(json_array_length(body, '$.claims') AS BIGINT))) AS i FROM r WHERE json_valid(body) AND json_array_length(body, '$.claims') > 0)
         SELECT response_id, CAST(i AS INT) AS claim_idx, json_extract_string(c, '$.claim_text') AS claim_text, coalesce(json_extract_string(c, '$.claim_type'), 'unknown') AS claim_type FROM a""",
 }

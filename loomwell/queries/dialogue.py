@@ -208,12 +208,12 @@ sym AS (SELECT conv_id, turn, severity, CASE {' '.join(f"WHEN {_HAS(w)} THEN '{n
 DECISIONS = """dec AS (SELECT event_id, (['greet', 'question', 'yolo', 'rag', 'other'])[event_id % 5 + 1] AS action, event_id % 3 = 2 AS answered FROM events),
 tri AS (SELECT *, CASE WHEN action IN ('greet', 'question') AND answered THEN 'end' WHEN action = 'yolo' THEN 'vision' WHEN action = 'rag' THEN 'rag' WHEN action = 'question' THEN 'anamnesis' ELSE 'end' END AS node FROM dec)"""
 RECOMMENDED = f"""{CLAIMS},
-m AS (SELECT response_id, bool_or(voided) AS void, count(*) AS n, avg(confidence) AS conf, count(*) FILTER (WHERE is_supported) AS sup, count(*) FILTER (WHERE NOT is_supported) * 100.0 / count(*) AS pct FROM j GROUP BY response_id),
+m AS (SELECT response_id, bool_or(voided) AS void, count(*) AS n, round(avg(confidence), 9) AS conf, count(*) FILTER (WHERE is_supported) AS sup, count(*) FILTER (WHERE NOT is_supported) * 100.0 / count(*) AS pct FROM j GROUP BY response_id),
 r0 AS (SELECT o_orderkey AS k, n IS NOT NULL AND NOT void AS ok, n, conf, sup, pct FROM orders LEFT JOIN m ON response_id = o_orderkey),
 r1 AS (SELECT k, list_filter([CASE WHEN ok AND (pct >= 60 OR conf < 0.5) THEN '{TEXTS["low_answer"]}' END, CASE WHEN k % 11 >= 7 THEN '{TEXTS["high_severity"]}' END,
   CASE WHEN k % 3 = 0 THEN '{TEXTS["infection"]}' END], lambda x: x IS NOT NULL) AS l, CASE WHEN ok THEN '📚 ' || CAST(round_even(sup * 100.0 / n, 0) AS BIGINT) || '{TEXTS["supported"]}' END AS last FROM r0),
 rec AS (SELECT k, list_concat(CASE WHEN len(l) > 0 THEN l ELSE ['{TEXTS["visit"]}'] END, CASE WHEN last IS NULL THEN [] ELSE [last] END) AS l FROM r1)"""
-SEEN = f"""sn AS (SELECT user_id AS key, event_id, event_type || CASE WHEN event_id % 2 = 0 THEN '_area' ELSE '' END AS c, round_even(event_id % 101, 1) AS pc, user_id % 2 = 0 AS indo FROM events),
+SEEN = f"""sn AS (SELECT user_id AS key, event_id, event_type || CASE WHEN event_id % 2 = 0 THEN '_area' ELSE '' END AS c, CAST(event_id % 101 AS DOUBLE) AS pc, user_id % 2 = 0 AS indo FROM events),
 sl AS (SELECT key, indo, row_number() OVER (PARTITION BY key ORDER BY event_id) || '. ' || CASE WHEN indo THEN CASE c {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in NAMES.items())} ELSE c END
   ELSE upper(c[1]) || CASE WHEN contains(c, '_area') THEN replace(c[2:], '_area', ' Area') ELSE c[2:] END END || ' (confidence: ' || format('{{:.1f}}', pc) || '%)' AS line, event_id FROM sn),
 seen AS (SELECT key, CASE WHEN any_value(indo) THEN '{TEXTS["detections_id"]}' ELSE '{TEXTS["detections_en"]}' END || chr(10) || string_agg(line, chr(10) ORDER BY event_id) AS t FROM sl GROUP BY key)"""

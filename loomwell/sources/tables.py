@@ -44,8 +44,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(source_path, text) of text files below ``folder``, a row each."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return reader.text(folder).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    return files.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
 
 
 def as_pdf_corpus(pages: DataFrame) -> DataFrame:
