@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from conftest import same_rows
+from checks import same_rows
 from loomwell.operators import checkpoints, conversation, graph, vision
 from loomwell.plans import conversations, ingestion
 from loomwell.queries import dialogue

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import same_rows
+from checks import same_rows
 from loomwell import registry
 
 
