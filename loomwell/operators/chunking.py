@@ -56,11 +56,12 @@ def chunk(
     max_chars: int = MAX_CHARS,
     encoder: Encoder | None = None,
 ) -> DataFrame:
-    """Rows (doc_idx, source_doc_id, chunk_id, cluster, first, last, chunk_size, split, content) of ``docs`` (doc_idx, text).
+    """Rows (doc_idx, source_doc_id, chunk_id, cluster, first, last, chunk_size, split, content, segment, unit_id) of ``docs`` (doc_idx, text).
 
     A document of at most three sentences passes unchanged, without chunk columns. A chunk is a segment
     with ``overlap`` sentences on each side; one shorter than ``min_chars`` is dropped; one longer than
-    ``max_chars`` is cut once, after the last full stop before its middle, and its parts have no chunk id.
+    ``max_chars`` is cut once, after the last full stop before its middle, and its parts have no chunk id;
+    ``segment`` and ``unit_id`` tell where they come from.
     """
     rows = with_similarities(with_sentences(docs.select("doc_idx", "text")), encoder)
     n = F.size("sentences")
@@ -102,5 +103,6 @@ def chunk(
         kept(F.length("part.content")).alias("chunk_size"),
         F.col("part.split").alias("split"),
         F.col("part.content").alias("content"),
+        F.when(F.col("first").isNotNull(), F.col("cluster")).alias("segment"),
         F.concat_ws("_", F.col("source_doc_id"), F.col("cluster").cast("string"), F.col("part.split")).alias("unit_id"),
     )

@@ -13,6 +13,8 @@ from ..functions.text import braced_json, query_terms, sentences, strip
 from ..functions.vocabulary import PREDICATES, TEXTS
 from ..sources.tables import stored
 
+#: Characters of a name that the search for names inside of names joins on.
+PIECE = 4
 TRIPLES = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
 
 
@@ -78,7 +80,8 @@ def nodes(triples: DataFrame) -> DataFrame:
 
 
 def stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    return node_table.agg(F.count("*").alias("nodes")).crossJoin(edge_table.agg(F.count("*").alias("edges")))
+    both = node_table.select(F.lit(1).alias("nodes"), F.lit(0).alias("edges")).unionByName(edge_table.select(F.lit(0).alias("nodes"), F.lit(1).alias("edges")))
+    return both.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"))
 
 
 def link_entities(node_table: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -89,12 +92,20 @@ def link_entities(node_table: DataFrame, ontology: DataFrame) -> DataFrame:
 def match_nodes(queries: DataFrame, node_table: DataFrame) -> DataFrame:
     """(query_id, node, node_ord) where a term of the query is part of the node's name, or the name of the term.
 
-    Terms are made distinct first, and the node table meets distinct terms only.
+    What holds a term holds its first four characters, so that both directions are equi-joins on pieces
+    of four characters (fewer, if the name has fewer), verified on the whole. Terms have at least four
+    characters; a name that is empty matches nothing.
     """
     terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).distinct()
     words = terms.select("term").distinct()
-    hit = node_table.join(words, F.contains(F.col("node"), F.col("term")) | F.contains(F.col("term"), F.col("node")))
-    return terms.join(hit, "term").select("query_id", "node", "node_ord").distinct()
+    pieces = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    node, term = F.col("node"), F.col("term")
+    inside = words.select("term", F.substring("term", 1, PIECE).alias("piece")).join(node_table.select("node", F.explode(pieces(node, PIECE)).alias("piece")), "piece").where(F.contains(node, term))
+    around = node_table.select("node", F.substring("node", 1, PIECE).alias("piece")).join(
+        words.select("term", F.explode(F.flatten(F.array(*[pieces(term, n) for n in range(1, PIECE + 1)]))).alias("piece")), "piece"
+    )
+    hit = inside.select("term", "node").unionByName(around.where(F.contains(term, node)).select("term", "node"))
+    return terms.join(hit, "term").select("query_id", "node").distinct().join(node_table, "node").select("query_id", "node", "node_ord")
 
 
 def multi_hop(matched: DataFrame, edge_table: DataFrame, max_hops: int = 3, keep: int = 10) -> DataFrame:

@@ -94,25 +94,33 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def _candidates(index: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
-        best_score = np.full((len(query_ids), 0), -np.inf)
-        best_id = np.zeros((len(query_ids), 0), dtype=np.int64)
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))  # query's place, score, id
         for batch in batches:
-            if not batch.num_rows or not len(query_ids):
-                continue
-            ids = batch.column("id").to_numpy()
-            m = _unit(_matrix(batch.column("embedding"), queries.shape[1]))
-            scores = np.round(queries @ m.T, 6)
-            score = np.concatenate([best_score, scores], axis=1)
-            id_ = np.concatenate([best_id, np.broadcast_to(ids, scores.shape)], axis=1)
-            order = np.lexsort((id_, -score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(score, order, axis=1), np.take_along_axis(id_, order, axis=1)
-        width = best_id.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, width)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "id", "similarity"])
+            if batch.num_rows and len(query_ids):
+                scores = np.round(queries @ _unit(_matrix(batch.column("embedding"), queries.shape[1])).T, 6)
+                best = _best(best, scores, batch.column("id").to_numpy(), k)
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "id", "similarity"])
 
     rows = index.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
     return rows.mapInArrow(run, "query_id long, id long, similarity double")
 
 
+def _best(best: tuple, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """The k best (query, score, id) of each query among those held and a block of scores; ties go to the lower id.
+
+    Only scores that reach the block's k-th best are sorted.
+    """
+    if scores.shape[1] > k:
+        query, at = np.nonzero(scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        query, at = (x.ravel() for x in np.indices(scores.shape))
+    query, score, id_ = (np.concatenate(x) for x in zip(best, (query, scores[query, at], ids[at])))
+    order = np.lexsort((id_, -score, query))
+    query, score, id_ = query[order], score[order], id_[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], score[keep], id_[keep]
+
+
 def semantic_score(cosine: Column) -> Column:
     """A cosine as a score from 0 to 1; null, as after an error, is neutral."""
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cosine + 1) / 2)), F.lit(0.5))

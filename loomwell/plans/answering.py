@@ -9,6 +9,9 @@ from ..functions.encoders import Encoder, embed
 from ..operators import chunking, retrieval
 from ..sources import tables as S
 
+#: More segments than half of this no document has.
+CHUNKS_A_DOCUMENT = 1 << 21
+
 
 def passages(docs: DataFrame, queries: DataFrame, top_k: int = 5, threshold: float = chunking.THRESHOLD, as_of: Column | None = None, encoder: Encoder | None = None) -> DataFrame:
     """For ``queries`` (query_id, query), the ``top_k`` chunks of ``docs`` with numbered citations.
@@ -18,8 +21,8 @@ def passages(docs: DataFrame, queries: DataFrame, top_k: int = 5, threshold: flo
     """
     chunks = chunking.chunk(docs, threshold, encoder=encoder)
     # One id for each chunk of the corpus, ascending by document and place in it.
-    part = F.when(F.col("split") == "part2", 1).otherwise(0)
-    index = chunks.select("doc_idx", "content", F.coalesce("cluster", F.lit(0)).alias("cluster"), F.xxhash64("unit_id").alias("id"), part.alias("part"))
+    place = F.coalesce("segment", F.lit(0)) * 2 + F.when(F.col("split") == "part2", 1).otherwise(0)
+    index = chunks.select("doc_idx", "content", (F.col("doc_idx") * CHUNKS_A_DOCUMENT + place).alias("id"))
     index = S.stored(index.withColumn("embedding", embed(F.col("content"), encoder)))
     asked = queries.select("query_id", embed(F.col("query"), encoder).alias("embedding"))
     found = retrieval.knn(asked, index, 2 * top_k).withColumnRenamed("rank", "retrieval_rank").withColumnRenamed("similarity", "cos")

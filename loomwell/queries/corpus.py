@@ -110,10 +110,10 @@ cl AS (SELECT doc_idx, label, min(pos) AS f, max(pos) AS l FROM lab WHERE n > 3
 ch AS (SELECT doc_idx, label, f, l, array_to_string(s[greatest(0, f - 2) + 1 : least(len(s), l + 3)], ' ') AS c,
        'doc_' || doc_idx || '_' || substr(md5(text), 1, 8) || '_chunk_' || label AS id FROM cl JOIN s0 USING (doc_idx)),
 cu AS (SELECT *, length(c) // 2 AS m, instr(reverse(left(c, length(c) // 2)), ' .') AS p FROM ch WHERE length(c) >= 150),
-un AS (SELECT doc_idx, id AS chunk_id, label AS cluster, CAST(f AS INT) AS first, CAST(l AS INT) AS last, CAST(length(c) AS INT) AS chunk_size, CAST(NULL AS VARCHAR) AS split, c AS content FROM cu WHERE length(c) <= 1200
-  UNION ALL SELECT doc_idx, NULL, NULL, NULL, NULL, NULL, 'part1', trim(left(c, CASE WHEN p > 0 THEN m - p ELSE m END), {BLANKS}) FROM cu WHERE length(c) > 1200
-  UNION ALL SELECT doc_idx, NULL, NULL, NULL, NULL, NULL, 'part2', trim(substr(c, 1 + CASE WHEN p > 0 THEN m - p ELSE m END), {BLANKS}) FROM cu WHERE length(c) > 1200
-  UNION ALL SELECT doc_idx, NULL, NULL, NULL, NULL, NULL, NULL, text FROM s0 WHERE len(s) <= 3),
+un AS (SELECT label AS seg, doc_idx, id AS chunk_id, label AS cluster, CAST(f AS INT) AS first, CAST(l AS INT) AS last, CAST(length(c) AS INT) AS chunk_size, CAST(NULL AS VARCHAR) AS split, c AS content FROM cu WHERE length(c) <= 1200
+  UNION ALL SELECT label, doc_idx, NULL, NULL, NULL, NULL, NULL, 'part1', trim(left(c, CASE WHEN p > 0 THEN m - p ELSE m END), {BLANKS}) FROM cu WHERE length(c) > 1200
+  UNION ALL SELECT label, doc_idx, NULL, NULL, NULL, NULL, NULL, 'part2', trim(substr(c, 1 + CASE WHEN p > 0 THEN m - p ELSE m END), {BLANKS}) FROM cu WHERE length(c) > 1200
+  UNION ALL SELECT 0, doc_idx, NULL, NULL, NULL, NULL, NULL, NULL, text FROM s0 WHERE len(s) <= 3),
 chunks AS (SELECT * FROM un WHERE split IS NULL OR length(content) >= 150)"""
 
 QUERIES = {f.__name__: f for f in (

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoders import embed
 from ..functions.text import query_terms
 from ..operators import retrieval as R
 from ..plans.answering import passages
 from ..sources import tables as S
-from .corpus import THRESHOLD, docs
+from .corpus import CHUNKS, THRESHOLD, docs
 
 AS_OF = "2025-01-01 00:00:00"
 #: A dictionary of words that the generated conversations hold.
@@ -91,7 +90,7 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
 def passage_evidence(spark: SparkSession, d: str) -> DataFrame:
     """For each benchmark passage, the five best chunks of the corpus with numbered citations."""
     asked = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return passages(S.as_pdf_corpus(docs(spark, d)), asked, top_k=5, threshold=THRESHOLD)
+    return passages(S.as_pdf_corpus(docs(spark, d)), asked, top_k=5, threshold=THRESHOLD).withColumn("confidence", F.round("confidence", 9))
 
 
 FIRST = "q AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id)"
@@ -119,7 +118,20 @@ QUERIES = {f.__name__: f for f in (
     kg_query_terms, query_expansion, knn_topk, temporal_score, rerank, rerank_topk, citations, provider_counts, context_assembly, passage_evidence,
 )}
 
+_COUNTED = r"""(SELECT {id} AS id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n
+    FROM (SELECT {id}, unnest(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')) AS t FROM {table}) GROUP BY ALL)"""
+
 SQL = {
+    "passage_evidence": f"""WITH {CHUNKS},
+        unit AS (SELECT doc_idx * 2097152 + seg * 2 + CASE WHEN split = 'part2' THEN 1 ELSE 0 END AS unit, doc_idx, content FROM chunks),
+        qc AS {_COUNTED.format(id="item_id", text="text", table="benchmark")}, uc AS {_COUNTED.format(id="unit", text="content", table="unit")},
+        qn AS (SELECT id, sqrt(sum(n * n)) AS l FROM qc GROUP BY id), un2 AS (SELECT id, sqrt(sum(n * n)) AS l FROM uc GROUP BY id),
+        prod AS (SELECT qc.id AS q, uc.id AS u, sum(qc.n * uc.n) AS p FROM qc JOIN uc USING (b) GROUP BY ALL),
+        found AS (SELECT i.item_id AS q, unit AS u, doc_idx, content, coalesce(round(p / (qn.l * un2.l), 6), 0.0) AS cos FROM benchmark i CROSS JOIN unit
+          LEFT JOIN prod ON prod.q = i.item_id AND prod.u = unit LEFT JOIN qn ON qn.id = i.item_id LEFT JOIN un2 ON un2.id = unit),
+        best AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY cos DESC, u) AS INT) AS r FROM found)
+        SELECT q AS query_id, r AS id, doc_idx || '.pdf' AS title, 'PDF' AS provider, left(content, 200) AS snippet, '/docs/' || source || '/' || doc_idx || '.pdf' AS source_path, CAST(NULL AS INT) AS page,
+        CAST(NULL AS VARCHAR) AS pmid, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS authors, round(0.8 * ((cos + 1) / 2) + 0.1, 9) AS confidence FROM best JOIN documents ON doc_id = doc_idx WHERE r <= 5""",
     "kg_query_terms": rf"""WITH {FIRST} SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'),
         lambda w: length(w) > 3 AND w NOT IN ('adalah', 'yang', 'atau', 'untuk', 'dari')), ' ') AS terms FROM q""",
     "query_expansion": f"""WITH {FIRST}, dict(ord, phrase, s, r, m) AS (VALUES {_VALUES}),

@@ -78,8 +78,9 @@ def inventory(files: DataFrame) -> DataFrame:
 
 def manifest(docs: DataFrame, chunks: DataFrame, created_at: Column, model: str, kg_path: str) -> DataFrame:
     """One row about an index build."""
-    n_docs, n_chunks = docs.agg(F.count("*").alias("num_documents")), chunks.agg(F.count("*").alias("num_chunks"))
-    return n_docs.crossJoin(n_chunks).select(
+    rows = docs.select(F.lit(1).alias("d"), F.lit(0).alias("c")).unionByName(chunks.select(F.lit(0).alias("d"), F.lit(1).alias("c")))
+    counts = rows.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("num_documents"), F.coalesce(F.sum("c"), F.lit(0)).alias("num_chunks"))
+    return counts.select(
         F.lit("1.0").alias("version"), created_at.alias("created_at"), "num_documents", "num_chunks",
         F.lit(model).alias("embedding_model"), F.lit("parquet").alias("index_type"), F.lit(kg_path).alias("kg_path"),
     )

@@ -57,6 +57,15 @@ def test_paths_run_from_earlier_to_later_nodes(spark):
         assert [r["hops"] for r in graph.multi_hop(matched, graph.edges(t)).collect()] == hops
 
 
+def test_names_inside_of_names(spark):
+    query = spark.createDataFrame([(1, "toothache and caries"), (2, "nothing alike")], "query_id long, query string")
+    names = ["tooth", "toothache pain", "ache", "car", "a", "caries", "carie", "dental caries", "tootache", "z", ""]
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "node string, node_ord long")
+    got = {(r["query_id"], r["node"]) for r in graph.match_nodes(query, nodes).collect()}
+    terms = {1: ["toothache", "caries"], 2: ["nothing", "alike"]}
+    assert got == {(q, n) for q, own in terms.items() for n in names if n and any(t in n or n in t for t in own)}
+
+
 def test_one_bad_triple_voids_its_document(spark):
     good = '{"subject": " A ", "predicate": "Is_A", "object": "b"}'
     bad = '{"subject": "a", "predicate": "is_a", "object": "b", "confidence": 1.5}'
