@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 Encoder = Callable[[list[str]], np.ndarray]
 DIM = 64
+#: Sentences whose vectors are held at once; a longer row is held alone.
+HELD_SENTENCES = 8192
 
 _words = re.compile(r"\w+").findall
 
@@ -58,24 +60,30 @@ def embed(text: Column, encoder: Encoder | None = None) -> Column:
 def neighbour_similarity(sentences: Column, encoder: Encoder | None = None) -> Column:
     """For an array of sentences, the cosine of each one with the one before it (one less than sentences).
 
-    The sentences of all rows of a batch are encoded together, and stay within their row.
+    The sentences of several rows are encoded together, ``HELD_SENTENCES`` or so at once.
     """
     encode = encoder or hashed_counts()
 
+    def similarities(rows: list) -> list[np.ndarray]:
+        m = encode([s for r in rows for s in r])
+        dots = (m[1:] * m[:-1]).sum(axis=1)
+        squares = (m * m).sum(axis=1)
+        norms = np.sqrt(squares[1:] * squares[:-1])
+        cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+        ends = np.cumsum([len(r) for r in rows]).tolist()
+        return [cosine[end - len(r) : end - 1] if len(r) else np.zeros(0) for r, end in zip(rows, ends)]
+
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
-            counts = [len(r) if r is not None else 0 for r in rows]
-            m = encode([s for r in rows if r is not None for s in r])
-            dots = (m[1:] * m[:-1]).sum(axis=1)
-            squares = (m * m).sum(axis=1)
-            norms = np.sqrt(squares[1:] * squares[:-1])
-            cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-            out, start = [], 0
-            for n in counts:
-                out.append(cosine[start : start + n - 1] if n > 1 else np.zeros(0))
-                start += n
-            yield pd.Series(out, dtype=object)
+            out, held, size = [], [], 0
+            for row in rows:
+                held.append(row if row is not None else [])
+                size += len(held[-1])
+                if size >= HELD_SENTENCES:
+                    out += similarities(held)
+                    held, size = [], 0
+            yield pd.Series(out + (similarities(held) if held else []), dtype=object)
 
     return run(sentences)
 
