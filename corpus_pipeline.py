@@ -27,15 +27,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents hold go; a document that had text and has none left goes, too."""
-    out = line_dedup.dedup_lines(docs)
-    return _with_text(docs, out.where((F.col("n_dropped") == 0) | F.col("kept").rlike(r"\S")), "kept")
+    """Lines that ten documents hold go; a document of which none is left stays, empty, for the next stage to collapse."""
+    return _with_text(docs, line_dedup.dedup_lines(docs), "kept")
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 or more connect, the one with the least id stays.
 
-    Rows without an id stay; rows that share an id are one document, and stay or go together.
+    Equal texts without words are copies, too. Rows without an id stay; rows that share an id are one
+    document, and stay or go together.
     """
     others = ngram_join.join(docs).where("class_id != doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)

@@ -87,20 +87,19 @@ class Sketcher:
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, set_key, n_grams, bands) of the rows whose text has a word; ids that are null take no part."""
+    """(doc_id, set_key, n_grams, bands) of rows with an id; a text without words has its own text as key, and no bands."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(bands, rows)
         for part in sliced(parts):
-            sets = gram_sets(utf8(part.column("text")), n)
-            keep = [i for i, s in enumerate(sets) if len(s)]
-            sets = [sets[i] for i in keep]
+            texts = utf8(part.column("text"))
+            sets = gram_sets(texts, n)
             yield with_columns(
-                part.take(pa.array(keep, pa.int64())),
+                part,
                 ["doc_id"],
-                set_key=pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
+                set_key=pa.array([xxhash.xxh3_128_digest(s if len(s) else b"no words:" + t) for s, t in zip(sets, texts)], pa.binary()),
                 n_grams=pa.array([len(s) for s in sets], pa.int64()),
-                bands=pa.array([sketch(s).tolist() for s in sets], pa.list_(pa.int64())),
+                bands=pa.array([sketch(s).tolist() if len(s) else [] for s in sets], pa.list_(pa.int64())),
             )
 
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -282,9 +281,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
 
     ``copy_of`` is the least id among the documents with the same n-gram set, ``class_id`` the least
     id of the group that links of at least ``threshold`` connect, ``n_links`` the number of other
-    documents linked to this one, its copies included. Words are compared without case and marks. A
-    text without words is linked to nothing and its own class, and so is a row with a null id, whose
-    class is null. Rows that repeat an id count as copies.
+    documents linked to this one, its copies included. Words are compared without case and marks.
+    Texts without words are copies if they are equal, null being empty, and linked to nothing else. A row
+    with a null id is linked to nothing, and its class is null. Rows that repeat an id count as copies.
     """
     bands, rows = banding(threshold, recall)
     docs = docs.select("doc_id", "text")
@@ -302,11 +301,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
         .select("set_key", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     keyed = all_rows.select("doc_id", "set_key").join(stored(of_class), "set_key").select("doc_id", "class_id", "copy_of", "n_links")
-    # Texts without words, and null ids, have no sketch.
-    rest = docs.where("doc_id is null").select(F.col("doc_id").cast("long")).unionByName(
-        docs.where("doc_id is not null").where(F.col("text").isNull() | ~F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).select(F.col("doc_id").cast("long"))
-    )
-    return keyed.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")))
+    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long"))
+    return keyed.unionByName(nameless.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")))
 
 
 def query(docs: DataFrame) -> DataFrame:

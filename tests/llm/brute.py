@@ -80,7 +80,7 @@ def linked(texts, threshold=0.8):
     for a, i in enumerate(ids):
         for j in ids[a + 1 :]:
             both = len(sets[i] & sets[j])
-            if both and both >= threshold * (len(sets[i]) + len(sets[j]) - both):
+            if both >= threshold * (len(sets[i]) + len(sets[j]) - both) and (both or (texts[i] or "") == (texts[j] or "")):
                 links[i] += 1
                 links[j] += 1
                 x, y = sorted((find(i), find(j)))
