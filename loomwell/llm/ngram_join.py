@@ -32,6 +32,8 @@ N = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MAX_BANDS = 32
+#: N-grams that all hash functions are applied to at once.
+STEP_GRAMS = 1024
 #: A block holds about so many n-grams and documents at most.
 BLOCK_GRAMS = 1_000_000
 BLOCK_DOCS = 2048
@@ -77,11 +79,13 @@ class Sketcher:
     def __call__(self, grams: np.ndarray) -> np.ndarray:
         """One 64-bit hash for each band."""
         x = (grams >> np.uint64(32)).astype(np.uint32)
-        minima = np.empty(len(self.factor), dtype=np.uint64)
-        for k, (a, b) in enumerate(zip(self.factor, self.shift)):
-            minima[k] = (x * a + b).min()
+        minima = np.full(len(self.factor), 0xFFFFFFFF, dtype=np.uint32)
+        for i in range(0, len(x), STEP_GRAMS):
+            hashed = np.multiply.outer(self.factor, x[i : i + STEP_GRAMS])
+            hashed += self.shift[:, None]
+            np.minimum(minima, hashed.min(axis=1), out=minima)
         h = np.arange(self.bands, dtype=np.uint64) + np.uint64(1)
-        for column in minima.reshape(self.bands, self.rows).T:
+        for column in minima.astype(np.uint64).reshape(self.bands, self.rows).T:
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
         return h.view(np.int64)
 
