@@ -35,8 +35,8 @@ MAX_BANDS = 32
 #: N-grams that all hash functions are applied to at once.
 STEP_GRAMS = 1024
 #: A block holds about so many n-grams and documents at most.
-BLOCK_GRAMS = 1_000_000
-BLOCK_DOCS = 2048
+BLOCK_GRAMS = 250_000
+BLOCK_DOCS = 256
 
 
 def banding(threshold: float, recall: float, max_bands: int = MAX_BANDS) -> tuple[int, int]:
@@ -126,10 +126,12 @@ def _blocks(classes: DataFrame) -> DataFrame:
 
 def _tasks(blocks: DataFrame) -> DataFrame:
     """(rep, low, high): each representative with every pair of blocks that it has to be compared in."""
-    met = blocks.groupBy("bucket").agg(F.collect_set("block").alias("others"))
+    met = blocks.groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("others"))
     # Most buckets lie within one block. Only the others fan out.
     home = blocks.select("rep", F.col("block").alias("low"), F.col("block").alias("high"))
-    abroad = blocks.join(met.where(F.size("others") > 1), "bucket").select("rep", "block", F.explode("others").alias("other")).where("block != other").distinct()
+    # The buckets of a group mostly lie in the same blocks: those lists are made distinct before they fan out.
+    lists = blocks.join(met.where(F.size("others") > 1), "bucket").select("rep", "block", "others").distinct()
+    abroad = lists.select("rep", "block", F.explode("others").alias("other")).where("block != other").distinct()
     abroad = abroad.select("rep", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return home.distinct().unionByName(abroad)
 
