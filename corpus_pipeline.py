@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwell.llm import byte_bpe, decontamination, language_id, line_dedup, ngram_join
-from loomwell.llm.common import is_training, stored, table
+from loomwell.llm.common import is_training, narrow_batches, stored, table
 
 
 def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
@@ -22,12 +22,14 @@ def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin stay, as they are."""
+    narrow_batches(spark)
     dictionaries = language_id.learn(docs, is_training(F.col("doc_id"), 4, 2))
     return language_id.identify(docs, dictionaries).where(~F.col("rejected")).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents hold go; a document of which none is left stays, empty, for the next stage to collapse."""
+    narrow_batches(spark)
     return _with_text(docs, line_dedup.dedup_lines(docs), "kept")
 
 
@@ -37,12 +39,14 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Equal texts without words are copies, too. Rows without an id stay; rows that share an id are one
     document, and stay or go together.
     """
+    narrow_batches(spark)
     others = ngram_join.join(docs).where("class_id != doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; a document of which no word is left goes."""
+    narrow_batches(spark)
     found = decontamination.find_spans(docs, table(spark, sf_dir, "benchmark"))
     covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
     return _with_text(docs, decontamination.cut_spans(found.where((covered == 0) | (covered < F.col("n_words")))), "text")
@@ -50,6 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the bytes they decode to."""
+    narrow_batches(spark)
     return byte_bpe.query(docs)
 
 

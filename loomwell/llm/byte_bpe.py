@@ -29,8 +29,8 @@ from tokenizers import Tokenizer, models
 from .common import sliced, utf8, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces that a task remembers; the memory is cleared when full.
-CACHE_PIECES = 500_000
+#: Pieces that a task remembers; the memory is cleared when full, and at the end of the task.
+CACHE_PIECES = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -151,6 +151,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
                 spans = [own.offsets(t, i) for t, i in zip(utf8(part.column(text)), ids)]
                 columns |= {"starts": _list([s[0] for s in spans], pa.int32()), "stops": _list([s[1] for s in spans], pa.int32())}
             yield with_columns(part, names, **columns)
+        own.cache.clear()
 
     more = ", starts array<int>, stops array<int>" if offsets else ""
     return df.mapInArrow(run, f"{_fields(df, names)}ids array<int>{more}")
@@ -194,6 +195,7 @@ def round_trip(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
                 ids_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
                 decoded_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
             )
+        own.cache.clear()  # the worker lives on
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

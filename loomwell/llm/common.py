@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised kernel works on; a longer text is a step of its own.
 SLICE_BYTES = 1 << 18
+#: Rows of an Arrow batch between Spark and its Python workers: texts are wide.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def narrow_batches(spark: SparkSession) -> None:
+    """Let the session send whole texts to Python workers in batches of ``BATCH_ROWS`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (``spark.checkpoint.dir``).
 

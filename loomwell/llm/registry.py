@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from . import byte_bpe, chat_format, class_ngrams, decontamination, language_id, line_dedup, media_sequences, ngram_join, quality, toxicity
-from .common import table
+from .common import narrow_batches, table
 
-QUERIES = {
+_QUERIES = {
     "op1_media_sequences": lambda spark, d: media_sequences.query(table(spark, d, "documents")),
     "op2_byte_bpe": lambda spark, d: byte_bpe.query(table(spark, d, "documents")),
     "op3_ngram_join": lambda spark, d: ngram_join.query(table(spark, d, "documents")),
@@ -18,6 +18,17 @@ QUERIES = {
     "op10_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
 }
 
+
+def _narrow(query):
+    def run(spark, sf_dir):
+        narrow_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _narrow(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL = {
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op6_benchmark_decontamination": decontamination.ORACLE_SQL,
