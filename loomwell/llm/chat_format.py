@@ -7,11 +7,14 @@ least id stays. What remains is rendered. DataFrame operations only.
 No step needs a whole conversation in one place. Turns are dealt by (conversation, block of turn
 numbers); positions and rolling hashes are running sums within a block plus the sums of the blocks
 before it, and the text is rendered in segments of ``SEGMENT_TURNS`` turns.
+
+Until then a turn's text is represented by its digest. Texts move for the rendering only, and only those
+of conversations that are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -20,21 +23,23 @@ BLOCK_TURNS = 256
 SEGMENT_TURNS = 1024
 
 
+def _block() -> Column:
+    return F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1 << 40)).alias("block")
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
-    """Distinct turns in order: (conv_id, block, in_block, role, text); in_block counts from 1."""
-    base = conversations.select("conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1 << 40)).alias("block"))
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    before = F.lag(F.struct("turn", "role", "text")).over(order)
-    marked = base.withColumn("again", F.coalesce(before.eqNullSafe(F.struct("turn", "role", "text")), F.lit(False)))
-    # A row equal to the one before it repeats it.
-    return marked.where(~F.col("again")).withColumn("in_block", F.row_number().over(order)).drop("again")
+    """Distinct turns in order: (conv_id, block, in_block, turn, role, digest); in_block counts from 1."""
+    # Repeats of a turn, however many, are one before they meet in a task.
+    base = conversations.select("conv_id", "turn", "role", F.md5("text").alias("digest"), _block()).distinct()
+    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "digest")
+    return base.withColumn("in_block", F.row_number().over(order))
 
 
 def positions(conversations: DataFrame) -> DataFrame:
     """Turns with ``pos`` (from 0) and ``n_turns`` of their conversation.
 
     Rows that repeat a whole turn count once; different rows with one turn number are ordered by role,
-    then text; null turn numbers come first. Null ids together are one conversation.
+    then by the MD5 of the text; null turn numbers come first. Null ids together are one conversation.
     """
     turns = _turns(conversations)
     by_block = Window.partitionBy("conv_id").orderBy("block")
@@ -46,7 +51,7 @@ def positions(conversations: DataFrame) -> DataFrame:
         F.sum("n").over(Window.partitionBy("conv_id")).alias("n_turns"),
     )
     joined = turns.join(blocks, turns["conv_id"].eqNullSafe(blocks["b_conv"]) & (turns["block"] == blocks["b_block"]))
-    return joined.select("conv_id", "block", "role", "text", "n_turns", (F.col("offset") + F.col("in_block") - 1).alias("pos"))
+    return joined.select("conv_id", "block", "turn", "role", "digest", "n_turns", (F.col("offset") + F.col("in_block") - 1).alias("pos"))
 
 
 def prefix_hashes(placed: DataFrame) -> DataFrame:
@@ -54,8 +59,8 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
 
     A turn's hash covers its position, role and text, so that their exclusive or stands for the sequence.
     """
-    turn = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    hashed = stored(placed.select("conv_id", "block", "pos", "n_turns", F.xxhash64(F.lit(1), *turn).alias("t1"), F.xxhash64(F.lit(2), *turn).alias("t2")))
+    turn = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("digest").isNull(), F.col("digest")]
+    hashed = placed.select("conv_id", "block", "pos", "n_turns", F.xxhash64(F.lit(1), *turn).alias("t1"), F.xxhash64(F.lit(2), *turn).alias("t2"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = hashed.groupBy("conv_id", "block").agg(F.bit_xor("t1").alias("b1"), F.bit_xor("t2").alias("b2")).select(
         F.col("conv_id").alias("b_conv"),
@@ -78,15 +83,21 @@ def maximal(hashes: DataFrame) -> DataFrame:
     return whole.join(prefixes, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
-def render(placed: DataFrame, kept: DataFrame) -> DataFrame:
-    """(conv_id, segment, n_turns, text): each turn as ``<|role|>``, its text and ``<|end|>`` on lines."""
+def render(conversations: DataFrame, placed: DataFrame, kept: DataFrame) -> DataFrame:
+    """(conv_id, segment, n_turns, text): each turn of ``kept`` as ``<|role|>``, its text and ``<|end|>`` on lines."""
     kept = kept.select(F.col("conv_id").alias("k_conv"))
     chosen = placed.join(kept, placed["conv_id"].eqNullSafe(kept["k_conv"]), "left_semi")
+    chosen = chosen.select("pos", "n_turns", *[F.col(c).alias(f"p_{c}") for c in ("conv_id", "block", "turn", "role", "digest")])
+    texts = conversations.select("conv_id", "turn", "role", "text", F.md5("text").alias("digest"), _block())
+    same = F.col("block") == F.col("p_block")
+    for c in ("conv_id", "turn", "role", "digest"):
+        same = same & F.col(c).eqNullSafe(F.col(f"p_{c}"))
     turn = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
-    lines = F.array_sort(F.collect_list(F.struct("pos", turn.alias("line"))))
-    segment = F.floor(F.col("pos") / SEGMENT_TURNS).alias("segment")
+    # Rows that repeat a turn repeat its line: the set has it once.
+    lines = F.array_sort(F.collect_set(F.struct("pos", turn.alias("line"))))
     return (
-        chosen.groupBy("conv_id", segment)
+        texts.join(chosen, same)
+        .groupBy("conv_id", F.floor(F.col("pos") / SEGMENT_TURNS).alias("segment"))
         .agg(F.max("n_turns").alias("n_turns"), lines.alias("lines"))
         .select("conv_id", "segment", "n_turns", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("text"))
     )
@@ -94,8 +105,8 @@ def render(placed: DataFrame, kept: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Maximal conversations, rendered; null roles and texts are empty. No rows give no rows."""
-    placed = positions(conversations)
-    return render(placed, maximal(prefix_hashes(placed)))
+    placed = stored(positions(conversations))
+    return render(conversations, placed, maximal(prefix_hashes(placed)))
 
 
 def query(conversations: DataFrame) -> DataFrame:
@@ -104,7 +115,7 @@ def query(conversations: DataFrame) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-p AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos FROM t),
+p AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) - 1 AS pos FROM t),
 c AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY pos) AS l FROM p GROUP BY conv_id),
 u AS (SELECT min(conv_id) AS conv_id, l FROM c GROUP BY l),
 prefixes AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(generate_series(1, len(l) - 1)) AS k FROM c)),
