@@ -1,6 +1,7 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
-A language's dictionary is the joined text of a bounded random sample of its training documents. A
+A language's dictionary is the joined text of a bounded random sample of its training documents; of a
+long document the sample has a piece from anywhere in it. Every language with a training row has one. A
 text is brought to its lower-case letter words, cut into pieces, each piece is compressed once with
 every dictionary, and the language whose compressed sizes add up to the least is chosen. Pieces keep the dictionaries decisive: in one long
 frame the text's own past would soon take their place. All pieces of a text count.
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import is_held_out, is_training, sliced, spread, with_columns
@@ -25,10 +26,10 @@ from .common import is_held_out, is_training, sliced, spread, with_columns
 #: Training documents a language is learnt from at most, and bytes of its dictionary at most.
 SAMPLE_DOCS = 60
 DICTIONARY_BYTES = 64 << 10
-#: A sampled document has at most so many characters, so that the sample's size is bounded.
+#: Of a sampled document's letter words at most so many characters are taken, so that the sample's size is bounded.
 SAMPLE_CHARS = 10_000
-#: More languages than this are an error: the dictionaries are broadcast.
-MAX_LANGUAGES = 400
+#: A task prepares the dictionaries of so many languages at a time; of more languages, block after block for each batch.
+BLOCK_LANGUAGES = 400
 PIECE_BYTES = 1024
 #: Shorter texts are repeated up to this many bytes.
 SHORTEST = 128
@@ -45,62 +46,98 @@ def normal(text: str) -> bytes:
     return f" {' '.join(words)} ".encode() if words else b""
 
 
+def piece(text: str, u: float, chars: int) -> str:
+    """At most ``chars`` characters of the text's letter words, from a place that ``u`` in [0, 1) chooses."""
+    letters = normal(text).decode()
+    if len(letters) <= chars:
+        return letters
+    start = int(u * (1 << 30)) * 40_503 % (len(letters) - chars + 1)  # u itself is low for all that are sampled
+    return letters[start : start + chars]
+
+
 def learn(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each language of the training rows: a random sample, bounded by the parameters.
 
-    Rows with null text or lang, or without a letter, teach nothing. Without training rows there are no
-    languages, and every text is rejected as unknown.
+    Rows with null text or lang, or without a letter, teach nothing; all others count, however long. Without
+    training rows there are no languages, and every text is rejected as unknown.
     """
-    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).where(F.length("text") <= SAMPLE_CHARS)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", spread(F.col("doc_id")).alias("u"), "text")
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()
+    if not found:
         return {}
-    # Twice the share that is wanted, by a hash of the id; the lowest hashes of each language stay.
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 2.0 * sample_docs / n)]), F.col("lang"))
-    rows = known.withColumn("u", spread(F.col("doc_id"))).where(F.col("u") < share)
-    rows = rows.select("lang", "u", "text").orderBy("u", "text").limit(4 * sample_docs * len(sizes)).collect()
-    out: dict[str, bytes] = {}
-    for lang in sizes:
-        texts = [normal(r["text"]) for r in rows if r["lang"] == lang][:sample_docs]
-        chosen, size = [], 0  # whole texts, as many as fit
-        for t in texts:
-            if size + len(t) < dictionary_bytes:
+    # Twice the share that is wanted, by a hash of the id, one row at least; the lowest hashes of each language stay.
+    most = docs.sparkSession.createDataFrame([(r["lang"], max(2.0 * sample_docs / r["n"], r["least"])) for r in found], "lang string, most double")
+    chars = min(SAMPLE_CHARS, (dictionary_bytes - 1) // 4)  # one piece fits in, whatever its characters
+
+    def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(parts):
+            taken = [piece(t, u, chars) for t, u in zip(part.column("text").to_pylist(), part.column("u").to_pylist())]
+            yield with_columns(part, ["lang", "u"], piece=pa.array(taken, pa.string()))
+
+    def joined(rows: pa.Table) -> pa.Table:
+        chosen, size = [], 0  # whole pieces, as many as fit
+        for row in rows.sort_by([("u", "ascending"), ("piece", "ascending")]).to_pylist():
+            t = row["piece"].encode()
+            if t and size + len(t) < dictionary_bytes:
                 chosen.append(t)
                 size += len(t) + 1
-        out[lang] = b"\n".join(chosen)
-    return out
+        return pa.table({"lang": rows.column("lang").slice(0, 1), "dictionary": pa.array([b"\n".join(chosen)], pa.binary())})
+
+    sample = known.join(F.broadcast(most), "lang").where("u <= most").select("lang", "u", "text").mapInArrow(pieces, "lang string, u double, piece string")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "piece"))
+    kept = sample.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "u", "piece")
+    rows = kept.groupBy("lang").applyInArrow(joined, "lang string, dictionary binary").collect()
+    return {r["lang"]: bytes(r["dictionary"]) for r in rows if r["dictionary"]}
 
 
 class Judge:
-    def __init__(self, dictionaries: dict[str, bytes], piece_bytes: int = PIECE_BYTES, level: int = LEVEL):
+    def __init__(self, dictionaries: dict[str, bytes], piece_bytes: int = PIECE_BYTES, level: int = LEVEL, block: int = BLOCK_LANGUAGES):
+        self.dictionaries = dictionaries
         self.languages = sorted(dictionaries)
-        self.piece_bytes = piece_bytes
-        self.encoders = []
-        for lang in self.languages:
-            content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            self.encoders.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_dict_id=False, write_checksum=False))
-
-    def sizes(self, text: bytes) -> np.ndarray:
-        """The text's compressed size with each language's dictionary."""
-        text *= -(-SHORTEST // len(text))  # a few bytes alone would be stored, not compressed, whatever the dictionary
-        pieces = [text[i : i + self.piece_bytes] for i in range(0, len(text), self.piece_bytes)]
-        return np.array([sum(len(e.compress(p)) for p in pieces) for e in self.encoders], dtype=np.float64)
+        self.piece_bytes, self.level = piece_bytes, level
+        self.blocks = [self.languages[i : i + block] for i in range(0, len(self.languages), block)]
+        self.prepared: tuple[int, list[zstandard.ZstdCompressor]] = (-1, [])  # one block's encoders
+
+    def encoders(self, i: int) -> list[zstandard.ZstdCompressor]:
+        if self.prepared[0] != i:
+            self.prepared = (-1, [])
+            made = []
+            for lang in self.blocks[i]:
+                content = zstandard.ZstdCompressionDict(self.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                content.precompute_compress(level=self.level)
+                made.append(zstandard.ZstdCompressor(level=self.level, dict_data=content, write_content_size=False, write_dict_id=False, write_checksum=False))
+            self.prepared = (i, made)
+        return self.prepared[1]
+
+    def sizes(self, texts: list[bytes]) -> np.ndarray:
+        """Each text's compressed size with each language's dictionary."""
+        out = np.zeros((len(texts), len(self.languages)))
+        first = 0
+        for i, block in enumerate(self.blocks):
+            encoders = self.encoders(i)
+            for row, text in zip(out, texts):
+                text *= -(-SHORTEST // len(text))  # a few bytes alone would be stored, not compressed, whatever the dictionary
+                pieces = [text[j : j + self.piece_bytes] for j in range(0, len(text), self.piece_bytes)]
+                row[first : first + len(block)] = [sum(len(e.compress(p)) for p in pieces) for e in encoders]
+            first += len(block)
+        return out
+
+    def judge(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """(language, score from 0 to 1, margin to the runner-up as a share of the winner's size) of each text."""
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        letters = [normal(t) if self.languages else b"" for t in texts]
+        told = [i for i, t in enumerate(letters) if t]
+        for i, sizes in zip(told, self.sizes([letters[i] for i in told])):
+            best = int(np.argmin(sizes))
+            rest = np.delete(sizes, best)
+            margin = float((rest.min() - sizes[best]) / sizes[best]) if len(rest) else 1.0
+            # Sizes as code lengths, in units of 4 bytes: the share that the winner has of 2 ** -length.
+            score = float(1.0 / np.exp2((sizes[best] - sizes) / 4.0).sum())
+            out[i] = (self.languages[best], score, margin)
+        return out
 
     def __call__(self, text: str) -> tuple[str, float, float]:
-        """(language, score from 0 to 1, margin to the runner-up as a share of the winner's size)."""
-        letters = normal(text)
-        if not self.encoders or not letters:
-            return UNKNOWN, 0.0, 0.0
-        sizes = self.sizes(letters)
-        best = int(np.argmin(sizes))
-        rest = np.delete(sizes, best)
-        margin = float((rest.min() - sizes[best]) / sizes[best]) if len(rest) else 1.0
-        # Sizes as code lengths, in units of 4 bytes: the share that the winner has of 2 ** -length.
-        score = float(1.0 / np.exp2((sizes[best] - sizes) / 4.0).sum())
-        return self.languages[best], score, margin
+        return self.judge([text])[0]
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -117,7 +154,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for part in sliced(parts):
-            found = [judge(t or "") for t in part.column("text").to_pylist()]
+            found = judge.judge([t or "" for t in part.column("text").to_pylist()])
             yield with_columns(
                 part,
                 names,

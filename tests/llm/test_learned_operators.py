@@ -176,6 +176,29 @@ def test_dictionaries_are_bounded(more):
     assert set(learnt) == {"de", "en", "es", "fr"} and all(0 < len(d) <= 4000 for d in learnt.values())
 
 
+def test_languages_of_long_texts_are_learnt(spark):
+    """A language that has nothing but long texts; one whose rows all share an id; a text with letters in one place only."""
+    words = {"xx": "drommen vinterhav fjell", "yy": "kalamo senpila hundo"}
+    rows = [(i, " ".join(f"{w}{'abcdefgh'[j % 8]}" for j in range(900) for w in words["xx"].split()), "xx") for i in range(40)]
+    rows += [(7, f"{words['yy']} {'pqrs'[i % 4]}", "yy") for i in range(3000)] + [(9, "1 " * 20_000 + "zzz" + " 1" * 20_000, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language_id.learn(docs, F.lit(True))
+    assert set(learnt) == {"xx", "yy", "zz"} and all(learnt.values()) and b"vinterhav" in learnt["xx"] and b"zzz" in learnt["zz"]
+    assert max(map(len, learnt.values())) <= language_id.DICTIONARY_BYTES
+    judge = language_id.Judge(learnt)
+    assert [judge(t)[0] for t in words.values()] == ["xx", "yy"]
+
+
+def test_more_languages_than_a_block_holds(spark):
+    rows = [(i, f"{chr(97 + i // 26) * 3}{chr(97 + i % 26) * 3} wort", f"l{i}") for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = language_id.learn(docs, F.lit(True))
+    assert set(learnt) == {r[2] for r in rows}
+    texts = [r[1] for r in rows[::90]]
+    assert language_id.Judge(learnt, block=100).judge(texts) == language_id.Judge(learnt, block=1000).judge(texts)
+    assert language_id.identify(docs.limit(5), learnt).count() == 5
+
+
 # ---------------------------------------------------------------- quality, toxicity
 
 
