@@ -4,13 +4,20 @@
 
 Word counts cover every training token and stay a table. Words split by count:
 
-* the *head*, at most ``HEAD_WORDS`` of the commonest, which are broadcast. The commonest
-  ``EXCHANGE_WORDS`` of them are assigned to ``CLASSES`` classes by exchange clustering: each word in
-  turn goes to the class that raises the likelihood of all class bigrams most, until a pass moves few.
-  The others form classes by the power of two of their count;
-* the *tail*, all other words, seen or not, one class. Their counts are joined in, never broadcast: only
-  rare words take part, so no key of that join is hot, and the head's words never enter a shuffle as
-  tokens.
+* the *head*, all words seen ``HEAD_COUNT`` times or more, however many there are; each has one of
+  ``CLASSES`` classes. The commonest ``EXCHANGE_WORDS`` are assigned first, by exchange clustering: each
+  word in turn goes to the class that raises the likelihood of all class bigrams most, until a pass moves
+  few. Then come ``ROUNDS`` jobs over all training text in which every head word, the common ones too,
+  goes to its best class: word-by-class bigram counts are summed over the tasks, and each task moves its
+  share of the words against the class bigrams of the round before. A round whose classes, counted
+  again, are no likelier is taken back, and is the last;
+* the *tail*, all other words, seen or not, one class: the back-off. Their counts are joined in, never
+  broadcast: only rare words take part, so no key of that join is hot, and the head's words never enter a
+  shuffle as tokens.
+
+What is broadcast is the head's table of 64-bit hashes, counts and classes, 18 bytes a word; it grows
+with the vocabulary. Two words of one hash would count as one, which ten million words meet with a
+probability of a few in a million.
 
 Emission within the tail discounts every count by D = n1 / (n1 + 2 n2) (n1, n2: words seen once, twice)
 and gives the freed share to the one unknown word, in the way that the base score has one unknown type.
@@ -31,12 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import is_held_out, sliced, stored, utf8
 
-HEAD_WORDS = 200_000
 #: Rarer words are always tail: the tail's discount and its share of the tokens are learnt from them.
 HEAD_COUNT = 4
 EXCHANGE_WORDS = 1000
 CLASSES = 40
 PASSES = 8
+#: Jobs in which all head words move.
+ROUNDS = 2
+#: Word-by-class counts a task holds before it sends them on.
+HELD_CELLS = 4_000_000
 #: Distinct words a task holds before it sends its counts on.
 HELD_WORDS = 400_000
 #: What stands for the end of a text in the word counts; no word holds a blank.
@@ -118,17 +128,44 @@ def exchange(bigrams: np.ndarray, n_classes: int, passes: int = PASSES) -> np.nd
     return of
 
 
+class Index:
+    """Words by their hashes: the position of each in the sorted table, -1 for all others."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes  # sorted, as of Spark's xxhash64 without sign
+        self.met: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "met": {}}
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        if not len(self):
+            return np.full(len(words), -1, dtype=np.int64)
+        if len(self.met) > HELD_WORDS:
+            self.met.clear()
+        met = self.met
+        new = list({w for w in words if w not in met})
+        if new:
+            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self) - 1)
+            met.update(zip(new, np.where(self.hashes[at] == h, at, -1).tolist()))
+        return np.fromiter(map(met.__getitem__, words), np.int64, len(words))
+
+
 @dataclass
 class Model:
-    """What scoring needs, of a size that the module's parameters bound."""
+    """What scoring needs: a few numbers for each head word, and the classes' transitions."""
 
-    index: dict[bytes, int] = field(default_factory=dict)  # head words
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    state: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # of head words; before clustering
+    index: Index = field(default_factory=lambda: Index(np.zeros(0, dtype=np.uint64)))  # head words
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    state: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int16))  # of head words
     n_states: int = 2
     classes: np.ndarray = field(default_factory=lambda: np.arange(2))  # of states
     log_next: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    log_emit: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    class_totals: np.ndarray = field(default_factory=lambda: np.ones(2))
     end_count: int = 0
     total: int = 0  # N
     distinct: int = 0  # V
@@ -137,21 +174,32 @@ class Model:
     discount: float = 0.5
     head_from: int = 1  # head words have this count bin or a greater one
 
-    #: States: 0 is the end of a text, 1 the tail, then the exchange words, then the bands of the other head words.
+    #: States: 0 is the end of a text, 1 the tail, then the classes of head words. While the commonest words are
+    #: clustered each of them is a state, and the others form states by the power of two of their count.
 
     def states(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Head indices (-1: tail) and states of a text's words."""
-        get = self.index.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        return at, np.where(at >= 0, self.state[at] if len(self.state) else 1, 1)
+        at = self.index.find(words)
+        return at, np.where(at >= 0, self.state[at] if len(self.state) else 1, 1).astype(np.int64)
+
+    def emit(self, at: np.ndarray) -> np.ndarray:
+        """log10 p(word | class) of head words."""
+        return np.log10(self.counts[at] / self.class_totals[self.classes[self.state[at]]])
+
+    @property
+    def log_emit(self) -> np.ndarray:
+        return self.emit(np.arange(len(self.counts)))
 
 
 def _bin(n: F.Column) -> F.Column:
     return F.floor(F.log2(n) * BINS)
 
 
-def learn(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS, exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES) -> Model:
-    """The model of the training rows ``docs`` and their ``word_counts``, which should be stored."""
+def learn(docs: DataFrame, counts: DataFrame, head_words: int | None = None, exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES) -> Model:
+    """The model of the training rows ``docs`` and their ``word_counts``, which should be stored.
+
+    ``head_words`` bounds the head for those who need a smaller model; by default all words of ``HEAD_COUNT`` are in it.
+    """
     words = counts.where(F.col("word") != END)
     total, distinct, end = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
     if not total:
@@ -160,39 +208,178 @@ def learn(docs: DataFrame, counts: DataFrame, head_words: int = HEAD_WORDS, exch
     bins = sorted(words.groupBy(_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["bin"])
     held, head_from = 0, None
     for row in bins:
-        if held + row["words"] > head_words or row["bin"] < np.log2(HEAD_COUNT) * BINS:
+        if (head_words is not None and held + row["words"] > head_words) or row["bin"] < np.log2(HEAD_COUNT) * BINS:
             break
         held, head_from = held + row["words"], row["bin"]
     head_from = (bins[0]["bin"] + 1 if bins else 1) if head_from is None else head_from
-    head = words.where(_bin(F.col("n")) >= head_from).collect()  # no more than head_words rows
-    head.sort(key=lambda r: (-r["n"], r["word"]))
+    head = words.where(_bin(F.col("n")) >= head_from).select(F.xxhash64("word").alias("hash"), "n").toArrow()
     tail = words.where(_bin(F.col("n")) < head_from)
     tail_total, tail_words, once, twice = tail.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("int")), F.sum((F.col("n") == 2).cast("int"))).first()
     model = Model(total=total, distinct=distinct, end_count=end or 0, tail_total=tail_total or 0, tail_words=tail_words, head_from=int(head_from))
     model.discount = once / (once + 2 * twice) if once and twice else 0.5
-    model.index = {r["word"].encode(): i for i, r in enumerate(head)}
-    model.counts = np.array([r["n"] for r in head], dtype=np.float64)
-    n = min(exchange_words, len(head))
-    bands = np.floor(np.log2(np.maximum(1, model.counts[n:]))).astype(np.int64)
-    names, band = np.unique(bands, return_inverse=True)
-    model.state = np.concatenate([2 + np.arange(n), 2 + n + band]).astype(np.int64)
+    hashes = head.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    model.index = Index(hashes[order])
+    model.counts = head.column("n").to_numpy()[order]
+    common = np.argsort(-model.counts, kind="stable")[:exchange_words]
+    n = len(common)
+    bands = np.floor(np.log2(np.maximum(1, model.counts))).astype(np.int64)
+    others = np.ones(len(bands), dtype=bool)
+    others[common] = False
+    names, band = np.unique(bands[others], return_inverse=True)
+    model.state = np.zeros(len(bands), dtype=np.int16)
+    model.state[common] = 2 + np.arange(n)
+    model.state[others] = 2 + n + band
     model.n_states = 2 + n + len(names)
     bigrams = state_bigrams(docs, model)
     # Exchange words move between classes; the end, the tail and the bands keep their own.
     own = exchange(bigrams[2 : 2 + n, 2 : 2 + n], classes) if n else np.zeros(0, dtype=np.int64)
     used, own = np.unique(own, return_inverse=True)
-    model.classes = np.concatenate([[0, 1], 2 + own, 2 + len(used) + np.arange(len(names))]).astype(np.int64)
-    k = 2 + len(used) + len(names)
-    by_class = np.zeros((model.n_states, k))
-    by_class[np.arange(model.n_states), model.classes] = 1
+    of = np.concatenate([[0, 1], 2 + own, 2 + len(used) + np.arange(len(names))]).astype(np.int64)
+    by_class = np.zeros((model.n_states, 2 + len(used) + len(names)))
+    by_class[np.arange(model.n_states), of] = 1
     pairs = by_class.T @ bigrams @ by_class
+    model.state, model.n_states = of[model.state].astype(np.int16), len(pairs)
+    if len(names):
+        pairs = cluster(docs, model, pairs, 2 + len(used))
+    # Classes that have lost all their words go.
+    alive = np.unique(np.concatenate([[0, 1], model.state]))
+    pairs = pairs[np.ix_(alive, alive)]
+    k = model.n_states = len(alive)
+    model.state = np.searchsorted(alive, model.state).astype(np.int16)
+    model.classes = np.arange(k)
     share = (pairs.sum(axis=0) + 0.1) / (pairs.sum() + 0.1 * k)
     model.log_next = np.log10((pairs + 2.0 * share) / (pairs.sum(axis=1, keepdims=True) + 2.0))
-    of = model.classes[model.state]
-    model.log_emit = np.log10(model.counts / np.bincount(of, model.counts, k)[of])
+    model.class_totals = np.maximum(1.0, np.bincount(model.state, model.counts, k))
     return model
 
 
+def likelihood(pairs: np.ndarray) -> float:
+    """Of class bigrams, but for what the words' counts alone decide."""
+    return float(_f(pairs).sum() - _f(pairs.sum(axis=0)).sum() - _f(pairs.sum(axis=1)).sum())
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+
+
+def cluster(docs: DataFrame, model: Model, pairs: np.ndarray, stop: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Move all head words between the classes 2, ..., ``stop`` - 1; the class bigrams of the result.
+
+    Words that are in a later class, as all but the commonest are at first, leave it in any case.
+    """
+    for i in range(rounds):
+        before = model.state
+        moved = moves(docs, model, pairs, stop)
+        model.state = before.copy()
+        model.state[moved.column("id").to_numpy()] = moved.column("class").to_numpy()
+        after = state_bigrams(docs, model)
+        if i and likelihood(after) <= likelihood(pairs):
+            model.state = before
+            break
+        pairs = after
+        if len(moved) <= len(before) // 200:
+            break
+    return pairs
+
+
+def moves(docs: DataFrame, model: Model, pairs: np.ndarray, stop: int) -> pa.Table:
+    """(id, class) of the head words that are better off in another class than their own.
+
+    The words' bigrams with classes are summed by word; no word has more of them than two for each class.
+    """
+    k = model.n_states
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if not keys:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        all_keys, all_n = np.concatenate(keys), np.concatenate(n)
+        order = np.argsort(all_keys, kind="stable")
+        all_keys = all_keys[order]
+        first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])) if len(all_keys) else np.zeros(0, dtype=np.int64)
+        return all_keys[first], np.add.reduceat(all_n[order], first) if len(first) else all_n
+
+    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        keys: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            met, n = np.unique(np.concatenate(keys or [np.zeros(0, dtype=np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+            keys.clear()
+
+        for part in sliced(parts):
+            ends = np.zeros(1, dtype=np.int64)
+            at, states = [ends - 1], [ends]
+            for text in utf8(part.column("text")):
+                a, b = own.states(tokens(text))
+                at += [a, ends - 1]
+                states += [b, ends]
+            word, of = np.concatenate(at), np.concatenate(states)
+            right = word[:-1] * (2 * k) + of[1:]
+            left = word[1:] * (2 * k) + k + of[:-1]
+            keys += [right[word[:-1] >= 0], left[word[1:] >= 0]]
+            size += len(word) * 2
+            if size > HELD_CELLS:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        keys, n, size = [], [], 0
+        for part in parts:
+            keys.append(part.column("key").to_numpy())
+            n.append(part.column("n").to_numpy())
+            size += part.num_rows
+            if size > HELD_CELLS:
+                key, count = summed(keys, n)
+                # What is left counts as nothing, so that each further round of summing has news of that size.
+                keys, n, size = [key], [count], 0
+        key, count = summed(keys, n)
+        words = np.unique(key // (2 * k))
+        for i in range(0, len(words), 2048):
+            ids = words[i : i + 2048]
+            a, b = np.searchsorted(key, [ids[0] * 2 * k, (ids[-1] + 1) * 2 * k])
+            best = better(key[a:b], count[a:b].astype(np.float64), ids, own.state[ids].astype(np.int64), pairs, stop)
+            moved = best != own.state[ids]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(best[moved], pa.int32())], ["id", "class"])
+
+    cells = docs.select("text").mapInArrow(gather, "key long, n long").repartition(F.expr(f"key div {2 * k}"))
+    return cells.mapInArrow(choose, "id long, class int").toArrow()
+
+
+def better(key: np.ndarray, n: np.ndarray, ids: np.ndarray, state: np.ndarray, pairs: np.ndarray, stop: int) -> np.ndarray:
+    """The class of 2, ..., ``stop`` - 1 in which each word's bigrams are likeliest; its own if none is likelier.
+
+    ``key`` is sorted: word * 2k + class for the words' right neighbours, + k for the left ones. All the words
+    are judged against the same class bigrams, less their own for the class that they are in.
+    """
+    k = len(pairs)
+    at = np.searchsorted(ids, key // (2 * k))
+    cell = key % (2 * k)
+    both = np.concatenate([pairs.T, pairs])  # of right neighbours: [c] to class of the word; of left ones: [k + c]
+    base = both[cell]
+    add = _f(base + n[:, None]) - _f(base)
+    rows = np.arange(len(key))
+    own = base[rows, state[at]]
+    add[rows, state[at]] = _f(own) - _f(np.maximum(0, own - n))
+    first = np.searchsorted(at, np.arange(len(ids)))
+    gain = np.add.reduceat(add, first, axis=0)
+    for totals, side in ((pairs.sum(axis=1), cell < k), (pairs.sum(axis=0), cell >= k)):
+        times = np.bincount(at[side], n[side], len(ids))
+        less = _f(totals + times[:, None]) - _f(totals)
+        own = totals[state]
+        less[np.arange(len(ids)), state] = _f(own) - _f(np.maximum(0, own - times))
+        gain -= less
+    gain[:, :2] = gain[:, stop:] = -np.inf
+    best = np.argmax(gain, axis=1)
+    words = np.arange(len(ids))
+    return np.where(gain[words, best] > gain[words, state] + 1e-9, best, state)
+
+
 def state_bigrams(docs: DataFrame, model: Model) -> np.ndarray:
     """How often each state follows each other one in ``docs``; a text begins after an end.
 
@@ -229,7 +416,6 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        log_count = np.log10(own.counts + 0.1)
         end = np.log10(own.end_count + 0.1)
         for part in sliced(parts):
             out: list[list] = [[] for _ in range(9)]
@@ -241,8 +427,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
                 key = xxhash.xxh3_128_digest(b"%s|%s" % (str(doc_id).encode(), text))
                 row = (
-                    doc_id, key, len(words) + 1, len(known) + (own.end_count > 0), float(log_count[known].sum() + end),
-                    float(own.log_next[path[:-1], path[1:]].sum() + own.log_emit[known].sum()), len(rare), list(rare), list(rare.values()),
+                    doc_id, key, len(words) + 1, len(known) + (own.end_count > 0), float(np.log10(own.counts[known] + 0.1).sum() + end),
+                    float(own.log_next[path[:-1], path[1:]].sum() + own.emit(known).sum()), len(rare), list(rare), list(rare.values()),
                 )
                 for column, value in zip(out, row):
                     column.append(value)

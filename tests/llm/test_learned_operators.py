@@ -147,6 +147,21 @@ def test_exchange_finds_the_classes():
             assert likelihood(other) <= likelihood(of) + 1e-6
 
 
+def test_words_beyond_the_commonest_get_classes_by_what_surrounds_them(spark, monkeypatch):
+    """Two kinds of words in turn, of equal counts: all of a kind share classes, not only the few that are clustered first."""
+    monkeypatch.setattr(class_ngrams, "HELD_CELLS", 500)
+    rng = random.Random(3)
+    kinds = [[f"{kind}{i}" for i in range(150)] for kind in ("noun", "verb")]
+    rows = [(i, " ".join(rng.choice(kinds[j % 2]) for j in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = stored(class_ngrams.word_counts(docs))
+    model = class_ngrams.learn(docs, counts, exchange_words=20, classes=2)
+    assert len(model.index) == 300 and model.n_states == 4
+    of = [set(model.states([w.encode() for w in kind])[1].tolist()) for kind in kinds]
+    assert sorted(map(len, of)) == [1, 1] and not of[0] & of[1] and not {0, 1} & (of[0] | of[1])
+    assert np.allclose(np.bincount(model.state, 10.0**model.log_emit, 4)[2:], 1)
+
+
 def test_nothing_to_score(spark, empty):
     assert class_ngrams.query(empty).count() == 0
     untrained = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
