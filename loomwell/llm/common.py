@@ -30,12 +30,14 @@ def narrow_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in a bare local session, a temporary folder takes its place.
+    Only a local session, where all share one machine, may lack that setting; a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="loomwell-")
-        spark.sparkContext.setCheckpointDir(base)
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomwell-{uuid.uuid4().hex}"
 
 
@@ -44,7 +46,25 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = shared_dir(df.sparkSession)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.loomwell_folder = path
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of ``stored`` frames that nothing reads any more."""
+    for frame in frames:
+        delete_folder(frame.sparkSession, frame.loomwell_folder)
+
+
+def fields(df: DataFrame, names: list[str] | None = None) -> str:
+    """The columns of ``df`` (or those named) as the beginning of a DDL schema, in their order and of their types."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if names is None or f.name in names)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -111,14 +131,18 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        _powers[:] = []
-        for base in (_P, _P_INV):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers.append(np.cumprod(steps))
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse; what is kept is enough for a slice, a longer text has tables of its own."""
+    if len(_powers) == 2 and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, SLICE_BYTES + 4096)
+    made = []
+    for base in (_P, _P_INV):
+        steps = np.full(size, base, dtype=np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps))
+    if size == SLICE_BYTES + 4096:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -168,16 +192,16 @@ class Words:
 # ---------------------------------------------------------------- bounded samples of labelled rows
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, training: Column, limit: int) -> DataFrame:
-    """(doc_id, text, lang, label) of at most ``limit`` training rows, a random choice by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, training: Column, limit: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, label, u, ...) of about ``limit`` labelled training rows, a random choice by ``u``, a hash of the id.
 
     ``training`` is a condition on doc_id. Labels that are null teach nothing; of several for one id the
-    greatest counts. The chosen ids are at most ``limit``, and so may be broadcast.
+    greatest counts. The chosen ids are at most ``limit``, and so may be broadcast; rows that share an id all come.
     """
     known = labels.where(training & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
     n = known.count()
     chosen = known.withColumn("u", spread(F.col("doc_id"), 1)).where(F.col("u") < 1.2 * limit / max(1, n)).orderBy("u", "doc_id").limit(limit)
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy("u", "doc_id", "text").limit(limit).drop("u")
+    return docs.select("doc_id", "text", *extra).join(F.broadcast(chosen), "doc_id")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

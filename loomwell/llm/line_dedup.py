@@ -1,14 +1,17 @@
 """Line dedup against levelled sorted runs of line hashes.
 
-The store is a log of *runs* in the shared folder. A run is a Parquet table of (line hash, documents
-holding it), range-ordered and sorted by hash. Adding a batch of documents
+The store is a log of *runs* in the shared folder. A run is a table of (hash, documents), bucketed and
+sorted by the 128-bit hash of a line, so that joins between a batch and the runs are merges: the runs are
+neither shuffled nor sorted again. Adding a batch of documents
 
-1. counts the batch's own distinct line hashes (summed before the shuffle, so a line that a third of
-   all documents hold arrives as one row per task);
-2. merge-anti-joins them with the *settled* run, the hashes already known to be in enough documents:
+1. counts the batch's own line hashes (summed before the shuffle, so that a line that a third of all
+   documents hold arrives as one row for each task), dealt and sorted like a run;
+2. merge-anti-joins them with the *settled* runs, the hashes already known to be in enough documents:
    for those nothing is left to learn;
-3. writes the rest as a new run of level 0. When a level holds ``fanout`` runs, they are merged into
-   one run of the next level, and hashes that have now reached the threshold move to the settled run.
+3. merges in what the levelled runs know of the rest, and writes it as a new run of level 0; hashes that
+   have now reached the threshold count as settled.
+
+When a level holds ``fanout`` runs, they are merged into one run of the next level, and settled runs likewise.
 
 ``drop_lines`` joins documents with the settled hashes. Nothing is broadcast by hand and nothing goes
 through the driver, so the number of repeated lines is unbounded; a hot hash meets one row of the
@@ -17,17 +20,24 @@ settled run, and Spark may split its side of the join.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, utf8, with_columns
+from .common import delete_folder, fields, shared_dir, sliced, stored, utf8, with_columns
 
 #: Stripped at both ends of a line: space and the bytes 9 to 13.
 BLANK = b" \t\n\x0b\x0c\r"
+#: Hashes of a bucket of a run, about; more hashes take more buckets.
+BUCKET_HASHES = 4_000_000
+#: Spark's own bound of a table's buckets; beyond, buckets grow.
+MOST_BUCKETS = 100_000
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def _keys(text: bytes) -> list[bytes]:
@@ -35,89 +45,127 @@ def _keys(text: bytes) -> list[bytes]:
     return [line.strip(BLANK) for line in text.lower().split(b"\n")]
 
 
-def _hash(key: bytes) -> int:
-    value = xxhash.xxh3_64_intdigest(key)
-    return value - (1 << 64) if value >> 63 else value
+_hash = xxhash.xxh3_128_digest
 
 
 def _characters(key: bytes) -> int:
     return len(key) if key.isascii() else len(key.decode("utf-8", "replace"))
 
 
-def line_hashes(docs: DataFrame, min_chars: int = 1, batches: int = 1) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, batch, hashes of the distinct line keys of at least ``min_chars``)."""
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, text_key, lines_key, hashes of the distinct line keys of at least ``min_chars``).
+
+    ``text_key`` is the text's digest, ``lines_key`` that of its set of hashes.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
             rows = []
             for text in utf8(part.column("text")):
                 keys = set(_keys(text))
-                rows.append([_hash(k) for k in keys if k and (min_chars < 2 or _characters(k) >= min_chars)])
-            yield with_columns(part, ["doc_id", "batch"], hashes=pa.array(rows, pa.list_(pa.int64())))
+                rows.append(sorted(_hash(k) for k in keys if k and (min_chars < 2 or _characters(k) >= min_chars)))
+            own = pa.array([_hash(b"".join(r)) for r in rows], pa.binary())
+            yield with_columns(part, ["doc_id", "text_key"], lines_key=own, hashes=pa.array(rows, pa.list_(pa.binary())))
 
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    return docs.select("doc_id", "text", batch.alias("batch")).mapInArrow(run, "doc_id long, batch int, hashes array<long>")
+    rows = docs.select("doc_id", "text", _text_key(F.col("text")).alias("text_key"))
+    return rows.mapInArrow(run, f"{fields(docs, ['doc_id'])}text_key binary, lines_key binary, hashes array<binary>")
 
 
 class RunStore:
-    """Levelled runs of line hashes. ``add`` takes the output of ``line_hashes`` for one batch."""
+    """Levelled runs of line hashes. ``add`` takes (owner columns, hashes) of one batch; an owner counts once for each hash."""
 
-    def __init__(self, spark: SparkSession, min_documents: int = 10, fanout: int = 4):
-        self.spark, self.min_documents, self.fanout = spark, min_documents, fanout
+    def __init__(self, spark: SparkSession, min_documents: int = 10, fanout: int = 4, buckets: int = 8):
+        self.spark, self.min_documents, self.fanout, self.buckets = spark, min_documents, fanout, buckets
         self.levels: list[list[DataFrame]] = [[]]
-        self.settled = spark.createDataFrame([], "hash long, documents long")
+        self.settled: list[DataFrame] = []
+        self.tables: list[tuple[str, str]] = []
+
+    def joined(self, hashes: DataFrame) -> DataFrame:
+        """(hash, documents, total) of the hashes of a batch that are not settled; ``total`` is with what the runs know."""
+        owners = [c for c in hashes.columns if c != "hashes"]
+        own = hashes.select(*owners, F.explode("hashes").alias("hash")).distinct().groupBy("hash").agg(F.count("*").alias("documents"))
+        own = own.repartition(self.buckets, "hash")
+        for run in self.settled:
+            own = own.join(run.select("hash").hint("merge"), "hash", "left_anti")
+        known = []
+        for run in (run for level in self.levels for run in level):
+            known.append(f"documents_{len(known)}")
+            own = own.join(run.select("hash", F.col("documents").alias(known[-1])).hint("merge"), "hash", "left")
+        total = F.col("documents")
+        for c in known:
+            total = total + F.coalesce(c, F.lit(0))
+        return own.select("hash", "documents", total.alias("total"))
 
     def add(self, hashes: DataFrame) -> None:
-        own = hashes.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("documents"))
-        self.levels[0].append(self._run(own.join(self.settled, "hash", "left_anti")))
-        for level in range(len(self.levels)):
-            if len(self.levels[level]) >= self.fanout:
-                self._compact(level)
+        with self._sorted_scans():
+            run = self._run(self.joined(hashes))
+            self.levels[0].append(run.where(F.col("total") < self.min_documents).select("hash", "documents"))
+            self.settled.append(run.where(F.col("total") >= self.min_documents).select("hash", F.col("total").alias("documents")))
+            for i, level in enumerate(self.levels):
+                if len(level) >= self.fanout:
+                    if i + 1 == len(self.levels):
+                        self.levels.append([])
+                    self.levels[i + 1].append(self._merged(level))
+                    self.levels[i] = []
+            if len(self.settled) >= self.fanout:
+                self.settled = [self._merged(self.settled)]
 
     def finish(self) -> DataFrame:
-        """Merge all levels and return the settled run: (hash, documents)."""
-        runs = [run for level in self.levels for run in level]
-        self.levels = [runs, []]
-        if runs:
-            self._compact(0, keep=False)
-        return self.settled
+        """(hash, documents) of the settled hashes, in the shared folder; the runs are deleted."""
+        out = self.spark.createDataFrame([], "hash binary, documents long")
+        for run in self.settled:
+            out = out.unionByName(run)
+        out = stored(out)
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE {name}")
+            delete_folder(self.spark, path)
+        self.levels, self.settled, self.tables = [[]], [], []
+        return out
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of several, merged two at a time: a full outer merge join of sorted buckets."""
+        out = runs[0]
+        for run in runs[1:]:
+            both = out.join(run.select("hash", F.col("documents").alias("more")).hint("merge"), "hash", "full_outer")
+            out = self._run(both.select("hash", (F.coalesce("documents", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("documents")))
+        return out
 
     def _run(self, df: DataFrame) -> DataFrame:
-        return stored(df.sortWithinPartitions("hash"))
-
-    def _compact(self, level: int, keep: bool = True) -> None:
-        if level + 1 == len(self.levels):
-            self.levels.append([])
-        merged = self.levels[level][0]
-        for run in self.levels[level][1:]:
-            merged = merged.unionByName(run)
-        # One run alone is already a sum for each hash.
-        if len(self.levels[level]) > 1:
-            merged = merged.groupBy("hash").agg(F.sum("documents").alias("documents"))
-        if keep:
-            merged = self._run(merged)
-            self.levels[level + 1].append(merged.where(F.col("documents") < self.min_documents))
-        self.levels[level] = []
-        fresh = merged.where(F.col("documents") >= self.min_documents)
-        self.settled = self._run(self.settled.unionByName(fresh))
-
-
-def drop_lines(docs: DataFrame, hashes: DataFrame, settled: DataFrame, min_chars: int = 1) -> DataFrame:
+        name, path = f"loomwell_{uuid.uuid4().hex}", shared_dir(self.spark)
+        df.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+        self.tables.append((name, path))
+        return self.spark.table(name)
+
+    @contextmanager
+    def _sorted_scans(self) -> Iterator[None]:
+        """Lets Spark rely on the order within a bucket, which it does not by default."""
+        before = self.spark.conf.get(_ORDERED)
+        self.spark.conf.set(_ORDERED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_ORDERED, before)
+
+
+def drop_lines(docs: DataFrame, hashes: DataFrame, settled: DataFrame) -> DataFrame:
     """``docs`` with ``kept`` (the text without the lines whose key is settled), ``n_lines`` and ``n_dropped``.
 
-    The join brings each document the settled hashes among its own. A null id takes part like any other;
-    rows that share an id share those hashes, which changes nothing, as a settled hash drops its lines
-    everywhere.
+    The join brings each row the settled hashes among its own, by id and text, so that rows that share an
+    id, or have none, are told apart.
     """
     hits = (
-        hashes.select("doc_id", F.explode("hashes").alias("hash"))
+        hashes.select("doc_id", "text_key", F.explode("hashes").alias("hash"))
         .join(settled.select("hash"), "hash", "left_semi")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
         .agg(F.collect_set("hash").alias("hits"))
-        .withColumnRenamed("doc_id", "hit_id")
     )
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left").drop("hit_id")
-    names = [c for c in joined.columns if c not in ("hits", "text")]
+    keyed = docs.withColumn("text_key", _text_key(F.col("text")))
+    joined = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["hit_id"]) & (keyed["text_key"] == hits["hit_key"]), "left")
+    names = [c for c in docs.columns if c != "text"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
@@ -127,7 +175,7 @@ def drop_lines(docs: DataFrame, hashes: DataFrame, settled: DataFrame, min_chars
                 n_lines.append(len(lines))
                 if hit:
                     bad = set(hit)
-                    keep = [line for line, key in zip(lines, _keys(text)) if not key or _hash(key) not in bad or _characters(key) < min_chars]
+                    keep = [line for line, key in zip(lines, _keys(text)) if not key or _hash(key) not in bad]
                     n_dropped.append(len(lines) - len(keep))
                     text = b"\n".join(keep)
                 else:
@@ -135,24 +183,31 @@ def drop_lines(docs: DataFrame, hashes: DataFrame, settled: DataFrame, min_chars
                 kept.append(text)
             yield with_columns(part, names, kept=pa.array(kept, pa.binary()).cast(pa.string()), n_lines=pa.array(n_lines, pa.int64()), n_dropped=pa.array(n_dropped, pa.int64()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in names)
-    return joined.select(*[F.col(f"`{c}`") for c in names], "hits", "text").mapInArrow(run, f"{schema}, kept string, n_lines long, n_dropped long")
+    rows = joined.select(*[F.col(f"`{c}`") for c in names], "hits", "text")
+    return rows.mapInArrow(run, f"{fields(docs, names)}kept string, n_lines long, n_dropped long")
 
 
-def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """Drop, in every document, the lines whose key at least ``min_documents`` rows of ``docs`` hold.
+def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, copies_count: bool = True) -> DataFrame:
+    """Drop, in every document, the lines whose key at least ``min_documents`` documents of ``docs`` hold.
 
-    The result has the columns of ``docs`` but ``text``, then ``kept``, ``n_lines`` and ``n_dropped``.
-    Null or empty text is one empty line, which has no key and stays. Each row counts as one document,
-    a repeated row too. A key repeated within a row counts once. An empty table gives an empty table;
-    further columns pass through, unless they are named like the new ones, which replace them.
+    The result has the columns of ``docs`` but ``text``, then ``kept``, ``n_lines`` and ``n_dropped``, a row for
+    each row. A document is an id, of any type: rows that share one count once for a line. Rows without an id
+    count once for each different text. Without ``copies_count`` documents that have the same set of line keys
+    count once together, whatever their ids, so that copies of a text alone take no line away.
+    Null or empty text is one empty line, which has no key and stays; so do lines of blanks. Texts and lines may
+    be of any length. An empty table gives an empty table; further columns pass through, unless they are named
+    like the new ones, which replace them.
     """
-    docs = docs.drop("hits", "hit_id", "kept", "n_lines", "n_dropped")
-    hashes = stored(line_hashes(docs, min_chars, batches), "batch")
-    store = RunStore(docs.sparkSession, min_documents, fanout)
+    docs = docs.drop("hits", "hit_id", "hit_key", "text_key", "kept", "n_lines", "n_dropped")
+    # All rows of what counts as one document are in one batch.
+    owner = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("text_key")] if copies_count else [F.col("lines_key")]
+    batch = F.pmod(F.xxhash64(*owner), F.lit(batches)).cast("int")
+    hashes = stored(line_hashes(docs, min_chars).withColumn("batch", batch), "batch")
+    n = hashes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
+    store = RunStore(docs.sparkSession, min_documents, fanout, min(MOST_BUCKETS, max(8, -(-n // BUCKET_HASHES))))
     for i in range(batches):
-        store.add(hashes.where(F.col("batch") == i))
-    return drop_lines(docs, hashes, store.finish(), min_chars)
+        store.add(hashes.where(F.col("batch") == i).select(*owner, "hashes"))
+    return drop_lines(docs, hashes, store.finish())
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -161,14 +216,16 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, doc_id, coalesce('id ' || CAST(doc_id AS VARCHAR), 'text ' || text) AS document, pos, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
-frequent AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  FROM (SELECT r, doc_id, text, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+        FROM (SELECT *, string_split(text, chr(10)) AS l FROM rows))),
+frequent AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT document) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN frequent f ON lines.key = f.key
-GROUP BY doc_id
+GROUP BY r
 """

@@ -24,11 +24,15 @@ def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
 
-def kept_lines(texts, min_documents=10):
-    """(n_lines, n_dropped, kept) of each text."""
+def kept_lines(rows, min_documents=10, copies_count=True):
+    """(n_lines, n_dropped, kept) of each (doc_id, text)."""
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
-    lines = [(t or "").split("\n") for t in texts]
-    found = Counter(k for own in lines for k in {key(line) for line in own} if k)
+    lines = [(t or "").split("\n") for _, t in rows]
+    if copies_count:
+        owners = [("id", i) if i is not None else ("text", t or "") for i, t in rows]
+    else:
+        owners = [frozenset(key(line) for line in own) - {""} for own in lines]
+    found = Counter(k for _, k in {(o, key(line)) for o, own in zip(owners, lines) for line in own} if k)
     out = []
     for own in lines:
         keep = [line for line in own if not key(line) or found[key(line)] < min_documents]

@@ -108,23 +108,57 @@ def test_offsets_and_split_characters(spark, reference):
 # ---------------------------------------------------------------- lines
 
 
-def test_lines(spark, odd, odd_rows):
+def line_rows(odd_rows):
+    """Shared lines; a line of ten rows of one id; one of ten rows without an id, of which nine are equal."""
     many = [(100 + i, f"{'Same  ' if i % 2 else ' same'}\nunique {i}\n\nÉcole") for i in range(10)] + [(200, "same\nSAME\nécole"), (201, "same")]
-    frame = spark.createDataFrame(many, "doc_id long, text string").unionByName(odd, allowMissingColumns=True)
-    rows = [*many, *[r[:2] for r in odd_rows]]
-    want = [(i is None, i or 0, n, d, brute.sha(k)) for (i, _), (n, d, k) in zip(rows, brute.kept_lines([t for _, t in rows]))]
-    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.query(frame).collect()]
+    many += [(300, f"of one id\nrow {i}") for i in range(10)] + [(None, "of none")] * 9 + [(None, "of none\nand more")] + [(None, f"nameless\n{i}") for i in range(10)]
+    return [*many, *[r[:2] for r in odd_rows]]
+
+
+def test_lines(spark, odd_rows):
+    rows = line_rows(odd_rows)
+    want = [(i is None, i or 0, n, d, brute.sha(k)) for (i, _), (n, d, k) in zip(rows, brute.kept_lines(rows))]
+    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("batches, fanout", [(1, 2), (5, 2), (7, 3)])
-def test_runs_agree_however_they_are_compacted(spark, rows, batches, fanout):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = line_dedup.dedup_lines(docs, 3, batches=batches, fanout=fanout)
-    want = brute.kept_lines([t for _, t in rows], 3)
+def test_lines_of_repeated_rows_equal_sql(spark, odd_rows):
+    import duckdb
+
+    rows = line_rows(odd_rows)
+    con = duckdb.connect()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = frame.toArrow()  # noqa: F841  DuckDB reads it by its name
+    same_rows(line_dedup.query(frame).toPandas(), con.execute(line_dedup.ORACLE_SQL).df())
+
+
+@pytest.mark.parametrize("batches, fanout, copies_count", [(1, 2, True), (5, 2, False), (7, 3, True)])
+def test_runs_agree_however_they_are_compacted(spark, rows, batches, fanout, copies_count):
+    rows = rows + [(f"{i}x", rows[3][1]) for i in range(5)]
+    rows = [(str(i), t) for i, t in rows]  # ids of any type
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = line_dedup.dedup_lines(docs, 3, batches=batches, fanout=fanout, copies_count=copies_count)
+    want = brute.kept_lines(rows, 3, copies_count)
     assert sorted((r["doc_id"], r["n_dropped"], r["kept"]) for r in got.collect()) == sorted((i, d, k) for (i, _), (_, d, k) in zip(rows, want))
 
 
+def test_runs_are_neither_shuffled_nor_sorted_again(spark):
+    store = line_dedup.RunStore(spark, 3, fanout=9, buckets=4)
+    batch = lambda k: spark.createDataFrame([(i, [b"%d" % (i % 7), b"%d %d" % (k, i)]) for i in range(20)], "doc_id long, hashes array<binary>")
+    store.add(batch(0))
+    store.add(batch(1))
+    with store._sorted_scans():
+        plan = store.joined(batch(2))._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [i for i, line in enumerate(plan) if "FileScan parquet" in line and "Bucketed: true" in line]
+    assert len(scans) == 4
+    for i in scans:  # what stands above a run up to its merge join
+        above = plan[i - 1 : i - 4 : -1]
+        upto = next(k for k, line in enumerate(above) if "SortMergeJoin" in line or ":- " in line)
+        assert not any("Exchange" in line or "Sort " in line for line in above[:upto])
+    assert len([line for line in plan if "SortMergeJoin" in line]) == 4
+    store.finish()
+
+
 # ---------------------------------------------------------------- decontamination
 
 
