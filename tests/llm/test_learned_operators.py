@@ -85,13 +85,25 @@ def test_components(spark):
     assert ngram_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_set_intersections():
+def test_rows_that_share_an_id_keep_their_links(spark):
+    """Two texts under one id, each with a near copy of its own; ids may be texts."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [("1", one), ("1", two), ("2", f"{one} more"), ("3", f"{two} more"), ("4", "something else"), ("1", two)]
+    got = sorted(tuple(r) for r in ngram_join.query(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("1", "1", "1", 1), ("1", "1", "1", 2), ("1", "1", "1", 2), ("2", "1", "2", 1), ("3", "1", "3", 2), ("4", "4", "4", 0)]
+
+
+def test_set_overlaps():
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(17)]
-    for budget in (1, 1 << 25):
-        for i, sizes in ngram_join.intersections(sets, budget):
-            others = np.arange(len(sets)) != i
-            assert sizes[others].tolist() == [len(np.intersect1d(sets[i], s)) for s in np.array(sets, dtype=object)[others]]
+    made = []
+    for n in (17, 5):
+        sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(n)]
+        made.append((sets, ngram_join.Block(np.arange(n), np.ones(n, dtype=np.int64), np.zeros((n, 1)), sets)))
+    for (left, a), (right, b) in ((made[0], made[0]), (made[0], made[1])):
+        b = ngram_join.Block.unpack(b.pack()) if a is not b else b
+        for budget in (1, 1 << 25):
+            for i, sizes in enumerate(ngram_join.overlaps(a, b, budget)):
+                assert [x for j, x in enumerate(sizes.tolist()) if a is not b or i != j] == [len(np.intersect1d(left[i], s)) for j, s in enumerate(right) if a is not b or i != j]
 
 
 # ---------------------------------------------------------------- class n-grams

@@ -151,10 +151,9 @@ def test_runs_are_neither_shuffled_nor_sorted_again(spark):
         plan = store.joined(batch(2))._jdf.queryExecution().executedPlan().toString().splitlines()
     scans = [i for i, line in enumerate(plan) if "FileScan parquet" in line and "Bucketed: true" in line]
     assert len(scans) == 4
-    for i in scans:  # what stands above a run up to its merge join
-        above = plan[i - 1 : i - 4 : -1]
-        upto = next(k for k, line in enumerate(above) if "SortMergeJoin" in line or ":- " in line)
-        assert not any("Exchange" in line or "Sort " in line for line in above[:upto])
+    for before, i in zip([scans[0] - 4, *scans], scans):  # joins are left-deep: before a run's scan stands its own branch alone
+        branch = [line for line in plan[max(before + 1, i - 3) : i] if "SortMergeJoin" not in line]
+        assert not any("Exchange" in line or "Sort " in line for line in branch), branch
     assert len([line for line in plan if "SortMergeJoin" in line]) == 4
     store.finish()
 
