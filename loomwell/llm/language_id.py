@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_held_out, is_training, sliced, spread, with_columns
+from .common import fields, is_held_out, is_training, sliced, spread, with_columns
 
 #: Training documents a language is learnt from at most, and bytes of its dictionary at most.
 SAMPLE_DOCS = 60
@@ -31,8 +31,8 @@ SAMPLE_CHARS = 10_000
 #: A task prepares the dictionaries of so many languages at a time; of more languages, block after block for each batch.
 BLOCK_LANGUAGES = 400
 PIECE_BYTES = 1024
-#: Shorter texts are repeated up to this many bytes.
-SHORTEST = 128
+#: Follows every piece: it takes a few bytes, the same in all languages, and keeps zstandard from storing short pieces as they are.
+FILLER = b" " * 64
 LEVEL = 6
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -116,8 +116,7 @@ class Judge:
         for i, block in enumerate(self.blocks):
             encoders = self.encoders(i)
             for row, text in zip(out, texts):
-                text *= -(-SHORTEST // len(text))  # a few bytes alone would be stored, not compressed, whatever the dictionary
-                pieces = [text[j : j + self.piece_bytes] for j in range(0, len(text), self.piece_bytes)]
+                pieces = [text[j : j + self.piece_bytes] + FILLER for j in range(0, len(text), self.piece_bytes)]
                 row[first : first + len(block)] = [sum(len(e.compress(p)) for p in pieces) for e in encoders]
             first += len(block)
         return out
@@ -143,12 +142,12 @@ class Judge:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """``docs`` followed by ``lang_pred``, ``score``, ``margin`` and ``rejected``.
 
-    Null, empty or letterless text: ``und``, score and margin 0, rejected. Columns named like the new
-    ones are replaced; others pass through untouched and unread.
+    Null, empty or letterless text: ``und``, score and margin 0, rejected. Equal sizes go to the language that
+    comes first by name, with margin 0, rejected. Texts may be of any length, repeats are judged each for itself,
+    no rows give no rows. Columns named like the new ones are replaced; others pass through untouched and unread.
     """
     docs = docs.drop("lang_pred", "score", "margin", "rejected")
     names = docs.columns
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +163,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 rejected=pa.array([f[0] == UNKNOWN or f[2] <= 0 or f[2] < min_margin for f in found], pa.bool_()),
             )
 
-    return docs.mapInArrow(run, f"{fields}lang_pred string, score double, margin double, rejected boolean")
+    return docs.mapInArrow(run, f"{fields(docs)}lang_pred string, score double, margin double, rejected boolean")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ import re
 import zlib
 from collections import Counter
 
+import regex
+import zstandard
+
 LOWER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
@@ -54,6 +57,20 @@ def spans(text, items, window=10):
     return own, hit, sorted(found)
 
 
+def language(text, dictionaries):
+    """(language, margin) by the sizes of the text's letter words, 1 KB by 1 KB and 64 blanks after each, under each dictionary."""
+    letters = regex.findall(r"\p{L}+", (text or "").lower())
+    if not letters:
+        return "und", 0.0
+    raw, sizes = f" {' '.join(letters)} ".encode(), []
+    for name, content in dictionaries.items():
+        own = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coder = zstandard.ZstdCompressor(level=6, dict_data=own, write_content_size=False, write_dict_id=False)
+        sizes.append((sum(len(coder.compress(raw[i : i + 1024] + b" " * 64)) for i in range(0, len(raw), 1024)), name))
+    (best, name), *rest = sorted(sizes)
+    return name, (rest[0][0] - best) / best if rest else 1.0
+
+
 def cut(text, hit):
     """The text without its runs of covered words."""
     at, out, places = 0, [], [m.span() for m in WORD.finditer((text or "").translate(LOWER))]

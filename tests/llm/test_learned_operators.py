@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwell.llm import class_ngrams, decontamination, language_id, line_dedup, ngram_join, quality, toxicity
+from loomwell.llm import class_ngrams, language_id, ngram_join, quality, toxicity
 from loomwell.llm.common import is_training, stored
 
 
@@ -190,6 +190,17 @@ def test_languages(spark, more):
     assert sum(r["rejected"] for r in got) / len(got) < 0.02 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_languages_equal_brute_force(spark, documents, odd_rows):
+    rows = [*((r["doc_id"] + 100, r["text"]) for r in documents.collect()), *(r[:2] for r in odd_rows), (900, "Haus"), (901, "é" * 5000)]
+    dictionaries = language_id.learn(documents, is_training(F.col("doc_id"), 4, 2))
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), dictionaries).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        name, margin = brute.language(r["text"], dictionaries)
+        assert (r["lang_pred"], r["rejected"]) == (name, name == "und" or margin <= 0 or margin < language_id.MIN_MARGIN)
+        assert math.isclose(r["margin"], margin)
+
+
 def test_odd_rows_language(spark, odd, empty):
     judged = language_id.query(odd).collect()
     assert {r["lang_pred"] for r in judged} <= {"en", "de", "und"}
@@ -259,19 +270,18 @@ def test_one_risk_term_is_never_negative():
 
 
 def test_pipeline_equals_brute_force(spark, small, documents):
-    docs = {r["doc_id"]: r for r in documents.collect()}
-    judge = language_id.Judge(language_id.learn(documents, is_training(F.col("doc_id"), 4, 2)))
-    texts = {i: r["text"] for i, r in docs.items() if (v := judge(r["text"]))[0] != "und" and v[2] >= language_id.MIN_MARGIN}
-    kept = {i: (d, k) for i, (_, d, k) in zip(texts, brute.kept_lines(list(texts.values())))}
-    texts = {i: k for i, (_, k) in kept.items()}
+    """Only the dictionaries are the operator's own: what they decide is worked out anew."""
+    docs = {r["doc_id"]: r["text"] for r in documents.collect()}
+    dictionaries = language_id.learn(documents, is_training(F.col("doc_id"), 4, 2))
+    texts = {i: t for i, t in docs.items() if (v := brute.language(t, dictionaries))[0] != "und" and v[1] > 0 and v[1] >= language_id.MIN_MARGIN}
+    texts = {i: k for i, (_, _, k) in zip(texts, brute.kept_lines(list(texts.items()), copies_count=False))}
     _, groups = brute.linked(texts)
     texts = {i: t for i, t in texts.items() if groups[i] == i}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
-    phrases = decontamination.Phrases([(str(i), t.encode()) for i, t in items.items()], decontamination.WINDOW)
     left = {}
-    for (i, t), (n, spans, _) in zip(texts.items(), phrases.search([t.encode() for t in texts.values()])):
-        hit = {p for a, b in spans for p in range(a, b)}
-        if not hit or len(hit) < n:
+    for i, t in texts.items():
+        own, hit, _ = brute.spans(t, items)
+        if not hit or len(hit) < len(own):
             left[i] = brute.cut(t, hit) if hit else t
     got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, small).collect()}
     assert got == {i: brute.sha(t) for i, t in left.items()}
@@ -285,6 +295,7 @@ def test_stages_keep_columns_and_take_odd_rows(spark, small, odd, empty):
             docs = stored(stage(spark, docs, small))
             assert docs.columns == start.columns, name
             assert docs.where("n_chars > 0 and n_chars <> length(text)").count() == 0
+            assert "score" not in docs.columns or docs.where("score <> 'own' or kept <> 'own'").count() == 0
         assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == docs.count()
 
 
@@ -293,4 +304,13 @@ def test_lines_that_many_documents_share_go_but_their_documents_stay(spark, smal
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, small).collect()}
     assert got == {i: f"body of document {i}" for i in range(12)} | {50: "", 51: ""}
-    assert line_dedup.dedup_lines(docs).where("n_dropped = 1").count() == 13
+
+
+def test_one_full_copy_of_a_repeated_article_survives(spark, small):
+    article = "\n\n".join(f"Paragraph {i} of an article that many sites repeat in full, word {i * 7} for word." for i in range(30))
+    rows = [(i, article if i % 2 else f"{article}  ", "en", "s", 0) for i in range(10)] + [(20 + i, f"A footer on many pages\npage {i} itself", "en", "s", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.dedup_lines(spark, docs, small)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_documents(spark, stored(lines), small).collect()}
+    assert [i for i in got if i < 20] == [0] and got[0].rstrip() == article
+    assert {t for i, t in got.items() if i >= 20} == {f"page {i} itself" for i in range(12)}
