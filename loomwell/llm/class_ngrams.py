@@ -4,8 +4,8 @@
 
 Word counts cover every training token and stay a table. Words split by count:
 
-* the *head*, all words seen ``HEAD_COUNT`` times or more, however many there are; each has one of
-  ``CLASSES`` classes. The commonest ``EXCHANGE_WORDS`` are assigned first, by exchange clustering: each
+* the *head*, all words seen ``HEAD_COUNT`` times or more, up to ``HEAD_WORDS`` of the commonest; each has one
+  of ``CLASSES`` classes. The commonest ``EXCHANGE_WORDS`` are assigned first, by exchange clustering: each
   word in turn goes to the class that raises the likelihood of all class bigrams most, until a pass moves
   few. Then come ``ROUNDS`` jobs over all training text in which every head word, the common ones too,
   goes to its best class: word-by-class bigram counts are summed over the tasks, and each task moves its
@@ -15,9 +15,12 @@ Word counts cover every training token and stay a table. Words split by count:
   broadcast: only rare words take part, so no key of that join is hot, and the head's words never enter a
   shuffle as tokens.
 
-What is broadcast is the head's table of 64-bit hashes, counts and classes, 18 bytes a word; it grows
-with the vocabulary. Two words of one hash would count as one, which ten million words meet with a
-probability of a few in a million.
+Texts are split into tokens twice, for the counts and to write each text as numbers of head words; all
+other passes read the numbers. Counts of bigrams move as packed arrays, one row for each task and shard.
+
+What is broadcast is the head's table of 64-bit hashes, counts and classes, 18 bytes a word and so 72 MB at
+most. Two words of one hash would count as one, which four million words meet with a probability of less than
+one in a million.
 
 Emission within the tail discounts every count by D = n1 / (n1 + 2 n2) (n1, n2: words seen once, twice)
 and gives the freed share to the one unknown word, in the way that the base score has one unknown type.
@@ -27,26 +30,31 @@ Class transitions are smoothed towards the classes' own shares.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, sliced, stored, utf8
+from .common import fields, is_held_out, sliced, stored, utf8, with_columns
 
 #: Rarer words are always tail: the tail's discount and its share of the tokens are learnt from them.
 HEAD_COUNT = 4
+#: Bound of the broadcast head; words beyond, by count, back off to the tail, with their counts.
+HEAD_WORDS = 4_000_000
 EXCHANGE_WORDS = 1000
 CLASSES = 40
 PASSES = 8
 #: Jobs in which all head words move.
 ROUNDS = 2
-#: Word-by-class counts a task holds before it sends them on.
-HELD_CELLS = 4_000_000
+#: Keys of bigrams a task holds before it counts them and sends the counts on.
+HELD_KEYS = 6_000_000
+#: Parts that counts of bigrams are dealt into.
+SHARDS = 64
 #: Distinct words a task holds before it sends its counts on.
 HELD_WORDS = 400_000
 #: What stands for the end of a text in the word counts; no word holds a blank.
@@ -177,10 +185,9 @@ class Model:
     #: States: 0 is the end of a text, 1 the tail, then the classes of head words. While the commonest words are
     #: clustered each of them is a state, and the others form states by the power of two of their count.
 
-    def states(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Head indices (-1: tail) and states of a text's words."""
-        at = self.index.find(words)
-        return at, np.where(at >= 0, self.state[at] if len(self.state) else 1, 1).astype(np.int64)
+    def states(self, ids: np.ndarray) -> np.ndarray:
+        """States of head words, of the tail (-1) and of ends (-2)."""
+        return np.concatenate([self.state, [0, 1]]).astype(np.int64)[ids]
 
     def emit(self, at: np.ndarray) -> np.ndarray:
         """log10 p(word | class) of head words."""
@@ -191,15 +198,12 @@ class Model:
         return self.emit(np.arange(len(self.counts)))
 
 
-def _bin(n: F.Column) -> F.Column:
+def _bin(n: Column) -> Column:
     return F.floor(F.log2(n) * BINS)
 
 
-def learn(docs: DataFrame, counts: DataFrame, head_words: int | None = None, exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES) -> Model:
-    """The model of the training rows ``docs`` and their ``word_counts``, which should be stored.
-
-    ``head_words`` bounds the head for those who need a smaller model; by default all words of ``HEAD_COUNT`` are in it.
-    """
+def vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS) -> Model:
+    """A model that knows the words of ``word_counts`` (which should be stored), but no classes yet."""
     words = counts.where(F.col("word") != END)
     total, distinct, end = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == END, F.col("n")))).first()
     if not total:
@@ -208,7 +212,7 @@ def learn(docs: DataFrame, counts: DataFrame, head_words: int | None = None, exc
     bins = sorted(words.groupBy(_bin(F.col("n")).alias("bin")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["bin"])
     held, head_from = 0, None
     for row in bins:
-        if (head_words is not None and held + row["words"] > head_words) or row["bin"] < np.log2(HEAD_COUNT) * BINS:
+        if held + row["words"] > head_words or row["bin"] < np.log2(HEAD_COUNT) * BINS:
             break
         held, head_from = held + row["words"], row["bin"]
     head_from = (bins[0]["bin"] + 1 if bins else 1) if head_from is None else head_from
@@ -221,6 +225,49 @@ def learn(docs: DataFrame, counts: DataFrame, head_words: int | None = None, exc
     order = np.argsort(hashes)
     model.index = Index(hashes[order])
     model.counts = head.column("n").to_numpy()[order]
+    model.state = np.ones(len(order), dtype=np.int16)
+    return model
+
+
+def encode(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (doc_id, text, ...) as (doc_id, ..., key, ids, words, times).
+
+    ``ids`` are the text's head words as packed 32-bit numbers, -1 for others, -2 for the end; ``words`` and ``times``
+    the distinct others. ``key`` is a digest of id and text.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    shared = docs.sparkSession.sparkContext.broadcast(model.index)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for part in sliced(parts):
+            keys, ids, rare, times = [], [], [], []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text"))):
+                words = tokens(text)
+                at = index.find(words)
+                others = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
+                keys.append(xxhash.xxh3_128_digest(b"%s|%s" % (str(doc_id).encode(), text)))
+                ids.append(np.append(at, -2).astype("<i4").tobytes())
+                rare.append(list(others))
+                times.append(list(others.values()))
+            yield with_columns(
+                part, names, key=pa.array(keys, pa.binary()), ids=pa.array(ids, pa.binary()),
+                words=pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), times=pa.array(times, pa.list_(pa.int64())),
+            )
+
+    return docs.mapInArrow(run, f"{fields(docs, names)}key binary, ids binary, words array<string>, times array<long>")
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of packed rows, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype="<i4"), np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows))
+
+
+def learn(model: Model, encoded: DataFrame, exchange_words: int = EXCHANGE_WORDS, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
+    """Give ``model`` classes and their transitions, from the ``encode``d training rows."""
+    if not model.total:
+        return model
     common = np.argsort(-model.counts, kind="stable")[:exchange_words]
     n = len(common)
     bands = np.floor(np.log2(np.maximum(1, model.counts))).astype(np.int64)
@@ -231,7 +278,7 @@ def learn(docs: DataFrame, counts: DataFrame, head_words: int | None = None, exc
     model.state[common] = 2 + np.arange(n)
     model.state[others] = 2 + n + band
     model.n_states = 2 + n + len(names)
-    bigrams = state_bigrams(docs, model)
+    bigrams = state_bigrams(encoded, model)
     # Exchange words move between classes; the end, the tail and the bands keep their own.
     own = exchange(bigrams[2 : 2 + n, 2 : 2 + n], classes) if n else np.zeros(0, dtype=np.int64)
     used, own = np.unique(own, return_inverse=True)
@@ -241,7 +288,7 @@ def learn(docs: DataFrame, counts: DataFrame, head_words: int | None = None, exc
     pairs = by_class.T @ bigrams @ by_class
     model.state, model.n_states = of[model.state].astype(np.int16), len(pairs)
     if len(names):
-        pairs = cluster(docs, model, pairs, 2 + len(used))
+        pairs = cluster(encoded, model, pairs, 2 + len(used), rounds)
     # Classes that have lost all their words go.
     alive = np.unique(np.concatenate([[0, 1], model.state]))
     pairs = pairs[np.ix_(alive, alive)]
@@ -263,17 +310,17 @@ def _f(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
-def cluster(docs: DataFrame, model: Model, pairs: np.ndarray, stop: int, rounds: int = ROUNDS) -> np.ndarray:
+def cluster(encoded: DataFrame, model: Model, pairs: np.ndarray, stop: int, rounds: int = ROUNDS) -> np.ndarray:
     """Move all head words between the classes 2, ..., ``stop`` - 1; the class bigrams of the result.
 
     Words that are in a later class, as all but the commonest are at first, leave it in any case.
     """
     for i in range(rounds):
         before = model.state
-        moved = moves(docs, model, pairs, stop)
+        moved = moves(encoded, model, pairs, stop)
         model.state = before.copy()
         model.state[moved.column("id").to_numpy()] = moved.column("class").to_numpy()
-        after = state_bigrams(docs, model)
+        after = state_bigrams(encoded, model)
         if i and likelihood(after) <= likelihood(pairs):
             model.state = before
             break
@@ -283,72 +330,104 @@ def cluster(docs: DataFrame, model: Model, pairs: np.ndarray, stop: int, rounds:
     return pairs
 
 
-def moves(docs: DataFrame, model: Model, pairs: np.ndarray, stop: int) -> pa.Table:
-    """(id, class) of the head words that are better off in another class than their own.
+def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys and their counts; neighbouring keys differ by little."""
+    steps = np.diff(key, prepend=0)
+    return zstandard.ZstdCompressor(level=1).compress(steps.astype("<i8").tobytes() + n.astype("<i8").tobytes())
 
-    The words' bigrams with classes are summed by word; no word has more of them than two for each class.
-    """
-    k = model.n_states
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if not keys:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        all_keys, all_n = np.concatenate(keys), np.concatenate(n)
-        order = np.argsort(all_keys, kind="stable")
-        all_keys = all_keys[order]
-        first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])) if len(all_keys) else np.zeros(0, dtype=np.int64)
-        return all_keys[first], np.add.reduceat(all_n[order], first) if len(first) else all_n
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype="<i8").reshape(2, -1)
+    return np.cumsum(both[0]), both[1]
+
+
+def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sums of their counts."""
+    all_keys, all_n = np.concatenate([np.zeros(0, dtype=np.int64), *keys]), np.concatenate([np.zeros(0, dtype=np.int64), *n])
+    order = np.argsort(all_keys, kind="stable")
+    all_keys = all_keys[order]
+    first = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])) if len(all_keys) else np.zeros(0, dtype=np.int64)
+    return all_keys[first], np.add.reduceat(all_n[order], first) if len(first) else all_n
+
+
+def _counted(encoded: DataFrame, model: Model, keys_of: Callable, group: int, use: Callable, schema: str) -> DataFrame:
+    """Counts of ``keys_of(ids, states)`` over all rows; ``use(keys, counts)`` gets each shard's in order and yields batches.
+
+    Keys that agree in ``key // group`` are in one shard. A text begins after an end: the first of ``ids`` is one.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        keys: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            met, n = np.unique(np.concatenate(keys or [np.zeros(0, dtype=np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
-            keys.clear()
+            met, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *held]), return_counts=True)
+            held.clear()
+            shard = met // group % SHARDS
+            by = np.argsort(shard, kind="stable")
+            met, n, shard = met[by], n[by], shard[by]
+            names, first = np.unique(shard, return_index=True)
+            blobs = [_packed(k, c) for k, c in zip(np.split(met, first[1:]), np.split(n, first[1:]))] if len(met) else []
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "cells"])
 
-        for part in sliced(parts):
-            ends = np.zeros(1, dtype=np.int64)
-            at, states = [ends - 1], [ends]
-            for text in utf8(part.column("text")):
-                a, b = own.states(tokens(text))
-                at += [a, ends - 1]
-                states += [b, ends]
-            word, of = np.concatenate(at), np.concatenate(states)
-            right = word[:-1] * (2 * k) + of[1:]
-            left = word[1:] * (2 * k) + k + of[:-1]
-            keys += [right[word[:-1] >= 0], left[word[1:] >= 0]]
-            size += len(word) * 2
-            if size > HELD_CELLS:
+        for part in parts:
+            ids, _ = _ids(part.column("ids"))
+            ids = np.concatenate([[-2], ids])
+            held.append(keys_of(ids, own.states(ids)))
+            size += len(held[-1])
+            if size > HELD_KEYS:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        keys, n, size = [], [], 0
+    def reduce(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, n, size = None, [], [], 0
         for part in parts:
-            keys.append(part.column("key").to_numpy())
-            n.append(part.column("n").to_numpy())
-            size += part.num_rows
-            if size > HELD_CELLS:
-                key, count = summed(keys, n)
-                # What is left counts as nothing, so that each further round of summing has news of that size.
-                keys, n, size = [key], [count], 0
-        key, count = summed(keys, n)
+            for name, cells in zip(part.column("shard").to_pylist(), part.column("cells").to_pylist()):
+                if name != shard and keys:
+                    yield from use(shared.value, *_summed(keys, n))
+                    keys, n, size = [], [], 0
+                shard = name
+                key, count = _unpacked(cells)
+                keys.append(key)
+                n.append(count)
+                size += len(key)
+                if size > HELD_KEYS:
+                    key, count = _summed(keys, n)
+                    # What is left counts as nothing, so that each further round of summing has news of that size.
+                    keys, n, size = [key], [count], 0
+        if keys:
+            yield from use(shared.value, *_summed(keys, n))
+
+    cells = encoded.select("ids").mapInArrow(gather, "shard long, cells binary")
+    return cells.repartition("shard").sortWithinPartitions("shard").mapInArrow(reduce, schema)
+
+
+def moves(encoded: DataFrame, model: Model, pairs: np.ndarray, stop: int) -> pa.Table:
+    """(id, class) of the head words that are better off in another class than their own.
+
+    The words' bigrams with classes are summed by word; no word has more of them than two for each class.
+    """
+    k = model.n_states
+
+    def keys_of(ids: np.ndarray, states: np.ndarray) -> np.ndarray:
+        ids = ids.astype(np.int64)
+        right = ids[:-1] * (2 * k) + states[1:]
+        left = ids[1:] * (2 * k) + k + states[:-1]
+        return np.concatenate([right[ids[:-1] >= 0], left[ids[1:] >= 0]])
+
+    def choose(own: Model, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         words = np.unique(key // (2 * k))
         for i in range(0, len(words), 2048):
             ids = words[i : i + 2048]
             a, b = np.searchsorted(key, [ids[0] * 2 * k, (ids[-1] + 1) * 2 * k])
-            best = better(key[a:b], count[a:b].astype(np.float64), ids, own.state[ids].astype(np.int64), pairs, stop)
+            best = better(key[a:b], n[a:b].astype(np.float64), ids, own.state[ids].astype(np.int64), pairs, stop)
             moved = best != own.state[ids]
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(best[moved], pa.int32())], ["id", "class"])
 
-    cells = docs.select("text").mapInArrow(gather, "key long, n long").repartition(F.expr(f"key div {2 * k}"))
-    return cells.mapInArrow(choose, "id long, class int").toArrow()
+    return _counted(encoded, model, keys_of, 2 * k, choose, "id long, class int").toArrow()
 
 
 def better(key: np.ndarray, n: np.ndarray, ids: np.ndarray, state: np.ndarray, pairs: np.ndarray, stop: int) -> np.ndarray:
@@ -380,66 +459,53 @@ def better(key: np.ndarray, n: np.ndarray, ids: np.ndarray, state: np.ndarray, p
     return np.where(gain[words, best] > gain[words, state] + 1e-9, best, state)
 
 
-def state_bigrams(docs: DataFrame, model: Model) -> np.ndarray:
-    """How often each state follows each other one in ``docs``; a text begins after an end.
+def state_bigrams(encoded: DataFrame, model: Model) -> np.ndarray:
+    """How often each state follows each other one; a text begins after an end. The driver gets the sums, ``n_states`` squared at most."""
+    k = model.n_states
 
-    Every task sends the cells it has met; the table of sums has at most ``n_states`` squared rows.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def cells(_: Model, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["cell", "n"])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        cells = np.zeros(own.n_states**2, dtype=np.int64)
-        for part in sliced(parts):
-            chain = [np.zeros(1, dtype=np.int64)]
-            for text in utf8(part.column("text")):
-                chain += [own.states(tokens(text))[1], chain[0]]
-            states = np.concatenate(chain)
-            cells += np.bincount(states[:-1] * own.n_states + states[1:], minlength=len(cells))
-        met = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(cells[met], pa.int64())], ["cell", "n"])
-
-    got = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(model.n_states**2)
+    got = _counted(encoded, model, lambda _, states: states[:-1] * k + states[1:], k, cells, "cell long, n long").toArrow()
+    out = np.zeros(k**2)
     out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(model.n_states, model.n_states)
+    return out.reshape(k, k)
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, base_score, score.
+def score(encoded: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """Per row of ``encoded``: its columns but those of ``encode``, then n_tokens, n_known, base_score, score.
 
     Null text is empty: one token, its end. Rows that repeat, or share an id, are scored each for itself.
     Without training rows every token is the unknown one: all scores are 0.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    names = [c for c in encoded.columns if c not in ("ids", "words", "times")]
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         end = np.log10(own.end_count + 0.1)
-        for part in sliced(parts):
-            out: list[list] = [[] for _ in range(9)]
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text"))):
-                words = tokens(text)
-                at, states = own.states(words)
-                path = own.classes[np.concatenate([[0], states, [0]])]
-                known = at[at >= 0]
-                rare = Counter([words[i] for i in np.flatnonzero(at < 0).tolist()])
-                key = xxhash.xxh3_128_digest(b"%s|%s" % (str(doc_id).encode(), text))
-                row = (
-                    doc_id, key, len(words) + 1, len(known) + (own.end_count > 0), float(np.log10(own.counts[known] + 0.1).sum() + end),
-                    float(own.log_next[path[:-1], path[1:]].sum() + own.emit(known).sum()), len(rare), list(rare), list(rare.values()),
-                )
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            arrays = [pa.array(c, k) for c, k in zip(out, kinds)]
-            arrays[7] = arrays[7].cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_tokens", "head_known", "head_base", "head_score", "n_rare", "words", "times"])
-
-    schema = "doc_id long, key binary, n_tokens long, head_known long, head_base double, head_score double, n_rare long, words array<string>, times array<long>"
-    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
-    rare = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("t"))
+        base = np.log10(own.counts + 0.1)
+        emit = own.log_emit
+        for part in parts:
+            ids, sizes = _ids(part.column("ids"))
+            if not len(sizes):
+                continue
+            states = own.states(np.concatenate([[-2], ids]))
+            head = ids >= 0
+            values = np.zeros((3, len(ids)))
+            values[0, head] = 1
+            values[1, head] = base[ids[head]]
+            values[2] = own.log_next[states[:-1], states[1:]]
+            values[2, head] += emit[ids[head]]
+            known, head_base, head_score = np.add.reduceat(values, np.cumsum(sizes) - sizes, axis=1)
+            n_rare = np.fromiter((len(x) for x in part.column("times")), np.int64, len(sizes))
+            yield with_columns(
+                part, names, n_tokens=pa.array(sizes, pa.int64()), head_known=pa.array(known.astype(np.int64) + (own.end_count > 0)), head_base=pa.array(head_base + end),
+                head_score=pa.array(head_score), n_rare=pa.array(n_rare, pa.int64()),
+            )
+
+    rows = encoded.select(*names, "ids", "times").mapInArrow(run, f"{fields(encoded, names)}n_tokens long, head_known long, head_base double, head_score double, n_rare long")
+    rare = encoded.select("key", F.explode(F.arrays_zip("words", "times")).alias("x")).select("key", F.col("x.words").alias("word"), F.col("x.times").alias("t"))
     tail = counts.where((F.col("word") != END) & (_bin(F.col("n")) < model.head_from)).select("word", "n")
     unknown = model.discount * model.tail_words / model.tail_total if model.tail_total else 1.0
     n = F.coalesce("n", F.lit(0))
@@ -457,8 +523,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     # Equal rows (same id, same text) share a key, and each has sent its rare words: take one row's part.
     part = lambda c: F.coalesce(F.col(c) * F.col("n_rare") / F.col("rows"), F.lit(0.0))
     norm = float(np.log10(model.total + 0.1 * (model.distinct + 1)))
-    return rows.drop("words", "times").join(sums, "key", "left").select(
-        "doc_id",
+    return rows.join(sums, "key", "left").select(
+        *[c for c in names if c != "key"],
         "n_tokens",
         (F.col("head_known") + F.round(part("tail_known")).cast("long")).alias("n_known"),
         (F.col("head_base") + part("tail_base") - F.col("n_tokens") * norm).alias("base_score"),
@@ -467,12 +533,20 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` scored by a model of its training rows; further columns are not read.
+
+    Null text is empty; texts may be of any length; rows that repeat are scored, and learnt from, each for itself;
+    rows without an id are scored, never learnt from. No rows give no rows.
+    """
     held_out = is_held_out(F.col("doc_id"), 10, 0)
-    training = docs.where(F.col("doc_id").isNotNull() & ~held_out)
-    counts = stored(word_counts(training))
-    model = learn(training, counts)
-    scored = score(docs, counts, model)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    training = F.col("doc_id").isNotNull() & ~F.col("held_out")
+    counts = stored(word_counts(rows.where(training)))
+    model = vocabulary(counts)
+    encoded = stored(encode(rows, model))
+    learn(model, encoded.where(training))
+    scored = score(encoded, counts, model)
     return scored.select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score",
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

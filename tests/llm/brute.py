@@ -123,3 +123,32 @@ def auc(scores, labels):
     pos = [s for s, y in zip(scores, labels) if y]
     neg = [s for s, y in zip(scores, labels) if not y]
     return sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+
+
+def class_scores(rows, classes):
+    """The log10 probability of each (doc_id, text) by a class bigram model of all rows; words without a class are class 1, ends 0."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+    texts = [split(t) for _, t in rows]
+    times = Counter(w for t in texts for w in t)
+    paths = [[0, *(classes.get(w, 1) for w in t), 0] for t in texts]
+    pairs = Counter(p for path in paths for p in zip(path, path[1:]))
+    before, after = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        before[a] += n
+        after[b] += n
+    used = {0, 1, *classes.values()}
+    share = {c: (after[c] + 0.1) / (sum(after.values()) + 0.1 * len(used)) for c in used}
+    size, tail = Counter(), {w: n for w, n in times.items() if w not in classes}
+    for w, c in classes.items():
+        size[c] += times[w]
+    once, twice = (sum(n == k for n in tail.values()) for k in (1, 2))
+    total = sum(tail.values())
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+
+    def emitted(w):
+        return times[w] / size[classes[w]] if w in classes else (times[w] - discount) / total
+
+    return [
+        sum(math.log10((pairs[a, b] + 2 * share[b]) / (before[a] + 2)) for a, b in zip(path, path[1:])) + sum(math.log10(emitted(w)) for w in t)
+        for t, path in zip(texts, paths)
+    ]

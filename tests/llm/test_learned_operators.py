@@ -127,7 +127,9 @@ def test_model_beats_the_base_and_sums_to_one(spark, more):
     assert got[0] > got[1]
     training = docs.where(is_training(F.col("doc_id"), 10, 0))
     counts = stored(class_ngrams.word_counts(training))
-    model = class_ngrams.learn(training, counts, head_words=500, exchange_words=80, classes=9)
+    model = class_ngrams.vocabulary(counts, head_words=500)
+    encoded = stored(class_ngrams.encode(training.select("doc_id", "text"), model))
+    class_ngrams.learn(model, encoded, exchange_words=80, classes=9)
     assert np.allclose((10.0**model.log_next).sum(axis=1), 1)
     emitted = np.bincount(model.classes[model.state], 10.0**model.log_emit, model.log_next.shape[0])
     assert np.allclose(emitted[2:], 1)
@@ -161,19 +163,47 @@ def test_exchange_finds_the_classes():
 
 def test_words_beyond_the_commonest_get_classes_by_what_surrounds_them(spark, monkeypatch):
     """Two kinds of words in turn, of equal counts: all of a kind share classes, not only the few that are clustered first."""
-    monkeypatch.setattr(class_ngrams, "HELD_CELLS", 500)
+    monkeypatch.setattr(class_ngrams, "HELD_KEYS", 500)
     rng = random.Random(3)
     kinds = [[f"{kind}{i}" for i in range(150)] for kind in ("noun", "verb")]
     rows = [(i, " ".join(rng.choice(kinds[j % 2]) for j in range(60))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    counts = stored(class_ngrams.word_counts(docs))
-    model = class_ngrams.learn(docs, counts, exchange_words=20, classes=2)
+    model = class_ngrams.vocabulary(stored(class_ngrams.word_counts(docs)))
+    class_ngrams.learn(model, stored(class_ngrams.encode(docs, model)), exchange_words=20, classes=2)
     assert len(model.index) == 300 and model.n_states == 4
-    of = [set(model.states([w.encode() for w in kind])[1].tolist()) for kind in kinds]
+    of = [set(model.states(model.index.find([w.encode() for w in kind])).tolist()) for kind in kinds]
     assert sorted(map(len, of)) == [1, 1] and not of[0] & of[1] and not {0, 1} & (of[0] | of[1])
     assert np.allclose(np.bincount(model.state, 10.0**model.log_emit, 4)[2:], 1)
 
 
+def test_every_round_is_likelier(spark, more):
+    docs = more[0].select("doc_id", "text").limit(300)
+    counts = stored(class_ngrams.word_counts(docs))
+    model = class_ngrams.vocabulary(counts)
+    encoded = stored(class_ngrams.encode(docs, model))
+    found = []
+    for rounds in (1, 2, 3, 4):
+        class_ngrams.learn(model, encoded, exchange_words=100, classes=8, rounds=rounds)
+        found.append(class_ngrams.likelihood(class_ngrams.state_bigrams(encoded, model)))
+    assert found == sorted(found) and found[1] > found[0]
+
+
+def test_scores_equal_brute_force(spark, documents, odd_rows):
+    rows = [*((r["doc_id"] + 100, r["text"]) for r in documents.collect()), *(r[:2] for r in odd_rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = stored(class_ngrams.word_counts(docs))
+    model = class_ngrams.vocabulary(counts)
+    encoded = stored(class_ngrams.encode(docs, model))
+    class_ngrams.learn(model, encoded, exchange_words=50, classes=6)
+    known = [r["word"] for r in counts.where("n >= 4").collect() if r["word"] != class_ngrams.END]
+    classes = dict(zip(known, model.states(model.index.find([w.encode() for w in known])).tolist()))
+    assert len(known) == len(model.index) and not {0, 1} & set(classes.values())
+    got = [r["score"] for r in class_ngrams.score(encoded, counts, model).orderBy("doc_id", "n_tokens", "score").collect()]
+    want = brute.class_scores(rows, classes)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, len((rows[i][1] or "").split()), want[i]))
+    assert np.allclose(got, [want[i] for i in order], rtol=1e-9, atol=1e-6)
+
+
 def test_nothing_to_score(spark, empty):
     assert class_ngrams.query(empty).count() == 0
     untrained = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
