@@ -10,6 +10,12 @@ negatives. The sum
 is the non-negative unbiased risk; where the second term falls below zero, only its gradient is taken,
 reversed, so that the model cannot drive it down by memorising. f is a small network over measures of
 the text alone, trained in numpy on bounded samples; scoring reads every whole text.
+
+The prior is estimated from the same two samples, without any bad row: a network is fitted to tell positives
+from unlabelled rows, each row is scored by one that has not seen it, and of all scores c the share of
+unlabelled rows at or above c is divided by that of positives. Where hardly any bad row scores that high, the
+quotient is the share of good ones; the c with the least upper confidence bound of the quotient is taken.
+Scores are shifted so that this share of the unlabelled sample reaches ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -21,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, Words, is_held_out, is_training, labelled_sample, sigmoid, sliced, spread, utf8, with_columns
+from .common import Adam, Words, fields, is_held_out, is_training, labelled_sample, sigmoid, sliced, spread, utf8, with_columns
 
 #: Bounds of the training samples, in rows.
 POSITIVES = 4000
 UNLABELLED = 8000
+#: Parts of the samples of which each is scored by a network of the others, to estimate the prior.
+FOLDS = 5
 HIDDEN = 24
 THRESHOLD = 0.7
 
@@ -81,18 +89,16 @@ def features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _collected(docs: DataFrame, extra: str = "") -> tuple[np.ndarray, list]:
-    """Features of a bounded frame (text and perhaps one more column), made on the executors."""
-    names = [extra] if extra else []
+def _collected(rows: DataFrame, limit: int) -> np.ndarray:
+    """Features of the ``limit`` rows (text, u) with the least u, made on the executors before anything moves."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
-            rows = features(utf8(part.column("text")))
-            yield with_columns(part, names, f=pa.array([r.tobytes() for r in rows], pa.binary()))
+            yield with_columns(part, ["u"], f=pa.array([r.tobytes() for r in features(utf8(part.column("text")))], pa.binary()))
 
-    got = docs.select("text", *names).mapInArrow(run, ", ".join([f"{n} int" for n in names] + ["f binary"])).toArrow()
-    rows = [np.frombuffer(x, dtype=np.float32) for x in got.column("f").to_pylist()]
-    return np.array(rows, dtype=np.float64).reshape(len(rows), N_FEATURES), got.column(extra).to_pylist() if extra else []
+    got = rows.select("text", "u").mapInArrow(run, "u double, f binary").orderBy("u", "f").limit(limit).toArrow()
+    found = [np.frombuffer(x, dtype=np.float32) for x in got.column("f").to_pylist()]
+    return np.array(found, dtype=np.float64).reshape(len(found), N_FEATURES)
 
 
 class Model:
@@ -112,12 +118,13 @@ class Model:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(self._standard(x) @ self.w1 + self.b1) @ self.w2 + self.b2[0]
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, batch: int = 384, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11) -> Model:
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 1500, batch: int = 384, rate: float = 3e-3, decay: float = 1e-3, seed: int = 11) -> Model:
+        """Minimise the risk of the given prior; without one, tell positives from unlabelled rows, as many of each."""
         rng = np.random.default_rng(seed)
         both = np.concatenate([positive, unlabelled])
         self.centre, self.scale = both.mean(axis=0), both.std(axis=0) + 1e-3
         positive, unlabelled = self._standard(positive), self._standard(unlabelled)
-        self.b2[:] = np.log(prior / (1 - prior))
+        self.b2[:] = np.log(prior / (1 - prior)) if prior else 0
         adam = Adam([self.w1, self.b1, self.w2, self.b2], rate)
         for _ in range(steps):
             p = positive[rng.integers(0, len(positive), batch)]
@@ -127,43 +134,67 @@ class Model:
             f = hidden @ self.w2 + self.b2[0]
             s = sigmoid(f)
             # Logistic loss: loss(f, +1) = log(1 + e^-f), with slope s - 1; loss(f, -1) has slope s.
-            as_negative = np.logaddexp(0, f)
-            rest = as_negative[batch:].mean() - prior * as_negative[:batch].mean()
-            slope = np.zeros(2 * batch)
-            negative = np.concatenate([-prior * s[:batch], s[batch:]]) / batch
-            if rest >= 0:
-                slope[:batch] = prior * (s[:batch] - 1) / batch
-                slope += negative
-            else:
-                slope -= negative
+            slope = np.concatenate([s[:batch] - 1, s[batch:]]) / (2 * batch)
+            if prior:
+                as_negative = np.logaddexp(0, f)
+                rest = as_negative[batch:].mean() - prior * as_negative[:batch].mean()
+                negative = np.concatenate([-prior * s[:batch], s[batch:]]) / batch
+                if rest >= 0:
+                    slope = negative
+                    slope[:batch] += prior * (s[:batch] - 1) / batch
+                else:
+                    slope = -negative
             down = np.outer(slope, self.w2) * (1 - hidden**2)
             adam.step([x.T @ down + decay * self.w1, down.sum(axis=0), hidden.T @ slope + decay * self.w2, np.array([slope.sum()])])
         return self
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = FOLDS, seed: int = 5) -> float:
+    """The share of rows like ``positive`` among ``unlabelled``, from 0.05 to 0.95."""
+    rng = np.random.default_rng(seed)
+    of = [rng.permutation(len(x)) % folds for x in (positive, unlabelled)]
+    if min(len(positive), len(unlabelled)) < folds:
+        return 0.5
+    own, web = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in range(folds):
+        model = Model(positive.shape[1], HIDDEN).fit(positive[of[0] != k], unlabelled[of[1] != k], None, steps=300, decay=1e-2)
+        own[of[0] == k], web[of[1] == k] = model.logit(positive[of[0] == k]), model.logit(unlabelled[of[1] == k])
+    c = np.sort(own)[::-1]
+    of_own = np.arange(1, len(c) + 1) / len(c)
+    of_web = 1 - np.searchsorted(np.sort(web), c, side="left") / len(web)
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(own)) + 1 / np.sqrt(len(web)))
+    best = int(np.argmin((of_web + slack) / of_own))
+    return float(np.clip(of_web[best] / of_own[best], 0.05, 0.95))
+
+
 def learn(docs: DataFrame, labels: DataFrame, training: Column, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Fit on at most ``positives`` trusted rows and ``unlabelled`` others of the training fold.
 
-    The prior is the share of good rows among the training fold's labels, unless given; the labels of
-    bad rows are used for nothing else. None if there are no positives or nothing unlabelled.
+    Labels of bad rows are not read. The prior is estimated, unless given. None if there are no positives or
+    nothing unlabelled.
     """
-    if prior is None:
-        good, n = labels.where(training).agg(F.sum((F.col("quality") == 1).cast("int")), F.count("quality")).first()
-        prior = float(np.clip(((good or 0) + 1) / (n + 2), 0.05, 0.95))
     trusted = labels.where(F.col("quality") == 1)
-    p, _ = _collected(labelled_sample(docs, trusted, "quality", training, positives))
+    p = _collected(labelled_sample(docs, trusted, "quality", training, positives), positives)
     web = docs.where(training)
     n = web.count()
-    web = web.select("text", spread(F.col("doc_id"), 2).alias("u")).where(F.col("u") < 1.2 * unlabelled / max(1, n)).orderBy("u", "text").limit(unlabelled)
-    u, _ = _collected(web)
-    return Model(N_FEATURES, HIDDEN).fit(p, u, prior) if len(p) and len(u) else None
+    web = web.select("text", spread(F.col("doc_id"), 2).alias("u")).where(F.col("u") < 1.2 * unlabelled / max(1, n))
+    u = _collected(web, unlabelled)
+    if not len(p) or not len(u):
+        return None
+    prior = prior or estimate_prior(p, u)
+    model = Model(N_FEATURES, HIDDEN).fit(p, u, prior)
+    model.b2 += np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(model.logit(u), 1 - prior)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` followed by ``score`` (0 to 1, higher: better text). Null text is empty; without a model it is 0.5."""
+    """``docs`` followed by ``score`` (0 to 1, higher: better text); without a model it is 0.5.
+
+    Null text is empty, and empty text is scored. Equal texts have equal scores; repeats are scored each for
+    itself; texts may be of any length; no rows give no rows. A column named score is replaced, others pass through.
+    """
     docs = docs.drop("score")
     names = docs.columns
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +204,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             values = sigmoid(own.logit(features(texts))) if own else np.full(len(texts), 0.5)
             yield with_columns(part, names, score=pa.array(values, pa.float64()))
 
-    return docs.mapInArrow(run, f"{fields}score double")
+    return docs.mapInArrow(run, f"{fields(docs)}score double")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,15 +2,13 @@
 
 A word's vector is the sum of the rows of one table that its spelling and its beginnings hash to, so
 that words built on one stem share a part. Filters of several widths slide over the vectors, each
-filter's greatest response in the text is kept (max pooling, the only non-linear step), and a linear
-layer gives the log-odds.
-Everything is trained in numpy on a bounded sample of labelled rows; scoring reads every whole text.
-
-The table's first column starts from how much more often toxic training texts hold a spelling than
-others do, shrunk for rare ones; all columns are then trained along with the filters.
+filter's greatest response in the text is kept where it is positive (max pooling, rectified), and a linear
+layer gives the log-odds. Everything is trained in numpy on a bounded sample of labelled rows; scoring reads
+every whole text.
 
 Thresholds are calibrated by language on rows that took no part in fitting. A text's language is
-guessed from its words alone, and the score is shifted so that its language's threshold is ``CUT``.
+guessed from its words alone, and the score is shifted so that its language's threshold is ``CUT``. What is
+known of languages is kept for the words of the sample only, whose size bounds it, however many languages there are.
 """
 
 from __future__ import annotations
@@ -22,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, Words, is_held_out, is_training, labelled_sample, sigmoid, sliced, utf8, with_columns
+from .common import Adam, Words, fields, is_held_out, is_training, labelled_sample, sigmoid, sliced, utf8, with_columns
 
-#: Bound of the labelled sample, in rows, and of the vocabulary tables, in rows.
+#: Bounds of the labelled sample, in rows and in bytes of text: no text is cut, but fewer rows are drawn.
 SAMPLE = 6000
+SAMPLE_BYTES = 24 << 20
+#: Rows of the embedding table.
 BUCKETS = 1 << 17
 DIM = 8
 WIDTHS = (1, 2, 3)
@@ -43,29 +43,31 @@ def rows_of(words: Words) -> np.ndarray:
 
 
 class Batch:
-    """Words of several texts with blank rows between them, so that no filter spans two texts."""
+    """Words of several texts with blank rows behind each, so that no filter spans two texts.
+
+    A text's filters begin at its words or at the first blank row behind them, where they see blanks alone.
+    """
 
     def __init__(self, rows: np.ndarray, per_text: np.ndarray):
         gap = max(WIDTHS)
-        self.sizes = per_text + gap
-        self.first = np.cumsum(self.sizes) - self.sizes
+        sizes = per_text + gap
+        self.first = np.cumsum(sizes) - sizes
+        self.places = per_text + 1
+        self.bounds = np.stack([self.first, self.first + self.places], axis=1).ravel()
         self.rows = rows
         self.place = np.arange(len(rows)) + np.repeat(gap * np.arange(len(per_text)), per_text)
-        self.total = int(self.sizes.sum()) + gap
+        self.total = int(sizes.sum()) + gap
 
 
 class Network:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.table = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
-        self.filters = [rng.normal(0, 0.15, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-        for f in self.filters:
-            f[0, 0, :] = 0.5
+        self.table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+        self.filters = [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS]
-        self.out = np.full(len(WIDTHS) * FILTERS, 0.08, dtype=np.float32)
-        self.out_bias = np.zeros(1, dtype=np.float32)
-        self.languages: list[str] = []
-        self.language_table = np.zeros((BUCKETS, 0), dtype=np.float32)
+        self.out = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
+        self.out_bias = np.full(1, -2.0, dtype=np.float32)
+        self.languages = Languages([], [])
         self.thresholds: dict[str, float] = {}
         self.threshold = CUT
 
@@ -85,21 +87,19 @@ class Network:
             for j in range(1, w):
                 z += v[j : len(v) - w + 1 + j] @ f[j]
             responses.append(z)
-        pools = [np.maximum.reduceat(z[: batch.total - max(WIDTHS)], batch.first, axis=0) + b for z, b in zip(responses, self.bias)]
-        return v, np.concatenate(pools, axis=1), responses
+        pools = [np.maximum.reduceat(z, batch.bounds, axis=0)[::2] + b for z, b in zip(responses, self.bias)]
+        return v, np.maximum(0, np.concatenate(pools, axis=1)), responses
 
     def logit(self, batch: Batch) -> np.ndarray:
         _, pooled, _ = self.pooled(batch)
         return pooled @ self.out + self.out_bias[0]
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, langs: list[str | None], epochs: int = 6, size: int = 64, seed: int = 5) -> Network:
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, langs: list[str | None], epochs: int = 8, size: int = 64, seed: int = 5) -> Network:
+        """``rows``: of each text, the table rows of its words."""
         rng = np.random.default_rng(seed)
-        words = [Words([t]) for t in texts]
-        rows = [rows_of(w) for w in words]
-        fold = rng.random(len(texts)) < 0.25  # calibration
+        fold = rng.random(len(rows)) < 0.25  # calibration
         train = np.flatnonzero(~fold)
-        self._begin(rows, labels, train)
-        self._learn_languages(rows, langs)
+        self.languages = Languages(rows, langs)
         weight = np.where(labels == 1, max(1.0, 0.25 * (labels == 0).sum() / max(1, labels.sum())), 1.0)
         dense = [*self.filters, *self.bias, self.out, self.out_bias]
         adam, state = Adam(dense, 0.003), np.full((BUCKETS, 1), 1e-8, dtype=np.float32)
@@ -109,49 +109,33 @@ class Network:
         self._calibrate(rows, labels, langs, np.flatnonzero(fold))
         return self
 
-    def _begin(self, rows: list[np.ndarray], labels: np.ndarray, train: np.ndarray) -> None:
-        seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-        for i in train:
-            seen[int(labels[i])][np.unique(rows[i])] += 1
-        n = [max(1, int((labels[train] == k).sum())) for k in (0, 1)]
-        odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-        times = seen[0] + seen[1]
-        trust = np.where(seen[1] >= 3, seen[1] / (seen[1] + 6.0), 0.0)
-        self.table[:, 0] = np.where(times > 0, np.maximum(0, odds - 0.7) * trust, 0.0) / len(PIECES)
-        self.out_bias[:] = -2.0
-
-    def _learn_languages(self, rows: list[np.ndarray], langs: list[str | None]) -> None:
-        self.languages = sorted({x for x in langs if x})
-        counts = np.full((BUCKETS, len(self.languages)), 0.5)
-        for own, lang in zip(rows, langs):
-            if lang:
-                np.add.at(counts[:, self.languages.index(lang)], own[:, -1], 1.0)
-        self.language_table = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32) if self.languages else counts.astype(np.float32)
-
-    def _step(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, adam: Adam, state: np.ndarray) -> None:
-        batch = Batch(np.concatenate(rows), np.array([len(r) for r in rows]))
+    def gradients(self, batch: Batch, y: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Slopes of the mean weighted logistic loss: by filters, their biases, the output layer, and by the words' vectors."""
         v, pooled, responses = self.pooled(batch)
         slope = (weight * (sigmoid(pooled @ self.out + self.out_bias[0]) - y) / len(y)).astype(np.float32)
-        down = np.outer(slope, self.out)
-        gradients, d_v = [], np.zeros_like(v)
+        down = np.outer(slope, self.out) * (pooled > 0)
+        filters, d_v = [], np.zeros_like(v)
         for k, (w, f, z) in enumerate(zip(WIDTHS, self.filters, responses)):
             part = down[:, k * FILTERS : (k + 1) * FILTERS]
-            best = np.stack([a + np.argmax(z[a : a + n], axis=0) for a, n in zip(batch.first, batch.sizes)])
+            best = np.stack([a + np.argmax(z[a : a + n], axis=0) for a, n in zip(batch.first, batch.places)])
             g = np.zeros_like(f)
             for j in range(w):
                 at = best + j
                 g[j] = np.einsum("nfd,nf->df", v[at], part)
                 np.add.at(d_v, at.ravel(), (part[:, :, None] * f[j].T[None]).reshape(-1, DIM))
-            gradients.append(g)
-        gradients += [down[:, k * FILTERS : (k + 1) * FILTERS].sum(axis=0) for k in range(len(WIDTHS))]
-        gradients += [pooled.T @ slope, np.array([slope.sum()], dtype=np.float32)]
-        adam.step(gradients)
-        d_own = d_v[batch.place]
+            filters.append(g)
+        biases = [down[:, k * FILTERS : (k + 1) * FILTERS].sum(axis=0) for k in range(len(WIDTHS))]
+        return [*filters, *biases, pooled.T @ slope, np.array([slope.sum()], dtype=np.float32)], d_v[batch.place]
+
+    def _step(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, adam: Adam, state: np.ndarray) -> None:
+        batch = Batch(np.concatenate(rows), np.array([len(r) for r in rows]))
+        dense, d_own = self.gradients(batch, y, weight)
+        adam.step(dense)
         moved = np.flatnonzero(np.abs(d_own).sum(axis=1))
         at = batch.rows[moved].ravel()
         step = np.repeat(d_own[moved], batch.rows.shape[1], axis=0)
         np.add.at(state[:, 0], at, (step**2).mean(axis=1))
-        np.add.at(self.table, at, -0.02 * step / np.sqrt(state[at] + 1e-6))
+        np.add.at(self.table, at, -0.05 * step / np.sqrt(state[at] + 1e-6))
 
     def _calibrate(self, rows: list[np.ndarray], labels: np.ndarray, langs: list[str | None], fold: np.ndarray) -> None:
         """The threshold with the best F1 for each language with ten toxic rows or more, else that of all rows."""
@@ -160,7 +144,7 @@ class Network:
         scores = np.array([sigmoid(self.logit(Batch(rows[i], np.array([len(rows[i])]))))[0] for i in fold])
         y = labels[fold]
         self.threshold = _best_threshold(scores, y)
-        for lang in self.languages:
+        for lang in self.languages.names:
             own = np.array([langs[i] == lang for i in fold])
             if own.any() and y[own].sum() >= 10:
                 self.thresholds[lang] = _best_threshold(scores[own], y[own])
@@ -170,17 +154,41 @@ class Network:
         words = Words(texts)
         rows = rows_of(words)
         logits = self.logit(Batch(rows, words.per_text))
-        cuts = np.full(len(texts), self.threshold)
-        guessed: list[str | None] = [None] * len(texts)
-        if self.languages and len(rows):
-            total = np.stack([np.bincount(words.text_of, column, len(texts)) for column in self.language_table[rows[:, -1]].T], axis=1)
-            for i in np.flatnonzero(words.per_text):
-                guessed[i] = self.languages[int(np.argmax(total[i]))]
-                cuts[i] = self.thresholds.get(guessed[i], self.threshold)
+        guessed = self.languages.guess(rows, words.text_of, words.per_text)
+        cuts = np.array([self.thresholds.get(g, self.threshold) for g in guessed])
         odds = lambda p: np.log(p / (1 - p))
         return sigmoid(logits - odds(cuts) + odds(CUT)), guessed
 
 
+class Languages:
+    """Word shares of languages, kept for the (word, language) pairs of the sample only, in order of the words' buckets."""
+
+    def __init__(self, rows: list[np.ndarray], langs: list[str | None]):
+        self.names = sorted({x for x, own in zip(langs, rows) if x and len(own)})
+        at = {x: i for i, x in enumerate(self.names)}
+        n = len(self.names)
+        known = [own[:, -1].astype(np.int64) * n + at[x] for x, own in zip(langs, rows) if x and len(own)]
+        keys, times = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *known]), return_counts=True)
+        bucket, lang = keys // max(1, n), keys % max(1, n)
+        total = np.bincount(lang, times, n) + 0.5 * BUCKETS
+        # Each word costs a language log(0.5 / total), less what the sample says for it.
+        self.unseen = np.log(0.5 / total).astype(np.float32)
+        self.lang, self.gain = lang.astype(np.int32), np.log((times + 0.5) / 0.5).astype(np.float32)
+        self.start = np.searchsorted(bucket, np.arange(BUCKETS + 1)).astype(np.int32)
+
+    def guess(self, rows: np.ndarray, text_of: np.ndarray, per_text: np.ndarray) -> list[str | None]:
+        """The likeliest language of each text's words, the first by name among equals; None without words or languages."""
+        n = len(self.names)
+        if not n or not len(rows):
+            return [None] * len(per_text)
+        first, last = self.start[rows[:, -1]], self.start[rows[:, -1] + 1]
+        times = last - first
+        place = np.arange(times.sum()) + np.repeat(first - (np.cumsum(times) - times), times)
+        total = np.bincount(np.repeat(text_of, times) * n + self.lang[place], self.gain[place], len(per_text) * n).reshape(-1, n)
+        total = total + per_text[:, None] * self.unseen
+        return [self.names[k] if w else None for k, w in zip(np.argmax(total, axis=1).tolist(), per_text.tolist())]
+
+
 def _best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     """Midway between the two scores where F1 is best, kept inside (0, 1)."""
     if not y.sum():
@@ -193,20 +201,28 @@ def _best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((scores[by][k] + low) / 2, 0.02, 0.98))
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE) -> Network | None:
-    """Fit on at most ``sample`` labelled training rows, collected; None without any."""
-    rows = labelled_sample(docs, labels, "toxic", training, sample).select("text", "lang", "label").toArrow()
-    if not rows.num_rows:
+def learn(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """Fit on labelled training rows, collected: at most ``sample`` with ``sample_bytes`` of text, in order of a
+    hash of the id (or the first alone, if it is longer). None without any."""
+    rows = labelled_sample(docs, labels, "toxic", training, sample, ("lang",)).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)))
+    sizes = rows.select("u", "n").orderBy("u", "n").limit(sample).toArrow()
+    if not sizes.num_rows:
         return None
-    texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
+    fit = max(1, int((np.cumsum(sizes.column("n").to_numpy()) <= sample_bytes).sum()))
+    last = float(sizes.column("u")[fit - 1].as_py())
+    rows = rows.where(F.col("u") <= last).orderBy("u", "n", "text").limit(fit).select("text", "lang", "label").toArrow()
+    texts = [rows_of(Words([t or b""])) for t in rows.column("text").cast(pa.binary()).to_pylist()]
     return Network().fit(texts, np.array(rows.column("label").to_pylist()), rows.column("lang").to_pylist())
 
 
 def score(docs: DataFrame, network: Network | None) -> DataFrame:
-    """``docs`` followed by ``score`` and ``lang_guess``. Null text is empty and has no words; without a network all score 0."""
+    """``docs`` followed by ``score`` and ``lang_guess``; without a network all score 0.
+
+    Null text is empty and has no words. Equal texts have equal scores; repeats are scored each for itself; texts
+    may be of any length; no rows give no rows. Columns of those names are replaced, others pass through.
+    """
     docs = docs.drop("score", "lang_guess")
     names = docs.columns
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +232,7 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
             scores, langs = own(texts) if own else (np.zeros(len(texts)), [None] * len(texts))
             yield with_columns(part, names, score=pa.array(scores.astype(np.float64), pa.float64()), lang_guess=pa.array(langs, pa.string()))
 
-    return docs.mapInArrow(run, f"{fields}score double, lang_guess string")
+    return docs.mapInArrow(run, f"{fields(docs)}score double, lang_guess string")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

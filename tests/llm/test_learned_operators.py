@@ -270,11 +270,12 @@ def test_more_languages_than_a_block_holds(spark):
 # ---------------------------------------------------------------- quality, toxicity
 
 
-@pytest.mark.parametrize("module, target, least", [(quality, "quality", 0.95), (toxicity, "toxic", 0.93)])
+@pytest.mark.parametrize("module, target, least", [(quality, "quality", 0.98), (toxicity, "toxic", 0.96)])
 def test_held_out_rows_are_told_apart(spark, module, target, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = module.query(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert brute.auc([r["score"] for r in got], [r[target] for r in got]) > least
+    assert sum(r["predicted"] == r[target] for r in got) / len(got) > 0.96
 
 
 @pytest.mark.parametrize("module, target", [(quality, "quality"), (toxicity, "toxic")])
@@ -296,6 +297,119 @@ def test_one_risk_term_is_never_negative():
     assert np.isfinite(quality.Model(4, 8).fit(good[:5], web, 0.95, steps=400).logit(web)).all()
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_and_fit_without_bad_rows_equal_a_fit_with_them(share):
+    """The estimated prior is near the true share, and the classes those of plain logistic regression on true labels."""
+    rng = np.random.default_rng(1)
+    n = 3000
+    is_good = rng.random(n) < share
+    web = np.where(is_good[:, None], rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (n, 4)))
+    trusted = rng.normal(1.5, 1, (1000, 4))
+    prior = quality.estimate_prior(trusted, web)
+    assert abs(prior - share) < 0.06
+    model = quality.Model(4, 8).fit(trusted, web, prior)
+    w, c = np.zeros(4), 0.0
+    for _ in range(500):
+        slope = 1 / (1 + np.exp(-(web @ w + c))) - is_good
+        w, c = w - 0.5 * web.T @ slope / n, c - 0.5 * slope.mean()
+    assert np.mean((model.logit(web) > 0) == (web @ w + c > 0)) > 0.97
+
+
+def test_quality_reads_no_label_of_bad_rows(more):
+    docs, labels = more
+    got = {r["doc_id"]: r for r in quality.query(docs.drop("lang"), labels).collect()}
+    other = {r["doc_id"]: r for r in quality.query(docs, labels.where("quality = 1")).collect()}
+    assert got == other
+    truth = [(got[r["doc_id"]]["predicted"], r["quality"]) for r in labels.where("quality is not null").collect() if got[r["doc_id"]]["held_out"]]
+    assert sum(p == q for p, q in truth) / len(truth) >= 0.94
+
+
+def hashed(text):
+    return toxicity.rows_of(toxicity.Words([text.encode()]))
+
+
+def test_word_order_is_told_by_wide_filters_alone(monkeypatch):
+    def texts(seed, n):
+        rng, out = random.Random(seed), []
+        for i in range(n):
+            words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(6, 20))]
+            at = rng.randrange(len(words))
+            words[at:at] = ["you", "worthless"] if i % 2 else ["worthless", "you"]
+            out.append(" ".join(words))
+        return out, np.arange(n) % 2
+
+    (seen, y), (unseen, truth) = texts(0, 2500), texts(1, 400)
+    found = {}
+    for widths in ((1, 2, 3), (1,)):
+        monkeypatch.setattr(toxicity, "WIDTHS", widths)
+        network = toxicity.Network().fit([hashed(t) for t in seen], y, [None] * len(seen))
+        found[widths] = brute.auc(network([t.encode() for t in unseen])[0], truth)
+    assert found[1, 2, 3] > 0.95 and found[1,] < 0.6
+
+
+def test_scores_and_slopes_of_the_network_are_those_of_a_loop_over_words():
+    network = toxicity.Network(1)
+    network.table = network.table.astype(np.float64) * 8
+    network.bias, network.out, network.out_bias = [b.astype(np.float64) + 0.1 for b in network.bias], network.out.astype(np.float64), network.out_bias.astype(np.float64)
+    network.filters = [f.astype(np.float64) for f in network.filters]
+    texts = ["one two three four", "", "five", "six seven one one two nine"]
+    rows = [hashed(t) for t in texts]
+    batch = toxicity.Batch(np.concatenate(rows), np.array([len(r) for r in rows]))
+
+    def loop():
+        out = []
+        for own in rows:
+            v = np.concatenate([network.table[own].sum(axis=1), np.zeros((6, 8))])  # blanks behind the last word
+            total = network.out_bias[0]
+            for k, w in enumerate(toxicity.WIDTHS):
+                for j in range(toxicity.FILTERS):
+                    best = max(sum(v[p + i] @ network.filters[k][i][:, j] for i in range(w)) for p in range(len(own) + 3))
+                    total += max(0, best + network.bias[k][j]) * network.out[k * toxicity.FILTERS + j]
+            out.append(total)
+        return np.array(out)
+
+    assert np.allclose(network.logit(batch), loop(), atol=1e-4)
+    y, weight = np.array([1, 0, 0, 1]), np.array([2.0, 1.0, 1.0, 2.0])
+    loss = lambda: float((weight * (np.logaddexp(0, loop()) - y * loop())).mean())
+
+    def numeric(flat, i):
+        before = flat[i]
+        flat[i] = before + 1e-5
+        up = loss()
+        flat[i] = before - 1e-5
+        down = loss()
+        flat[i] = before
+        return (up - down) / 2e-5
+
+    dense, d_own = network.gradients(batch, y, weight)
+    for array, slope in zip([*network.filters, *network.bias, network.out, network.out_bias], dense):
+        for i in range(0, array.size, 7):
+            assert math.isclose(numeric(array.reshape(-1), i), slope.reshape(-1)[i], rel_tol=1e-3, abs_tol=1e-4)
+    by_row = np.zeros_like(network.table)  # of the table, from those of the words' vectors
+    np.add.at(by_row, batch.rows.ravel(), np.repeat(d_own, batch.rows.shape[1], axis=0))
+    for at in batch.rows[:, -1].tolist():
+        assert math.isclose(numeric(network.table[at], 2), by_row[at, 2], rel_tol=1e-3, abs_tol=1e-4)
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(toxicity.Network, "fit", lambda self, rows, labels, langs: drawn.append((len(rows), list(langs))) or self)
+    docs = spark.createDataFrame([(i, "wort " * 100, "de") for i in range(50)] + [(99, "long " * 2000, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(50), 99]], "doc_id long, toxic int")
+    for limit, rows in ((10**7, 51), (5000, None), (10, 1)):
+        toxicity.learn(docs, labels, F.lit(True), sample_bytes=limit)
+        assert drawn[-1][0] == rows or rows is None and 0 < drawn[-1][0] <= 10
+
+
+def test_languages_are_guessed_by_words_of_the_sample():
+    texts = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("", "fr"), ("le chien", None)]
+    known = toxicity.Languages([hashed(t) for t, _ in texts], [x for _, x in texts])
+    words = toxicity.Words([b"the cat", b"die katze", b"", b"zzz"])
+    assert known.names == ["de", "en"] and len(known.gain) == 5 + 4
+    got = known.guess(toxicity.rows_of(words), words.text_of, words.per_text)
+    assert got[:3] == ["en", "de", None] and got[3] in ("de", "en")
+
+
 # ---------------------------------------------------------------- pipeline
 
 
