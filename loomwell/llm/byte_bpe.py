@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from .common import sliced, utf8, with_columns
+from .common import fields, sliced, utf8, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that a task remembers; the memory is cleared when full, and at the end of the task.
@@ -129,10 +129,6 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _fields(df: DataFrame, names: list[str]) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in names)
-
-
 def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", offsets: bool = False) -> DataFrame:
     """``df`` followed by ``ids`` and, if asked for, ``starts`` and ``stops`` in characters.
 
@@ -154,7 +150,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
         own.cache.clear()
 
     more = ", starts array<int>, stops array<int>" if offsets else ""
-    return df.mapInArrow(run, f"{_fields(df, names)}ids array<int>{more}")
+    return df.mapInArrow(run, f"{fields(df)}ids array<int>{more}")
 
 
 def _list(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -174,13 +170,15 @@ def decode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -
             rows = part.column("ids").to_pylist()
             yield with_columns(part, names, decoded=pa.array([own.decode(r or []) for r in rows], pa.binary()))
 
-    return df.mapInArrow(run, f"{_fields(df, names)}decoded binary")
+    return df.mapInArrow(run, f"{fields(df)}decoded binary")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256, in one pass.
 
-    The ids are those of ``encode`` and the bytes those of ``decode``, digested batch by batch.
+    The ids are those of ``encode`` and the bytes those of ``decode``, digested batch by batch. Null text is empty and
+    has no tokens. Texts may be of any length, and so may pieces of them; rows that repeat are encoded each for itself;
+    no rows give no rows; further columns, whatever their names, are not read.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +195,7 @@ def round_trip(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
             )
         own.cache.clear()  # the worker lives on
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(run, f"{fields(df, ['doc_id'])}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -9,25 +9,27 @@ The alphabet is the phrases' own words. Every other word is one separator symbol
 contains; stretches between separators that are shorter than the shortest phrase cannot hold an
 occurrence and are not indexed. Both reductions are exact.
 
-The phrases are broadcast in blocks of items, each of at most ``BLOCK_BYTES`` of text; a larger test
-set takes more passes over the documents, never a larger broadcast.
+The phrases are broadcast in blocks, each of at most ``BLOCK_WORDS`` words of items; longer items are parted,
+with their windows whole. A task holds one block at a time: each shard is searched for the phrases of one block
+after the other, so that a larger test set takes more time, never more memory nor more passes over the documents.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, sliced, utf8, with_columns
+from .common import WORD_TABLE, fields, sliced, utf8, with_columns
 from .fm_index import FMIndex
 
 WINDOW = 10
-BLOCK_BYTES = 4 << 20
+#: Words of a block of items.
+BLOCK_WORDS = 100_000
 #: Words of a shard's index; a document is never parted between shards.
 SHARD_WORDS = 1 << 20
 
@@ -40,21 +42,22 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct phrases of some items by length, over symbols 2, 3, ... (1 is the separator)."""
+    """The distinct phrases of some items (id, words) by length, over symbols 2, 3, ... (1 is the separator)."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.symbols: dict[bytes, int] = {}
         self.owners: list[str] = sorted({i for i, _ in items})
         rank = {i: k for k, i in enumerate(self.owners)}
         found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in words(text)]
+        for item, own_words in items:
+            ids = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in own_words]
             for a in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[a : a + window]), set()).add(rank[item])
         self.by_length = []
         for size in sorted({len(p) for p in found}):
             own = sorted(p for p in found if len(p) == size)
-            self.by_length.append((size, np.array(own, dtype=np.int64), [sorted(found[p]) for p in own]))
+            bounds = np.cumsum([0, *(len(found[p]) for p in own)])
+            self.by_length.append((size, np.array(own, dtype=np.int32), bounds, np.array([k for p in own for k in sorted(found[p])], dtype=np.int32)))
         self.shortest = self.by_length[0][0] if self.by_length else 0
 
     def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -86,7 +89,7 @@ class Phrases:
         sequence[first + lengths - 1] = 1
         index = FMIndex(sequence)
         starts, stops, items, of = [], [], [], []
-        for size, phrases, owners in self.by_length:
+        for size, phrases, bounds_of, owners in self.by_length:
             low, high = index.count(phrases)
             hit = np.flatnonzero(high > low)
             times = (high - low)[hit]
@@ -102,7 +105,7 @@ class Phrases:
             pairs = np.unique(text * len(phrases) + phrase)
             for t, p in zip((pairs // len(phrases)).tolist(), (pairs % len(phrases)).tolist()):
                 of.append(t)
-                items.append(owners[p])
+                items.append(owners[bounds_of[p] : bounds_of[p + 1]].tolist())
         if not starts:
             return out
         start, stop = np.concatenate(starts), np.concatenate(stops)
@@ -137,48 +140,62 @@ def _shards(parts: Iterator[pa.RecordBatch], words_limit: int) -> Iterator[pa.Re
         yield pa.concat_batches(held)
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
-    """The items in blocks of at most ``limit`` bytes of text (a longer item alone)."""
+def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[Phrases]:
+    """The items in blocks of at most ``limit`` words or one window; longer items are parted so that every window is in one part."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = int(-(-2 * total // limit)) if total > limit else 1
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    held: list[tuple[str, list[bytes]]] = []
+    size, most = 0, max(limit, window)
+    for item, text in items.toLocalIterator():
+        own = words(text.encode())
+        for a in range(0, max(1, len(own) - window + 1), most - window + 1):
+            part = own[a : a + most]
+            if held and size + len(part) > most:
+                yield Phrases(held, window)
+                held, size = [], 0
+            held.append((item, part))
+            size += len(part)
+    if held:
+        yield Phrases(held, window)
+
 
+def _loaded(blocks: list[Broadcast]) -> Iterator[Phrases]:
+    """Each block's phrases; of several blocks none stays in the worker's memory behind its turn."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` followed by ``n_words``, ``spans`` (merged, in words, stop excluded) and ``items`` (sorted).
 
     Null or empty text has no words and no spans. Rows that repeat, or share a doc_id, are searched each
-    for itself. An empty benchmark, or items without words, find nothing. Columns of those names are replaced.
+    for itself; texts may be of any length. Rows of the benchmark that share an item_id are one item with the windows
+    of each. An empty benchmark, or items without words, find nothing. Columns of those names are replaced.
     """
     context = docs.sparkSession.sparkContext
     docs = docs.drop("n_words", "spans", "items")
     names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def search(frame: DataFrame, block: DataFrame, earlier: bool) -> DataFrame:
-        phrases = context.broadcast(Phrases([(r[0], r[1].encode()) for r in block.toLocalIterator()], window))
-
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for shard in _shards(parts, shard_words):
-                found = phrases.value.search(utf8(shard.column("text")))
-                if earlier:
-                    before = zip(shard.column("spans").to_pylist(), shard.column("items").to_pylist())
-                    found = [(n, _merged([*((s["start"], s["stop"]) for s in a), *spans]), sorted({*b, *items})) for (n, spans, items), (a, b) in zip(found, before)]
-                yield with_columns(
-                    shard,
-                    names,
-                    n_words=pa.array([f[0] for f in found], pa.int64()),
-                    spans=pa.array([[{"start": a, "stop": b} for a, b in f[1]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    items=pa.array([f[2] for f in found], pa.list_(pa.string())),
-                )
-
-        return frame.mapInArrow(run, f"{fields}, n_words long, spans {SPANS}, items {ITEMS}")
-
-    out = docs
-    for i, block in enumerate(_blocks(benchmark, block_bytes)):
-        out = search(out, block, i > 0)
-    return out
+    blocks = [context.broadcast(block) for block in _blocks(benchmark, window, block_words)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(parts, shard_words):
+            texts = utf8(shard.column("text"))
+            found = None
+            for phrases in _loaded(blocks):
+                more = phrases.search(texts)
+                found = more if found is None else [(n, _merged([*a, *spans]) if a and spans else a or spans, sorted({*b, *items}) if b and items else b or items) for (n, a, b), (_, spans, items) in zip(found, more)]
+            if found is None:
+                found = [(len(words(t)), [], []) for t in texts]
+            yield with_columns(
+                shard,
+                names,
+                n_words=pa.array([f[0] for f in found], pa.int64()),
+                spans=pa.array([[{"start": a, "stop": b} for a, b in f[1]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                items=pa.array([f[2] for f in found], pa.list_(pa.string())),
+            )
+
+    return docs.mapInArrow(run, f"{fields(docs)}n_words long, spans {SPANS}, items {ITEMS}")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,13 +209,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def cut_spans(found: DataFrame) -> DataFrame:
-    """The texts of ``find_spans``' rows without their spans; ``spans``, ``items`` and ``n_words`` go.
+    """The rows of ``find_spans`` with their texts less their spans; ``spans``, ``items`` and ``n_words`` go.
 
-    From the first byte of a span's first word to the last of its last word everything is removed.
+    Texts without spans stay as they are, null ones too. From the first byte of a span's first word to the last of its last word everything is removed.
     """
     names = [c for c in found.columns if c not in ("n_words", "spans", "items")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in names)
-
     def cut(text: bytes, spans: list[dict]) -> bytes:
         flags = text.translate(WORD_TABLE)
         at, out, place, ends = 0, [], 0, []
@@ -217,7 +232,7 @@ def cut_spans(found: DataFrame) -> DataFrame:
             texts = [cut(t, s) if s else t for t, s in zip(raw, part.column("spans").to_pylist())]
             yield part.select(names).set_column(names.index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
-    return found.select(*[F.col(f"`{c}`") for c in names], "spans").mapInArrow(run, fields)
+    return found.select(*[F.col(f"`{c}`") for c in names], "spans").mapInArrow(run, fields(found, names).rstrip(", "))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

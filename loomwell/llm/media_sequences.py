@@ -1,11 +1,11 @@
 """Media columns: interleaved documents of text and media references, resolved by digest.
 
 ``parse`` turns a page's HTML into one ordered array of parts, text runs and media references, each
-with its position and, for media, a caption. A reference names its payload by the SHA-256 of the
-payload's bytes (``media:<hex>``). ``media_table`` holds every payload once, stored losslessly as the
-8-bit samples of an image: a binary PPM of ``WIDTH`` pixels a row whose header carries the length
-before padding. ``resolve`` joins references and media by digest; positions and captions stay with
-their reference, a reference whose payload is missing keeps its place with nulls.
+with its position and, for media, a caption. A reference names its payload by a digest (``media:<digest>``).
+``media_table`` holds every payload once, stored losslessly as the 8-bit samples of an image: a PNG of
+``WIDTH`` pixels a row, with the length before padding in a text chunk. ``resolve`` joins references and media
+by digest and puts what it found into the parts: their order, positions and captions stay, and a reference
+whose payload is missing keeps its place with null media.
 
 Payloads are joined or moved once for each distinct digest. What the join fans out to documents that
 share a payload is what has been computed from it, not its bytes.
@@ -14,8 +14,10 @@ share a payload is what has been computed from it, not its bytes.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, utf8, with_columns
+from .common import discard, fields, sliced, stored, utf8, with_columns
 
 WIDTH = 64
 ROW_BYTES = 3 * WIDTH
+#: Lines of a document between two references of its page.
+RUN_LINES = 16
 PARTS = "array<struct<pos:int,kind:string,text:string,digest:string,source:string,caption:string>>"
 _PART = pa.struct([("pos", pa.int32()), *((k, pa.string()) for k in ("kind", "text", "digest", "source", "caption"))])
 
@@ -111,17 +115,20 @@ def parse_page(html: str) -> list[dict]:
 
 
 def parse(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` without its HTML, followed by ``parts``. Null or empty HTML has no parts; other columns pass through."""
+    """``pages`` without its HTML, followed by ``parts``.
+
+    Null or empty HTML has no parts; pages may be of any length and repeat; no rows give no rows. A column named
+    parts is replaced, others pass through.
+    """
     pages = pages.drop("parts")
     names = [c for c in pages.columns if c != html]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, html):
             rows = [parse_page(x or "") for x in part.column(html).to_pylist()]
             yield with_columns(part, names, parts=pa.array(rows, pa.list_(_PART)))
 
-    return pages.mapInArrow(run, f"{fields}parts {PARTS}")
+    return pages.mapInArrow(run, f"{fields(pages, names)}parts {PARTS}")
 
 
 # ---------------------------------------------------------------- payloads to stored media
@@ -135,29 +142,57 @@ def payload_of(text: Column) -> Column:
     return F.concat(raw, F.encode(F.repeat(F.lit(" "), (whole - n).cast("int")), "UTF-8"))
 
 
-def ppm_of(payload: Column, n_bytes: Column) -> Column:
-    """A binary PPM whose samples are the payload's bytes; the comment keeps the length before padding."""
-    rows = (F.octet_length(payload) / ROW_BYTES).cast("long")
-    head = F.format_string(f"P6\n# bytes=%d\n{WIDTH} %d\n255\n", n_bytes.cast("long"), rows)
-    return F.concat(F.encode(head, "UTF-8"), payload)
+_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
-def media_table(docs: DataFrame) -> DataFrame:
-    """(digest, media) for every distinct text of ``docs``; null is the empty text."""
-    payload = payload_of(F.col("text"))
-    n = F.coalesce(F.octet_length(F.encode("text", "UTF-8")), F.lit(0))
-    # Texts that differ in trailing blanks only share a payload, but not a length: the key has both.
-    media = docs.select(payload.alias("payload"), n.alias("n")).select(F.concat_ws("-", F.sha2("payload", 256), "n").alias("digest"), ppm_of(F.col("payload"), F.col("n")).alias("media"))
-    return media.dropDuplicates(["digest"])
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_of(payload: bytes, n_bytes: int) -> bytes:
+    """A PNG of 8-bit RGB samples, which are the payload's bytes; a text chunk keeps the length before padding."""
+    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW_BYTES)
+    lines = np.zeros((len(rows), ROW_BYTES + 1), dtype=np.uint8)  # each row begins with its filter: none
+    lines[:, 1:] = rows
+    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
+    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\0%d" % n_bytes) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
-def read_ppm(media: bytes) -> tuple[int, np.ndarray]:
+def read_png(media: bytes) -> tuple[int, np.ndarray]:
     """The length before padding, and the samples as (rows, WIDTH, 3)."""
-    magic, comment, shape, depth, samples = media.split(b"\n", 4)
-    width, rows = map(int, shape.split())
-    if magic != b"P6" or depth != b"255" or len(samples) != 3 * width * rows:
+    at, chunks = len(_MAGIC), {}
+    while media.startswith(_MAGIC) and at < len(media):
+        (size,) = struct.unpack_from(">I", media, at)
+        kind, data = media[at + 4 : at + 8], media[at + 8 : at + 8 + size]
+        if struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(kind + data):
+            raise ValueError("a damaged image")
+        chunks[kind] = data
+        at += 12 + size
+    if chunks.get(b"IHDR", b"")[8:] != bytes([8, 2, 0, 0, 0]):
         raise ValueError("not one of the stored images")
-    return int(comment.split(b"=")[1]), np.frombuffer(samples, dtype=np.uint8).reshape(rows, width, 3)
+    width, rows = struct.unpack_from(">II", chunks[b"IHDR"])
+    lines = np.frombuffer(zlib.decompress(chunks[b"IDAT"]), dtype=np.uint8).reshape(rows, 3 * width + 1)
+    return int(chunks[b"tEXt"].split(b"\0")[1]), np.ascontiguousarray(lines[:, 1:]).reshape(rows, width, 3)
+
+
+def digest_of(text: Column) -> Column:
+    """The payload's SHA-256 and the length: texts that differ in trailing blanks only share a payload, not a length."""
+    return F.concat_ws("-", F.sha2(payload_of(text), 256), F.coalesce(F.octet_length(text), F.lit(0)))
+
+
+def media_table(docs: DataFrame) -> DataFrame:
+    """(digest, media) for every distinct text of ``docs``; null is the empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            media = []
+            for raw in utf8(part.column("text")):
+                rows = max(1, -(-len(raw) // ROW_BYTES))
+                media.append(png_of(raw.ljust(rows * ROW_BYTES, b" "), len(raw)))
+            yield with_columns(part, ["digest"], media=pa.array(media, pa.binary()))
+
+    keyed = docs.select("text", digest_of(F.col("text")).alias("digest"))
+    return keyed.mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])
 
 
 def feature_of(samples: np.ndarray) -> str:
@@ -181,7 +216,7 @@ def read_back(media: DataFrame) -> DataFrame:
         for part in sliced(batches, "media"):
             rows = []
             for stored_bytes in utf8(part.column("media")):
-                n, samples = read_ppm(stored_bytes)
+                n, samples = read_png(stored_bytes)
                 payload = samples.tobytes()
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored_bytes), hashlib.sha256(stored_bytes).hexdigest(), feature_of(samples)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -194,29 +229,55 @@ def read_back(media: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- digest join
 
 
-def references(sequences: DataFrame, key: str) -> DataFrame:
-    """One row for each media part: (key, pos, digest, caption)."""
-    part = F.explode(F.filter("parts", lambda p: p["kind"] == "media")).alias("part")
-    return sequences.select(key, part).select(key, "part.pos", "part.digest", "part.caption")
+def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
+    """``sequences`` whose ``parts`` have a further field ``media``: the columns that ``media`` has for their digest, or null.
 
+    ``parts`` may have any fields besides pos, kind and digest. Each row asks for each of its digests once; rows may
+    repeat, and need no id. ``media`` has one row for each digest. Sequences are written to the shared folder with a
+    number for each row, which the answers come back to.
+    """
+    rows = stored(sequences.withColumn("_row", F.monotonically_increasing_id()))
+    asked = F.array_distinct(F.transform(F.filter("parts", lambda p: (p["kind"] == "media") & p["digest"].isNotNull()), lambda p: p["digest"]))
+    facts = F.struct(*[c for c in media.columns if c != "digest"])
+    found = rows.select("_row", F.explode(asked).alias("digest")).join(media.select("digest", facts.alias("media")), "digest")
+    found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("digest", "media"))).alias("_found"))
+    put = F.transform("parts", lambda p: p.withField("media", F.try_element_at("_found", p["digest"])))
+    joined = rows.join(found, "_row", "left")
+    return joined.select(*[put.alias(c) if c == "parts" else F.col(f"`{c}`") for c in sequences.columns])
 
-def resolve(sequences: DataFrame, media: DataFrame, key: str) -> DataFrame:
-    """The references of ``sequences`` with the columns that ``media`` has for their digest, or nulls."""
-    return references(sequences, key).join(media, "digest", "left")
 
+def page_of(doc_id: object, text: str, digest: str) -> str:
+    """A page of the document's own text, ``RUN_LINES`` lines at a time, with a captioned reference to its payload behind each."""
+    lines = text.split("\n")
+    runs = [escape("\n".join(lines[i : i + RUN_LINES]), quote=False) for i in range(0, len(lines), RUN_LINES)]
+    figure = '</p><figure><img src="media:%s"><figcaption>%d of %d</figcaption></figure>'
+    body = "".join("<p>" + run + figure % (digest, i + 1, len(runs)) for i, run in enumerate(runs))
+    return f"<article><h1>Document {'without id' if doc_id is None else doc_id}</h1>{body}</article>"
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, html) of each row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            rows = zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "digest")))
+            yield with_columns(part, ["doc_id"], html=pa.array([page_of(i, t or "", d) for i, t, d in rows], pa.string()))
 
-def page_of(digest: Column, doc_id: Column, n_bytes: Column) -> Column:
-    """A page that shows one stored payload with a caption."""
-    return F.concat(
-        F.lit("<article><h1>Document "), F.coalesce(doc_id.cast("string"), F.lit("without id")),
-        F.lit('</h1><figure><img src="media:'), digest, F.lit('"><figcaption>'), n_bytes.cast("string"), F.lit(" bytes</figcaption></figure></article>"),
-    )
+    return docs.select("doc_id", "text", digest_of(F.col("text")).alias("digest")).mapInArrow(run, f"{fields(docs, ['doc_id'])}html string")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    n = F.coalesce(F.octet_length(F.encode("text", "UTF-8")), F.lit(0))
-    keyed = docs.select("doc_id", F.sha2(payload_of(F.col("text")), 256).alias("sha"), n.alias("n")).select("doc_id", F.concat_ws("-", "sha", "n").alias("digest"), "n")
-    pages = keyed.select("doc_id", page_of(F.col("digest"), F.col("doc_id"), F.col("n")).alias("html"))
-    found = stored(read_back(media_table(docs.select("text"))))
-    out = resolve(parse(pages), found, "doc_id")
-    return out.select("doc_id", *[x.split()[0] for x in READ_BACK.split(", ")], "caption")
+    """For each row of ``docs`` what its stored payload holds, and its page's parts in order as JSON, without their texts.
+
+    Null text is empty; texts may be of any length; rows that repeat, share an id or have none are told apart; equal
+    texts are stored once and have equal values; no rows give no rows. Columns besides doc_id and text are not read.
+    """
+    media = stored(media_table(docs.select("text")))
+    found = stored(read_back(media))
+    # What moves from here on is each text part's length, not its text.
+    short = F.transform("parts", lambda p: F.struct(p["pos"].alias("pos"), p["kind"].alias("kind"), F.length(p["text"]).alias("chars"), p["digest"].alias("digest"), p["caption"].alias("caption")))
+    out = resolve(parse(pages_of(docs)).select("doc_id", short.alias("parts")), found)
+    discard(media)
+    first = F.get(F.filter("parts", lambda p: p["kind"] == "media"), F.lit(0))
+    sequence = F.to_json(F.transform("parts", lambda p: p.dropFields("media", "digest")))
+    return out.select("doc_id", *[first["media"][x.split()[0]].alias(x.split()[0]) for x in READ_BACK.split(", ")], sequence.alias("sequence"))

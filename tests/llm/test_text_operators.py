@@ -1,6 +1,7 @@
 """Media sequences, BPE, line dedup, decontamination, chat formatting."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -42,19 +43,52 @@ def media_facts(text):
     return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])
 
 
+def plain_feature(payload):
+    """Size, channel means and spreads, and the bits of an 8 x 8 grid of grey means, by loops over samples."""
+    pixels = [payload[i : i + 3] for i in range(0, len(payload), 3)]
+    rows = [pixels[i : i + 64] for i in range(0, len(pixels), 64)]
+    out = [f"{len(rows)}x64"]
+    for c in range(3):
+        own = [p[c] for p in pixels]
+        mean = sum(own) / len(own)
+        out.append(f"{mean:.3f}/{(sum((x - mean) ** 2 for x in own) / len(own)) ** 0.5:.3f}")
+    sizes = [len(rows) // 8 + (k < len(rows) % 8) for k in range(8)]
+    cells, at = [], 0
+    for size in sizes:
+        own = rows[at : at + size] or rows
+        at += size
+        cells += [sum(sum(p) for row in own for p in row[8 * k : 8 * k + 8]) / len(own) / 8 for k in range(8)]
+    mean = sum(cells) / 64
+    return " ".join(out) + f" {int(''.join('1' if c > mean else '0' for c in cells), 2):016x}"
+
+
 def test_media_round_trip(spark, small, odd, odd_rows, rows):
     for frame, expected in ((odd, [r[:2] for r in odd_rows]), (spark.read.parquet(f"{small}/documents.parquet"), rows)):
         got = media_sequences.query(frame).collect()
         facts = lambda r: (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])
         assert sorted(((r["doc_id"] is None, r["doc_id"] or 0, facts(r)) for r in got)) == sorted((i is None, i or 0, media_facts(t)) for i, t in expected)
-        assert len({(r["media_sha256"], r["feature"]) for r in got}) == len({t or "" for _, t in expected})
+        by_facts = {media_facts(t): t or "" for _, t in expected}
+        for r in got:
+            text = by_facts[facts(r)]
+            payload = text.encode().ljust(r["payload_bytes"], b" ")
+            media = media_sequences.png_of(payload, r["n_bytes"])
+            assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+            assert len(payload) > 20_000 or r["feature"] == plain_feature(payload)
+            parts, lines = json.loads(r["sequence"]), text.split("\n")
+            runs = -(-len(lines) // 16)
+            assert [p["pos"] for p in parts] == list(range(len(parts))) and [p["caption"] for p in parts if p["kind"] == "media"] == [f"{k + 1} of {runs}" for k in range(runs)]
+            # A run of lines, if it is not blank, stands before its reference; the heading before all.
+            shown = [len(" ".join("\n".join(lines[k * 16 : k * 16 + 16]).split())) for k in range(runs)]
+            assert [p.get("chars") for p in parts[1:]] == [x for n in shown for x in ([n] if n else []) + [None]]
 
 
 def test_media_store_is_lossless(spark):
     texts = ["", "a" * 192, "a" * 193, "trailing  ", "trailing   "]
-    stored = media_sequences.media_table(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
-    got = sorted((n, s.tobytes()[:n].decode()) for n, s in (media_sequences.read_ppm(bytes(r["media"])) for r in stored))
+    stored = media_sequences.media_table(spark.createDataFrame([(t,) for t in [*texts, texts[1]]], "text string")).collect()
+    got = sorted((n, s.tobytes()[:n].decode()) for n, s in (media_sequences.read_png(bytes(r["media"])) for r in stored))
     assert got == sorted((len(t), t) for t in texts)
+    with pytest.raises(ValueError):
+        media_sequences.read_png(bytes(stored[0]["media"])[:-20] + b"x" * 20)
 
 
 def test_pages_become_interleaved_parts(spark):
@@ -68,14 +102,24 @@ def test_pages_become_interleaved_parts(spark):
         ("text", "One & two", None, None), ("media", "media:AB", "ab", "first"), ("text", "after", None, None), ("media", "http://x/y.png", None, "shown here"), ("text", "end", None, None)
     ]
     pages = spark.createDataFrame([(1, html, "k"), (2, None, "k"), (3, "", "k")], "page_id int, html string, parts string")
-    media = spark.createDataFrame([("ab", b"123")], "digest string, media binary")
-    got = media_sequences.resolve(media_sequences.parse(pages), media, "page_id").orderBy("pos").collect()
-    assert [(r["page_id"], r["pos"], r["caption"], r["media"] and bytes(r["media"])) for r in got] == [(1, 1, "first", b"123"), (1, 3, "shown here", None)]
+    media = spark.createDataFrame([("ab", b"123", 3)], "digest string, media binary, n int")
+    got = {r["page_id"]: r["parts"] for r in media_sequences.resolve(media_sequences.parse(pages), media).collect()}
+    assert [(p["pos"], p["text"], p["caption"], p["media"] and (bytes(p["media"]["media"]), p["media"]["n"])) for p in got[1]] == [
+        (0, "One & two", None, None), (1, None, "first", (b"123", 3)), (2, "after", None, None), (3, None, "shown here", None), (4, "end", None, None)
+    ]
+    assert got[2] == got[3] == []
 
 
-def test_real_pages_parse(spark, small):
-    got = media_sequences.parse(spark.read.parquet(f"{small}/pages.parquet"))
-    assert got.where(F.size("parts") == 0).count() == 0 and "html" not in got.columns
+def test_real_pages_parse_and_resolve(spark, small):
+    """The table of raw pages through the same path; their images are in no media table."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    parsed = media_sequences.parse(pages)
+    assert parsed.where(F.size("parts") == 0).count() == 0 and "html" not in parsed.columns
+    media = spark.createDataFrame([], "digest string, n int")
+    got = media_sequences.resolve(parsed, media)
+    assert got.columns == parsed.columns and got.count() == pages.count()
+    assert got.where(F.exists("parts", lambda p: p["media"].isNotNull())).count() == 0
+    assert got.select("page_id", F.transform("parts", lambda p: p.dropFields("media")).alias("parts")).exceptAll(parsed.select("page_id", "parts")).count() == 0
 
 
 # ---------------------------------------------------------------- BPE
@@ -91,6 +135,15 @@ def test_ids_are_those_of_the_rank_library(spark, small, odd, odd_rows, rows, re
         assert sorted(got) == sorted(want)
 
 
+def test_long_pieces_and_ids_that_are_texts(spark, reference):
+    texts = ["x" * 20_000, " " * 5000, "é" * 3000, "\n" * 4000, "a1" * 3000, "!?" * 3000]
+    got = byte_bpe.query(spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")).collect()
+    for r in got:
+        text = texts[int(r["doc_id"][1:])]
+        ids = reference.encode_ordinary(text)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), brute.sha(np.array(ids, dtype="<u4").tobytes()), brute.sha(text))
+
+
 def test_offsets_and_split_characters(spark, reference):
     random.seed(3)
     texts = ["aé😀x", "", "日本語 ñandú", "".join(chr(random.choice([97, 32, 10, 0xE9, 0x1F600, 0x4E2D, 0x301, 0x3000])) for _ in range(300))]
@@ -173,14 +226,15 @@ def test_fm_index(n, k):
         assert sorted(index.locate(np.arange(low, high)).tolist()) == [i for i in range(n - 2) if text[i : i + 3] == p]
 
 
-@pytest.mark.parametrize("block_bytes, shard_words", [(1 << 22, 1 << 20), (40, 1 << 20), (1 << 22, 20)])
-def test_spans(spark, odd, odd_rows, block_bytes, shard_words):
+@pytest.mark.parametrize("block_words, shard_words", [(100_000, 1 << 20), (7, 1 << 20), (12, 20)])
+def test_spans(spark, odd, odd_rows, block_words, shard_words):
     items = {1: "one two three", 2: "b c d e f g h i j k l m", 3: "...", 4: "two three four", 10: "a", 5: None, 6: ""}
     texts = ["x One-two, THREE four b", "b c d e f g h i j k l m n b c d e f g h i j", "c d e f g h i j k l m", "a a", "b c d e f g h i j z k l m"]
     docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(odd, allowMissingColumns=True)
     rows = [*[(100 + i, t) for i, t in enumerate(texts)], *[r[:2] for r in odd_rows]]
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    found = decontamination.find_spans(docs, benchmark, block_bytes=block_bytes, shard_words=shard_words)
+    found = decontamination.find_spans(docs, benchmark, block_words=block_words, shard_words=shard_words)
+    assert str(found._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1  # one pass, however many blocks
     got, cut = found.collect(), {}
     for r, c in zip(got, decontamination.cut_spans(found).collect()):
         own, hit, names = brute.spans(r["text"], {k: v for k, v in items.items() if v})
@@ -190,6 +244,14 @@ def test_spans(spark, odd, odd_rows, block_bytes, shard_words):
     assert len(got) == len(rows) and not cut
 
 
+def test_long_and_repeated_items_are_parted(spark):
+    item = [f"w{i}" for i in range(300)]
+    benchmark = spark.createDataFrame([(1, " ".join(item[:200])), (1, " ".join(item[150:]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[95:105])), (3, " ".join(item[95:104]))], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in decontamination.find_spans(docs, benchmark, block_words=20).collect()}
+    assert got == {1: [(0, 300)], 2: [(0, 10)], 3: []}
+
+
 def test_nothing_to_find(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.query(odd, none).where("contaminated or n_items > 0").count() == 0
@@ -208,19 +270,40 @@ def turn(conv, n, text, role="user"):
 
 
 def test_snapshots_collapse(spark, monkeypatch):
-    monkeypatch.setattr(chat_format, "BLOCK_TURNS", 2)
     monkeypatch.setattr(chat_format, "SEGMENT_TURNS", 3)
     long = [turn(1, i, f"t{i}") for i in range(7)]
     snapshots = [turn(k, i + 5, f"t{i}") for k in (2, 3, 4) for i in range(k)]  # other turn numbers, the same turns
     copy = [turn(9, i, f"t{i}") for i in range(7)] + [turn(9, 3, "t3")]  # and a repeated row
     other = [turn(5, 0, "t0"), turn(5, 1, "different"), turn(6, 0, "t0", "assistant"), turn(7, 0, None), turn(8, None, "t0"), turn(8, 0, None), (None, 0, None, None, "", "")]
+    # Without an id each row is a conversation: one that others begin with goes, of equal ones one stays.
+    other += [turn(None, 0, "t0")] + [turn(None, i, f"alone {i % 3}") for i in range(9)]
     got = chat_format.query(chats(spark, [*long, *snapshots, *copy, *other])).collect()
     assert {(r["conv_id"], r["segment"], r["n_turns"]) for r in got} == {(1, 0, 7), (1, 1, 7), (1, 2, 7), (5, 0, 2), (6, 0, 1), (7, 0, 1), (8, 0, 2), (None, 0, 1)}
+    assert sorted(r["text"] for r in got if r["conv_id"] is None) == ["<|user|>\nalone 0\n<|end|>\n", "<|user|>\nalone 1\n<|end|>\n", "<|user|>\nalone 2\n<|end|>\n", "<||>\n\n<|end|>\n"]
     text = {(r["conv_id"], r["segment"]): r["text"] for r in got}
     assert text[1, 0] + text[1, 1] + text[1, 2] == "".join(f"<|user|>\nt{i}\n<|end|>\n" for i in range(7))
     assert text[8, 0] == "<|user|>\nt0\n<|end|>\n<|user|>\n\n<|end|>\n"
 
 
+def test_chats_of_odd_rows_equal_sql(spark):
+    """A conversation of many turns without numbers, one of one number, rows without ids, copies; dealt into many ranges."""
+    import duckdb
+
+    rows = [turn(1, None, f"x{i}") for i in range(300)] + [turn(2, 7, f"y{i}") for i in range(300)] + [turn(None, i % 5, f"z{i % 20}") for i in range(400)]
+    rows += [turn(3, i, f"t{i}") for i in range(6)] + [turn(4, i, f"t{i}") for i in range(4)] + [turn(5, i, f"t{i}") for i in range(6)] + [turn(6, 0, "z1"), turn(6, 1, "z2")]
+    frame = chats(spark, rows)
+    conversations = frame.toArrow()  # noqa: F841  DuckDB reads it by its name
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        turns = chat_format._blocks(frame)
+        assert turns.where("conv = 'id 1'").select("block").distinct().count() > 2
+        same_rows(chat_format.query(frame).toPandas(), duckdb.connect().execute(chat_format.ORACLE_SQL).df())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_no_chats(spark):
     assert chat_format.query(chats(spark, [])).count() == 0
 
