@@ -60,7 +60,9 @@ def embed(text: Column, encoder: Encoder | None = None) -> Column:
 def neighbour_similarity(sentences: Column, encoder: Encoder | None = None) -> Column:
     """For an array of sentences, the cosine of each one with the one before it (one less than sentences).
 
-    The sentences of several rows are encoded together, ``HELD_SENTENCES`` or so at once.
+    The sentences of several rows are encoded together, ``HELD_SENTENCES`` or so at once. A row whose sentences the
+    encoder fails on is null, the others are not harmed. The function counts as not deterministic, lest Spark
+    evaluates it a second time for a filter that it infers.
     """
     encode = encoder or hashed_counts()
 
@@ -69,10 +71,16 @@ def neighbour_similarity(sentences: Column, encoder: Encoder | None = None) -> C
         dots = (m[1:] * m[:-1]).sum(axis=1)
         squares = (m * m).sum(axis=1)
         norms = np.sqrt(squares[1:] * squares[:-1])
-        cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+        cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms != 0)  # not a number where a vector is none
         ends = np.cumsum([len(r) for r in rows]).tolist()
         return [cosine[end - len(r) : end - 1] if len(r) else np.zeros(0) for r, end in zip(rows, ends)]
 
+    def tried(rows: list) -> list[np.ndarray | None]:
+        try:
+            return similarities(rows)
+        except Exception:  # whatever a pluggable encoder raises
+            return [None] if len(rows) == 1 else [x for r in rows for x in tried([r])]
+
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
@@ -81,11 +89,11 @@ def neighbour_similarity(sentences: Column, encoder: Encoder | None = None) -> C
                 held.append(row if row is not None else [])
                 size += len(held[-1])
                 if size >= HELD_SENTENCES:
-                    out += similarities(held)
+                    out += tried(held)
                     held, size = [], 0
-            yield pd.Series(out + (similarities(held) if held else []), dtype=object)
+            yield pd.Series(out + (tried(held) if held else []), dtype=object)
 
-    return run(sentences)
+    return run.asNondeterministic()(sentences)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -58,7 +58,8 @@ def chunk(
 ) -> DataFrame:
     """Rows (doc_idx, source_doc_id, chunk_id, cluster, first, last, chunk_size, split, content, segment, unit_id) of ``docs`` (doc_idx, text).
 
-    A document of at most three sentences passes unchanged, without chunk columns. A chunk is a segment
+    A document of at most three sentences passes unchanged, without chunk columns, and so does one that the encoder
+    fails on. One whose similarities are not all numbers is cut by counts. A chunk is a segment
     with ``overlap`` sentences on each side; one shorter than ``min_chars`` is dropped; one longer than
     ``max_chars`` is cut once, after the last full stop before its middle, and its parts have no chunk id;
     ``segment`` and ``unit_id`` tell where they come from.
@@ -67,7 +68,9 @@ def chunk(
     n = F.size("sentences")
     rows = rows.select("doc_idx", "text", "sentences", n.alias("n"), doc_id(F.col("doc_idx"), F.col("text")).alias("source_doc_id"), "similarities")
     short = F.array(F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")))
-    segment = F.when(F.col("n") <= SHORT, short).otherwise(by_similarity(F.col("n"), F.col("similarities"), threshold))
+    unknown = F.exists("similarities", lambda x: x.isNull() | F.isnan(x))
+    cut = F.when(unknown, by_count(F.col("n"))).otherwise(by_similarity(F.col("n"), F.col("similarities"), threshold))
+    segment = F.when((F.col("n") <= SHORT) | F.col("similarities").isNull(), short).otherwise(cut)
     rows = rows.select("doc_idx", "text", "sentences", "n", "source_doc_id", F.posexplode(segment).alias("cluster", "segment"))
     first, last = F.col("segment.first"), F.col("segment.last")
     start = F.greatest(F.lit(0), first - overlap)

@@ -71,12 +71,12 @@ def merge_profiles(updates: DataFrame) -> DataFrame:
     raw severity as text. Null never overwrites an element, an empty text does; lists are united;
     severity that is no number is ignored; severity outside 1 to 10 rejects its whole update of
     symptoms. The chief complaint is overwritten by each update, by null as well. A group, not a running
-    window: partial aggregation keeps one row for each task and conversation.
+    window: partial aggregation keeps one row for each task and conversation, with the different lists of its turns.
     """
     severity = F.expr("try_cast(severity as int)")
     rows = updates.withColumn("severity", severity).withColumn("ok", ~F.coalesce(~severity.between(1, 10), F.lit(False)))
     latest = lambda c: F.max_by(F.when(F.col("ok"), F.col(c)), F.when(F.col("ok") & F.col(c).isNotNull(), F.col("turn"))).alias(c)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("ok"), _split_list(F.col(c))))))).alias(c)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), _split_list(F.col(c))))))).alias(c)
     chief = F.max_by(F.struct("chief_complaint"), "turn").alias("chief")
     merged = rows.groupBy("conv_id").agg(chief, *[latest(c) for c in (*SCALARS, "severity")], *[union(c) for c in LISTS])
     return merged.select("conv_id", F.col("chief.chief_complaint").alias("chief_complaint"), *SCALARS, "severity", *LISTS)

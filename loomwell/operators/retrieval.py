@@ -25,14 +25,16 @@ def expansion_table(spark, entries=EXPANSIONS) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, phrase string, synonyms array<string>, related array<string>, multilingual array<string>")
 
 
-def expand(queries: DataFrame, dictionary: DataFrame, keep: int = 5, keep_related: int = 3) -> DataFrame:
+def expand(queries: DataFrame, dictionary: DataFrame, keep: int = 5, keep_related: int = 3, most: int = 10_000) -> DataFrame:
     """``queries`` (query_id, query) with ``synonyms``, ``related``, ``multilingual`` and ``expanded_query``.
 
     Each distinct query is expanded once: the phrases of ``dictionary`` that its lower-case text holds,
     in their order. The lists keep ``keep`` entries, the expanded text all synonyms and ``keep_related``
-    related terms.
+    related terms. The dictionary is broadcast, and has ``most`` phrases at most.
     """
     distinct = queries.select("query").distinct()
+    if dictionary.limit(most + 1).count() > most:
+        raise ValueError(f"a dictionary of more than {most} phrases is not one to look through for each query")
     hits = distinct.join(F.broadcast(dictionary), F.contains(F.lower("query"), F.col("phrase")))
     found = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "synonyms", "related", "multilingual"))).alias("found"))
     lists = {c: F.flatten(F.col("found")[c]).alias(c) for c in ("synonyms", "related", "multilingual")}
@@ -82,8 +84,12 @@ def knn(queries: DataFrame, index: DataFrame, k: int, block_bytes: int = BLOCK_B
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    rows = [r if r is not None else [0.0] * width for r in column.to_pylist()]
-    return np.array(rows, dtype=np.float64).reshape(len(rows), width)
+    """Lists of ``width`` numbers as a matrix, from their flat values; a null list is zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    out = np.zeros((len(column), width))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoders import Encoder, embed
+from ..functions.encoders import Encoder, cosine, embed
 from ..operators import chunking, retrieval
 from ..sources import tables as S
 
@@ -13,20 +13,30 @@ from ..sources import tables as S
 CHUNKS_A_DOCUMENT = 1 << 21
 
 
-def passages(docs: DataFrame, queries: DataFrame, top_k: int = 5, threshold: float = chunking.THRESHOLD, as_of: Column | None = None, encoder: Encoder | None = None) -> DataFrame:
+#: Characters of a candidate that its rerank score looks at.
+HEAD_CHARS = 512
+
+
+def passages(
+    docs: DataFrame, queries: DataFrame, top_k: int = 5, threshold: float = chunking.THRESHOLD, as_of: Column | None = None,
+    encoder: Encoder | None = None, dictionary: DataFrame | None = None,
+) -> DataFrame:
     """For ``queries`` (query_id, query), the ``top_k`` chunks of ``docs`` with numbered citations.
 
-    Chunks are made and encoded once, into the shared folder, under a long id that orders them; twice
-    ``top_k`` are retrieved by the query and reranked by score and date.
+    Chunks are made and encoded once, into the shared folder, under a long id that orders them. Twice ``top_k`` are
+    retrieved by the query as ``dictionary`` (the fixed one by default) expands it, and reranked by date and by the
+    cosine, to six digits, of the query as it was asked with each candidate's first ``HEAD_CHARS`` characters.
     """
     chunks = chunking.chunk(docs, threshold, encoder=encoder)
     # One id for each chunk of the corpus, ascending by document and place in it.
     place = F.coalesce("segment", F.lit(0)) * 2 + F.when(F.col("split") == "part2", 1).otherwise(0)
     index = chunks.select("doc_idx", "content", (F.col("doc_idx") * CHUNKS_A_DOCUMENT + place).alias("id"))
     index = S.stored(index.withColumn("embedding", embed(F.col("content"), encoder)))
-    asked = queries.select("query_id", embed(F.col("query"), encoder).alias("embedding"))
-    found = retrieval.knn(asked, index, 2 * top_k).withColumnRenamed("rank", "retrieval_rank").withColumnRenamed("similarity", "cos")
-    found = found.join(index.select("id", "doc_idx", "content"), "id")
+    expanded = retrieval.expand(queries.select("query_id", "query"), dictionary if dictionary is not None else retrieval.expansion_table(docs.sparkSession))
+    asked = S.stored(expanded.select("query_id", embed(F.col("expanded_query"), encoder).alias("embedding"), embed(F.col("query"), encoder).alias("as_asked")))
+    found = retrieval.knn(asked.select("query_id", "embedding"), index, 2 * top_k).withColumnRenamed("rank", "retrieval_rank").drop("similarity")
+    found = found.join(index.select("id", "doc_idx", "content"), "id").join(asked.select("query_id", "as_asked"), "query_id")
+    found = found.withColumn("cos", F.round(cosine(F.col("as_asked"), embed(F.substring("content", 1, HEAD_CHARS), encoder)), 6)).drop("as_asked")
     fields = [c for c in docs.columns if c not in ("text", "doc_idx")]
     found = found.join(docs.select("doc_idx", *fields), "doc_idx")
     for c in (*retrieval.DATE_FIELDS, "pmid", "authors"):

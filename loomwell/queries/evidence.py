@@ -129,7 +129,12 @@ SQL = {
         prod AS (SELECT qc.id AS q, uc.id AS u, sum(qc.n * uc.n) AS p FROM qc JOIN uc USING (b) GROUP BY ALL),
         found AS (SELECT i.item_id AS q, unit AS u, doc_idx, content, coalesce(round(p / (qn.l * un2.l), 6), 0.0) AS cos FROM benchmark i CROSS JOIN unit
           LEFT JOIN prod ON prod.q = i.item_id AND prod.u = unit LEFT JOIN qn ON qn.id = i.item_id LEFT JOIN un2 ON un2.id = unit),
-        best AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY cos DESC, u) AS INT) AS r FROM found)
+        retrieved AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY cos DESC, u) AS INT) AS place FROM found),
+        heads AS (SELECT DISTINCT u, left(content, 512) AS head FROM retrieved WHERE place <= 10), hc AS {_COUNTED.format(id="u", text="head", table="heads")},
+        hn AS (SELECT id, sqrt(sum(n * n)) AS l FROM hc GROUP BY id), hprod AS (SELECT qc.id AS q, hc.id AS u, sum(qc.n * hc.n) AS p FROM qc JOIN hc USING (b) GROUP BY ALL),
+        again AS (SELECT x.q, x.u, x.doc_idx, x.content, x.place, coalesce(round(p / (qn.l * hn.l), 6), 0.0) AS cos FROM retrieved x
+          LEFT JOIN hprod ON hprod.q = x.q AND hprod.u = x.u LEFT JOIN qn ON qn.id = x.q LEFT JOIN hn ON hn.id = x.u WHERE place <= 10),
+        best AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY cos DESC, place) AS INT) AS r FROM again)
         SELECT q AS query_id, r AS id, doc_idx || '.pdf' AS title, 'PDF' AS provider, left(content, 200) AS snippet, '/docs/' || source || '/' || doc_idx || '.pdf' AS source_path, CAST(NULL AS INT) AS page,
         CAST(NULL AS VARCHAR) AS pmid, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS authors, round(0.8 * ((cos + 1) / 2) + 0.1, 9) AS confidence FROM best JOIN documents ON doc_id = doc_idx WHERE r <= 5""",
     "kg_query_terms": rf"""WITH {FIRST} SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'),

@@ -63,6 +63,21 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def images(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of each document as an image of 64 pixels a row, in the form of Spark's image source."""
+    raw = F.encode("text", "UTF-8")
+    height = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / 192)).cast("int")
+    data = F.concat(raw, F.encode(F.repeat(F.lit(" "), height * 192 - F.octet_length("text")), "UTF-8"))
+    image = F.struct(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("origin"), height.alias("height"), F.lit(64).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
+    return S.table(spark, d, "documents").where("text is not null").select(image.alias("image"))
+
+
+def image_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel statistics and scores of images made of the documents' bytes."""
+    scored = V.quality_scores(V.pixel_stats(images(spark, d)))
+    return scored.select(F.col("path").alias("image_id"), *[F.round(c, 6).alias(c) for c in (*V.STATS, *V.WEIGHTS, "overall_score")], F.array_join("issues", " | ").alias("issues"))
+
+
 def image_quality_scores(spark: SparkSession, d: str) -> DataFrame:
     scored = V.quality_scores(_stats(spark, d))
     rounded = [F.round(c, 9).alias(c) for c in (*V.WEIGHTS, "overall_score")]
@@ -71,7 +86,7 @@ def image_quality_scores(spark: SparkSession, d: str) -> DataFrame:
 
 DET = "det AS (SELECT user_id AS image_id, event_id, event_type AS class_name, event_id % 101 / 100.0 AS confidence, value FROM events)"
 
-QUERIES = {f.__name__: f for f in (detection_filter, detections_parse, vision_confidence, model_call_dedup, image_validation, image_quality_scores)}
+QUERIES = {f.__name__: f for f in (detection_filter, detections_parse, vision_confidence, model_call_dedup, image_validation, image_quality_scores, image_quality)}
 
 SQL = {
     "detection_filter": f"""WITH {DET}, t AS (SELECT *, t AS threshold FROM det, (VALUES ('unset'), ('zero'), ('own')) v(t))

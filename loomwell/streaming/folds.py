@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.checkpoints import expired, latest
+from ..functions.text import safe_key
+from ..operators.checkpoints import LISTED, expired, latest
 from ..operators.conversation import LISTS, SCALARS
 
 PROFILE = "conv_id long, chief_complaint string, " + ", ".join(f"{c} string" for c in SCALARS) + ", severity int, " + ", ".join(f"{c} array<string>" for c in LISTS)
@@ -72,9 +73,28 @@ def upsert_checkpoints(log: DataFrame, folder: str) -> DataStreamWriter:
 
 
 def expire(log: DataFrame, days: int = 7) -> DataFrame:
-    """Counts of checkpoints by day of saving; days older than ``days`` behind the newest leave the state."""
-    kept = log.withWatermark("ts", f"{days} days")
-    return kept.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("saved"))
+    """(conversation_id, ts) of each conversation whose last checkpoint of ``log`` is older than ``days`` behind the newest.
+
+    A stream's clock is its watermark, the newest time seen. The state has a conversation's last time only, and ends
+    with it: an expired conversation is emitted once, to be deleted, and leaves; one that is saved again begins anew.
+    """
+    listed = log.where(F.col("conversation_id").startswith(LISTED)).select(safe_key(F.col("conversation_id")).alias("conversation_id"), "ts")
+    kept = listed.withWatermark("ts", "0 seconds")
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            yield pd.DataFrame({"conversation_id": [key[0]], "ts": pd.to_datetime([state.get[0]], unit="us", utc=True)})
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        for batch in batches:
+            newest = batch["ts"].max().value // 1000
+            last = newest if last is None else max(last, newest)
+        state.update((last,))
+        # A time that the watermark has passed already is due at once.
+        state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+
+    return kept.groupBy("conversation_id").applyInPandasWithState(fold, "conversation_id string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 __all__ = ["PROFILE", "expire", "expired", "fold_profiles", "upsert_checkpoints"]

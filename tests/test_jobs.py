@@ -105,12 +105,65 @@ def test_streamed_checkpoints_equal_the_batch(spark, small, tmp_path):
     same_rows(spark.read.parquet(str(newest)).select(*columns).toPandas(), checkpoints.latest(log).select(*columns).toPandas())
 
 
-def test_streamed_expiry(spark, small, tmp_path):
-    log = dialogue.log(spark, small)
-    days = []
-    query = folds.expire(_stream(spark, log, str(tmp_path / "in"))).writeStream.outputMode("complete")
-    query = query.foreachBatch(lambda batch, n: days.append(batch.agg(F.sum("saved")).first()[0])).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert query.awaitTermination(120) and days[-1] == log.count()
+def test_streamed_expiry(spark, tmp_path):
+    """A conversation that is saved again in time stays; what is older than seven days behind the newest goes, once."""
+    day = lambda n: f"2025-01-{n:02d} 00:00:00"
+    files = [[("conv_a", day(1)), ("conv_b", day(1)), ("x", day(1))], [("conv_b", day(7)), ("conv_c", day(8))], [("conv_d", day(10))], [("conv_d", day(11))]]
+    folder = str(tmp_path / "in")
+    for rows in files:
+        spark.createDataFrame(rows, "conversation_id string, at string").select("conversation_id", F.col("at").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    gone = []
+    query = folds.expire(spark.readStream.schema("conversation_id string, ts timestamp").parquet(folder)).writeStream.outputMode("append")
+    query = query.foreachBatch(lambda batch, n: gone.extend(tuple(r) for r in batch.collect())).option("checkpointLocation", str(tmp_path / "c"))
+    for rows in ([], [("conv_e", day(12))], [("conv_e", day(20))]):
+        if rows:
+            spark.createDataFrame(rows, "conversation_id string, at string").select("conversation_id", F.col("at").cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+        assert query.trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r[0] for r in gone) == ["conv_a", "conv_b", "conv_c", "conv_d"] and {r[0]: str(r[1])[:10] for r in gone}["conv_b"] == "2025-01-07"
+
+
+def test_chunks_where_the_encoder_fails(spark):
+    """A document that the encoder fails on stays whole; one whose similarities are no numbers is cut by counts."""
+    import numpy as np
+
+    from loomwell.functions.encoders import hashed_counts
+    from loomwell.operators import chunking
+
+    def encoder(texts):
+        if any("broken" in t for t in texts):
+            raise ValueError("no vector")
+        out = hashed_counts()(texts)
+        out[[i for i, t in enumerate(texts) if "strange" in t]] = np.nan
+        return out
+
+    text = lambda word: " ".join(f"Sentence number {i} of the {word} text is long enough to be a part of a chunk." for i in range(9))
+    docs = spark.createDataFrame([(0, text("plain")), (1, text("broken")), (2, text("strange"))], "doc_idx long, text string")
+    got = {}
+    for r in chunking.chunk(docs, 0.2, encoder=encoder).collect():
+        got.setdefault(r["doc_idx"], []).append((r["first"], r["last"], r["content"]))
+    assert got[1] == [(None, None, text("broken"))] and len(got[0]) == 1 and got[0][0][:2] == (0, 8)
+    assert sorted(x[:2] for x in got[2]) == [(0, 2), (3, 5), (6, 8)]
+
+
+def test_similarities_are_worked_out_once(spark, small):
+    from loomwell import registry
+
+    plan = str(registry.QUERIES["adjacent_similarity"](spark, small)._jdf.queryExecution().executedPlan())
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_images_made_of_documents(spark, small):
+    from loomwell import registry
+
+    texts = {f"doc_{r['doc_id']}": r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"] is not None}
+    got = registry.QUERIES["image_quality"](spark, small).collect()
+    assert {r["image_id"] for r in got} == set(texts)
+    for r in got[:20]:
+        raw = texts[r["image_id"]].encode()
+        raw = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
+        b, g, red = (sum(raw[i::3]) / (len(raw) // 3) for i in range(3))
+        assert (r["mean_b"], r["mean_g"], r["mean_r"]) == (round(b, 6), round(g, 6), round(red, 6)) or max(abs(r["mean_b"] - b), abs(r["mean_g"] - g), abs(r["mean_r"] - red)) < 1e-6
+        assert abs(r["color_balance_score"] - (1 - (abs(b - g) + abs(g - red) + abs(red - b)) / 765)) < 1e-6
 
 
 def test_rule_triples(spark):

@@ -12,7 +12,8 @@ def test_equals_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
+    """Pixels are read by numpy; test_jobs has that query's test."""
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"image_quality"}
 
 
 def test_flagship_equals_brute_force(spark, small):
@@ -26,13 +27,18 @@ def test_flagship_equals_brute_force(spark, small):
     content = chunks(spark, small).select("content").toPandas()["content"].tolist()
     encode = hashed_counts()
     unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
-    scores = np.round(unit(encode(asked["text"].tolist())) @ unit(encode(content)).T, 6)
+    vectors = unit(encode(asked["text"].tolist()))
+    whole, heads = (np.round(vectors @ unit(encode(texts)).T, 6) for texts in (content, [t[:512] for t in content]))
     assert len(rows) == 5 * len(asked)
     for i, item in enumerate(asked["item_id"]):
         own = rows[rows["query_id"] == item].sort_values("id")
-        best = np.sort(scores[i])[::-1][:5]
+        # Ten are retrieved by their whole text; where the tenth is tied, either of the tied may be one of the ten.
+        tenth = np.sort(whole[i])[::-1][9]
+        sure, open_ = heads[i][whole[i] > tenth], heads[i][whole[i] == tenth]
+        best = np.sort(np.concatenate([sure, open_]) if len(sure) + len(open_) == 10 else sure)[::-1][:5]
         # No document has a date: 0.8 * (cosine + 1) / 2 + 0.2 * 0.5.
-        assert np.allclose(own["confidence"], 0.8 * (best + 1) / 2 + 0.1)
+        expected, confidence = 0.8 * (best + 1) / 2 + 0.1, own["confidence"].to_numpy()
+        assert np.allclose(confidence, expected) if len(sure) + len(open_) == 10 else (confidence[: len(expected)] >= expected - 1e-9).all()
 
 
 def test_entry_runs(spark):
