@@ -2,8 +2,8 @@
 
 ``parse`` turns a page's HTML into one ordered array of parts, text runs and media references, each
 with its position and, for media, a caption. A reference names its payload by a digest (``media:<digest>``).
-``media_table`` holds every payload once, stored losslessly as the 8-bit samples of an image: a PNG of
-``WIDTH`` pixels a row, with the length before padding in a text chunk. ``resolve`` joins references and media
+``media_table`` holds every payload once, stored losslessly as the 8-bit samples of an image: a PNG of one
+row of RGB pixels, with the length before padding in a text chunk. ``resolve`` joins references and media
 by digest and puts what it found into the parts: their order, positions and captions stay, and a reference
 whose payload is missing keeps its place with null media.
 
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fields, sliced, stored, utf8, with_columns
+from .common import discard, fields, shared_dir, sliced, stored, utf8, with_columns
 
 WIDTH = 64
 ROW_BYTES = 3 * WIDTH
 #: Lines of a document between two references of its page.
 RUN_LINES = 16
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PARTS = "array<struct<pos:int,kind:string,text:string,digest:string,source:string,caption:string>>"
 _PART = pa.struct([("pos", pa.int32()), *((k, pa.string()) for k in ("kind", "text", "digest", "source", "caption"))])
 
@@ -151,15 +152,13 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 def png_of(payload: bytes, n_bytes: int) -> bytes:
     """A PNG of 8-bit RGB samples, which are the payload's bytes; a text chunk keeps the length before padding."""
-    rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW_BYTES)
-    lines = np.zeros((len(rows), ROW_BYTES + 1), dtype=np.uint8)  # each row begins with its filter: none
-    lines[:, 1:] = rows
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
-    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\0%d" % n_bytes) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", len(payload) // 3, 1, 8, 2, 0, 0, 0)
+    line = b"\0" + payload  # a row begins with its filter: none
+    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"bytes\0%d" % n_bytes) + _chunk(b"IDAT", zlib.compress(line, 6)) + _chunk(b"IEND", b"")
 
 
 def read_png(media: bytes) -> tuple[int, np.ndarray]:
-    """The length before padding, and the samples as (rows, WIDTH, 3)."""
+    """The length before padding, and the samples, ``WIDTH`` pixels a row, as (rows, WIDTH, 3)."""
     at, chunks = len(_MAGIC), {}
     while media.startswith(_MAGIC) and at < len(media):
         (size,) = struct.unpack_from(">I", media, at)
@@ -170,9 +169,8 @@ def read_png(media: bytes) -> tuple[int, np.ndarray]:
         at += 12 + size
     if chunks.get(b"IHDR", b"")[8:] != bytes([8, 2, 0, 0, 0]):
         raise ValueError("not one of the stored images")
-    width, rows = struct.unpack_from(">II", chunks[b"IHDR"])
-    lines = np.frombuffer(zlib.decompress(chunks[b"IDAT"]), dtype=np.uint8).reshape(rows, 3 * width + 1)
-    return int(chunks[b"tEXt"].split(b"\0")[1]), np.ascontiguousarray(lines[:, 1:]).reshape(rows, width, 3)
+    samples = np.frombuffer(zlib.decompress(chunks[b"IDAT"]), dtype=np.uint8)[1:]
+    return int(chunks[b"tEXt"].split(b"\0")[1]), samples.reshape(-1, WIDTH, 3)
 
 
 def digest_of(text: Column) -> Column:
@@ -195,6 +193,25 @@ def media_table(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])
 
 
+def store_media(docs: DataFrame, rounds: int = 2) -> DataFrame:
+    """``media_table`` in the shared folder, written in rounds by the digest; a round's shuffle files go before the next one begins.
+
+    Beside the media themselves the disk so holds one round's share of them, whatever the table's size.
+    """
+    spark = docs.sparkSession
+    path, before = shared_dir(spark), spark.conf.get(_TIDY)
+    keyed = docs.select("text").withColumn("round", F.pmod(F.xxhash64(digest_of(F.col("text"))), F.lit(rounds)))
+    spark.conf.set(_TIDY, "true")
+    try:
+        for k in range(rounds):
+            media_table(keyed.where(F.col("round") == k)).write.mode("append").parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    out = spark.read.schema("digest string, media binary").parquet(path)
+    out.loomwell_folder = path
+    return out
+
+
 def feature_of(samples: np.ndarray) -> str:
     """Size, mean and spread of each channel, and a 64-bit average hash over an 8 x 8 grid."""
     flat = samples.reshape(-1, 3).astype(np.float64)
@@ -272,12 +289,12 @@ def query(docs: DataFrame) -> DataFrame:
     Null text is empty; texts may be of any length; rows that repeat, share an id or have none are told apart; equal
     texts are stored once and have equal values; no rows give no rows. Columns besides doc_id and text are not read.
     """
-    media = stored(media_table(docs.select("text")))
+    media = store_media(docs)
     found = stored(read_back(media))
+    discard(media)
     # What moves from here on is each text part's length, not its text.
     short = F.transform("parts", lambda p: F.struct(p["pos"].alias("pos"), p["kind"].alias("kind"), F.length(p["text"]).alias("chars"), p["digest"].alias("digest"), p["caption"].alias("caption")))
     out = resolve(parse(pages_of(docs)).select("doc_id", short.alias("parts")), found)
-    discard(media)
     first = F.get(F.filter("parts", lambda p: p["kind"] == "media"), F.lit(0))
     sequence = F.to_json(F.transform("parts", lambda p: p.dropFields("media", "digest")))
     return out.select("doc_id", *[first["media"][x.split()[0]].alias(x.split()[0]) for x in READ_BACK.split(", ")], sequence.alias("sequence"))
