@@ -17,17 +17,18 @@ WORDS = [("that", ["thing", "one", "such"], ["which", "what"], ["ce", "das"]), (
          ("from", ["of", "since", "out of"], ["away"], ["de", "von"]), ("this", ["here", "it", "now"], ["same"], ["ceci", "dies"])]
 
 
-def first_user_turns(spark: SparkSession, d: str) -> DataFrame:
+def user_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every different user turn as a query (query_id, query)."""
     turns = S.table(spark, d, "conversations").where("role = 'user'")
-    return turns.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
+    return turns.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.col("text").alias("query")).distinct()
 
 
 def kg_query_terms(spark: SparkSession, d: str) -> DataFrame:
-    return first_user_turns(spark, d).select("query_id", F.array_join(query_terms(F.col("query")), " ").alias("terms"))
+    return user_turns(spark, d).select("query_id", F.array_join(query_terms(F.col("query")), " ").alias("terms"))
 
 
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    out = R.expand(first_user_turns(spark, d), R.expansion_table(spark, WORDS))
+    out = R.expand(user_turns(spark, d), R.expansion_table(spark, WORDS))
     return out.select("query_id", *[F.array_join(c, "|").alias(c) for c in ("synonyms", "related", "multilingual")], "expanded_query")
 
 
@@ -93,7 +94,7 @@ def passage_evidence(spark: SparkSession, d: str) -> DataFrame:
     return passages(S.as_pdf_corpus(docs(spark, d)), asked, top_k=5, threshold=THRESHOLD).withColumn("confidence", F.round("confidence", 9))
 
 
-FIRST = "q AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+ASKED = "q AS (SELECT DISTINCT concat_ws('-', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS query_id, text AS query FROM conversations WHERE role = 'user')"
 _VALUES = ", ".join(f"({i}, '{p}', {s}, {r}, {m})" for i, (p, s, r, m) in enumerate(WORDS))
 KNN = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sc AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS similarity
@@ -137,12 +138,12 @@ SQL = {
         best AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY cos DESC, place) AS INT) AS r FROM again)
         SELECT q AS query_id, r AS id, doc_idx || '.pdf' AS title, 'PDF' AS provider, left(content, 200) AS snippet, '/docs/' || source || '/' || doc_idx || '.pdf' AS source_path, CAST(NULL AS INT) AS page,
         CAST(NULL AS VARCHAR) AS pmid, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS authors, round(0.8 * ((cos + 1) / 2) + 0.1, 9) AS confidence FROM best JOIN documents ON doc_id = doc_idx WHERE r <= 5""",
-    "kg_query_terms": rf"""WITH {FIRST} SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'),
+    "kg_query_terms": rf"""WITH {ASKED} SELECT query_id, array_to_string(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'),
         lambda w: length(w) > 3 AND w NOT IN ('adalah', 'yang', 'atau', 'untuk', 'dari')), ' ') AS terms FROM q""",
-    "query_expansion": f"""WITH {FIRST}, dict(ord, phrase, s, r, m) AS (VALUES {_VALUES}),
-        hit AS (SELECT query_id, flatten(list(s ORDER BY ord)) AS s, flatten(list(r ORDER BY ord)) AS r, flatten(list(m ORDER BY ord)) AS m FROM q JOIN dict ON contains(lower(query), phrase) GROUP BY query_id)
+    "query_expansion": f"""WITH {ASKED}, dict(ord, phrase, s, r, m) AS (VALUES {_VALUES}),
+        hit AS (SELECT query_id, query, flatten(list(s ORDER BY ord)) AS s, flatten(list(r ORDER BY ord)) AS r, flatten(list(m ORDER BY ord)) AS m FROM q JOIN dict ON contains(lower(query), phrase) GROUP BY query_id, query)
         SELECT query_id, coalesce(array_to_string(s[1:5], '|'), '') AS synonyms, coalesce(array_to_string(r[1:5], '|'), '') AS related, coalesce(array_to_string(m[1:5], '|'), '') AS multilingual,
-        CASE WHEN s IS NULL THEN query ELSE array_to_string(list_concat([query], s, r[1:3]), ' OR ') END AS expanded_query FROM q LEFT JOIN hit USING (query_id)""",
+        CASE WHEN s IS NULL THEN query ELSE array_to_string(list_concat([query], s, r[1:3]), ' OR ') END AS expanded_query FROM q LEFT JOIN hit USING (query_id, query)""",
     "knn_topk": f"WITH {KNN} SELECT query_id, id, similarity, rank FROM knn",
     "temporal_score": f"WITH {CANDIDATES} SELECT query_id, id, published_date, round(temporal, 9) AS temporal_score FROM scored",
     "rerank": f"WITH {CANDIDATES} SELECT query_id, id, round(semantic, 9) AS semantic_score FROM scored",
