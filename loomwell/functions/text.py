@@ -13,9 +13,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+# Results must agree on these patterns.
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
+FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+BRACED_OBJECT = r"(?s)\{.*\}"
+
+
 def sentences(text: Column, longer_than: int = 10) -> Column:
     """Sentences of more than ``longer_than`` characters; null text has none."""
-    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), strip)
+    parts = F.transform(F.split(text, SENTENCE_END), strip)
     return F.coalesce(F.filter(parts, lambda s: F.length(s) > longer_than), F.array().cast("array<string>"))
 
 
@@ -37,13 +43,13 @@ def query_terms(query: Column, stop_words: list[str] = STOP_WORDS, longer_than:
 
 def fenced_json(raw: Column) -> Column:
     """The object in the first fenced block, else from the first brace to the last, else the text itself."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(raw, FENCED_OBJECT, 1)
     return F.coalesce(F.nullif(fenced, F.lit("")), braced_json(raw))
 
 
 def braced_json(raw: Column) -> Column:
     """From the first brace to the last, else the text itself."""
-    return F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), raw)
+    return F.coalesce(F.nullif(F.regexp_extract(raw, BRACED_OBJECT, 0), F.lit("")), raw)
 
 
 def truthy(value: Column) -> Column:
