@@ -60,8 +60,10 @@ def completeness(symptoms: DataFrame, by_model: bool = False) -> DataFrame:
     return symptoms.withColumn("completeness", share).withColumn("ready", enough | F.coalesce(F.col("severity") >= 7, F.lit(False)))
 
 
-def _split_list(value: Column) -> Column:
-    return F.transform(F.split(value, ","), lambda x: F.trim(x))
+def _entries(name: str) -> Column:
+    """(list, value) of each value of a list element, which is comma text; null has none."""
+    values = F.transform(F.split(F.col(name), ","), lambda x: F.struct(F.lit(name).alias("list"), F.trim(x).alias("value")))
+    return F.coalesce(values, F.array().cast("array<struct<list:string,value:string>>"))
 
 
 def merge_profiles(updates: DataFrame) -> DataFrame:
@@ -71,12 +73,14 @@ def merge_profiles(updates: DataFrame) -> DataFrame:
     raw severity as text. Null never overwrites an element, an empty text does; lists are united;
     severity that is no number is ignored; severity outside 1 to 10 rejects its whole update of
     symptoms. The chief complaint is overwritten by each update, by null as well. A group, not a running
-    window: partial aggregation keeps one row for each task and conversation, with the different lists of its turns.
+    window: partial aggregation keeps one row for each task and conversation, with the different values of its turns.
     """
     severity = F.expr("try_cast(severity as int)")
     rows = updates.withColumn("severity", severity).withColumn("ok", ~F.coalesce(~severity.between(1, 10), F.lit(False)))
     latest = lambda c: F.max_by(F.when(F.col("ok"), F.col(c)), F.when(F.col("ok") & F.col(c).isNotNull(), F.col("turn"))).alias(c)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("ok"), _split_list(F.col(c))))))).alias(c)
+    union = lambda c: F.array_sort(F.collect_set(F.when(F.col("e.list") == c, F.col("e.value")))).alias(c)
+    # A row for each value; what is latest is so in any number of equal rows.
+    rows = rows.withColumn("e", F.explode_outer(F.when(F.col("ok"), F.concat(*[_entries(c) for c in LISTS])))).drop(*LISTS)
     chief = F.max_by(F.struct("chief_complaint"), "turn").alias("chief")
     merged = rows.groupBy("conv_id").agg(chief, *[latest(c) for c in (*SCALARS, "severity")], *[union(c) for c in LISTS])
     return merged.select("conv_id", F.col("chief.chief_complaint").alias("chief_complaint"), *SCALARS, "severity", *LISTS)

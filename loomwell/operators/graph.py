@@ -89,6 +89,19 @@ def link_entities(node_table: DataFrame, ontology: DataFrame) -> DataFrame:
     return node_table.join(ontology, node_table["node"] == ontology["name"], "left").drop("name")
 
 
+def entities(node_table: DataFrame, ontology: DataFrame) -> DataFrame:
+    """(name, entity_type, aliases, ontology_ids) of the nodes; ids are the columns of ``ontology`` besides the name, unlinked nodes have none.
+
+    Triples tell neither types nor other names: every type is ``unknown``, and no entity has an alias.
+    """
+    linked = link_entities(node_table.select("node"), ontology)
+    ids = F.map_from_arrays(F.array(*[F.lit(c) for c in ontology.columns if c != "name"]), F.array(*[F.col(c).cast("string") for c in ontology.columns if c != "name"]))
+    return linked.select(
+        F.col("node").alias("name"), F.lit("unknown").alias("entity_type"), F.array().cast("array<string>").alias("aliases"),
+        F.map_filter(ids, lambda _, v: v.isNotNull()).alias("ontology_ids"),
+    )
+
+
 def match_nodes(queries: DataFrame, node_table: DataFrame) -> DataFrame:
     """(query_id, node, node_ord) where a term of the query is part of the node's name, or the name of the term.
 

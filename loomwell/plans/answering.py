@@ -9,8 +9,8 @@ from ..functions.encoders import Encoder, cosine, embed
 from ..operators import chunking, retrieval
 from ..sources import tables as S
 
-#: More segments than half of this no document has.
-CHUNKS_A_DOCUMENT = 1 << 21
+#: Bounds of a chunk's number, ``doc_idx`` times the first plus its place; the job fails on a document beyond them.
+CHUNKS_A_DOCUMENT, DOCUMENTS = 1 << 21, 1 << 42
 
 
 #: Characters of a candidate that its rerank score looks at.
@@ -30,7 +30,9 @@ def passages(
     chunks = chunking.chunk(docs, threshold, encoder=encoder)
     # One id for each chunk of the corpus, ascending by document and place in it.
     place = F.coalesce("segment", F.lit(0)) * 2 + F.when(F.col("split") == "part2", 1).otherwise(0)
-    index = chunks.select("doc_idx", "content", (F.col("doc_idx") * CHUNKS_A_DOCUMENT + place).alias("id"))
+    fits = (place < CHUNKS_A_DOCUMENT) & F.col("doc_idx").between(-DOCUMENTS, DOCUMENTS - 1)
+    number = F.when(fits, F.col("doc_idx") * CHUNKS_A_DOCUMENT + place).otherwise(F.raise_error(F.lit("a document's index or number of chunks is too large")).cast("long"))
+    index = chunks.select("doc_idx", "content", number.alias("id"))
     index = S.stored(index.withColumn("embedding", embed(F.col("content"), encoder)))
     expanded = retrieval.expand(queries.select("query_id", "query"), dictionary if dictionary is not None else retrieval.expansion_table(docs.sparkSession))
     asked = S.stored(expanded.select("query_id", embed(F.col("expanded_query"), encoder).alias("embedding"), embed(F.col("query"), encoder).alias("as_asked")))

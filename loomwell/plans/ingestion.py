@@ -17,18 +17,22 @@ from ..sources import tables as S
 
 
 def build(docs: DataFrame, triples: DataFrame, folder: str, created_at: Column, threshold: float = chunking.THRESHOLD, encoder: Encoder | None = None) -> None:
-    """Chunk, encode and write ``docs``; write nodes (linked to the ontology), edges and the manifest."""
+    """Chunk, encode and write ``docs``; write nodes, edges, entities (linked to the ontology) and the manifest."""
     chunks = chunking.chunk(docs, threshold, encoder=encoder)
     S.write_index(chunks.withColumn("embedding", embed(F.col("content"), encoder).cast("array<float>")), folder)
     ontology = docs.sparkSession.createDataFrame(ONTOLOGY, "name string, icd10 string, snomed string")
-    S.write_graph(graph.link_entities(graph.nodes(triples), ontology), graph.edges(triples), folder)
+    nodes = graph.nodes(triples)
+    S.write_graph(nodes, graph.edges(triples), graph.entities(nodes, ontology), folder)
     written = docs.sparkSession.read.parquet(f"{folder}/chunks")
     S.manifest(docs, written, created_at, "hashed-counts-64", f"{folder}/nodes").write.mode("overwrite").json(f"{folder}/manifest")
 
 
 def ordered(triples: DataFrame) -> DataFrame:
-    """Triples with ``ord`` from their document and place: documents come in the order of their index."""
-    return triples.withColumn("ord", F.col("doc_idx") * 1_000_000 + F.col("pos"))
+    """Triples with ``ord`` from their document and place: documents come in the order of their index.
+
+    A decimal, so that places of different documents never meet, whatever long id and however many triples a document has.
+    """
+    return triples.withColumn("ord", F.col("doc_idx").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)"))
 
 
 def setup(docs: DataFrame, triples: DataFrame, folder: str, created_at: Column, force_rebuild: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -36,6 +36,12 @@ def corpus_inventory(spark: SparkSession, d: str) -> DataFrame:
     return S.inventory(docs(spark, d).select(provider.alias("provider"), F.octet_length("text").cast("long").alias("length")))
 
 
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Files and bytes of each table of the data folder; only the file system is asked, contents stay unread."""
+    name = F.regexp_extract("path", r"/([^/]+)\.parquet(/[^/]*)?$", 1)
+    return S.inventory(S.list_files(spark, d, "*.parquet").select(name.alias("provider"), "length"))
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk(docs(spark, d), threshold=THRESHOLD)
 
@@ -117,7 +123,7 @@ un AS (SELECT label AS seg, doc_idx, id AS chunk_id, label AS cluster, CAST(f AS
 chunks AS (SELECT * FROM un WHERE split IS NULL OR length(content) >= 150)"""
 
 QUERIES = {f.__name__: f for f in (
-    load_corpus, corpus_union, corpus_inventory, index_manifest, sentence_split, chunk_ids, hash_embed, adjacent_similarity,
+    load_corpus, corpus_union, corpus_inventory, file_inventory, index_manifest, sentence_split, chunk_ids, hash_embed, adjacent_similarity,
     sentence_clusters, sequential_groups, semantic_chunks, chunk_stats,
 )}
 

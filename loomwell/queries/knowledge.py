@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fenced_json
 from ..operators import graph as G
+from ..operators import parsing
 from ..sources import tables as S
 from .corpus import BLANKS, docs
 
@@ -103,9 +104,10 @@ def llm_json_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def llm_json_validate(spark: SparkSession, d: str) -> DataFrame:
     """Answers whose required field ``k`` is there are valid; the others are quarantined with what is missing."""
-    body = fenced_json(wrapped(F.when(F.col("event_id") % 5 == 0, F.lit('{"x": 1}')).otherwise(F.col("props"))))
-    rows = _events(spark, d).select("event_id", F.from_json(body, "struct<k:long>")["k"].alias("k"))
-    return rows.select("event_id", "k", F.col("k").isNotNull().alias("valid"), F.when(F.col("k").isNull(), "k").alias("missing"))
+    raw = wrapped(F.when(F.col("event_id") % 5 == 0, F.lit('{"x": 1}')).otherwise(F.col("props")))
+    valid, aside = parsing.quarantine(parsing.parse(_events(spark, d).select("event_id", raw.alias("raw")), "struct<k:long>", ["k"]))
+    valid = valid.select("event_id", F.col("parsed.k").alias("k"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("missing"))
+    return valid.unionByName(aside.select("event_id", F.lit(None).cast("long").alias("k"), F.lit(False).alias("valid"), F.array_join("missing", ", ").alias("missing")))
 
 
 def triple_parse(spark: SparkSession, d: str) -> DataFrame:

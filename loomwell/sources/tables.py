@@ -30,6 +30,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at ``path``, or an empty one of that schema if nothing is there."""
     try:
@@ -93,17 +98,21 @@ def manifest(docs: DataFrame, chunks: DataFrame, created_at: Column, model: str,
 
 
 CHUNKS = "unit_id string, doc_idx long, content string, embedding array<float>"
-NODES = "node string, node_ord long"
-EDGES = "src string, dst string, relation string, confidence double, source string, edge_ord long"
+# Places in a corpus: 38 digits hold any document's long id and any place in it.
+NODES = "node string, node_ord decimal(38,0)"
+EDGES = "src string, dst string, relation string, confidence double, source string, edge_ord decimal(38,0)"
+ENTITIES = "name string, entity_type string, aliases array<string>, ontology_ids map<string,string>"
 
 
 def write_index(chunks: DataFrame, folder: str) -> None:
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
-    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+def write_graph(nodes: DataFrame, edges: DataFrame, entities: DataFrame, folder: str) -> None:
+    """``exists`` looks for the nodes: they are written last."""
+    entities.write.mode("overwrite").parquet(f"{folder}/entities")
+    edges.withColumn("edge_ord", F.col("edge_ord").cast("decimal(38,0)")).write.mode("overwrite").parquet(f"{folder}/edges")
+    nodes.withColumn("node_ord", F.col("node_ord").cast("decimal(38,0)")).write.mode("overwrite").parquet(f"{folder}/nodes")
 
 
 def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -111,6 +120,10 @@ def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return read_or_empty(spark, f"{folder}/nodes", NODES), read_or_empty(spark, f"{folder}/edges", EDGES)
 
 
+def read_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return read_or_empty(spark, f"{folder}/entities", ENTITIES)
+
+
 def exists(spark: SparkSession, folder: str) -> bool:
     """Whether an index and a graph were written to ``folder``."""
     for name, schema in (("chunks", CHUNKS), ("nodes", NODES)):

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.text import safe_key
 from ..operators.checkpoints import LISTED, expired, latest
 from ..operators.conversation import LISTS, SCALARS
+from ..sources.tables import delete_folder, read_or_empty
 
 PROFILE = "conv_id long, chief_complaint string, " + ", ".join(f"{c} string" for c in SCALARS) + ", severity int, " + ", ".join(f"{c} array<string>" for c in LISTS)
 _STATE = "chief_turn long, chief_complaint string, " + ", ".join(f"{c} string, {c}_turn long" for c in SCALARS) + ", severity int, severity_turn long, " + ", ".join(f"{c} array<string>" for c in LISTS)
@@ -59,15 +61,50 @@ def _apply(held: dict, row: dict) -> None:
             held[c] = sorted({*held[c], *(x.strip(" ") for x in row[c].split(","))})
 
 
-def upsert_checkpoints(log: DataFrame, folder: str) -> DataStreamWriter:
-    """Keep the latest state of each conversation in ``folder``/v<batch>; a batch that is run again writes the same."""
+def _versions(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    return read_or_empty(spark, folder, StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("batch", LongType())]))
+
+
+def _newest(versions: DataFrame) -> dict[int, int]:
+    """The newest batch of each bucket: no more rows than buckets."""
+    return {r["bucket"]: r["batch"] for r in versions.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+
+def _only(versions: DataFrame, newest: dict[int, int]) -> DataFrame:
+    """Rows of one version for each bucket; a filter of folders, the others are not read."""
+    chosen = F.lit(False)
+    for bucket, number in newest.items():
+        chosen = chosen | ((F.col("bucket") == bucket) & (F.col("batch") == number))
+    return versions.where(chosen)
+
+
+def current_checkpoints(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The latest state of each conversation that ``upsert_checkpoints`` keeps in ``folder``."""
+    versions = _versions(spark, folder, schema)
+    return _only(versions, _newest(versions)).drop("bucket", "batch")
+
+
+def upsert_checkpoints(log: DataFrame, folder: str, buckets: int = 64) -> DataStreamWriter:
+    """Keep the latest state of each conversation in ``folder``/bucket=<b>/batch=<n>, one stream to a folder.
+
+    Conversations are dealt into ``buckets``. A batch writes a new version of those that it has rows of, from their
+    version before it, and leaves the others alone; a batch that is run again writes the same. Two versions of a bucket stay,
+    so that a reader of the older one is not disturbed.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{folder}/v{number - 1}"))
-        latest(rows).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        spark, schema = batch.sparkSession, batch.schema
+        bucket = F.pmod(F.xxhash64(safe_key(F.col("conversation_id"))), F.lit(buckets)).cast("int")
+        rows = batch.withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        held = _versions(spark, folder, schema).where(F.col("bucket").isin(touched) & (F.col("batch") < number))
+        newest = _newest(held)
+        merged = latest(rows.unionByName(_only(held, newest).drop("batch"))).select(*batch.columns, "bucket", F.lit(number).cast("long").alias("batch"))
+        dealt = merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        dealt.partitionBy("bucket", "batch").parquet(folder)
+        for r in held.select("bucket", "batch").distinct().collect():
+            if r["batch"] < newest[r["bucket"]]:
+                delete_folder(spark, f"{folder}/bucket={r['bucket']}/batch={r['batch']}")
 
     return log.writeStream.foreachBatch(write)
 
@@ -97,4 +134,4 @@ def expire(log: DataFrame, days: int = 7) -> DataFrame:
     return kept.groupBy("conversation_id").applyInPandasWithState(fold, "conversation_id string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-__all__ = ["PROFILE", "expire", "expired", "fold_profiles", "upsert_checkpoints"]
+__all__ = ["PROFILE", "current_checkpoints", "expire", "expired", "fold_profiles", "upsert_checkpoints"]

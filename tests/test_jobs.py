@@ -32,12 +32,21 @@ def test_index_is_built_once_and_read_again(spark, tmp_path):
     chunks, nodes, edges = ingestion.setup(docs, triples, folder, F.lit("2025-01-01"), threshold=0.2)
     n = chunks.count()
     assert n > 0 and nodes.count() == 2 and edges.count() == 1
+    assert {r["name"]: (r["entity_type"], r["aliases"], r["ontology_ids"]) for r in S.read_entities(spark, folder).collect()} == {
+        "caries": ("unknown", [], {"icd10": "K02", "snomed": "80967001"}), "pain": ("unknown", [], {}),
+    }
     again = ingestion.setup(docs.limit(0), triples, folder, F.lit("2025-01-01"))
     assert again[0].count() == n
     assert ingestion.setup(docs.limit(0), triples, folder, F.lit("2025-01-01"), force_rebuild=True)[0].count() == 0
     assert spark.read.json(f"{folder}/manifest").first()["num_chunks"] == 0
 
 
+def test_places_of_large_documents_do_not_meet(spark):
+    rows = [(-1, 0), (0, 0), (0, 5_000_000), (1, 0), ((1 << 63) - 2, 2_000_000_000), ((1 << 63) - 1, 0)]
+    got = ingestion.ordered(spark.createDataFrame(rows, "doc_idx long, pos int")).orderBy("ord").collect()
+    assert [(r["doc_idx"], r["pos"]) for r in got] == rows and len({r["ord"] for r in got}) == len(rows)
+
+
 def test_chat_log(spark, tmp_path):
     rows = spark.createDataFrame([(1, "", "r", None), (2, None, "r", None), (3, "hi", "r", None)], "id long, user_text string, response string, timestamp timestamp")
     for _ in range(2):
@@ -100,9 +109,52 @@ def test_streamed_checkpoints_equal_the_batch(spark, small, tmp_path):
     folder = str(tmp_path / "out")
     stream = folds.upsert_checkpoints(_stream(spark, log, str(tmp_path / "in")), folder).option("checkpointLocation", str(tmp_path / "c"))
     assert stream.trigger(availableNow=True).start().awaitTermination(120)
-    newest = max(tmp_path.joinpath("out").iterdir(), key=lambda p: int(p.name[1:]))
     columns = ["conversation_id", "seq", "state"]
-    same_rows(spark.read.parquet(str(newest)).select(*columns).toPandas(), checkpoints.latest(log).select(*columns).toPandas())
+    same_rows(folds.current_checkpoints(spark, folder, log.schema).select(*columns).toPandas(), checkpoints.latest(log).select(*columns).toPandas())
+
+
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    """Of conversations that a batch has no row of nothing is written; of each bucket two versions stay; a batch may run again."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "conversation_id string, ts timestamp, seq long, state string"
+    save = lambda rows: spark.createDataFrame(rows, "conversation_id string, day int, seq long, state string").selectExpr("conversation_id", "timestamp'2025-01-01' + make_dt_interval(day) as ts", "seq", "state").coalesce(1).write.mode("append").parquet(source)
+    save([(f"conv_{i}", 0, 0, "first") for i in range(40)])
+    stream = folds.upsert_checkpoints(spark.readStream.schema(schema).parquet(source), folder).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    for rows in ([], [("conv_1", 1, 1, "second")], [("conv_1", 2, 2, "third")], [("conv_1", 1, 3, "late")]):
+        if rows:
+            save(rows)
+        assert stream.start().awaitTermination(120)
+    log = spark.read.schema(schema).parquet(source)
+    got = {r["conversation_id"]: r["state"] for r in folds.current_checkpoints(spark, folder, log.schema).collect()}
+    assert got == {f"conv_{i}": "third" if i == 1 else "first" for i in range(40)}
+    batches = {p.name: sorted(q.name for q in p.iterdir() if q.is_dir()) for p in (tmp_path / "out").iterdir() if p.is_dir()}
+    assert sorted(map(tuple, batches.values()))[-1] == ("batch=2", "batch=3") and sum(b == ["batch=0"] for b in batches.values()) == len(batches) - 1 > 5
+
+
+def test_files_of_the_tables(spark, small):
+    from pathlib import Path
+
+    from loomwell import registry
+
+    expected = {}
+    for p in Path(small).rglob("*.parquet"):
+        if p.is_file():
+            name = p.relative_to(small).parts[0].removesuffix(".parquet")
+            files, size = expected.get(name, (0, 0))
+            expected[name] = files + 1, size + p.stat().st_size
+    got = {r["provider"]: (r["files"], r["bytes"]) for r in registry.QUERIES["file_inventory"](spark, small).collect()}
+    assert got == expected and len(got) == 14
+
+
+def test_answers_are_quarantined(spark):
+    from loomwell.operators import parsing
+
+    raws = ['Sure:\n```json\n{"a": 1, "b": "x"}\n```', '{"a": 2}', '{"a": "no number", "b": "y"}', "nothing", None]
+    rows = parsing.parse(spark.createDataFrame(list(enumerate(raws)), "id int, raw string"), "struct<a:long,b:string>", ["a", "b"])
+    valid, aside = parsing.quarantine(rows)
+    assert [(r["id"], r["parsed"]["a"], r["parsed"]["b"]) for r in valid.collect()] == [(0, 1, "x")]
+    got = {r["id"]: (r["raw"], r["missing"]) for r in aside.collect()}
+    assert {i: m for i, (_, m) in got.items()} == {1: ["b"], 2: ["a"], 3: ["a", "b"], 4: ["a", "b"]} and got[3][0] == "nothing"
 
 
 def test_streamed_expiry(spark, tmp_path):
