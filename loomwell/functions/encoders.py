@@ -7,11 +7,12 @@ callable of that shape takes its place, for instance one that runs a model which
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,31 +20,48 @@ Encoder = Callable[[list[str]], np.ndarray]
 DIM = 64
 #: Sentences whose vectors are held at once; a longer row is held alone.
 HELD_SENTENCES = 8192
+#: Characters of texts that are cut into words at once; a longer text is cut alone.
+HELD_CHARS = 4 << 20
+#: Words whose buckets a worker remembers, but for those of one such step.
+KNOWN_WORDS = 200_000
 
-_words = re.compile(r"\w+").findall
+#: Words are letters, digits and underscores.
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 
 
 class hashed_counts:  # noqa: N801  used like a function
-    """Counts of words by bucket: the first 32 bits of a word's MD5, modulo ``dim``."""
+    """Counts of words by bucket: the first 32 bits of a word's MD5, modulo ``dim``. Arrow cuts texts and finds distinct words."""
 
     def __init__(self, dim: int = DIM):
         self.dim, self.known = dim, {}
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        known = self.known
-        for row, text in zip(out, texts):
-            buckets = []
-            for word in _words(text.lower()):
-                at = known.get(word)
-                if at is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    at = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-                buckets.append(at)
-            row += np.bincount(buckets, minlength=self.dim) if buckets else 0
+        out, first, size = np.zeros((len(texts), self.dim)), 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= HELD_CHARS or i + 1 == len(texts):
+                out[first : i + 1] = self._counts(texts[first : i + 1])
+                first, size = i + 1, 0
         return out
 
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        parts = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), pattern=BETWEEN_WORDS)
+        words = parts.flatten().dictionary_encode()
+        bucket = self._buckets(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        text_of = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+        cells = (text_of * self.dim + bucket)[bucket >= 0]
+        return np.bincount(cells, minlength=len(texts) * self.dim).reshape(-1, self.dim)
+
+    def _buckets(self, words: list[str]) -> np.ndarray:
+        """The bucket of each word; -1 for the empty one, which stands before, between or behind marks."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known = self.known
+        for word in words:
+            if word not in known:
+                known[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % self.dim if word else -1
+        return np.array([known[word] for word in words], dtype=np.int64)
+
 
 def embed(text: Column, encoder: Encoder | None = None) -> Column:
     """``array<double>`` of each text; null text is encoded as empty text."""

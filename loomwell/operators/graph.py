@@ -33,8 +33,9 @@ def parse_triples(answers: DataFrame) -> DataFrame:
     good = lambda z: (
         z["t"]["subject"].isNotNull() & z["t"]["predicate"].isNotNull() & z["t"]["object"].isNotNull() & F.coalesce(confidence(z).between(0, 1), F.lit(False))
     )
-    valid = both.where(F.coalesce(F.forall("zipped", good), F.lit(False)))
-    rows = valid.select("doc_idx", F.posexplode("zipped").alias("pos", "z"))
+    # Not a filter of answers: it would be pushed below and parse each of them a second time.
+    valid = F.when(F.forall("zipped", good), F.col("zipped"))
+    rows = both.select("doc_idx", F.posexplode_outer(valid).alias("pos", "z")).where("pos is not null")
     clean = lambda c: strip(F.lower(c))
     z = F.col("z")
     return rows.select(

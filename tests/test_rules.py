@@ -207,3 +207,30 @@ def test_checkpoints(spark):
     assert {r["conversation_id"] for r in kept.collect()} == {"conv_1", "other"}
     asked = spark.createDataFrame([(1, "conv_1"), (2, "new"), (3, None)], "request_id int, conversation_id string").withColumn("input", F.lit("hi"))
     assert {r["request_id"]: r["origin"] for r in checkpoints.resume(asked, current).collect()} == {1: "saved", 2: "fresh", 3: "history"}
+
+
+def test_word_counts_by_bucket(monkeypatch):
+    """Equal to a loop over words, however texts are cut into steps and however few words are remembered."""
+    import hashlib
+    import re
+
+    from loomwell.functions import encoders
+
+    texts = ["", "Zum Ä_1 x", "x " * 5000, "...", "naïve 😀 text\r\nwith lines\t", *(f"word{i} Word{i % 7}, again" for i in range(300))]
+    expected = [[0.0] * encoders.DIM for _ in texts]
+    for row, text in zip(expected, texts):
+        for word in re.findall(r"\w+", text.lower()):
+            row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % encoders.DIM] += 1
+    for chars, known in ((1 << 22, 200_000), (1, 1), (200, 10)):
+        monkeypatch.setattr(encoders, "HELD_CHARS", chars)
+        monkeypatch.setattr(encoders, "KNOWN_WORDS", known)
+        assert encoders.hashed_counts()(texts).tolist() == expected
+    assert encoders.hashed_counts()([]).shape == (0, encoders.DIM)
+
+
+def test_strip(spark):
+    blanks = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
+    from loomwell.functions.text import strip
+
+    rows = spark.createDataFrame([(f"{blanks}a{blanks}b{blanks}",), (blanks,), ("",), (None,), ("\u200ba",)], "t string")
+    assert [r[0] for r in rows.select(strip(F.col("t"))).collect()] == [f"a{blanks}b", "", "", None, "\u200ba"]
