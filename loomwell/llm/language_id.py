@@ -167,6 +167,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """``identify`` for every row of ``docs``, by dictionaries of its training rows.
+
+    Null ids are neither held out nor learnt from. Rows that repeat or share an id are judged each for itself; columns
+    besides doc_id, text and (to learn) lang are not read, whatever their names. No rows give no rows.
+    """
     dictionaries = learn(docs, is_training(F.col("doc_id"), 4, 2))
     found = identify(docs.select("doc_id", "text"), dictionaries)
     return found.select("doc_id", is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "margin", "rejected")

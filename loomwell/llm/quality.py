@@ -208,6 +208,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` for every row of ``docs``, by a model of its training rows and their good labels.
+
+    Null ids are neither held out nor learnt from. Rows that repeat or share an id are judged each for itself; columns
+    besides doc_id and text are not read, whatever their names. No rows give no rows.
+    """
     model = learn(docs, labels, is_training(F.col("doc_id"), 4, 2))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

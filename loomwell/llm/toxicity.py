@@ -236,6 +236,11 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``score`` for every row of ``docs``, by a network of its labelled training rows.
+
+    Null ids are neither held out nor learnt from. Rows that repeat or share an id are judged each for itself; columns
+    besides doc_id, text and (to calibrate) lang are not read, whatever their names. No rows give no rows.
+    """
     network = learn(docs, labels, is_training(F.col("doc_id"), 4, 2))
     scored = score(docs.select("doc_id", "text"), network)
     return scored.select("doc_id", is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "lang_guess")
