@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, class_ngrams, decontamination, language_id, line_dedup, media_sequences, ngram_join, quality, toxicity
+from . import byte_bpe, chat_format, class_ngrams, decontamination, language_id, line_dedup, media_sequences, mixing, ngram_join, quality, toxicity
 from .common import narrow_batches, table
 
 _QUERIES = {
@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_language_id": lambda spark, d: language_id.query(table(spark, d, "documents")),
     "op9_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
+    "op11_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
 }
 
 
@@ -33,4 +34,5 @@ ORACLE_SQL = {
     "op4_chat_format": chat_format.ORACLE_SQL,
     "op6_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_source_mixing": mixing.ORACLE_SQL,
 }
