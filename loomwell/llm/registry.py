@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, class_ngrams, decontamination, language_id, line_dedup, media_sequences, mixing, ngram_join, quality, toxicity, vector_codes
+from . import byte_bpe, chat_format, class_ngrams, collocations, decontamination, language_id, line_dedup, media_sequences, mixing, ngram_join, quality, toxicity, vector_codes
 from .common import narrow_batches, table
 
 _QUERIES = {
@@ -17,6 +17,7 @@ _QUERIES = {
     "op9_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
     "op11_source_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+    "op12_collocations": lambda spark, d: collocations.query(table(spark, d, "documents")),
     "op13_vector_codes": lambda spark, d: vector_codes.query(table(spark, d, "embeddings")),
 }
 
@@ -36,5 +37,6 @@ ORACLE_SQL = {
     "op6_benchmark_decontamination": decontamination.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
     "op11_source_mixing": mixing.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
