@@ -30,7 +30,7 @@ def _back(docs: DataFrame, changed: DataFrame, text: str = "text") -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin stay, as they are, repeats included.
 
-    Null, empty and letterless texts go. Further columns pass through. No rows give no rows.
+    Null, empty and letterless texts go; texts of any length are judged as wholes. Further columns pass through. No rows give no rows.
     """
     narrow_batches(spark)
     dictionaries = language_id.learn(docs, is_training(F.col("doc_id"), 4, 2))
@@ -40,11 +40,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents hold go; a document of which none is left stays, empty, for the next stage to collapse.
 
-    Documents that consist of the same lines count once, so that copies of a text keep it for the next stage,
-    which leaves one of them. Null text becomes empty, one empty line. Further columns pass through.
+    Documents that consist of the same lines count once, and so do those that links of 0.8 or more connect, so that
+    copies and near copies of a text keep it for the next stage, which leaves one of them. Null text becomes empty, one
+    empty line. Repeats are rows of their own, texts of any length, no rows give no rows; further columns pass through.
     """
     narrow_batches(spark)
-    return _back(docs, line_dedup.dedup_lines(_own(docs), copies_count=False), "kept")
+    near = ngram_join.join(docs).where("n_links > 0").select("doc_id", F.col("class_id").alias("group"))
+    return _back(docs, line_dedup.dedup_lines(_own(docs), copies_count=False, groups=near), "kept")
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out; a document of which no word is left goes.
 
-    Null and empty texts, and those without words, stay as they are. Further columns pass through.
+    Null and empty texts, and those without words, stay as they are. Repeated rows are judged each for itself, texts of
+    any length as wholes; no rows give no rows. Further columns pass through.
     """
     narrow_batches(spark)
     found = decontamination.find_spans(_own(docs), table(spark, sf_dir, "benchmark"))
@@ -71,7 +74,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the bytes they decode to, for each row; null text is empty."""
+    """Token counts and digests of the ids and of the bytes they decode to, for each row; null text is empty.
+
+    Repeats have equal rows, texts may be of any length, no rows give no rows; further columns go.
+    """
     narrow_batches(spark)
     return byte_bpe.query(docs)
 

@@ -27,17 +27,21 @@ def narrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: The folder of a local session that names none.
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share (``spark.checkpoint.dir``).
 
     Only a local session, where all share one machine, may lack that setting; a temporary folder takes its place.
     """
+    global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="loomwell-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_dir = _own_dir or tempfile.mkdtemp(prefix="loomwell-")
     return f"{base.rstrip('/')}/loomwell-{uuid.uuid4().hex}"
 
 

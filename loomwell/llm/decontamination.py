@@ -42,17 +42,22 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct phrases of some items (id, words) by length, over symbols 2, 3, ... (1 is the separator)."""
+    """The distinct phrases of some items (id, words) by length, over symbols 2, 3, ... (1 is the separator).
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    Phrases of items without an id are found like the others, and name no item.
+    """
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.symbols: dict[bytes, int] = {}
-        self.owners: list[str] = sorted({i for i, _ in items})
+        self.owners: list[str] = sorted({i for i, _ in items if i is not None})
         rank = {i: k for k, i in enumerate(self.owners)}
         found: dict[tuple[int, ...], set[int]] = {}
         for item, own_words in items:
             ids = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in own_words]
             for a in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[a : a + window]), set()).add(rank[item])
+                owned = found.setdefault(tuple(ids[a : a + window]), set())
+                if item is not None:
+                    owned.add(rank[item])
         self.by_length = []
         for size in sorted({len(p) for p in found}):
             own = sorted(p for p in found if len(p) == size)
@@ -142,8 +147,8 @@ def _shards(parts: Iterator[pa.RecordBatch], words_limit: int) -> Iterator[pa.Re
 
 def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[Phrases]:
     """The items in blocks of at most ``limit`` words or one window; longer items are parted so that every window is in one part."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    held: list[tuple[str, list[bytes]]] = []
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    held: list[tuple[str | None, list[bytes]]] = []
     size, most = 0, max(limit, window)
     for item, text in items.toLocalIterator():
         own = words(text.encode())
@@ -171,7 +176,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
     Null or empty text has no words and no spans. Rows that repeat, or share a doc_id, are searched each
     for itself; texts may be of any length. Rows of the benchmark that share an item_id are one item with the windows
-    of each. An empty benchmark, or items without words, find nothing. Columns of those names are replaced.
+    of each; rows without an item_id are searched like the others, and stand in no list of items. An empty benchmark, or items without words, find nothing. Columns of those names are replaced.
     """
     context = docs.sparkSession.sparkContext
     docs = docs.drop("n_words", "spans", "items")
@@ -249,19 +254,20 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(w, ' ') AS words FROM (SELECT doc_id, trim(regexp_replace(translate(text,
-       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS w FROM documents) WHERE w <> ''),
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+d AS (SELECT r, string_split(w, ' ') AS words FROM (SELECT r, trim(regexp_replace(translate(text,
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS w FROM rows) WHERE w <> ''),
 b AS (SELECT item_id, string_split(w, ' ') AS words FROM (SELECT item_id, trim(regexp_replace(translate(text,
        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS w FROM benchmark) WHERE w <> ''),
 phrases AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[p:p + 9], ' ') AS phrase
   FROM (SELECT item_id, words, unnest(generate_series(1, greatest(1, len(words) - 9))) AS p FROM b)),
 sizes AS (SELECT DISTINCT n FROM phrases),
-windows AS (SELECT doc_id, n, p, array_to_string(words[p:p + n - 1], ' ') AS phrase
-  FROM (SELECT doc_id, words, n, unnest(generate_series(1, len(words) - n + 1)) AS p FROM d, sizes WHERE len(words) >= n)),
-hits AS (SELECT doc_id, item_id, p, w.n FROM windows w JOIN phrases USING (n, phrase)),
-covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS q FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+windows AS (SELECT r, n, p, array_to_string(words[p:p + n - 1], ' ') AS phrase
+  FROM (SELECT r, words, n, unnest(generate_series(1, len(words) - n + 1)) AS p FROM d, sizes WHERE len(words) >= n)),
+hits AS (SELECT r, item_id, p, w.n FROM windows w JOIN phrases USING (n, phrase)),
+covered AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM hits) GROUP BY r),
+found AS (SELECT r, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
 SELECT x.doc_id, coalesce(len(d.words), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM documents x LEFT JOIN d USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+FROM rows x LEFT JOIN d USING (r) LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """

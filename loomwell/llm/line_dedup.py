@@ -187,26 +187,35 @@ def drop_lines(docs: DataFrame, hashes: DataFrame, settled: DataFrame) -> DataFr
     return rows.mapInArrow(run, f"{fields(docs, names)}kept string, n_lines long, n_dropped long")
 
 
-def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, copies_count: bool = True) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_documents: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, copies_count: bool = True, groups: DataFrame | None = None
+) -> DataFrame:
     """Drop, in every document, the lines whose key at least ``min_documents`` documents of ``docs`` hold.
 
     The result has the columns of ``docs`` but ``text``, then ``kept``, ``n_lines`` and ``n_dropped``, a row for
     each row. A document is an id, of any type: rows that share one count once for a line. Rows without an id
     count once for each different text. Without ``copies_count`` documents that have the same set of line keys
     count once together, whatever their ids, so that copies of a text alone take no line away.
+    ``groups`` (doc_id, group) names documents that count once together; those that it does not name count as before.
     Null or empty text is one empty line, which has no key and stays; so do lines of blanks. Texts and lines may
     be of any length. An empty table gives an empty table; further columns pass through, unless they are named
     like the new ones, which replace them.
     """
     docs = docs.drop("hits", "hit_id", "hit_key", "text_key", "kept", "n_lines", "n_dropped")
+    owner = F.struct(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("key")) if copies_count else F.struct(F.lit(None).cast("string").alias("id"), F.col("lines_key").alias("key"))
+    hashes = line_hashes(docs, min_chars)
+    if groups is not None:
+        # An id may have several rows, and is of one group, the least.
+        named = groups.groupBy("doc_id").agg(F.min("group").cast("string").alias("group"))
+        hashes = hashes.join(named, "doc_id", "left")
+        owner = F.when(F.col("group").isNotNull(), F.struct(F.concat(F.lit("group "), "group").alias("id"), F.lit(None).cast("binary").alias("key"))).otherwise(owner)
     # All rows of what counts as one document are in one batch.
-    owner = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("text_key")] if copies_count else [F.col("lines_key")]
-    batch = F.pmod(F.xxhash64(*owner), F.lit(batches)).cast("int")
-    hashes = stored(line_hashes(docs, min_chars).withColumn("batch", batch), "batch")
+    hashes = hashes.select("doc_id", "text_key", "hashes", owner.alias("owner"))
+    hashes = stored(hashes.withColumn("batch", F.pmod(F.xxhash64("owner"), F.lit(batches)).cast("int")), "batch")
     n = hashes.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0]
     store = RunStore(docs.sparkSession, min_documents, fanout, min(MOST_BUCKETS, max(8, -(-n // BUCKET_HASHES))))
     for i in range(batches):
-        store.add(hashes.where(F.col("batch") == i).select(*owner, "hashes"))
+        store.add(hashes.where(F.col("batch") == i).select("owner", "hashes"))
     return drop_lines(docs, hashes, store.finish())
 
 

@@ -288,8 +288,9 @@ def _within(blocks: DataFrame, meetings: DataFrame, classes: DataFrame, docs: Da
     known = blocks.select("node", "block").distinct().join(classes.select("node", "rep", "text_hash", "copies", "bands"), "node")
     several = meetings.select(F.explode(F.array("one", "other")).alias("block")).distinct().withColumn("meets", F.lit(True))
     known = known.join(several, "block", "left").withColumnRenamed("text_hash", "known_hash")
-    # Repeats of a row are one before they move.
-    texts = _named(docs).dropDuplicates(["doc_id", "text_hash"])
+    # Only texts of some block go on; repeats of a row are one, by the keys that the join has dealt them by.
+    wanted = known.select(F.col("rep").alias("doc_id"), F.col("known_hash").alias("text_hash"))
+    texts = _named(docs).join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     rows = texts.join(known, (texts["doc_id"] == known["rep"]) & (texts["text_hash"] == known["known_hash"]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import Adam, Words, fields, is_held_out, is_training, labelled_sample, sigmoid, sliced, utf8, with_columns
 
-#: Bounds of the labelled sample, in rows and in bytes of text: no text is cut, but fewer rows are drawn.
+#: Bounds of the labelled sample, in rows, in characters of all its texts, and of one. Where the rows have more, the
+#: longest give a piece from anywhere in them, of one length for all; no row is left out.
 SAMPLE = 6000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_CHARS = 24 << 20
+TEXT_CHARS = 1 << 20
 #: Rows of the embedding table.
 BUCKETS = 1 << 17
 DIM = 8
@@ -201,16 +203,29 @@ def _best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((scores[by][k] + low) / 2, 0.02, 0.98))
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
-    """Fit on labelled training rows, collected: at most ``sample`` with ``sample_bytes`` of text, in order of a
-    hash of the id (or the first alone, if it is longer). None without any."""
-    rows = labelled_sample(docs, labels, "toxic", training, sample, ("lang",)).withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)))
-    sizes = rows.select("u", "n").orderBy("u", "n").limit(sample).toArrow()
-    if not sizes.num_rows:
+def fair_length(sizes: np.ndarray, total: int) -> int:
+    """The greatest length to which texts of these sizes can be cut so that they have at most ``total`` together."""
+    sizes = np.sort(sizes)
+    left = total - np.append(0, np.cumsum(sizes))[:-1]
+    share = left // np.arange(len(sizes), 0, -1)
+    over = np.flatnonzero(sizes > share)
+    return int(max(1, share[over[0]])) if len(over) else int(sizes[-1]) if len(sizes) else 1
+
+
+def learn(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, text_chars: int = TEXT_CHARS) -> Network | None:
+    """Fit on labelled training rows, collected: at most ``sample`` in order of a hash of the id. None without any.
+
+    Together they have at most ``sample_chars`` characters, and ``text_chars`` each: a longer text gives a piece of it, at a place by
+    the id's hash, as long as the bound allows to all that are cut. One long text takes no other out of the sample.
+    """
+    rows = labelled_sample(docs, labels, "toxic", training, sample, ("lang",)).withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
+    rows = rows.orderBy("u", "n", "text").limit(sample)
+    sizes = rows.select("n").toArrow().column("n").to_numpy()
+    if not len(sizes):
         return None
-    fit = max(1, int((np.cumsum(sizes.column("n").to_numpy()) <= sample_bytes).sum()))
-    last = float(sizes.column("u")[fit - 1].as_py())
-    rows = rows.where(F.col("u") <= last).orderBy("u", "n", "text").limit(fit).select("text", "lang", "label").toArrow()
+    most = min(text_chars, fair_length(sizes.astype(np.int64), sample_chars))
+    begin = (F.pmod(F.xxhash64("u", F.lit(2)), F.lit(1 << 30)) / float(1 << 30) * F.greatest(F.col("n") - most, F.lit(0))).cast("int") + 1
+    rows = rows.select(F.substring("text", begin, F.lit(most)).alias("text"), "lang", "label").toArrow()
     texts = [rows_of(Words([t or b""])) for t in rows.column("text").cast(pa.binary()).to_pylist()]
     return Network().fit(texts, np.array(rows.column("label").to_pylist()), rows.column("lang").to_pylist())
 

@@ -27,14 +27,15 @@ def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
 
 
-def kept_lines(rows, min_documents=10, copies_count=True):
-    """(n_lines, n_dropped, kept) of each (doc_id, text)."""
+def kept_lines(rows, min_documents=10, copies_count=True, groups=None):
+    """(n_lines, n_dropped, kept) of each (doc_id, text); ids of one group in ``groups`` count once."""
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     lines = [(t or "").split("\n") for _, t in rows]
     if copies_count:
         owners = [("id", i) if i is not None else ("text", t or "") for i, t in rows]
     else:
         owners = [frozenset(key(line) for line in own) - {""} for own in lines]
+    owners = [("group", groups[i]) if groups and i in groups else o for (i, _), o in zip(rows, owners)]
     found = Counter(k for _, k in {(o, key(line)) for o, own in zip(owners, lines) for line in own} if k)
     out = []
     for own in lines:

@@ -45,19 +45,16 @@ def test_equals_sql_on_documents(spark, small, duck):
     same_rows(co.query(spark.read.parquet(f"{small}/documents.parquet")).toPandas(), duck(small, co.ORACLE_SQL))
 
 
-def test_branches_are_cut_off(rows, monkeypatch):
-    """A wave counts fewer phrases of three words than there are, and what it returns is whole all the same."""
-    seen = []
-    inner = co.count
-
-    def counted(docs, k, wanted, total=False):
-        out = inner(docs, k, wanted, total)
-        seen.append((k, out.count(), inner(docs, k, co.Wanted()).count()))
-        return out
-
-    monkeypatch.setattr(co, "count", counted)
-    co.mine(rows, 5, 3, 1).count()
-    assert any(n < whole / 2 for k, n, whole in seen if k == 3)
+def test_branches_are_cut_off(spark, monkeypatch):
+    """Of noise whose bounds are low nothing longer than pairs is counted."""
+    rng = random.Random(2)
+    noise = [(" ".join(rng.choices([f"w{i}" for i in range(12)], k=60)), "en") for _ in range(60)]
+    docs = spark.createDataFrame(noise + [("alpha beta gamma delta", "en")] * 20, "text string, lang string")
+    seen, inner = {}, co.count
+    monkeypatch.setattr(co, "count", lambda docs, k, wanted, total=False: seen.setdefault(k, inner(docs, k, wanted, total)))
+    found = co.mine(docs, 1, 3, 1).toPandas()
+    assert found["phrase"].tolist() == ["alpha beta gamma delta"] and found["score"].tolist() == [1_000_000]
+    assert seen[2].count() > 100 and seen[3].count() == 2 and seen[4].count() == 1
 
 
 def test_no_rows(rows):

@@ -391,14 +391,37 @@ def test_scores_and_slopes_of_the_network_are_those_of_a_loop_over_words():
         assert math.isclose(numeric(network.table[at], 2), by_row[at, 2], rel_tol=1e-3, abs_tol=1e-4)
 
 
-def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+def test_the_sample_is_bounded_in_characters_and_loses_no_row(spark, monkeypatch):
     drawn = []
-    monkeypatch.setattr(toxicity.Network, "fit", lambda self, rows, labels, langs: drawn.append((len(rows), list(langs))) or self)
-    docs = spark.createDataFrame([(i, "wort " * 100, "de") for i in range(50)] + [(99, "long " * 2000, "en")], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, i % 2) for i in [*range(50), 99]], "doc_id long, toxic int")
-    for limit, rows in ((10**7, 51), (5000, None), (10, 1)):
-        toxicity.learn(docs, labels, F.lit(True), sample_bytes=limit)
-        assert drawn[-1][0] == rows or rows is None and 0 < drawn[-1][0] <= 10
+    monkeypatch.setattr(toxicity.Network, "fit", lambda self, rows, labels, langs: drawn.append(sorted(len(r) for r in rows)) or self)
+    docs = spark.createDataFrame([(i, "wort " * 100, "de") for i in range(50)] + [(99, "long " * 20_000, "en"), (98, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(50), 98, 99]], "doc_id long, toxic int")
+    # All as they are; the long text alone is cut; so are all others, to one length.
+    for limit, longest, others in ((10**7, 20_000, 100), (30_000, 1000, 100), (5100, 20, 20)):
+        toxicity.learn(docs, labels, F.lit(True), sample_chars=limit)
+        assert len(drawn[-1]) == 52 and drawn[-1][0] == 0
+        assert abs(drawn[-1][-1] - longest) <= 1 and all(abs(n - others) <= 1 for n in drawn[-1][1:-1])
+
+
+def test_one_long_text_leaves_the_classifier_as_good(spark):
+    """A labelled text of more characters than the sample may have, first in the order of draws or not."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = docs.join(labels.where("toxic is not null"), "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").select("doc_id", "text", "toxic")
+    many = F.expr("repeat('viele normale Worte ohne Belang ', 60000)")
+    first = labels.where("toxic = 0 and crc32(cast(doc_id as string)) % 4 <> 2").orderBy(F.expr("pmod(xxhash64(doc_id, 1), 1 << 30)")).first()["doc_id"]
+    auc = []
+    for rows in (docs, docs.withColumn("text", F.when(F.col("doc_id") == first, many).otherwise(F.col("text")))):
+        network = toxicity.learn(rows, labels, is_training(F.col("doc_id"), 4, 2), sample_chars=1 << 20)
+        got = toxicity.score(held, network).select("score", "toxic").toPandas()
+        bad, good = got[got["toxic"] == 1]["score"].to_numpy(), got[got["toxic"] == 0]["score"].to_numpy()
+        auc.append(((bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2))
+    assert auc[1] > auc[0] - 0.03
+
+
+def test_fair_length():
+    for sizes, total, want in (([5, 1, 9], 15, 9), ([5, 1, 9], 10, 4), ([7], 3, 3), ([2, 2, 2], 3, 1), ([0, 0], 5, 0), ([1, 100, 100], 101, 50)):
+        assert toxicity.fair_length(np.array(sizes), total) == want
 
 
 def test_languages_are_guessed_by_words_of_the_sample():
@@ -418,7 +441,9 @@ def test_pipeline_equals_brute_force(spark, small, documents):
     docs = {r["doc_id"]: r["text"] for r in documents.collect()}
     dictionaries = language_id.learn(documents, is_training(F.col("doc_id"), 4, 2))
     texts = {i: t for i, t in docs.items() if (v := brute.language(t, dictionaries))[0] != "und" and v[1] > 0 and v[1] >= language_id.MIN_MARGIN}
-    texts = {i: k for i, (_, _, k) in zip(texts, brute.kept_lines(list(texts.items()), copies_count=False))}
+    links, groups = brute.linked(texts)
+    near = {i: groups[i] for i in texts if links[i]}
+    texts = {i: k for i, (_, _, k) in zip(texts, brute.kept_lines(list(texts.items()), copies_count=False, groups=near))}
     _, groups = brute.linked(texts)
     texts = {i: t for i, t in texts.items() if groups[i] == i}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
@@ -450,6 +475,26 @@ def test_lines_that_many_documents_share_go_but_their_documents_stay(spark, smal
     assert got == {i: f"body of document {i}" for i in range(12)} | {50: "", 51: ""}
 
 
+def test_one_full_near_copy_of_an_article_survives(spark, small):
+    """Ten copies, each with a footer of its own: their lines count once, so that the next stage finds them whole."""
+    article = "\n\n".join(f"Paragraph {i} of an article that many sites repeat in full, word {i * 7} for word." for i in range(30))
+    rows = [(i, f"{article}\nfooter of site number {i}", "en", "s", 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = stored(corpus_pipeline.dedup_lines(spark, docs, small))
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {r[0]: r[1] for r in rows}
+    assert [r["text"] for r in corpus_pipeline.dedup_documents(spark, lines, small).collect()] == [rows[0][1]]
+
+
+def test_a_local_session_without_shared_folder(spark, monkeypatch):
+    """The setting cannot be changed in a running session: the library keeps a folder of its own."""
+    from loomwell.llm import common
+
+    conf = spark.conf
+    monkeypatch.setattr(type(conf), "get", lambda self, key, *default: None if key == "spark.checkpoint.dir" else conf._jconf.get(key, *default))
+    assert stored(spark.range(3)).count() == 3
+    assert common._own_dir and common.shared_dir(spark).startswith(common._own_dir)
+
+
 def test_one_full_copy_of_a_repeated_article_survives(spark, small):
     article = "\n\n".join(f"Paragraph {i} of an article that many sites repeat in full, word {i * 7} for word." for i in range(30))
     rows = [(i, article if i % 2 else f"{article}  ", "en", "s", 0) for i in range(10)] + [(20 + i, f"A footer on many pages\npage {i} itself", "en", "s", 0) for i in range(12)]

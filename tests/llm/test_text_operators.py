@@ -324,3 +324,21 @@ def test_word_hashes_do_not_depend_on_their_place():
     h = words.hashes()
     assert words.per_text.tolist() == [3, 3, 0, 1] and h[2] == h[4] == h[6] and h[0] == h[5] and len(set(h.tolist())) == 4
     assert words.hashes(4)[0] == Words([b"hell"]).hashes()[0]
+
+
+def test_decontamination_equals_sql_on_odd_rows(spark, odd_rows):
+    """Items without an id are searched and stand in no list; ids that repeat, of documents and of items."""
+    import duckdb
+
+    items = [(None, "one two three four five six seven"), ("a", "naïve 😀 text"), ("a", "another text under one id"), ("b", None), (None, ""), (None, None), ("c", "ONE two")]
+    # The very long text is left to the brute-force tests: SQL's windows over it are quadratic.
+    short = [r for r in odd_rows if len(r[1] or "") < 10_000]
+    docs = spark.createDataFrame(short, "doc_id long, text string, lang string, source string, n_chars long")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    got = decontamination.query(docs, benchmark)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", benchmark.toArrow())
+    same_rows(got.toPandas(), con.execute(decontamination.ORACLE_SQL).df())
+    hit = {(r["doc_id"], r["n_hit"], r["n_items"]) for r in got.where("contaminated").collect()}
+    assert {(5, 7, 1), (6, 7, 1), (8, 2, 1), (6, 5, 1)} <= hit
