@@ -341,4 +341,4 @@ def test_decontamination_equals_sql_on_odd_rows(spark, odd_rows):
     con.register("benchmark", benchmark.toArrow())
     same_rows(got.toPandas(), con.execute(decontamination.ORACLE_SQL).df())
     hit = {(r["doc_id"], r["n_hit"], r["n_items"]) for r in got.where("contaminated").collect()}
-    assert {(5, 7, 1), (6, 7, 1), (8, 2, 1), (6, 5, 1)} <= hit
+    assert {(5, 7, 1), (6, 7, 1), (8, 3, 1), (6, 5, 1)} <= hit
