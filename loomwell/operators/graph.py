@@ -13,7 +13,7 @@ from ..functions.text import braced_json, query_terms, sentences, strip
 from ..functions.vocabulary import PREDICATES, TEXTS
 from ..sources.tables import stored
 
-#: Characters of a name that the search for names inside of names joins on.
+#: Characters of the pieces that the search for names inside of names joins on.
 PIECE = 4
 TRIPLES = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
 
@@ -44,26 +44,66 @@ def parse_triples(answers: DataFrame) -> DataFrame:
     )
 
 
+WORD = r"(?U)(\w+)"
+
+
+def trie(names: DataFrame) -> DataFrame:
+    """The token trie of ``names`` (name) as a table: (node, depth, name).
+
+    A node is the text of its tokens, blanks between; ``name`` is the name that ends there (of several with the same tokens
+    the least), null at inner nodes. Names without tokens have no node.
+    """
+    tokens = names.select("name", F.regexp_extract_all(F.lower("name"), F.lit(WORD), F.lit(1)).alias("t")).where(F.size("t") > 0)
+    each = tokens.select("name", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("depth"))
+    return each.groupBy(F.array_join(F.slice("t", 1, F.col("depth")), " ").alias("node"), "depth").agg(F.min(F.when(F.col("depth") == F.size("t"), F.col("name"))).alias("name"))
+
+
+def find_names(texts: DataFrame, names: DataFrame, nearest_end: bool = False) -> DataFrame:
+    """``texts`` (with a column ``words``, an array) that hold a name, with ``name``, ``first`` and ``n`` words of it (from 1).
+
+    The occurrence nearest to the beginning, or with ``nearest_end`` to the end, and the longest of those there. The words at each place
+    walk down the trie of ``names``, a join by node for each step: a place that leaves the trie is gone, and a place has one
+    node at each depth, however many names begin alike. There are as many steps as the longest name has tokens.
+    """
+    nodes = stored(trie(names))
+    depth = nodes.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    keys = [c for c in texts.columns if c != "words"]
+    ahead = texts.select(*keys, F.posexplode("words").alias("first", "word"), "words")
+    at = ahead.select(*keys, (F.col("first") + 1).alias("first"), F.slice("words", F.col("first") + 1, F.lit(max(depth, 1))).alias("rest"))
+    place = F.struct(-(F.col("first") + F.col("n")), "first") if nearest_end else F.struct("first", -F.col("n"))
+    found = None
+    walked = at.withColumn("node", F.lit(""))
+    for d in range(1, depth + 1):
+        step = walked.where(F.size("rest") >= d).withColumn("node", F.concat_ws(" ", F.nullif("node", F.lit("")), F.element_at("rest", d)))
+        walked = step.join(nodes.where(F.col("depth") == d).select("node", "name"), "node")
+        ended = walked.where("name is not null").select(*keys, "name", "first", F.lit(d).alias("n"))
+        found = ended if found is None else found.unionByName(ended)
+        walked = walked.drop("name")
+        if d < depth:
+            walked = stored(walked)
+    if found is None:
+        return texts.select(*keys, F.lit(None).cast("string").alias("name"), F.lit(0).alias("first"), F.lit(0).alias("n")).limit(0)
+    return found.groupBy(*keys).agg(F.min_by(F.struct("name", "first", "n"), place).alias("x")).select(*keys, "x.*")
+
+
 def rule_triples(docs: DataFrame, entities: DataFrame, predicates: list[str] = PREDICATES) -> DataFrame:
     """Triples of sentences that name one entity, a predicate and another entity, in that order.
 
-    The default where no model extracts triples. ``entities`` (name) is a word list; a sentence's words
-    are joined with it, so its size is free. Underscores of predicates stand for blanks, too.
+    The default where no model extracts triples. ``entities`` (name) are names of one or more words, of any number.
+    Subject and object are those nearest to the predicate, the longest of those that end (begin) at the same word. Underscores of
+    predicates stand for blanks, too. Whole texts are read.
     """
     parts = docs.select("doc_idx", F.posexplode(sentences(F.lower("text"))).alias("sentence", "s"))
     wanted = "|".join(p if "_" not in p else f"{p}|{p.replace('_', ' ')}" for p in predicates)
     edge = r"[^\p{L}\p{N}_]"
     pattern = rf"(?s)^(.*?)(?:^|{edge})({wanted})(?:{edge}(.*))?$"
     hit = parts.where(F.col("s").rlike(pattern))
-    sides = hit.select("doc_idx", "sentence", F.regexp_extract("s", pattern, 1).alias("l"), F.regexp_replace(F.regexp_extract("s", pattern, 2), " ", "_").alias("predicate"), F.regexp_extract("s", pattern, 3).alias("r"))
-    names = entities.select("name").distinct()
-
-    def named(column: str, last: bool) -> DataFrame:
-        words = sides.select("doc_idx", "sentence", F.posexplode(F.regexp_extract_all(column, F.lit(r"(?U)(\w+)"), F.lit(1))).alias("at", "word"))
-        found = words.join(names, words["word"] == names["name"]).groupBy("doc_idx", "sentence")
-        return found.agg((F.max_by if last else F.min_by)("name", "at").alias("object" if not last else "subject"))
-
-    out = sides.join(named("l", True), ["doc_idx", "sentence"]).join(named("r", False), ["doc_idx", "sentence"])
+    words = lambda g: F.regexp_extract_all(F.regexp_extract("s", pattern, g), F.lit(WORD), F.lit(1))
+    sides = stored(hit.select("doc_idx", "sentence", words(1).alias("l"), F.regexp_replace(F.regexp_extract("s", pattern, 2), " ", "_").alias("predicate"), words(3).alias("r")))
+    keys = ["doc_idx", "sentence"]
+    subject = find_names(sides.select(*keys, F.col("l").alias("words")), entities, nearest_end=True).select(*keys, F.col("name").alias("subject"))
+    object_ = find_names(sides.select(*keys, F.col("r").alias("words")), entities).select(*keys, F.col("name").alias("object"))
+    out = sides.select(*keys, "predicate").join(subject, keys).join(object_, keys)
     return out.select("doc_idx", F.col("sentence").alias("pos"), "subject", "predicate", "object", F.lit(1.0).alias("confidence"), F.concat(F.lit("doc_"), F.col("doc_idx").cast("string")).alias("source_doc_id"))
 
 
@@ -103,39 +143,84 @@ def entities(node_table: DataFrame, ontology: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(text: Column, n: int = PIECE) -> Column:
+    """The different runs of ``n`` characters of a text."""
+    whole = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+
+
+def piece_index(node_table: DataFrame) -> DataFrame:
+    """(piece, node): the inverted index of names, by their different runs of ``PIECE`` characters."""
+    return node_table.select(F.explode(_pieces(F.col("node"))).alias("piece"), "node")
+
+
+def _rarest(texts: DataFrame, name: str, pieces: Column, frequency: DataFrame) -> DataFrame:
+    """(``name``, piece): of each text's pieces the one that ``frequency`` (piece, df) has the fewest of, 0 if it has none; the least of equal ones."""
+    each = texts.select(name, F.explode(pieces).alias("piece")).join(frequency, "piece", "left")
+    return each.groupBy(name).agg(F.min_by("piece", F.struct(F.coalesce("df", F.lit(0)), "piece")).alias("piece"))
+
+
 def match_nodes(queries: DataFrame, node_table: DataFrame) -> DataFrame:
     """(query_id, node, node_ord) where a term of the query is part of the node's name, or the name of the term.
 
-    What holds a term holds its first four characters, so that both directions are equi-joins on pieces
-    of four characters (fewer, if the name has fewer), verified on the whole. Terms have at least four
-    characters; a name that is empty matches nothing.
+    What holds a text holds all of its runs of ``PIECE`` characters. So a term is looked up in the names' inverted index by its *rarest*
+    piece, and a name among the terms' pieces by the name's rarest, and then verified on the whole; a
+    piece that is common to many meets nothing unless all of the text's pieces are. Names shorter than a piece are looked up
+    whole. Terms have at least four characters; a name that is empty matches nothing.
     """
-    terms = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).distinct()
+    terms = stored(queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).distinct())
     words = terms.select("term").distinct()
-    pieces = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    names = node_table.select("node")
     node, term = F.col("node"), F.col("term")
-    inside = words.select("term", F.substring("term", 1, PIECE).alias("piece")).join(node_table.select("node", F.explode(pieces(node, PIECE)).alias("piece")), "piece").where(F.contains(node, term))
-    around = node_table.select("node", F.substring("node", 1, PIECE).alias("piece")).join(
-        words.select("term", F.explode(F.flatten(F.array(*[pieces(term, n) for n in range(1, PIECE + 1)]))).alias("piece")), "piece"
-    )
-    hit = inside.select("term", "node").unionByName(around.where(F.contains(term, node)).select("term", "node"))
+    index = stored(piece_index(names))
+    by_term = _rarest(words, "term", _pieces(term), index.groupBy("piece").agg(F.count("*").alias("df")))
+    inside = by_term.join(index, "piece").where(F.contains(node, term))
+    held = words.select(F.explode(_pieces(term)).alias("piece"), "term")
+    long = names.where(F.length(node) >= PIECE)
+    by_name = _rarest(long, "node", _pieces(node), held.groupBy("piece").agg(F.count("*").alias("df")))
+    around = by_name.join(held, "piece").where(F.contains(term, node))
+    short = words.select("term", F.explode(F.flatten(F.array(*[_pieces(term, n) for n in range(1, PIECE)]))).alias("node")).join(names.where(F.length(node) < PIECE), "node")
+    hit = inside.select("term", "node").unionByName(around.select("term", "node")).unionByName(short.select("term", "node"))
     return terms.join(hit, "term").select("query_id", "node").distinct().join(node_table, "node").select("query_id", "node", "node_ord")
 
 
+def _reach(targets: DataFrame, steps: DataFrame, hops: int) -> list[DataFrame]:
+    """(node) tables: the targets, what has an edge into them, into those, ...; a node counts in each table that it has a walk of that length for.
+
+    One step is a semi-join and a distinct, so that a hub is one row however many edges it has.
+    """
+    out = [targets]
+    for _ in range(hops):
+        into = steps.join(out[-1].withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        out.append(stored(into))
+    return out
+
+
 def multi_hop(matched: DataFrame, edge_table: DataFrame, max_hops: int = 3, keep: int = 10) -> DataFrame:
     """Shortest directed paths between a query's matched nodes, from an earlier to a later one.
 
     Rows (query_id, path_no, path, relations, hops). Of equally short paths the least by its nodes'
-    names; the first ``keep`` pairs in node order. The search runs once for each distinct start, not for
-    each query, one equi-join a hop; a node already reached from a start is not entered again, and each
-    hop's frontier is written to the shared folder.
+    names; the first ``keep`` pairs in node order. The search is from both sides and runs once for all queries: backwards
+    from the targets it gathers nodes alone, those that reach some target in 1, 2, ... steps; forwards from the starts it
+    takes only edges to nodes that still reach a target in the steps that are left, so that the last hop
+    adds nothing but targets, and a hub's other successors are never entered. A node already reached from a
+    start is not entered again. Each hop is an equi-join of plain exchanges, of which adaptive execution splits a hub's, and is written to the shared folder.
     """
-    starts = matched.select(F.col("node").alias("start")).distinct()
     steps = edge_table.select("src", "dst", "relation")
+    # The last node of a query by order starts nothing, and the first is no target.
+    ends = matched.groupBy("query_id").agg(F.min("node_ord").alias("low"), F.max("node_ord").alias("high"))
+    placed = matched.join(ends, "query_id")
+    starts = placed.where("node_ord < high").select(F.col("node").alias("start")).distinct()
+    reach = _reach(stored(placed.where("node_ord > low").select("node").distinct()), steps, max_hops - 1)
     frontier = starts.select("start", F.col("start").alias("at"), F.array("start").alias("path"), F.array().cast("array<string>").alias("relations"))
     reached = frontier
-    for _ in range(max_hops):
-        grown = frontier.join(steps, frontier["at"] == steps["src"]).select(
+    for hop in range(1, max_hops + 1):
+        left = max_hops - hop
+        useful = reach[0]
+        for more in reach[1 : left + 1]:
+            useful = useful.unionByName(more)
+        open_steps = steps.join(useful.select(F.col("node").alias("dst")), "dst", "left_semi")
+        grown = frontier.join(open_steps, frontier["at"] == open_steps["src"]).select(
             "start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("relations", F.array("relation")).alias("relations")
         )
         least = grown.groupBy("start", "at").agg(F.min_by(F.struct("path", "relations"), "path").alias("p")).select("start", "at", "p.path", "p.relations")

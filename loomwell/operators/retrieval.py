@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import truthy
 from ..functions.vocabulary import EXPANSIONS
 
-#: Query vectors are broadcast in blocks of at most so many bytes; a larger batch takes more passes.
+#: Query vectors of at most so many bytes are broadcast; blocks of a grid have as many.
 BLOCK_BYTES = 32 << 20
+#: Scores that a cell of the grid works out at once.
+STRIP_SCORES = 1 << 22
 HALF_LIFE_DAYS = 1825.0
 SEMANTIC_WEIGHT, TEMPORAL_WEIGHT = 0.8, 0.2
 DATE_FIELDS = ("published_date", "publication_date", "date", "year")
@@ -64,25 +66,66 @@ def contextual_query(turns: DataFrame) -> DataFrame:
 def knn(queries: DataFrame, index: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` rows of ``index`` (id, embedding) most like each of ``queries`` (query_id, embedding), exactly.
 
-    Rows (query_id, id, similarity, rank): cosine, equal ones by id. Queries go to the index in blocks of
-    bounded size, one matrix product for each batch of the index; a task keeps k candidates for each
-    query, so that what is shuffled is queries x tasks x k rows, whatever the index holds.
+    Rows (query_id, id, similarity, rank): cosine, equal ones by id. Queries of at most ``block_bytes`` are broadcast, and the
+    index stays where it is; more of them meet it in a grid of blocks (``grid_knn``).
     """
-    width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
-    n = queries.count()
-    blocks = max(1, -(-n * width * 8 // block_bytes))
-    context, found = queries.sparkSession.sparkContext, None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = block.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).toArrow()
-        ids = rows.column("query_id").to_numpy()
-        matrix = _unit(_matrix(rows.column("embedding"), width))
-        part = _candidates(index, context.broadcast((ids, matrix)), k)
-        found = part if found is None else found.unionByName(part)
+    width, n = queries.agg(F.max(F.size("embedding")), F.count("*")).first()
+    if n * (width or 1) * 8 > block_bytes:
+        return grid_knn(queries, index, k, block_bytes)
+    rows = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).toArrow()
+    matrix = _unit(_matrix(rows.column("embedding"), width or 1))
+    return _ranked(_candidates(index, queries.sparkSession.sparkContext.broadcast((rows.column("query_id").to_numpy(), matrix)), k), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocked(rows: DataFrame, key: str, name: str, n: int, per_block: int) -> tuple[DataFrame, int]:
+    """``rows`` (key, embedding) as blocks (``name``, items) of about ``per_block`` rows, by a hash of the key, and their number."""
+    blocks = max(1, -(-n // per_block))
+    items = F.struct(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    dealt = rows.select(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(blocks)).cast("int").alias(name), items.alias("item"))
+    return dealt.groupBy(name).agg(F.collect_list("item").alias(f"{name}_items")), blocks
+
+
+def grid_knn(queries: DataFrame, index: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``knn`` where both sides are large: a grid of query blocks by index blocks, each cell a row and a matrix product.
+
+    A cell (r, c) is the meeting of query block r with index block c in an equi-join; each block goes to its row or
+    column of cells. A cell gives k candidates for each of its queries, in strips of bounded size; they are merged in two
+    stages, by groups of columns first. The driver knows the numbers of rows, and gets no vector; nothing is broadcast.
+    """
+    width, n = queries.agg(F.max(F.size("embedding")), F.count("*")).first()
+    per_block = max(1, block_bytes // (8 * (width or 1)))
+    asked, rows = _blocked(queries, "query_id", "r", n, per_block)
+    held, columns = _blocked(index, "id", "c", index.count(), per_block)
+    asked = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    held = held.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    cells = asked.hint("merge").join(held, ["r", "c"]).select("c", "r_items", "c_items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, asked, held in zip(batch.column("c").to_pylist(), _items(batch.column("r_items")), _items(batch.column("c_items"))):
+                (query_ids, q), (ids, m) = ((i, _unit(_matrix(v, width))) for i, v in (asked, held))
+                strip = max(1, STRIP_SCORES // max(1, len(ids)))
+                for a in range(0, len(query_ids), strip):
+                    best = _best((np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)), np.round(q[a : a + strip] @ m.T, 6), ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best[0]), c, dtype=np.int32)), pa.array(query_ids[a : a + strip][best[0]]), pa.array(best[2]), pa.array(best[1])], ["c", "query_id", "id", "similarity"])
+
+    found = cells.mapInArrow(run, "c int, query_id long, id long, similarity double")
+    some = Window.partitionBy("query_id", F.col("c") % max(1, round(columns**0.5))).orderBy(F.desc("similarity"), "id")
+    return _ranked(found.withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= k).drop("c", "rank"), k)
+
+
+def _items(column: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The ids and the vectors of each block of a column."""
+    for i in range(len(column)):
+        block = column[i].values
+        yield block.field("id").to_numpy(), block.field("v")
+
+
 def _matrix(column, width: int) -> np.ndarray:
     """Lists of ``width`` numbers as a matrix, from their flat values; a null list is zeros."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
+from ..operators import inverted_lists
 from ..operators import retrieval as R
 from ..plans.answering import passages
 from ..sources import tables as S
@@ -38,6 +39,15 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.knn(asked, rows.select(F.col("vec_id").alias("id"), "embedding"), 10)
 
 
+def knn_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """The neighbours of ``knn_topk`` by inverted lists; a test measures its recall."""
+    rows = S.table(spark, d, "embeddings")
+    index = rows.select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    lists = inverted_lists.fit(index)
+    return inverted_lists.search(asked, S.stored(inverted_lists.build(index, lists)), index, lists, 10)
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     found = knn_topk(spark, d).withColumnRenamed("rank", "retrieval_rank").withColumnRenamed("similarity", "cos")
     day = F.date_add(F.lit("2012-01-01").cast("date"), (F.col("id") % 4500).cast("int")).cast("string")
@@ -116,7 +126,7 @@ cited AS (SELECT query_id, rank AS id, 'Title ' || doc_id AS title, CASE WHEN do
   coalesce(CASE WHEN fb = 0 THEN round(final, 9) END, 1.0) AS confidence FROM top JOIN documents ON doc_id = top.id)"""
 
 QUERIES = {f.__name__: f for f in (
-    kg_query_terms, query_expansion, knn_topk, temporal_score, rerank, rerank_topk, citations, provider_counts, context_assembly, passage_evidence,
+    kg_query_terms, query_expansion, knn_topk, knn_approximate, temporal_score, rerank, rerank_topk, citations, provider_counts, context_assembly, passage_evidence,
 )}
 
 _COUNTED = r"""(SELECT {id} AS id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 AS b, CAST(count(*) AS DOUBLE) AS n

@@ -125,6 +125,19 @@ def triple_rules(spark: SparkSession, d: str) -> DataFrame:
     return G.rule_triples(docs(spark, d), names, ["with", "from"]).select("doc_idx", "pos", "subject", "predicate", "object")
 
 
+def phrase_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each word of more than six letters, and each two words, of the test passages: names that may lie inside of others."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(G.WORD), F.lit(1))
+    rows = S.table(spark, d, "benchmark").select(words.alias("w")).where("size(w) > 1")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    return rows.select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) > 6), pairs)).alias("name")).distinct()
+
+
+def triple_rules_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Triples whose entities are names of one or two words, thousands of them."""
+    return G.rule_triples(docs(spark, d), phrase_entities(spark, d), ["with", "from", "was"]).select("doc_idx", "pos", "subject", "predicate", "object")
+
+
 TRIPLES = """sold AS (SELECT lower(p_brand) AS subject, lower(s_name) AS object, l_returnflag AS f, min(l_orderkey) AS o FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 t0 AS (SELECT subject, 'rel_' || lower(f) AS predicate, object, o * 3 + CASE f WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS ord FROM sold
   UNION ALL SELECT lower(s_name), 'located_in', lower(n_name), s_suppkey + 1000000000000 FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -156,7 +169,7 @@ _BRACED = r"coalesce(nullif(regexp_extract(raw, '(?s)\{.*\}'), ''), raw)"
 _FENCED = rf"coalesce(nullif(regexp_extract(raw, '(?s)```(?:json)?\s*(\{{.*?\}})\s*```', 1), ''), {_BRACED})"
 
 QUERIES = {f.__name__: f for f in (
-    kg_edges, kg_nodes, kg_stats, entity_linking, kg_node_match, kg_multihop, kg_related, kg_insights, llm_json_extract, llm_json_validate, triple_parse, triple_rules,
+    kg_edges, kg_nodes, kg_stats, entity_linking, kg_node_match, kg_multihop, kg_related, kg_insights, llm_json_extract, llm_json_validate, triple_parse, triple_rules, triple_rules_phrases,
 )}
 
 SQL = {
@@ -188,4 +201,15 @@ SQL = {
         w AS (SELECT doc_idx, pos, predicate, list_filter(regexp_extract_all(l, '[\p{{L}}\p{{N}}_]+'), lambda x: x IN ('the', 'that', 'this', 'and', 'are', 'was')) AS a,
               list_filter(regexp_extract_all(r, '[\p{{L}}\p{{N}}_]+'), lambda x: x IN ('the', 'that', 'this', 'and', 'are', 'was')) AS b FROM h)
         SELECT doc_idx, CAST(pos AS INT) AS pos, a[len(a)] AS subject, predicate, b[1] AS object FROM w WHERE len(a) > 0 AND len(b) > 0""",
+    "triple_rules_phrases": rf"""WITH s0 AS (SELECT doc_id AS doc_idx, list_filter(list_transform(string_split(regexp_replace(lower(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {BLANKS})), lambda x: length(x) > 10) AS s FROM documents),
+        p AS (SELECT doc_idx, unnest(s) AS sent, generate_subscripts(s, 1) - 1 AS pos FROM s0),
+        h AS (SELECT doc_idx, pos, regexp_extract(sent, '{(_p := r"(?s)^(.*?)(?:^|[^\p{L}\p{N}_])(with|from|was)(?:[^\p{L}\p{N}_](.*))?$")}', 2) AS predicate,
+              regexp_extract_all(regexp_extract(sent, '{_p}', 1), '[\p{{L}}\p{{N}}_]+') AS l, regexp_extract_all(regexp_extract(sent, '{_p}', 3), '[\p{{L}}\p{{N}}_]+') AS r FROM p WHERE regexp_matches(sent, '{_p}')),
+        b AS (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM benchmark),
+        names AS (SELECT unnest(list_filter(w, lambda x: length(x) > 6)) AS name FROM b UNION SELECT w[i] || ' ' || w[i + 1] FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM b)),
+        spots AS (SELECT doc_idx, pos, predicate, side, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+              FROM (SELECT doc_idx, pos, predicate, 'l' AS side, l AS w FROM h UNION ALL SELECT doc_idx, pos, predicate, 'r', r FROM h), (VALUES (1), (2)) sizes(n) WHERE len(w) >= n),
+        hits AS (SELECT doc_idx, pos, predicate, side, n, i, name FROM spots JOIN names ON name = array_to_string(w[i:i + n - 1], ' ')),
+        best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_idx, pos, side ORDER BY CASE WHEN side = 'l' THEN -(i + n) ELSE i END, -n) = 1)
+        SELECT a.doc_idx, CAST(a.pos AS INT) AS pos, a.name AS subject, a.predicate, b.name AS object FROM best a JOIN best b ON a.doc_idx = b.doc_idx AND a.pos = b.pos AND a.side = 'l' AND b.side = 'r'""",
 }

@@ -16,15 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of a local session that names none.
+_own_dir: str | None = None
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder (``spark.checkpoint.dir``) and read back; only a local session may lack that setting."""
+    global _own_dir
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="loomwell-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_dir = _own_dir or tempfile.mkdtemp(prefix="loomwell-")
     path = f"{base.rstrip('/')}/loomwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
