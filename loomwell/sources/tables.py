@@ -1,4 +1,4 @@
-"""Reading and writing: tables of a data folder, corpora, indices, graphs, checkpoints and the chat log."""
+"""Reading and writing: tables of a data folder, corpora, manifests and the chat log. Indices and graphs are in ``index_store``."""
 
 from __future__ import annotations
 
@@ -88,7 +88,7 @@ def inventory(files: DataFrame) -> DataFrame:
     return files.groupBy("provider").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-# ---------------------------------------------------------------- indices and graphs
+# ---------------------------------------------------------------- manifests
 
 
 def manifest(docs: DataFrame, chunks: DataFrame, created_at: Column, model: str, kg_path: str) -> DataFrame:
@@ -101,43 +101,6 @@ def manifest(docs: DataFrame, chunks: DataFrame, created_at: Column, model: str,
     )
 
 
-CHUNKS = "unit_id string, doc_idx long, content string, embedding array<float>"
-# Places in a corpus: 38 digits hold any document's long id and any place in it.
-NODES = "node string, node_ord decimal(38,0)"
-EDGES = "src string, dst string, relation string, confidence double, source string, edge_ord decimal(38,0)"
-ENTITIES = "name string, entity_type string, aliases array<string>, ontology_ids map<string,string>"
-
-
-def write_index(chunks: DataFrame, folder: str) -> None:
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-
-
-def write_graph(nodes: DataFrame, edges: DataFrame, entities: DataFrame, folder: str) -> None:
-    """``exists`` looks for the nodes: they are written last."""
-    entities.write.mode("overwrite").parquet(f"{folder}/entities")
-    edges.withColumn("edge_ord", F.col("edge_ord").cast("decimal(38,0)")).write.mode("overwrite").parquet(f"{folder}/edges")
-    nodes.withColumn("node_ord", F.col("node_ord").cast("decimal(38,0)")).write.mode("overwrite").parquet(f"{folder}/nodes")
-
-
-def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges; empty tables where nothing was written."""
-    return read_or_empty(spark, f"{folder}/nodes", NODES), read_or_empty(spark, f"{folder}/edges", EDGES)
-
-
-def read_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return read_or_empty(spark, f"{folder}/entities", ENTITIES)
-
-
-def exists(spark: SparkSession, folder: str) -> bool:
-    """Whether an index and a graph were written to ``folder``."""
-    for name, schema in (("chunks", CHUNKS), ("nodes", NODES)):
-        try:
-            spark.read.schema(schema).parquet(f"{folder}/{name}")
-        except AnalysisException:
-            return False
-    return True
-
-
 # ---------------------------------------------------------------- logs
 
 

@@ -9,6 +9,7 @@ from checks import same_rows
 from loomwell.operators import checkpoints, conversation, graph, vision
 from loomwell.plans import conversations, ingestion
 from loomwell.queries import dialogue
+from loomwell.sources import index_store as store
 from loomwell.sources import tables as S
 from loomwell.streaming import folds
 
@@ -28,17 +29,17 @@ def test_index_is_built_once_and_read_again(spark, tmp_path):
     docs = spark.createDataFrame([(0, text)], "doc_idx long, text string")
     triples = ingestion.ordered(spark.createDataFrame([(0, 0, "caries", "causes", "pain", 1.0, "doc_0")], "doc_idx long, pos int, subject string, predicate string, object string, confidence double, source_doc_id string"))
     folder = str(tmp_path / "index")
-    assert not S.exists(spark, folder) and S.read_graph(spark, folder)[0].count() == 0
+    assert store.current(spark, folder) is None and store.read_graph(spark, folder)[0].count() == 0
     chunks, nodes, edges = ingestion.setup(docs, triples, folder, F.lit("2025-01-01"), threshold=0.2)
     n = chunks.count()
     assert n > 0 and nodes.count() == 2 and edges.count() == 1
-    assert {r["name"]: (r["entity_type"], r["aliases"], r["ontology_ids"]) for r in S.read_entities(spark, folder).collect()} == {
+    assert {r["name"]: (r["entity_type"], r["aliases"], r["ontology_ids"]) for r in store.read_entities(spark, folder).collect()} == {
         "caries": ("unknown", [], {"icd10": "K02", "snomed": "80967001"}), "pain": ("unknown", [], {}),
     }
     again = ingestion.setup(docs.limit(0), triples, folder, F.lit("2025-01-01"))
     assert again[0].count() == n
     assert ingestion.setup(docs.limit(0), triples, folder, F.lit("2025-01-01"), force_rebuild=True)[0].count() == 0
-    assert spark.read.json(f"{folder}/manifest").first()["num_chunks"] == 0
+    assert store.manifest(spark, folder, store.current(spark, folder))["num_chunks"] == 0
 
 
 def test_places_of_large_documents_do_not_meet(spark):
