@@ -1,4 +1,4 @@
-"""Query batches from corpus to cited evidence."""
+"""Query batches from corpus to cited evidence, and to validated answers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoders import Encoder, cosine, embed
-from ..operators import chunking, retrieval
+from ..operators import chunking, claims, graph, retrieval
 from ..sources import tables as S
 
 #: Bounds of a chunk's number, ``doc_idx`` times the first plus its place; the job fails on a document beyond them.
@@ -17,6 +17,18 @@ CHUNKS_A_DOCUMENT, DOCUMENTS = 1 << 21, 1 << 42
 HEAD_CHARS = 512
 
 
+def encoded(rows: DataFrame, text: Column, name: str, encoder: Encoder | None = None) -> DataFrame:
+    """``rows`` with the vector of ``text`` as ``name``. Each different text is encoded once, however many rows have it, into the shared folder.
+
+    Texts meet their vectors by their SHA-256; null text is empty text.
+    """
+    own = F.coalesce(text, F.lit(""))
+    keyed = rows.withColumn("_key", F.unhex(F.sha2(own, 256)))
+    vectors = keyed.select("_key", own.alias("_text")).dropDuplicates(["_key"])
+    vectors = S.stored(vectors.select("_key", embed(F.col("_text"), encoder).alias(name)))
+    return keyed.join(vectors, "_key").drop("_key")
+
+
 def passages(
     docs: DataFrame, queries: DataFrame, top_k: int = 5, threshold: float = chunking.THRESHOLD, as_of: Column | None = None,
     encoder: Encoder | None = None, dictionary: DataFrame | None = None,
@@ -33,12 +45,18 @@ def passages(
     fits = (place < CHUNKS_A_DOCUMENT) & F.col("doc_idx").between(-DOCUMENTS, DOCUMENTS - 1)
     number = F.when(fits, F.col("doc_idx") * CHUNKS_A_DOCUMENT + place).otherwise(F.raise_error(F.lit("a document's index or number of chunks is too large")).cast("long"))
     index = chunks.select("doc_idx", "content", number.alias("id"))
-    index = S.stored(index.withColumn("embedding", embed(F.col("content"), encoder)))
+    index = S.stored(encoded(index, F.col("content"), "embedding", encoder))
     expanded = retrieval.expand(queries.select("query_id", "query"), dictionary if dictionary is not None else retrieval.expansion_table(docs.sparkSession))
-    asked = S.stored(expanded.select("query_id", embed(F.col("expanded_query"), encoder).alias("embedding"), embed(F.col("query"), encoder).alias("as_asked")))
+    asked = encoded(expanded.select("query_id", "query", "expanded_query"), F.col("query"), "as_asked", encoder)
+    asked = S.stored(encoded(asked, F.col("expanded_query"), "embedding", encoder).select("query_id", "embedding", "as_asked"))
     found = retrieval.knn(asked.select("query_id", "embedding"), index, 2 * top_k).withColumnRenamed("rank", "retrieval_rank").drop("similarity")
-    found = found.join(index.select("id", "doc_idx", "content"), "id").join(asked.select("query_id", "as_asked"), "query_id")
-    found = found.withColumn("cos", F.round(cosine(F.col("as_asked"), embed(F.substring("content", 1, HEAD_CHARS), encoder)), 6)).drop("as_asked")
+    found = S.stored(found)
+    # A chunk is a candidate of many queries: its beginning is encoded once, and not at all where it is the whole.
+    heads = index.join(found.select("id").distinct(), "id", "left_semi")
+    short = heads.where(F.length("content") <= HEAD_CHARS).select("id", "doc_idx", "content", F.col("embedding").alias("head"))
+    long = encoded(heads.where(F.length("content") > HEAD_CHARS).drop("embedding"), F.substring("content", 1, HEAD_CHARS), "head", encoder)
+    found = found.join(short.unionByName(long.select(*short.columns)), "id").join(asked.select("query_id", "as_asked"), "query_id")
+    found = found.withColumn("cos", F.round(cosine(F.col("as_asked"), F.col("head")), 6)).drop("as_asked", "head")
     fields = [c for c in docs.columns if c not in ("text", "doc_idx")]
     found = found.join(docs.select("doc_idx", *fields), "doc_idx")
     for c in (*retrieval.DATE_FIELDS, "pmid", "authors"):
@@ -48,3 +66,34 @@ def passages(
         found = found.withColumn("page", F.lit(None).cast("int"))
     ranked = retrieval.rerank(found, as_of if as_of is not None else F.lit("2025-01-01 00:00:00"), top_k)
     return retrieval.citations(ranked.withColumn("confidence", F.col("final_score")))
+
+
+def answers(
+    docs: DataFrame, queries: DataFrame, node_table: DataFrame, edge_table: DataFrame, responses: DataFrame, extracted: DataFrame, verdicts: DataFrame,
+    top_k: int = 5, max_hops: int = 3, dictionary: DataFrame | None = None, **options,
+) -> DataFrame:
+    """The whole query job: one row for each of ``queries`` (query_id, query).
+
+    Rows (query_id, response, sources, kg_insights, expanded_query, confidence, claims, hallucination_risk, unsupported, recommendations):
+    the cited passages in order, what the graph of ``node_table`` and ``edge_table`` says of the query as asked, and what became of the
+    response's claims. Models' outputs are tables: ``responses`` (query_id, response), ``extracted`` (response_id, raw), the claims as the
+    model wrote them, and ``verdicts`` (response_id, batch, claim_index, is_supported, confidence, supporting_sources, ord);
+    a response's id is its query's. A query without a response has none, and counts as one without claims; unreadable claims are none.
+    """
+    asked = S.stored(queries.select("query_id", "query"))
+    words = dictionary if dictionary is not None else retrieval.expansion_table(docs.sparkSession)
+    cited = passages(docs, asked, top_k, dictionary=words, **options)
+    each = F.struct("id", *[c for c in cited.columns if c not in ("query_id", "id")])
+    sources = cited.groupBy("query_id").agg(F.array_sort(F.collect_list(each)).alias("sources"))
+    matched = S.stored(graph.match_nodes(asked, node_table))
+    edges = S.stored(edge_table)
+    told = graph.insights(asked, matched, graph.multi_hop(matched, edges, max_hops), graph.related(matched, edges)).withColumnRenamed("insights", "kg_insights")
+    judged = claims.with_verdicts(claims.parse_claims(extracted), verdicts)
+    valid = claims.metrics(asked.select(F.col("query_id").alias("response_id")), judged).select(
+        F.col("response_id").alias("query_id"), F.col("overall_confidence").alias("confidence"), "claims", "hallucination_risk", "unsupported", "recommendations"
+    )
+    expanded = retrieval.expand(asked, words).select("query_id", "expanded_query")
+    out = asked.select("query_id").join(responses.select("query_id", "response"), "query_id", "left")
+    for part in (sources, told, expanded, valid):
+        out = out.join(part, "query_id", "left")
+    return out.withColumn("sources", F.coalesce("sources", F.expr("array()").cast(sources.schema["sources"].dataType)))
