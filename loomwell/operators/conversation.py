@@ -66,6 +66,14 @@ def _entries(name: str) -> Column:
     return F.coalesce(values, F.array().cast("array<struct<list:string,value:string>>"))
 
 
+def parsed_updates(updates: DataFrame, *further: str) -> DataFrame:
+    """Updates as the fold takes them: ``severity`` a number or null, ``ok`` unless it is outside 1 to 10, and the list elements' values as ``entries``, of ``ok`` ones."""
+    severity = F.expr("try_cast(severity as int)")
+    rows = updates.withColumn("severity", severity).withColumn("ok", ~F.coalesce(~F.col("severity").between(1, 10), F.lit(False)))
+    entries = F.when(F.col("ok"), F.concat(*[_entries(c) for c in LISTS]))
+    return rows.withColumn("entries", entries).select("conv_id", "turn", "chief_complaint", *SCALARS, "severity", "ok", "entries", *further)
+
+
 def merge_profiles(updates: DataFrame) -> DataFrame:
     """The profile of each conversation after all of its ``updates``, in the order of turns.
 
@@ -75,12 +83,11 @@ def merge_profiles(updates: DataFrame) -> DataFrame:
     symptoms. The chief complaint is overwritten by each update, by null as well. A group, not a running
     window: partial aggregation keeps one row for each task and conversation, with the different values of its turns.
     """
-    severity = F.expr("try_cast(severity as int)")
-    rows = updates.withColumn("severity", severity).withColumn("ok", ~F.coalesce(~severity.between(1, 10), F.lit(False)))
+    rows = parsed_updates(updates)
     latest = lambda c: F.max_by(F.when(F.col("ok"), F.col(c)), F.when(F.col("ok") & F.col(c).isNotNull(), F.col("turn"))).alias(c)
     union = lambda c: F.array_sort(F.collect_set(F.when(F.col("e.list") == c, F.col("e.value")))).alias(c)
     # A row for each value; what is latest is so in any number of equal rows.
-    rows = rows.withColumn("e", F.explode_outer(F.when(F.col("ok"), F.concat(*[_entries(c) for c in LISTS])))).drop(*LISTS)
+    rows = rows.withColumn("e", F.explode_outer("entries")).drop("entries")
     chief = F.max_by(F.struct("chief_complaint"), "turn").alias("chief")
     merged = rows.groupBy("conv_id").agg(chief, *[latest(c) for c in (*SCALARS, "severity")], *[union(c) for c in LISTS])
     return merged.select("conv_id", F.col("chief.chief_complaint").alias("chief_complaint"), *SCALARS, "severity", *LISTS)

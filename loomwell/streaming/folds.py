@@ -7,58 +7,103 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.text import safe_key
 from ..operators.checkpoints import LISTED, expired, latest
-from ..operators.conversation import LISTS, SCALARS
+from ..operators.conversation import LISTS, SCALARS, parsed_updates
 from ..sources.tables import delete_folder, read_or_empty
 
 PROFILE = "conv_id long, chief_complaint string, " + ", ".join(f"{c} string" for c in SCALARS) + ", severity int, " + ", ".join(f"{c} array<string>" for c in LISTS)
-_STATE = "chief_turn long, chief_complaint string, " + ", ".join(f"{c} string, {c}_turn long" for c in SCALARS) + ", severity int, severity_turn long, " + ", ".join(f"{c} array<string>" for c in LISTS)
+_NEWEST = [*SCALARS, "severity"]
+_STATE = "chief_turn long, chief_complaint string, " + ", ".join(f"{c} string, {c}_turn long" for c in SCALARS) + ", severity int, severity_turn long, due long"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: After so long without an update, by the stream's clock, a conversation has ended.
+SILENCE_MS = 7 * 86_400_000
 
 
-def fold_profiles(updates: DataFrame) -> DataFrame:
-    """Streaming form of ``merge_profiles``: emits a conversation's profile whenever turns of it arrive.
+class ProfileFold(StatefulProcessor):
+    """One conversation's profile: a value with the newest of each element and the turn it is from, and a map of the lists' values.
 
-    The state holds, beside each value, the turn it came from, so that turns may arrive in any order.
+    A value is written when it is new, so that a long list costs an update nothing. A timer of event time, moved on by each
+    update, ends the state as a whole; updates without times (``silence_ms`` None) have none.
     """
-    names = [x.split()[0] for x in _STATE.split(", ")]
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(names, state.get)) if state.exists else {n: None for n in names} | {c: [] for c in LISTS}
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                _apply(held, row)
-        state.update(tuple(list(v) if isinstance(v, (list, tuple)) else v for v in (held[n] for n in names)))
-        out = {"conv_id": key[0], "chief_complaint": held["chief_complaint"], "severity": held["severity"]} | {c: held[c] for c in SCALARS} | {c: sorted(held[c]) for c in LISTS}
+    def __init__(self, silence_ms: int | None):
+        self.silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", _STATE)
+        self.values = handle.getMapState("values", "list string, value string", "turn long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, latest = [x.split()[0] for x in _STATE.split(", ")], None
+        now = timerValues.getCurrentWatermarkInMs() if self.silence_ms is not None else 0
+        held = dict(zip(names, self.newest.get())) if self.newest.exists() else dict.fromkeys(names)
+        if held["due"] is not None:
+            self.handle.deleteTimer(held["due"])
+            if held["due"] <= now:
+                self._end()
+                held = dict.fromkeys(names)
+        for frame in rows:
+            if self.silence_ms is not None:
+                newest = frame["at"].max().value // 1_000_000
+                latest = newest if latest is None else max(latest, newest)
+            self._newer(held, frame, "chief_complaint", "chief_turn")
+            for c in _NEWEST:
+                self._newer(held, frame[frame["ok"] & frame[c].notna()], c, f"{c}_turn")
+            for name, value, turn in {(e["list"], e["value"], 0) for own in frame["entries"] if own is not None for e in own}:
+                if not self.values.containsKey((name, value)):
+                    self.values.updateValue((name, value), (turn,))
+        if self.silence_ms is not None:
+            held["due"] = max(latest + self.silence_ms, held["due"] or 0, now + 1)
+            self.handle.registerTimer(held["due"])
+        self.newest.update(tuple(held[n] for n in names))
+        lists = {c: [] for c in LISTS}
+        for name, value in self.values.keys():
+            lists[name].append(value)
+        out = {"conv_id": key[0], "chief_complaint": held["chief_complaint"]} | {c: held[c] for c in _NEWEST} | {c: sorted(v) for c, v in lists.items()}
         frame = pd.DataFrame([out])[[x.split()[0] for x in PROFILE.split(", ")]]
         frame["severity"] = frame["severity"].astype("Int32")
         yield frame
 
-    return updates.groupBy("conv_id").applyInPandasWithState(fold, PROFILE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._end()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
+    def _end(self) -> None:
+        self.newest.clear()
+        self.values.clear()
 
-def _missing(value) -> bool:
-    return value is None or (isinstance(value, float) and value != value)
+    @staticmethod
+    def _newer(held: dict, frame: pd.DataFrame, value: str, turn: str) -> None:
+        """Take over the value of the frame's last turn, if none later was there."""
+        if len(frame):
+            at = int(frame["turn"].to_numpy().argmax())
+            last = int(frame["turn"].iloc[at])
+            if held[turn] is None or last >= held[turn]:
+                found = frame[value].iloc[at]
+                held[value], held[turn] = None if pd.isna(found) else int(found) if value == "severity" else found, last
 
 
-def _apply(held: dict, row: dict) -> None:
-    turn = int(row["turn"])
-    if held["chief_turn"] is None or turn >= held["chief_turn"]:
-        held["chief_turn"], held["chief_complaint"] = turn, None if _missing(row["chief_complaint"]) else row["chief_complaint"]
-    raw = None if _missing(row["severity"]) else str(row["severity"]).strip()
-    severity = int(raw) if raw and raw.lstrip("+-").isdigit() else None
-    if severity is not None and not 1 <= severity <= 10:
-        return
-    for c, value in [*((c, row[c]) for c in SCALARS), ("severity", severity)]:
-        if not _missing(value) and (held[f"{c}_turn"] is None or turn >= held[f"{c}_turn"]):
-            held[c], held[f"{c}_turn"] = value, turn
-    for c in LISTS:
-        if not _missing(row[c]):
-            held[c] = sorted({*held[c], *(x.strip(" ") for x in row[c].split(","))})
+def fold_profiles(updates: DataFrame, time: str | None = None, silence_ms: int = SILENCE_MS, delay: str = "1 day") -> DataFrame:
+    """Streaming form of ``merge_profiles``: emits a conversation's profile whenever turns of it arrive, in any order.
+
+    What an update says is worked out by the batch form's own expressions before the fold, so that odd severities count alike. State is kept in RocksDB,
+    by a value and a map for each conversation. Where ``updates`` has a ``time`` column, the state goes when the stream's clock, ``delay`` behind the newest time, is
+    ``silence_ms`` past a conversation's last update; turns after that begin a new profile. Without times it stays.
+    """
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    if time is None:
+        return parsed_updates(updates).groupBy("conv_id").transformWithStateInPandas(ProfileFold(None), PROFILE, "Update", "None")
+    rows = parsed_updates(updates.withColumn("at", F.col(time)), "at").withWatermark("at", delay)
+    return rows.groupBy("conv_id").transformWithStateInPandas(ProfileFold(silence_ms), PROFILE, "Update", "EventTime")
 
 
 def _versions(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:

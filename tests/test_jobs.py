@@ -90,19 +90,63 @@ def _stream(spark, frame, folder, parts=3):
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_streamed_profiles_equal_the_batch(spark, small, tmp_path):
-    updates = dialogue.updates(spark, small).withColumn("severity", F.col("severity").cast("string"))
+def _profiles(frame):
+    clean = lambda v: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if v is None or v != v else v
+    return {r["conv_id"]: {k: clean(v) for k, v in r.items()} for r in frame.to_dict("records")}
+
+
+def _folded(stream, folder, **options):
+    """The last profile of each conversation that the stream gives."""
     seen = []
-    query = folds.fold_profiles(_stream(spark, updates, str(tmp_path / "in"))).writeStream.outputMode("update")
-    query = query.foreachBatch(lambda batch, n: seen.append((n, batch.toPandas()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = folds.fold_profiles(stream, **options).writeStream.outputMode("update")
+    query = query.foreachBatch(lambda batch, n: seen.append((n, batch.toPandas()))).option("checkpointLocation", folder).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     last = {}
     for _, frame in sorted(seen, key=lambda x: x[0]):
-        for row in frame.to_dict("records"):
-            last[row["conv_id"]] = row
-    clean = lambda v: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if v is None or v != v else v
-    batch = conversation.merge_profiles(updates).toPandas().to_dict("records")
-    assert {r["conv_id"]: {k: clean(v) for k, v in r.items()} for r in batch} == {c: {k: clean(v) for k, v in r.items()} for c, r in last.items()}
+        last |= _profiles(frame)
+    return last
+
+
+def test_streamed_profiles_equal_the_batch(spark, small, tmp_path):
+    updates = dialogue.updates(spark, small).withColumn("severity", F.col("severity").cast("string"))
+    assert _folded(_stream(spark, updates, str(tmp_path / "in")), str(tmp_path / "c")) == _profiles(conversation.merge_profiles(updates).toPandas())
+
+
+ODD = ["99999999999", "+-7", "²", " 8 ", "+3", "-1", "0", "11", "7.5", "seven", "", None, "١"]
+
+
+def _odd_updates(spark):
+    """Every odd severity as a late turn, an early one and alone, with lists and nulls."""
+    names = ["chief_complaint", *conversation.SCALARS, *conversation.LISTS]
+    rows = []
+    for i, raw in enumerate(ODD):
+        rows += [(i, 2, raw, *[f"{c}{i}" if c != "onset" else None for c in names]), (i, 1, "5", *["" if c == "site" else f"x, {c} ,y" for c in names]), (100 + i, 1, raw, *[None if i % 2 else "a,b" for _ in names])]
+    return spark.createDataFrame(rows, "conv_id long, turn long, severity string, " + ", ".join(f"{c} string" for c in names))
+
+
+def test_odd_severities_and_late_turns_count_alike(spark, tmp_path):
+    updates = _odd_updates(spark)
+    batch = _profiles(conversation.merge_profiles(updates).toPandas())
+    assert _folded(_stream(spark, updates, str(tmp_path / "in"), 4), str(tmp_path / "c")) == batch
+    assert [batch[100 + i]["severity"] for i in range(5)] == [None, None, None, 8, 3]
+
+
+def test_profiles_of_ended_conversations_go(spark, tmp_path):
+    """By the stream's clock: one that is silent for a day ends, one that goes on keeps what it had."""
+    folder = str(tmp_path / "in")
+    rows = _odd_updates(spark).where("conv_id = 3")
+    day = lambda d: F.lit(f"2025-01-0{d} 00:00:00").cast("timestamp")
+    other = rows.withColumn("conv_id", F.lit(4).cast("long"))
+    none = F.lit(None).cast("string")
+    for d, frame in enumerate((rows.where("turn = 1").unionByName(other.where("turn = 1")), other.where("turn = 2").withColumn("severity", none), other.where("turn = 2"), rows.where("turn = 2").withColumn("severity", none)), 1):
+        frame.withColumn("at", day(2 * d - 1)).coalesce(1).write.mode("append").parquet(folder)
+        schema = frame.withColumn("at", day(1)).schema
+        got = _folded(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "c"), time="at", silence_ms=3 * 86_400_000, delay="0 seconds")
+        if d == 1:
+            assert got[3]["severity"] == got[4]["severity"] == 5
+        if d == 2:
+            assert got[4]["severity"] == 5 and "associations" in got[4]["associations"]
+    assert got[3]["severity"] is None and got[3]["associations"] == ["associations3"]
 
 
 def test_streamed_checkpoints_equal_the_batch(spark, small, tmp_path):
