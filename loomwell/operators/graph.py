@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import braced_json, query_terms, sentences, strip
 from ..functions.vocabulary import PREDICATES, TEXTS
 from ..sources.tables import stored
+from . import containment
 
-#: Characters of the pieces that the search for names inside of names joins on.
-PIECE = 4
 TRIPLES = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
 
 
@@ -143,44 +142,16 @@ def entities(node_table: DataFrame, ontology: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(text: Column, n: int = PIECE) -> Column:
-    """The different runs of ``n`` characters of a text."""
-    whole = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
-
-
-def piece_index(node_table: DataFrame) -> DataFrame:
-    """(piece, node): the inverted index of names, by their different runs of ``PIECE`` characters."""
-    return node_table.select(F.explode(_pieces(F.col("node"))).alias("piece"), "node")
-
-
-def _rarest(texts: DataFrame, name: str, pieces: Column, frequency: DataFrame) -> DataFrame:
-    """(``name``, piece): of each text's pieces the one that ``frequency`` (piece, df) has the fewest of, 0 if it has none; the least of equal ones."""
-    each = texts.select(name, F.explode(pieces).alias("piece")).join(frequency, "piece", "left")
-    return each.groupBy(name).agg(F.min_by("piece", F.struct(F.coalesce("df", F.lit(0)), "piece")).alias("piece"))
-
-
 def match_nodes(queries: DataFrame, node_table: DataFrame) -> DataFrame:
     """(query_id, node, node_ord) where a term of the query is part of the node's name, or the name of the term.
 
-    What holds a text holds all of its runs of ``PIECE`` characters. So a term is looked up in the names' inverted index by its *rarest*
-    piece, and a name among the terms' pieces by the name's rarest, and then verified on the whole; a
-    piece that is common to many meets nothing unless all of the text's pieces are. Names shorter than a piece are looked up
-    whole. Terms have at least four characters; a name that is empty matches nothing.
+    Terms have at least four characters; a name that is empty matches nothing. See ``containment`` for how they meet.
     """
     terms = stored(queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).distinct())
-    words = terms.select("term").distinct()
-    names = node_table.select("node")
-    node, term = F.col("node"), F.col("term")
-    index = stored(piece_index(names))
-    by_term = _rarest(words, "term", _pieces(term), index.groupBy("piece").agg(F.count("*").alias("df")))
-    inside = by_term.join(index, "piece").where(F.contains(node, term))
-    held = words.select(F.explode(_pieces(term)).alias("piece"), "term")
-    long = names.where(F.length(node) >= PIECE)
-    by_name = _rarest(long, "node", _pieces(node), held.groupBy("piece").agg(F.count("*").alias("df")))
-    around = by_name.join(held, "piece").where(F.contains(term, node))
-    short = words.select("term", F.explode(F.flatten(F.array(*[_pieces(term, n) for n in range(1, PIECE)]))).alias("node")).join(names.where(F.length(node) < PIECE), "node")
-    hit = inside.select("term", "node").unionByName(around.select("term", "node")).unionByName(short.select("term", "node"))
+    words, names = terms.select("term").distinct(), node_table.select("node")
+    inside = containment.holding(names, "node", words, "term")
+    around = containment.holding(words, "term", names, "node")
+    hit = inside.select("term", "node").unionByName(around.select("term", "node"))
     return terms.join(hit, "term").select("query_id", "node").distinct().join(node_table, "node").select("query_id", "node", "node_ord")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import truthy
 from ..functions.vocabulary import EXPANSIONS
+from . import containment
 
 #: Query vectors of at most so many bytes are broadcast; blocks of a grid have as many.
 BLOCK_BYTES = 32 << 20
@@ -27,17 +28,17 @@ def expansion_table(spark, entries=EXPANSIONS) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, phrase string, synonyms array<string>, related array<string>, multilingual array<string>")
 
 
-def expand(queries: DataFrame, dictionary: DataFrame, keep: int = 5, keep_related: int = 3, most: int = 10_000) -> DataFrame:
+def expand(queries: DataFrame, dictionary: DataFrame, keep: int = 5, keep_related: int = 3) -> DataFrame:
     """``queries`` (query_id, query) with ``synonyms``, ``related``, ``multilingual`` and ``expanded_query``.
 
     Each distinct query is expanded once: the phrases of ``dictionary`` that its lower-case text holds,
     in their order. The lists keep ``keep`` entries, the expanded text all synonyms and ``keep_related``
-    related terms. The dictionary is broadcast, and has ``most`` phrases at most.
+    related terms. The dictionary may have any number of phrases: they are found in the queries by their rarest
+    pieces (``containment``), not one after the other. An empty phrase is in no query.
     """
-    distinct = queries.select("query").distinct()
-    if dictionary.limit(most + 1).count() > most:
-        raise ValueError(f"a dictionary of more than {most} phrases is not one to look through for each query")
-    hits = distinct.join(F.broadcast(dictionary), F.contains(F.lower("query"), F.col("phrase")))
+    distinct = queries.select("query").distinct().withColumn("_lower", F.lower("query"))
+    held = containment.holding(distinct, "_lower", dictionary, "phrase")
+    hits = distinct.join(held, "_lower").join(dictionary, "phrase").drop("_lower")
     found = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "synonyms", "related", "multilingual"))).alias("found"))
     lists = {c: F.flatten(F.col("found")[c]).alias(c) for c in ("synonyms", "related", "multilingual")}
     found = found.select("query", *lists.values())

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomwell.functions.vocabulary import ONTOLOGY
-from loomwell.operators import graph
+from loomwell.operators import containment, graph, retrieval
 
 
 def rows(df, *columns):
@@ -61,7 +61,15 @@ def test_names_are_looked_up_by_their_rarest_piece(spark):
     assert rows(graph.match_nodes(queries, common.unionByName(odd)), "query_id", "node") == [(1, "common zebra"), (1, "mmon"), (1, "ra"), (1, "zeb")]
     # By its first piece the first term met all five thousand names.
     names = common.unionByName(odd)
-    index = graph.piece_index(names)
+    index = containment.inverted(names, "node")
     term = spark.createDataFrame([("commonzebra",)], "term string")
-    rarest = graph._rarest(term, "term", graph._pieces(F.col("term")), index.groupBy("piece").agg(F.count("*").alias("df")))
+    rarest = containment.rarest(term, "term", index.groupBy("piece").agg(F.count("*").alias("df")))
     assert rarest.join(index, "piece").count() <= 1 and index.where("piece = 'comm'").count() == 5001
+
+
+def test_dictionaries_of_any_size(spark):
+    """Phrases of every length, more than are looked through one by one; repeats and none."""
+    entries = [(f"phrase number {i}", [f"s{i}"], ["r"], ["m"]) for i in range(12_000)] + [("ab", ["short"], [], []), ("ä", ["letter"], [], []), ("", ["never"], [], [])]
+    queries = spark.createDataFrame([(1, "A Phrase Number 11999 here"), (2, "cab Ä"), (3, ""), (4, None), (5, "cab Ä")], "query_id int, query string")
+    got = {r["query_id"]: r["synonyms"] for r in retrieval.expand(queries, retrieval.expansion_table(spark, entries)).collect()}
+    assert got == {1: ["s1", "s11", "s119", "s1199", "s11999"], 2: ["short", "letter"], 3: [], 4: [], 5: ["short", "letter"]}
