@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.text import safe_key
-from ..operators.checkpoints import LISTED, expired, latest
+from ..operators.checkpoints import LISTED, expired, latest, resume
 from ..operators.conversation import LISTS, SCALARS, parsed_updates
 from ..sources.tables import delete_folder, read_or_empty
 
@@ -106,50 +106,98 @@ def fold_profiles(updates: DataFrame, time: str | None = None, silence_ms: int =
     return rows.groupBy("conv_id").transformWithStateInPandas(ProfileFold(silence_ms), PROFILE, "Update", "EventTime")
 
 
-def _versions(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    return read_or_empty(spark, folder, StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("batch", LongType())]))
+_RUN = ("bucket", "first", "batch")
+#: A run joins a new one that is more than this part of its rows.
+GROWTH = 4
 
 
-def _newest(versions: DataFrame) -> dict[int, int]:
-    """The newest batch of each bucket: no more rows than buckets."""
-    return {r["bucket"]: r["batch"] for r in versions.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+def _stored_runs(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    kept = [StructField("bucket", IntegerType()), StructField("first", LongType()), StructField("batch", LongType())]
+    return read_or_empty(spark, folder, StructType([*schema.fields, *kept]))
 
 
-def _only(versions: DataFrame, newest: dict[int, int]) -> DataFrame:
-    """Rows of one version for each bucket; a filter of folders, the others are not read."""
+def _runs(rows: DataFrame) -> tuple[dict[int, list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """The live runs of each bucket as (first batch, last batch, rows), the newest first, and the dead (bucket, first, last).
+
+    A run that lies within another is dead: that one was merged from it. A bucket has a logarithm of its rows of live ones.
+    """
+    live: dict[int, list[tuple[int, int, int]]] = {}
+    dead = []
+    for r in sorted(rows.groupBy(*_RUN).count().collect(), key=lambda r: (-r["batch"], r["first"])):
+        own = live.setdefault(r["bucket"], [])
+        if own and r["first"] >= own[-1][0]:
+            dead.append((r["bucket"], r["first"], r["batch"]))
+        else:
+            own.append((r["first"], r["batch"], r["count"]))
+    return live, dead
+
+
+def _only(rows: DataFrame, runs: dict[int, list[tuple[int, int, int]]]) -> DataFrame:
+    """Rows of the given runs; a filter of folders, the others are not read."""
+    buckets: dict[tuple[int, int], list[int]] = {}
+    for bucket, own in runs.items():
+        for first, last, _ in own:
+            buckets.setdefault((first, last), []).append(bucket)
     chosen = F.lit(False)
-    for bucket, number in newest.items():
-        chosen = chosen | ((F.col("bucket") == bucket) & (F.col("batch") == number))
-    return versions.where(chosen)
+    for (first, last), own in buckets.items():
+        chosen = chosen | ((F.col("first") == first) & (F.col("batch") == last) & F.col("bucket").isin(own))
+    return rows.where(chosen)
+
 
+def bucket_of(buckets: int) -> Column:
+    """The bucket of a row's conversation_id."""
+    return F.pmod(F.xxhash64(safe_key(F.col("conversation_id"))), F.lit(buckets)).cast("int")
 
-def current_checkpoints(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """The latest state of each conversation that ``upsert_checkpoints`` keeps in ``folder``."""
-    versions = _versions(spark, folder, schema)
-    return _only(versions, _newest(versions)).drop("bucket", "batch")
+
+def current_checkpoints(spark: SparkSession, folder: str, schema: StructType, only: list[int] | None = None) -> DataFrame:
+    """The latest state of each conversation that ``upsert_checkpoints`` keeps in ``folder``; of the buckets ``only``, if given.
+
+    Runs are merged on reading: a conversation's last row of all live runs of its bucket.
+    """
+    rows = _stored_runs(spark, folder, schema)
+    if only is not None:
+        rows = rows.where(F.col("bucket").isin(only))
+    return latest(_only(rows, _runs(rows)[0]).drop(*_RUN))
+
+
+def resume_streamed(requests: DataFrame, folder: str, schema: StructType, buckets: int = 64) -> DataFrame:
+    """``checkpoints.resume`` from ``folder``; only the buckets that requests ask for are read. ``buckets`` is what the folder was written with."""
+    asked = requests.where("conversation_id is not null").select(bucket_of(buckets).alias("bucket")).distinct()
+    return resume(requests, current_checkpoints(requests.sparkSession, folder, schema, [r["bucket"] for r in asked.collect()]))
 
 
 def upsert_checkpoints(log: DataFrame, folder: str, buckets: int = 64) -> DataStreamWriter:
-    """Keep the latest state of each conversation in ``folder``/bucket=<b>/batch=<n>, one stream to a folder.
+    """Keep the latest state of each conversation in ``folder``/bucket=<b>/first=<m>/batch=<n>, one stream to a folder.
 
-    Conversations are dealt into ``buckets``. A batch writes a new version of those that it has rows of, from their
-    version before it, and leaves the others alone; a batch that is run again writes the same. Two versions of a bucket stay,
-    so that a reader of the older one is not disturbed.
+    Conversations are dealt into ``buckets``. A batch adds a run of its own rows to the buckets that it has any of. The run takes in
+    the newer ones before it while they are less than ``GROWTH`` times as large, and then holds the batches ``first`` to ``batch``: runs grow
+    geometrically, so a row is written again a logarithm of its bucket's rows of times, and a large run is left alone by a small batch.
+    A batch that is run again writes the same folders. Merged runs go when a later batch comes to their bucket, so that readers are not disturbed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, schema = batch.sparkSession, batch.schema
-        bucket = F.pmod(F.xxhash64(safe_key(F.col("conversation_id"))), F.lit(buckets)).cast("int")
-        rows = batch.withColumn("bucket", bucket)
-        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
-        held = _versions(spark, folder, schema).where(F.col("bucket").isin(touched) & (F.col("batch") < number))
-        newest = _newest(held)
-        merged = latest(rows.unionByName(_only(held, newest).drop("batch"))).select(*batch.columns, "bucket", F.lit(number).cast("long").alias("batch"))
-        dealt = merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        dealt.partitionBy("bucket", "batch").parquet(folder)
-        for r in held.select("bucket", "batch").distinct().collect():
-            if r["batch"] < newest[r["bucket"]]:
-                delete_folder(spark, f"{folder}/bucket={r['bucket']}/batch={r['batch']}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("bucket", bucket_of(buckets))
+        arrived = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+        if not arrived:
+            return
+        held = _stored_runs(spark, folder, batch.schema).where(F.col("bucket").isin(list(arrived)) & (F.col("batch") < number))
+        live, dead = _runs(held)
+        merged, first = {}, {}
+        for bucket, size in arrived.items():
+            own = merged[bucket] = []
+            for run in live.get(bucket, []):
+                if run[2] >= GROWTH * size:
+                    break
+                own.append(run)
+                size += run[2]
+            first[bucket] = own[-1][0] if own else number
+        since = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("bucket")].cast("long")
+        newest = latest(rows.unionByName(_only(held, merged).drop("first", "batch"))).select(*batch.columns, "bucket", since.alias("first"), F.lit(number).cast("long").alias("batch"))
+        dealt = newest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        dealt.partitionBy(*_RUN).parquet(folder)
+        for bucket, begin, last in dead:
+            delete_folder(spark, f"{folder}/bucket={bucket}/first={begin}/batch={last}")
 
     return log.writeStream.foreachBatch(write)
 
@@ -179,4 +227,4 @@ def expire(log: DataFrame, days: int = 7) -> DataFrame:
     return kept.groupBy("conversation_id").applyInPandasWithState(fold, "conversation_id string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-__all__ = ["PROFILE", "current_checkpoints", "expire", "expired", "fold_profiles", "upsert_checkpoints"]
+__all__ = ["PROFILE", "bucket_of", "current_checkpoints", "expire", "expired", "fold_profiles", "resume_streamed", "upsert_checkpoints"]

@@ -158,22 +158,70 @@ def test_streamed_checkpoints_equal_the_batch(spark, small, tmp_path):
     same_rows(folds.current_checkpoints(spark, folder, log.schema).select(*columns).toPandas(), checkpoints.latest(log).select(*columns).toPandas())
 
 
-def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
-    """Of conversations that a batch has no row of nothing is written; of each bucket two versions stay; a batch may run again."""
+SAVED = "conversation_id string, ts timestamp, seq long, state string"
+
+
+def _save(spark, source, rows):
+    frame = spark.createDataFrame(rows, "conversation_id string, day int, seq long, state string")
+    frame.selectExpr("conversation_id", "timestamp'2025-01-01' + make_dt_interval(day) as ts", "seq", "state").coalesce(1).write.mode("append").parquet(source)
+
+
+def _runs_of(folder):
+    """The folders of runs in each bucket."""
+    return {b.name: sorted((int(f.name[6:]), int(n.name[6:])) for f in b.iterdir() for n in f.iterdir()) for b in folder.iterdir() if b.name.startswith("bucket=")}
+
+
+def test_small_batches_leave_large_runs_alone(spark, tmp_path):
+    """A batch writes its own rows and merges small runs only; every state is found, late rows lose, and batches may run again."""
     source, folder = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "conversation_id string, ts timestamp, seq long, state string"
-    save = lambda rows: spark.createDataFrame(rows, "conversation_id string, day int, seq long, state string").selectExpr("conversation_id", "timestamp'2025-01-01' + make_dt_interval(day) as ts", "seq", "state").coalesce(1).write.mode("append").parquet(source)
-    save([(f"conv_{i}", 0, 0, "first") for i in range(40)])
-    stream = folds.upsert_checkpoints(spark.readStream.schema(schema).parquet(source), folder).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
-    for rows in ([], [("conv_1", 1, 1, "second")], [("conv_1", 2, 2, "third")], [("conv_1", 1, 3, "late")]):
+    _save(spark, source, [(f"conv_{i}", 0, 0, "first") for i in range(400)])
+    stream = folds.upsert_checkpoints(spark.readStream.schema(SAVED).parquet(source), folder, 8).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    for rows in ([], [("conv_1", 1, 1, "second")], [("conv_1", 2, 2, "third"), ("conv_1", 2, 1, "tied")], [("conv_1", 1, 3, "late")], [("conv_/ 1", 1, 4, "late, too")]):
         if rows:
-            save(rows)
+            _save(spark, source, rows)
         assert stream.start().awaitTermination(120)
-    log = spark.read.schema(schema).parquet(source)
-    got = {r["conversation_id"]: r["state"] for r in folds.current_checkpoints(spark, folder, log.schema).collect()}
-    assert got == {f"conv_{i}": "third" if i == 1 else "first" for i in range(40)}
-    batches = {p.name: sorted(q.name for q in p.iterdir() if q.is_dir()) for p in (tmp_path / "out").iterdir() if p.is_dir()}
-    assert sorted(map(tuple, batches.values()))[-1] == ("batch=2", "batch=3") and sum(b == ["batch=0"] for b in batches.values()) == len(batches) - 1 > 5
+    log = spark.read.schema(SAVED).parquet(source)
+    read = lambda: {r["conversation_id"]: r["state"] for r in folds.current_checkpoints(spark, folder, log.schema).collect()}
+    assert read() == {r["conversation_id"]: r["state"] for r in checkpoints.latest(log).collect()} and read()["conv_1"] == "third"
+    touched = spark.range(1).select(F.lit("conv_1").alias("conversation_id")).select(folds.bucket_of(8)).first()[0]
+    # The bucket's large run of the first batch is still there; what came after it is merged into small ones.
+    runs = _runs_of(tmp_path / "out")
+    assert (0, 0) in runs[f"bucket={touched}"] and sum(r == [(0, 0)] for r in runs.values()) >= len(runs) - 2
+    large = (tmp_path / "out" / f"bucket={touched}" / "first=0" / "batch=0").stat().st_mtime_ns
+    before = spark.read.parquet(folder).where("batch > 0").count()
+    assert before <= 6 and large < max((tmp_path / "out").rglob("*.parquet"), key=lambda p: p.stat().st_mtime_ns).stat().st_mtime_ns
+    # A batch that is run again, here from a stream that has forgotten it, gives the same runs and states.
+    states = read()
+    again = folds.upsert_checkpoints(spark.readStream.schema(SAVED).option("maxFilesPerTrigger", 1).parquet(source), folder, 8)
+    assert again.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
+    assert read() == states
+
+
+def test_runs_grow_geometrically(spark, tmp_path):
+    """Of one bucket with many equal batches a logarithm of runs is live, and each row is written few times."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(12):
+        _save(spark, source, [(f"conv_{n}_{i}", n, n, "s") for i in range(5)])
+    stream = folds.upsert_checkpoints(spark.readStream.schema(SAVED).option("maxFilesPerTrigger", 1).parquet(source), folder, 1)
+    assert stream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
+    rows = spark.read.schema(SAVED + ", bucket int, first long, batch long").parquet(folder)
+    live, dead = folds._runs(rows)
+    assert sum(n for _, _, n in live[0]) == 60 and len(live[0]) <= 4
+    # What the last merge left behind is all that is dead; older ones are deleted.
+    assert len(dead) <= 4 and folds.current_checkpoints(spark, folder, spark.read.parquet(source).schema).count() == 60
+
+
+def test_resumption_reads_the_asked_buckets(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    _save(spark, source, [(f"conv_{i}", 0, 0, f"state {i}") for i in range(100)])
+    log = spark.read.schema(SAVED).parquet(source)
+    stream = folds.upsert_checkpoints(spark.readStream.schema(SAVED).parquet(source), folder, 16).option("checkpointLocation", str(tmp_path / "c"))
+    assert stream.trigger(availableNow=True).start().awaitTermination(120)
+    requests = spark.createDataFrame([(1, "conv_7", "a"), (2, "conv_none", "b"), (3, None, "c")], "request_id int, conversation_id string, input string")
+    out = folds.resume_streamed(requests, folder, log.schema, 16)
+    assert {r["request_id"]: (r["origin"], r["state"]) for r in out.collect()} == {1: ("saved", "state 7"), 2: ("fresh", None), 3: ("history", None)}
+    few = {r["conversation_id"] for r in folds.current_checkpoints(spark, folder, log.schema, [3]).collect()}
+    assert few == {r["conversation_id"] for r in log.where(folds.bucket_of(16) == 3).collect()}
 
 
 def test_files_of_the_tables(spark, small):
