@@ -16,6 +16,8 @@ DEFAULT_THRESHOLD = 0.3
 MAX_MB = 5
 MIN_SIDE = 100
 QUALITY_THRESHOLD = 0.6
+#: The reason that files without a readable image share with small ones.
+UNREADABLE = "Low resolution."
 WEIGHTS = {"blur_score": 0.30, "brightness_score": 0.20, "contrast_score": 0.20, "color_balance_score": 0.10, "dental_focus_score": 0.20}
 STATS = ("laplacian_var", "mean_gray", "std_gray", "mean_b", "mean_g", "mean_r", "oral_share")
 
@@ -56,33 +58,37 @@ def image_confidence(images: DataFrame, detections: DataFrame) -> DataFrame:
     return images.join(mean, "image_id", "left").select("image_id", ((F.coalesce("mean", F.lit(0.5)) + F.col("quality")) / 2).alias("confidence"))
 
 
-def admission(images: DataFrame) -> DataFrame:
+def admission(images: DataFrame, max_bytes: int = MAX_MB * 1024 * 1024) -> DataFrame:
     """``reason``: the first rule that an image (path, length, height, width) fails; null if it is admitted."""
     extension = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     side = F.least("height", "width")
     reason = (
         F.when(F.col("length").isNull(), "File not found.")
-        .when(F.col("length") > MAX_MB * 1024 * 1024, "File size >5MB.")
-        .when(F.coalesce(side < MIN_SIDE, F.lit(True)), "Low resolution.")
+        .when(F.col("length") > max_bytes, "File size >5MB.")
+        .when(F.coalesce(side < MIN_SIDE, F.lit(True)), UNREADABLE)
         .when(~extension.isin(".jpg", ".jpeg", ".png"), "Format JPG/PNG only.")
     )
     return images.withColumn("reason", reason)
 
 
 def pixel_stats(images: DataFrame) -> DataFrame:
-    """(path, the columns of ``STATS``) of Spark's ``image`` rows, which hold 8-bit BGR samples; unreadable ones are left out.
+    """(path, the columns of ``STATS``) of Spark's ``image`` rows of 8-bit samples: BGR, BGR with alpha, which is ignored, or grey; unreadable ones are left out.
 
     Images stay in their partition; seven numbers for each leave it.
     """
-    rows = images.where("image.height > 0 and image.nChannels = 3").select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.data")
+    rows = images.where("image.height > 0 and image.nChannels in (1, 3, 4)").select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(p, *_stats(np.frombuffer(d, np.uint8).reshape(h, w, 3))) for p, h, w, d in batch.itertuples(index=False)], columns=["path", *STATS])
+            yield pd.DataFrame([(p, *_stats(_bgr(np.frombuffer(d, np.uint8).reshape(h, w, n)))) for p, h, w, n, d in batch.itertuples(index=False)], columns=["path", *STATS])
 
     return rows.mapInPandas(run, "path string, " + ", ".join(f"{c} double" for c in STATS))
 
 
+def _bgr(samples: np.ndarray) -> np.ndarray:
+    return np.repeat(samples, 3, axis=2) if samples.shape[2] == 1 else samples[:, :, :3]
+
+
 def _stats(bgr: np.ndarray) -> tuple[float, ...]:
     b, g, r = (bgr[:, :, i].astype(np.float64) for i in range(3))
     gray = np.rint(0.114 * b + 0.587 * g + 0.299 * r)

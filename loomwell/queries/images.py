@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import vision as V
+from ..sources import images as I
 from ..sources import tables as S
 
 
@@ -72,6 +73,33 @@ def images(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "documents").where("text is not null").select(image.alias("image"))
 
 
+def _number(value: F.Column, size: int, big: bool = True) -> F.Column:
+    """``value`` as ``size`` bytes."""
+    octets = [F.unhex(F.lpad(F.hex(F.shiftright(value, 8 * i).bitwiseAND(255)), 2, "0")) for i in range(size)]
+    return F.concat(*(reversed(octets) if big else octets))
+
+
+def image_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Format and size that the first bytes of images tell: PNG, GIF, BMP, JPEG behind a long comment, and headers that are cut off."""
+    k = F.col("p_partkey").cast("int")
+    height, width = k % 900 + 1, F.col("p_size") * 7
+    comment = F.concat(F.unhex(F.lit("FFD8FFFE")), _number(F.length("p_type") * 40 + 2, 2), F.encode(F.repeat("p_type", 40), "US-ASCII"), F.unhex(F.lit("FFDB000300FFFFC2001108")))
+    kinds = [
+        F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), _number(width, 4), _number(height, 4), F.unhex(F.lit("0802000000"))),
+        F.concat(comment, _number(height, 2), _number(width, 2), F.unhex(F.lit("03"))),
+        F.concat(F.encode(F.lit("GIF89a"), "US-ASCII"), _number(width, 2, False), _number(height, 2, False)),
+        F.concat(F.encode(F.lit("BM"), "US-ASCII"), F.unhex(F.lit("00" * 16)), _number(width, 4, False), _number(height, 4, False)),
+        F.unhex(F.lit("89504E470D0A1A0A0000000D4948445200")),
+        comment,
+        F.encode("p_name", "UTF-8"),
+    ]
+    content = F.lit(None).cast("binary")
+    for i, kind in enumerate(kinds):
+        content = F.when(k % 8 == i, kind).otherwise(content)
+    files = S.table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), content.alias("content"))
+    return I.with_sizes(files)
+
+
 def image_quality(spark: SparkSession, d: str) -> DataFrame:
     """Pixel statistics and scores of images made of the documents' bytes."""
     scored = V.quality_scores(V.pixel_stats(images(spark, d)))
@@ -86,7 +114,7 @@ def image_quality_scores(spark: SparkSession, d: str) -> DataFrame:
 
 DET = "det AS (SELECT user_id AS image_id, event_id, event_type AS class_name, event_id % 101 / 100.0 AS confidence, value FROM events)"
 
-QUERIES = {f.__name__: f for f in (detection_filter, detections_parse, vision_confidence, model_call_dedup, image_validation, image_quality_scores, image_quality)}
+QUERIES = {f.__name__: f for f in (detection_filter, detections_parse, vision_confidence, model_call_dedup, image_validation, image_headers, image_quality_scores, image_quality)}
 
 SQL = {
     "detection_filter": f"""WITH {DET}, t AS (SELECT *, t AS threshold FROM det, (VALUES ('unset'), ('zero'), ('own')) v(t))
@@ -97,6 +125,8 @@ SQL = {
     "model_call_dedup": """SELECT sha1(event_type) || '-' || md5(props) AS key, count(*) AS calls, min(event_id) AS first_event, count(*) FILTER (WHERE event_type = 'click') AS answered, any_value(event_type <> 'click') AS todo FROM events GROUP BY event_type, props""",
     "image_validation": """WITH x AS (SELECT p_partkey, p_name || (['.jpg', '.PNG', '.gif'])[p_size % 3 + 1] AS path, CASE WHEN p_partkey % 50 <> 0 THEN p_retailprice * 5000 END AS n, p_size * 10 AS side, p_size % 3 AS e FROM part)
         SELECT p_partkey, path, CASE WHEN n IS NULL THEN 'File not found.' WHEN floor(n) > 5242880 THEN 'File size >5MB.' WHEN side < 100 THEN 'Low resolution.' WHEN e = 2 THEN 'Format JPG/PNG only.' END AS reason FROM x""",
+    "image_headers": """SELECT p_partkey AS image_id, (['png', 'jpeg', 'gif', 'bmp', 'png', 'jpeg', NULL, NULL])[p_partkey % 8 + 1] AS format,
+        CASE WHEN p_partkey % 8 < 4 THEN CAST(p_partkey % 900 + 1 AS INT) END AS height, CASE WHEN p_partkey % 8 < 4 THEN CAST(p_size * 7 AS INT) END AS width FROM part""",
     "image_quality_scores": """WITH s AS (SELECT p_partkey AS image_id, p_partkey * 7 % 700 AS lap, p_partkey * 3 % 256 AS gray, p_partkey % 80 AS sd, p_partkey * 5 % 256 AS b, p_partkey * 11 % 256 AS g, p_partkey * 13 % 256 AS r, p_partkey % 100 AS o FROM part),
         q AS (SELECT *, least(lap / 500.0, 1.0) AS blur, CASE WHEN gray < 50 THEN gray / 50.0 WHEN gray > 200 THEN (255 - gray) / 55.0 ELSE 1.0 END AS bright, least(sd / 60.0, 1.0) AS contrast,
           1.0 - (abs(b - g) + abs(g - r) + abs(r - b)) / 765.0 AS color, CASE WHEN o BETWEEN 20 AND 60 THEN 1.0 WHEN o BETWEEN 10 AND 19 THEN 0.7 WHEN o > 60 THEN 0.8 ELSE 0.3 END AS focus FROM s),
