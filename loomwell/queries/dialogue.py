@@ -9,6 +9,7 @@ from ..functions.vocabulary import CLASS_NAMES_ID, TEXTS
 from ..operators import answer as A
 from ..operators import checkpoints as P
 from ..operators import conversation as V
+from ..operators import histories as H
 from ..operators import retrieval as R
 from ..sources import tables as S
 from .claims import CLAIMS, judged
@@ -32,6 +33,18 @@ def history_window(spark: SparkSession, d: str) -> DataFrame:
     return V.history(five, 0).select("conv_id", "turn", F.md5("last_five").alias("last_five"), F.md5("history").alias("all_before"))
 
 
+def history_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """For each turn how many stand before it, the length of their text, and a digest of it."""
+    return H.prefixes(turns(spark, d)).select("conv_id", "turn", "before", "chars", "digest")
+
+
+def history_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """The whole history of every conversation's last turn, in parts of four lines."""
+    rows = turns(spark, d)
+    last = rows.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    return H.render(rows, last, 4)
+
+
 def _symptoms(spark: SparkSession, d: str) -> DataFrame:
     return V.extract_symptoms(turns(spark, d), CHARACTERS, ASSOCIATED)
 
@@ -223,7 +236,7 @@ _BAND = "CASE WHEN s >= 0.8 THEN {high} WHEN s >= 0.6 THEN {moderate} ELSE {low}
 _REFS = f"CASE WHEN (query_id // 20) % 2 = 0 THEN '{TEXTS['references_id']}' ELSE '{TEXTS['references_en']}' END"
 
 QUERIES = {f.__name__: f for f in (
-    history_window, symptom_extract, symptom_completeness, profile_merge, contextual_query, triage_route, route_trace, recommendations, format_detections,
+    history_window, history_prefixes, history_rendered, symptom_extract, symptom_completeness, profile_merge, contextual_query, triage_route, route_trace, recommendations, format_detections,
     confidence_band, format_citations, answer_assembly, chat_log_append, checkpoint_load, checkpoint_latest, checkpoint_list, checkpoint_resume, checkpoint_delete, checkpoint_retention,
 )}
 
@@ -231,6 +244,12 @@ SQL = {
     "history_window": f"""WITH t AS (SELECT conv_id, turn, role || ': ' || {_SAID} AS l FROM conversations)
         SELECT conv_id, turn, md5(coalesce(string_agg(l, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '')) AS last_five,
         md5(coalesce(string_agg(l, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS all_before FROM t""",
+    "history_prefixes": f"""WITH t AS (SELECT conv_id, turn, role || ': ' || {_SAID} AS l FROM conversations), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS before FROM t),
+        m AS (SELECT *, CAST('0x' || substr(md5(before || ' ' || l), 1, 15) AS BIGINT) AS mark FROM p)
+        SELECT conv_id, turn, before, CAST(greatest(coalesce(sum(length(l) + 1) OVER w, 0) - 1, 0) AS BIGINT) AS chars, CAST(coalesce(sum(CAST(mark AS HUGEINT)) OVER w, 0) AS VARCHAR) AS digest
+        FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "history_rendered": f"""WITH t AS (SELECT conv_id, turn, role || ': ' || {_SAID} AS l FROM conversations), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS before, max(turn) OVER (PARTITION BY conv_id) AS last FROM t)
+        SELECT conv_id, last AS turn, CAST(before // 4 AS BIGINT) AS part, string_agg(l, chr(10) ORDER BY before) AS history FROM p WHERE turn < last GROUP BY conv_id, last, before // 4""",
     "symptom_extract": f"WITH {SYMPTOMS} SELECT * FROM sym",
     "symptom_completeness": f"""WITH {SYMPTOMS}, f AS (SELECT conv_id, turn, severity, (CAST(character IS NOT NULL AS INT) + CAST(associations <> '' AS INT) + 1) / 9.0 AS c FROM sym WHERE NOT rejected)
         SELECT conv_id, turn, round(c, 9) AS completeness, c >= 0.5 OR severity >= 7 AS ready FROM f""",
