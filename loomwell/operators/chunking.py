@@ -48,22 +48,8 @@ def by_count(n: Column) -> Column:
     return segments(n, starts)
 
 
-def chunk(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    overlap: int = OVERLAP,
-    min_chars: int = MIN_CHARS,
-    max_chars: int = MAX_CHARS,
-    encoder: Encoder | None = None,
-) -> DataFrame:
-    """Rows (doc_idx, source_doc_id, chunk_id, cluster, first, last, chunk_size, split, content, segment, unit_id) of ``docs`` (doc_idx, text).
-
-    A document of at most three sentences passes unchanged, without chunk columns, and so does one that the encoder
-    fails on. One whose similarities are not all numbers is cut by counts. A chunk is a segment
-    with ``overlap`` sentences on each side; one shorter than ``min_chars`` is dropped; one longer than
-    ``max_chars`` is cut once, after the last full stop before its middle, and its parts have no chunk id;
-    ``segment`` and ``unit_id`` tell where they come from.
-    """
+def _pieces(docs: DataFrame, threshold: float, overlap: int, min_chars: int, max_chars: int, encoder: Encoder | None) -> DataFrame:
+    """Each part of each segment (doc_idx, source_doc_id, cluster, first, last, part), ``kept`` unless it is too short; every document has one at least."""
     rows = with_similarities(with_sentences(docs.select("doc_idx", "text")), encoder)
     n = F.size("sentences")
     rows = rows.select("doc_idx", "text", "sentences", n.alias("n"), doc_id(F.col("doc_idx"), F.col("text")).alias("source_doc_id"), "similarities")
@@ -77,7 +63,7 @@ def chunk(
     stop = F.least(F.col("n"), last + 1 + overlap)
     whole = F.when(first.isNull(), F.col("text")).otherwise(F.array_join(F.slice("sentences", start + 1, stop - start), " "))
     rows = rows.select("doc_idx", "source_doc_id", "cluster", first.alias("first"), last.alias("last"), whole.alias("content"))
-    rows = rows.where(F.col("first").isNull() | (F.length("content") >= min_chars))
+    rows = rows.withColumn("long_enough", F.col("first").isNull() | (F.length("content") >= min_chars))
     # Where a long chunk is cut: after the last ". " of its first half, else in the middle.
     size = F.length("content")
     middle = F.floor(size / 2).cast("int")
@@ -92,8 +78,38 @@ def chunk(
             F.struct(F.lit("part2").alias("split"), strip(F.expr("substring(content, cut + 1)")).alias("content")),
         ),
     ).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("split"), F.col("content").alias("content"))))
-    out = rows.select("doc_idx", "source_doc_id", "cluster", "first", "last", F.explode(parts).alias("part"))
-    out = out.where(F.col("part.split").isNull() | (F.length("part.content") >= min_chars))
+    out = rows.select("doc_idx", "source_doc_id", "cluster", "first", "last", "long_enough", F.explode(parts).alias("part"))
+    part = F.col("part.split").isNull() | (F.length("part.content") >= min_chars)
+    return out.withColumn("kept", F.col("long_enough") & part).drop("long_enough")
+
+
+def stats(
+    docs: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, encoder: Encoder | None = None
+) -> DataFrame:
+    """(doc_idx, chunks, clusters): how many chunks each document gives, and how many segments, in one pass; only counts are shuffled."""
+    rows = _pieces(docs, threshold, overlap, min_chars, max_chars, encoder)
+    last = F.max(F.when(F.col("first").isNotNull(), F.col("cluster")))
+    clusters = F.coalesce(last + 1, F.lit(0)).cast("long")
+    return rows.groupBy("doc_idx").agg(F.count(F.when(F.col("kept"), 1)).alias("chunks"), clusters.alias("clusters"))
+
+
+def chunk(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    overlap: int = OVERLAP,
+    min_chars: int = MIN_CHARS,
+    max_chars: int = MAX_CHARS,
+    encoder: Encoder | None = None,
+) -> DataFrame:
+    """Rows (doc_idx, source_doc_id, chunk_id, cluster, first, last, chunk_size, split, content, segment, unit_id) of ``docs`` (doc_idx, text).
+
+    A document of at most three sentences passes unchanged, without chunk columns, and so does one that the encoder
+    fails on. One whose similarities are not all numbers is cut by counts. A chunk is a segment
+    with ``overlap`` sentences on each side; one shorter than ``min_chars`` is dropped; one longer than
+    ``max_chars`` is cut once, after the last full stop before its middle, and its parts have no chunk id;
+    ``segment`` and ``unit_id`` tell where they come from.
+    """
+    out = _pieces(docs, threshold, overlap, min_chars, max_chars, encoder).where("kept")
     whole_chunk = F.col("part.split").isNull() & F.col("first").isNotNull()
     kept = lambda c: F.when(whole_chunk, c)
     return out.select(

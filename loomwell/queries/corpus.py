@@ -91,9 +91,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    made = chunks(spark, d).groupBy("doc_idx").agg(F.count("*").alias("chunks"))
-    clusters = _similar(spark, d).where(f"n > {C.SHORT}").select("doc_idx", F.size(C.by_similarity(F.col("n"), F.col("similarities"), THRESHOLD)).cast("long").alias("clusters"))
-    return docs(spark, d).select("doc_idx").join(made, "doc_idx", "left").join(clusters, "doc_idx", "left").select("doc_idx", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("clusters", F.lit(0)).alias("clusters"))
+    return C.stats(docs(spark, d), threshold=THRESHOLD)
 
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

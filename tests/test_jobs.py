@@ -297,6 +297,20 @@ def test_similarities_are_worked_out_once(spark, small):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_statistics_chunk_once(spark, small):
+    """One encoding in the plan; documents without text or sentences count, too, and agree with their chunks."""
+    from loomwell import registry
+    from loomwell.operators import chunking
+
+    plan = str(registry.QUERIES["chunk_stats"](spark, small)._jdf.queryExecution().executedPlan())
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    long = " ".join(f"Sentence number {i} is long enough to be a part of a chunk of its own. And {i} more." for i in range(60))
+    docs = spark.createDataFrame([(0, None), (1, ""), (2, "short"), (3, long), (4, "A small one. " * 9)], "doc_idx long, text string")
+    got = {r["doc_idx"]: r["chunks"] for r in chunking.stats(docs, 0.2).collect()}
+    made = {r["doc_idx"]: r["count"] for r in chunking.chunk(docs, 0.2).groupBy("doc_idx").count().collect()}
+    assert got == {i: made.get(i, 0) for i in range(5)} and got[3] > 0
+
+
 def test_images_made_of_documents(spark, small):
     from loomwell import registry
 
