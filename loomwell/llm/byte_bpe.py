@@ -29,8 +29,9 @@ from tokenizers import Tokenizer, models
 from .common import fields, sliced, utf8, with_columns
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces that a task remembers; the memory is cleared when full, and at the end of the task.
+#: Pieces that a task remembers, and their characters together; the memory is cleared when either is full, and at the end of the task.
 CACHE_PIECES = 200_000
+CACHE_CHARS = 8_000_000
 
 
 def byte_characters() -> list[str]:
@@ -85,12 +86,22 @@ class Codec:
             self.bytes_of[i] = bytes(byte_of[c] for c in word)
         self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # characters of the pieces in it
+
+    def forget(self) -> None:
+        self.cache.clear()
+        self.held = 0
 
     def _learn(self, pieces: set[str]) -> None:
-        """Ask the library for the ids of new pieces; they are kept as little-endian 32-bit integers."""
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
-            self.cache.clear()
+        """Ask the library for the ids of new pieces; they are kept as little-endian 32-bit integers.
+
+        The memory holds what its bounds allow, or one text's pieces: those have to be there to encode it.
+        """
         new = [p for p in pieces if p not in self.cache]
+        if len(self.cache) + len(new) > CACHE_PIECES or self.held + sum(map(len, new)) > CACHE_CHARS:
+            self.forget()
+            new = list(pieces)
+        self.held += sum(map(len, new))
         spelt = [p.encode().decode("latin-1").translate(self.table) for p in new]
         for piece, got in zip(new, self.model.encode_batch(spelt, add_special_tokens=False)):
             self.cache[piece] = np.array(got.ids, dtype="<u4").tobytes()
@@ -147,7 +158,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
                 spans = [own.offsets(t, i) for t, i in zip(utf8(part.column(text)), ids)]
                 columns |= {"starts": _list([s[0] for s in spans], pa.int32()), "stops": _list([s[1] for s in spans], pa.int32())}
             yield with_columns(part, names, **columns)
-        own.cache.clear()
+        own.forget()
 
     more = ", starts array<int>, stops array<int>" if offsets else ""
     return df.mapInArrow(run, f"{fields(df)}ids array<int>{more}")
@@ -193,10 +204,11 @@ def round_trip(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTER
                 ids_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in packed]),
                 decoded_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
             )
-        own.cache.clear()  # the worker lives on
+        own.forget()  # the worker lives on
 
     return df.select("doc_id", "text").mapInArrow(run, f"{fields(df, ['doc_id'])}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``round_trip`` by the ranks of ``path``, or of the public file; it says how odd rows count."""
     return round_trip(docs, path or public_tokenizers.path(VOCABULARY))

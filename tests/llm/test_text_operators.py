@@ -135,6 +135,22 @@ def test_ids_are_those_of_the_rank_library(spark, small, odd, odd_rows, rows, re
         assert sorted(got) == sorted(want)
 
 
+def test_bpe_memory_is_bounded_by_characters(reference, monkeypatch):
+    """Long pieces, which few of fill the memory, and a text that is larger than it: equal ids, and no more is held than the bound or the text that was learnt last."""
+    monkeypatch.setattr(byte_bpe, "CACHE_CHARS", 3000)
+    own = byte_bpe.Codec(public_tokenizers.path(byte_bpe.VOCABULARY))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(rng.choice((5, 900, 4000)))) + " and more" for _ in range(60)]
+    texts += [" ".join(texts), "", *texts[:9]]
+    for text in texts:
+        before = set(own.cache)
+        ids = own.encode([text])[0]
+        assert np.frombuffer(ids, dtype="<u4").tolist() == reference.encode_ordinary(text)
+        assert own.held == sum(map(len, own.cache))
+        if set(own.cache) != before:  # a text whose pieces are all known changes nothing
+            assert own.held <= max(3000, len(text))
+
+
 def test_long_pieces_and_ids_that_are_texts(spark, reference):
     texts = ["x" * 20_000, " " * 5000, "é" * 3000, "\n" * 4000, "a1" * 3000, "!?" * 3000]
     got = byte_bpe.query(spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")).collect()
