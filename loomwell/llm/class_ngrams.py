@@ -372,7 +372,7 @@ def _counted(encoded: DataFrame, model: Model, keys_of: Callable, group: int, us
             blobs = [_packed(k, c) for k, c in zip(np.split(met, first[1:]), np.split(n, first[1:]))] if len(met) else []
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["shard", "cells"])
 
-        for part in parts:
+        for part in sliced(parts, "ids"):
             ids, _ = _ids(part.column("ids"))
             ids = np.concatenate([[-2], ids])
             held.append(keys_of(ids, own.states(ids)))
@@ -486,7 +486,7 @@ def score(encoded: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         end = np.log10(own.end_count + 0.1)
         base = np.log10(own.counts + 0.1)
         emit = own.log_emit
-        for part in parts:
+        for part in sliced(parts, "ids"):
             ids, sizes = _ids(part.column("ids"))
             if not len(sizes):
                 continue
