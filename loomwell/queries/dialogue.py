@@ -59,10 +59,14 @@ def symptom_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, d: str) -> DataFrame:
-    """Profile updates of turns: values, empty texts, nulls, comma lists and odd severities."""
+    return updates_of(S.table(spark, d, "conversations"))
+
+
+def updates_of(rows: DataFrame) -> DataFrame:
+    """Profile updates of turns, a table or a stream: values, empty texts, nulls, comma lists and odd severities."""
     t, key = F.col("turn"), F.col("conv_id") + F.col("turn")
     value = lambda name, k: F.when(key % k == 0, None).when(key % k == 1, F.lit("")).otherwise(F.concat(F.lit(f"{name} "), t.cast("string"))).alias(name)
-    return S.table(spark, d, "conversations").select(
+    return rows.select(
         "conv_id", "turn", F.when(t % 3 == 1, None).otherwise(F.concat(F.lit("complaint "), t.cast("string"))).alias("chief_complaint"),
         *[value(c, 3 + i) for i, c in enumerate(V.SCALARS)],
         F.concat(F.lit("a"), (t % 3).cast("string"), F.lit(", b")).alias("associations"),
@@ -72,9 +76,12 @@ def updates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def shown_profiles(profiles: DataFrame) -> DataFrame:
+    return profiles.select("conv_id", "chief_complaint", *V.SCALARS, "severity", *[F.array_join(c, ",").alias(c) for c in V.LISTS])
+
+
 def profile_merge(spark: SparkSession, d: str) -> DataFrame:
-    out = V.merge_profiles(updates(spark, d))
-    return out.select("conv_id", "chief_complaint", *V.SCALARS, "severity", *[F.array_join(c, ",").alias(c) for c in V.LISTS])
+    return shown_profiles(V.merge_profiles(updates(spark, d)))
 
 
 def contextual_query(spark: SparkSession, d: str) -> DataFrame:
@@ -164,17 +171,21 @@ def chat_log_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
+    return saves_of(S.table(spark, d, "events"))
+
+
+def saves_of(rows: DataFrame) -> DataFrame:
     """Saves of conversations, now and then under an id with characters that are not kept, or with broken state."""
     name = F.concat(F.lit("conv_"), F.when(F.col("event_id") % 3 == 0, F.lit("/ ")).otherwise(F.lit("")), F.col("user_id").cast("string"))
     state = F.when(F.col("event_id") % 17 == 0, F.lit("{broken")).otherwise(F.col("props"))
-    return S.table(spark, d, "events").select(name.alias("conversation_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.lit(1).alias("version"), state.alias("state"))
+    return rows.select(name.alias("conversation_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.lit(1).alias("version"), state.alias("state"))
 
 
-def _as_of(spark: SparkSession, d: str) -> F.Column:
+def as_of(spark: SparkSession, d: str) -> F.Column:
     return F.lit(S.table(spark, d, "events").agg(F.max("ts").cast("timestamp")).first()[0])
 
 
-def _shown(df: DataFrame, *more: str) -> DataFrame:
+def shown(df: DataFrame, *more: str) -> DataFrame:
     return df.select("conversation_id", F.unix_micros("ts").alias("saved"), *more)
 
 
@@ -183,29 +194,31 @@ def checkpoint_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checkpoint_latest(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(P.latest(log(spark, d)), "seq", "state")
+    return shown(P.latest(log(spark, d)), "seq", "state")
 
 
 def checkpoint_list(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(P.newest(P.latest(log(spark, d)), 50), "version")
+    return shown(P.newest(P.latest(log(spark, d)), 50), "version")
 
 
-def checkpoint_resume(spark: SparkSession, d: str) -> DataFrame:
-    current = P.latest(log(spark, d))
-    customers = S.table(spark, d, "customer")
+def requests(spark: SparkSession, d: str) -> DataFrame:
     asked = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("conv_"), F.col("c_custkey").cast("string")))
-    requests = customers.select(F.col("c_custkey").alias("request_id"), asked.alias("conversation_id"), F.col("c_mktsegment").alias("input"))
-    return P.resume(requests, current).select("request_id", "conversation_id", "input", "state", F.unix_micros("ts").alias("saved"), "origin")
+    return S.table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), asked.alias("conversation_id"), F.col("c_mktsegment").alias("input"))
+
+
+def checkpoint_resume(spark: SparkSession, d: str) -> DataFrame:
+    resumed = P.resume(requests(spark, d), P.latest(log(spark, d)))
+    return resumed.select("request_id", "conversation_id", "input", "state", F.unix_micros("ts").alias("saved"), "origin")
 
 
 def checkpoint_delete(spark: SparkSession, d: str) -> DataFrame:
     gone = S.table(spark, d, "events").where("user_id % 10 = 0").select(F.concat(F.lit("conv_"), F.col("user_id").cast("string")).alias("conversation_id"))
-    return _shown(P.delete(P.latest(log(spark, d)), gone), "seq")
+    return shown(P.delete(P.latest(log(spark, d)), gone), "seq")
 
 
 def checkpoint_retention(spark: SparkSession, d: str) -> DataFrame:
     current = P.latest(log(spark, d))
-    old = P.expired(_as_of(spark, d), 7)
+    old = P.expired(as_of(spark, d), 7)
     return current.groupBy(old.alias("expired")).agg(F.count("*").alias("conversations"), F.max("seq").alias("last_seq"))
 
 

@@ -20,16 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _own_dir: str | None = None
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder (``spark.checkpoint.dir``) and read back; only a local session may lack that setting."""
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder (``spark.checkpoint.dir``) that nothing has yet; only a local session may lack that setting."""
     global _own_dir
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = _own_dir = _own_dir or tempfile.mkdtemp(prefix="loomwell-")
-    path = f"{base.rstrip('/')}/loomwell-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/loomwell-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,8 +12,8 @@ def test_equals_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql():
-    """Pixels are read by numpy, files are no table's rows, approximate neighbours are measured by recall; other modules test those three."""
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"image_quality", "file_inventory", "knn_approximate"}
+    """Files are no table's rows, approximate neighbours are measured by recall; other modules test those two."""
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"file_inventory", "knn_approximate"}
 
 
 def test_flagship_equals_brute_force(spark, small):
