@@ -113,6 +113,10 @@ def image_quality_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 DET = "det AS (SELECT user_id AS image_id, event_id, event_type AS class_name, event_id % 101 / 100.0 AS confidence, value FROM events)"
+# Through decimals, as halves of the last digit are common among shares of pixels.
+_ROUNDED = ", ".join(f"CAST(round(CAST({x} AS DECIMAL(38, 12)), 6) AS DOUBLE) AS {name}" for name, x in zip((*V.STATS, *V.WEIGHTS, "overall_score"), (
+    "lap", "gray", "sd", "b", "g", "r", "o", "blur", "bright", "contrast", "color", "focus", "(blur * 0.3 + bright * 0.2 + contrast * 0.2 + color * 0.1 + focus * 0.2)",
+)))
 
 QUERIES = {f.__name__: f for f in (detection_filter, detections_parse, vision_confidence, model_call_dedup, image_validation, image_headers, image_quality_scores, image_quality)}
 
@@ -137,7 +141,7 @@ SQL = {
           CASE WHEN sd < 30 THEN 'Low contrast' END, CASE WHEN color < 0.8 THEN 'Color imbalance detected' END, CASE WHEN focus < 0.5 THEN 'Teeth not clearly visible' END) AS issues,
         concat_ws(' | ', CASE WHEN lap < 100 THEN 'Use tripod or increase lighting' WHEN lap < 200 THEN 'Hold phone steady' END, CASE WHEN gray < 50 THEN 'Increase lighting or use flash' WHEN gray > 200 THEN 'Reduce lighting' END,
           CASE WHEN sd < 30 THEN 'Better lighting on teeth' END, CASE WHEN color < 0.8 THEN 'Check white balance settings' END, CASE WHEN focus < 0.5 THEN 'Focus camera on oral cavity' END) AS recommendations FROM z""",
-    "image_quality": """WITH px AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(hex(text) || repeat('20', CAST(greatest(1, ceil(strlen(text) / 192)) * 192 - strlen(text) AS BIGINT)), '.{6}') AS l FROM documents WHERE text IS NOT NULL)),
+    "image_quality": f"""WITH px AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(hex(text) || repeat('20', CAST(greatest(1, ceil(strlen(text) / 192)) * 192 - strlen(text) AS BIGINT)), '.{{6}}') AS l FROM documents WHERE text IS NOT NULL)),
         c AS (SELECT doc_id, i // 64 AS y, i % 64 AS x, CAST(CAST('0x' || p[1:2] AS BIGINT) AS DOUBLE) AS b, CAST(CAST('0x' || p[3:4] AS BIGINT) AS DOUBLE) AS g, CAST(CAST('0x' || p[5:6] AS BIGINT) AS DOUBLE) AS r FROM px),
         v AS (SELECT *, round_even(CAST(0.114 AS DOUBLE) * b + CAST(0.587 AS DOUBLE) * g + CAST(0.299 AS DOUBLE) * r, 0) AS gray, greatest(b, g, r) AS top, greatest(b, g, r) - least(b, g, r) AS span FROM c),
         h AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN top = r THEN (g - b) / span WHEN top = g THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END * 30 AS turn, CASE WHEN top > 0 THEN round_even(255 * span / top, 0) ELSE 0 END AS sat,
@@ -148,8 +152,7 @@ SQL = {
         s AS (SELECT 'doc_' || doc_id AS image_id, (n * e2 - e1 * e1) / (n * n) AS lap, g1 / n AS gray, sqrt((n * g2 - g1 * g1) / (n * n)) AS sd, b / n AS b, g / n AS g, r / n AS r, oral / n AS o FROM a),
         q AS (SELECT *, least(lap / 500, CAST(1 AS DOUBLE)) AS blur, CASE WHEN gray < 50 THEN gray / 50 WHEN gray > 200 THEN (255 - gray) / 55 ELSE CAST(1 AS DOUBLE) END AS bright, least(sd / 60, CAST(1 AS DOUBLE)) AS contrast,
           1 - (abs(b - g) + abs(g - r) + abs(r - b)) / 765 AS color, CAST(CASE WHEN o < 0.1 THEN 0.3 WHEN o < 0.2 THEN 0.7 WHEN o <= 0.6 THEN 1 ELSE 0.8 END AS DOUBLE) AS focus FROM s)
-        SELECT image_id, round(lap, 6) AS laplacian_var, round(gray, 6) AS mean_gray, round(sd, 6) AS std_gray, round(b, 6) AS mean_b, round(g, 6) AS mean_g, round(r, 6) AS mean_r, round(o, 6) AS oral_share, round(blur, 6) AS blur_score,
-        round(bright, 6) AS brightness_score, round(contrast, 6) AS contrast_score, round(color, 6) AS color_balance_score, round(focus, 6) AS dental_focus_score, round(blur * 0.3 + bright * 0.2 + contrast * 0.2 + color * 0.1 + focus * 0.2, 6) AS overall_score,
+        SELECT image_id, {_ROUNDED},
         concat_ws(' | ', CASE WHEN lap < 100 THEN 'Severe blur detected' WHEN lap < 200 THEN 'Slight blur' END, CASE WHEN gray < 50 THEN 'Image too dark' WHEN gray > 200 THEN 'Image overexposed' END,
           CASE WHEN sd < 30 THEN 'Low contrast' END, CASE WHEN color < 0.8 THEN 'Color imbalance detected' END, CASE WHEN focus < 0.5 THEN 'Teeth not clearly visible' END) AS issues FROM q""",
 }
