@@ -140,7 +140,7 @@ def search(queries: DataFrame, built: DataFrame, index: DataFrame, lists: Lists,
             for row in batch.to_pylist():
                 ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
                 m = own[row["list"]] + np.frombuffer(row["codes"], np.int8).reshape(-1, width) * np.frombuffer(row["scales"])[:, None]
-                best = _best((np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)), np.frombuffer(row["q"]).reshape(-1, width) @ m.T, ids, most)
+                best = _best((np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)), np.frombuffer(row["q"]).reshape(-1, width) @ m.T, ids, most, None)
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "id", "similarity"])
 
     asked = queries.where("embedding is not null").select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))

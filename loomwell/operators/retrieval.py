@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from . import containment
 
 #: Query vectors of at most so many bytes are broadcast; blocks of a grid have as many.
 BLOCK_BYTES = 32 << 20
-#: Scores that a cell of the grid works out at once.
-STRIP_SCORES = 1 << 22
+#: Scores that a task works out at once: a strip of queries by a piece of the index, of at most so many rows.
+STRIP_SCORES, PIECE_ROWS = 1 << 20, 4096
 HALF_LIFE_DAYS = 1825.0
 SEMANTIC_WEIGHT, TEMPORAL_WEIGHT = 0.8, 0.2
 DATE_FIELDS = ("published_date", "publication_date", "date", "year")
@@ -110,10 +110,8 @@ def grid_knn(queries: DataFrame, index: DataFrame, k: int, block_bytes: int = BL
         for batch in batches:
             for c, asked, held in zip(batch.column("c").to_pylist(), _items(batch.column("r_items")), _items(batch.column("c_items"))):
                 (query_ids, q), (ids, m) = ((i, _unit(_matrix(v, width))) for i, v in (asked, held))
-                strip = max(1, STRIP_SCORES // max(1, len(ids)))
-                for a in range(0, len(query_ids), strip):
-                    best = _best((np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)), np.round(q[a : a + strip] @ m.T, 6), ids, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best[0]), c, dtype=np.int32)), pa.array(query_ids[a : a + strip][best[0]]), pa.array(best[2]), pa.array(best[1])], ["c", "query_id", "id", "similarity"])
+                for at, best in _searched(q, [(ids, m)], k):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best[0]), c, dtype=np.int32)), pa.array(query_ids[at + best[0]]), pa.array(best[2]), pa.array(best[1])], ["c", "query_id", "id", "similarity"])
 
     found = cells.mapInArrow(run, "c int, query_id long, id long, similarity double")
     some = Window.partitionBy("query_id", F.col("c") % max(1, round(columns**0.5))).orderBy(F.desc("similarity"), "id")
@@ -144,27 +142,44 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def _candidates(index: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
-        best = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))  # query's place, score, id
-        for batch in batches:
-            if batch.num_rows and len(query_ids):
-                scores = np.round(queries @ _unit(_matrix(batch.column("embedding"), queries.shape[1])).T, 6)
-                best = _best(best, scores, batch.column("id").to_numpy(), k)
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "id", "similarity"])
+        blocks = ((b.column("id").to_numpy(), _unit(_matrix(b.column("embedding"), queries.shape[1]))) for b in batches)
+        for at, best in _searched(queries, blocks, k):
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[at + best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "id", "similarity"])
 
     rows = index.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
     return rows.mapInArrow(run, "query_id long, id long, similarity double")
 
 
-def _best(best: tuple, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
-    """The k best (query, score, id) of each query among those held and a block of scores; ties go to the lower id.
+def _searched(queries: np.ndarray, blocks: Iterable[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[int, tuple]]:
+    """For each strip of ``queries`` its first place and the k best (query, score, id) among all ``blocks`` (ids, unit vectors).
+
+    A strip meets a piece of a block at a time: besides the vectors, a task holds ``STRIP_SCORES`` scores and k rows a query, however
+    many queries there are.
+    """
+    strip = max(1, STRIP_SCORES // PIECE_ROWS)
+    none = (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))
+    found = [(a, none) for a in range(0, len(queries), strip)]
+    for ids, vectors in blocks:
+        for p in range(0, len(ids), PIECE_ROWS):
+            piece = vectors[p : p + PIECE_ROWS].T
+            found = [(a, _best(best, queries[a : a + strip] @ piece, ids[p : p + PIECE_ROWS], k)) for a, best in found]
+    return found
+
+
+def _best(best: tuple, scores: np.ndarray, ids: np.ndarray, k: int, digits: int | None = 6) -> tuple:
+    """The k best (query, score, id) of each query among those held and a block of scores, which count to ``digits``; ties go to the lower id.
 
-    Only scores that reach the block's k-th best are sorted.
+    Only scores that, so rounded, may reach the k-th of those held are sorted; where these are many, only those that reach the block's k-th, too.
     """
-    if scores.shape[1] > k:
-        query, at = np.nonzero(scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k])
-    else:
-        query, at = (x.ravel() for x in np.indices(scores.shape))
-    query, score, id_ = (np.concatenate(x) for x in zip(best, (query, scores[query, at], ids[at])))
+    least = np.full(len(scores), -np.inf)
+    full = best[0][k - 1 :][best[0][k - 1 :] == best[0][: max(0, len(best[0]) - k + 1)]]
+    least[full] = best[1][np.searchsorted(best[0], full) + k - 1]
+    reach = scores >= (least - 1e-6)[:, None]
+    if scores.shape[1] > k and np.count_nonzero(reach) > 4 * k * len(scores):
+        reach &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] - 1e-6
+    query, at = np.nonzero(reach)
+    score = scores[query, at] if digits is None else np.round(scores[query, at], digits)
+    query, score, id_ = (np.concatenate(x) for x in zip(best, (query, score, ids[at])))
     order = np.lexsort((id_, -score, query))
     query, score, id_ = query[order], score[order], id_[order]
     keep = np.arange(len(query)) - np.searchsorted(query, query) < k

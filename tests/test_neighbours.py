@@ -25,6 +25,27 @@ def test_the_grid_gives_the_same_rows(spark, small):
             retrieval.STRIP_SCORES = before
 
 
+def test_a_task_holds_few_scores_at_once(spark):
+    """A strip of queries meets a piece of the index, however many there are of both; results are those of one large block."""
+    rng = np.random.default_rng(3)
+    queries, vectors = retrieval._unit(rng.integers(-2, 3, (1500, 4)).astype(float)), retrieval._unit(rng.integers(-2, 3, (9000, 4)).astype(float))
+    ids, held, k = rng.permutation(9000), [], 10
+
+    class counted(np.ndarray):
+        def __matmul__(self, other):
+            out = np.asarray(self) @ np.asarray(other)
+            held.append(out.size)
+            return out
+
+    found = retrieval._searched(queries.view(counted), [(ids[:5000], vectors[:5000]), (ids[5000:], vectors[5000:])], k)
+    assert max(held) <= retrieval.STRIP_SCORES < queries.shape[0] * 5000
+    scores = np.round(queries @ vectors.T, 6)
+    for at, (query, score, id_) in found:
+        for q in range(at, min(at + 4, len(queries))):
+            order = np.lexsort((ids, -scores[q]))[:k]
+            assert id_[query == q - at].tolist() == ids[order].tolist() and score[query == q - at].tolist() == scores[q][order].tolist()
+
+
 def test_the_grid_keeps_vectors_from_the_driver(spark, small):
     asked, index = sides(spark.read.parquet(f"{small}/embeddings.parquet"))
     plan = retrieval.grid_knn(asked, index, 10, 20 * 64 * 8)._jdf.queryExecution().toString()
