@@ -10,7 +10,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -19,58 +18,92 @@ from pyspark.sql import functions as F
 Encoder = Callable[[list[str]], np.ndarray]
 DIM = 64
 #: Sentences whose vectors are held at once; a longer row is held alone.
-HELD_SENTENCES = 8192
+HELD_SENTENCES = 16384
 #: Characters of texts that are cut into words at once; a longer text is cut alone.
 HELD_CHARS = 4 << 20
 #: Words whose buckets a worker remembers, but for those of one such step.
 KNOWN_WORDS = 200_000
 
-#: Words are letters, digits and underscores.
-BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
+#: Words are letters, digits and underscores. Other ASCII characters become blanks by a table of bytes, all others by this pattern.
+BETWEEN_WORDS = r"[^\x00-\x7F\p{L}\p{N}]+"
+BLANKED = np.arange(256, dtype=np.uint8)
+BLANKED[[i for i in range(128) if not (chr(i).isalnum() or chr(i) == "_")]] = 32
 
 
 class hashed_counts:  # noqa: N801  used like a function
-    """Counts of words by bucket: the first 32 bits of a word's MD5, modulo ``dim``. Arrow cuts texts and finds distinct words."""
+    """Counts of words by bucket: the first 32 bits of a word's MD5, modulo ``dim``. Arrow cuts texts and finds the words that are known.
+
+    Texts may be an Arrow array, whose texts then never become Python's.
+    """
+
+    takes_arrow = True
 
     def __init__(self, dim: int = DIM):
-        self.dim, self.known = dim, {}
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        out, first, size = np.zeros((len(texts), self.dim)), 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= HELD_CHARS or i + 1 == len(texts):
-                out[first : i + 1] = self._counts(texts[first : i + 1])
+        self.dim = dim
+        self._forget()
+
+    def _forget(self) -> None:
+        """Know the empty word alone, which stands before, between or behind marks and has no bucket."""
+        self.words, self.bucket = pa.array([""], pa.string()), np.array([-1])
+
+    def __call__(self, texts: list[str] | pa.Array) -> np.ndarray:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out, first, size = np.zeros((len(column), self.dim)), 0, 0
+        for i, length in enumerate(pc.utf8_length(column).to_pylist()):
+            size += length
+            if size >= HELD_CHARS or i + 1 == len(column):
+                out[first : i + 1] = self._counts(column.slice(first, i + 1 - first))
                 first, size = i + 1, 0
         return out
 
-    def _counts(self, texts: list[str]) -> np.ndarray:
-        parts = pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), pattern=BETWEEN_WORDS)
-        words = parts.flatten().dictionary_encode()
-        bucket = self._buckets(words.dictionary.to_pylist())[words.indices.to_numpy()]
+    def _counts(self, texts: pa.Array) -> np.ndarray:
+        low = pc.utf8_lower(texts)
+        valid, offsets, data = low.buffers()
+        if data is not None:
+            blanked = pa.py_buffer(BLANKED[np.frombuffer(data, np.uint8)])
+            low = pc.replace_substring_regex(pa.StringArray.from_buffers(len(low), offsets, blanked, valid, -1, low.offset), pattern=BETWEEN_WORDS, replacement=" ")
+        parts = pc.split_pattern(low, pattern=" ")
+        bucket = self._buckets(parts.flatten())
         text_of = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
         cells = (text_of * self.dim + bucket)[bucket >= 0]
         return np.bincount(cells, minlength=len(texts) * self.dim).reshape(-1, self.dim)
 
-    def _buckets(self, words: list[str]) -> np.ndarray:
-        """The bucket of each word; -1 for the empty one, which stands before, between or behind marks."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        for word in words:
-            if word not in known:
-                known[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % self.dim if word else -1
-        return np.array([known[word] for word in words], dtype=np.int64)
+    def _buckets(self, words: pa.Array) -> np.ndarray:
+        """The bucket of each word; -1 for the empty one."""
+        if len(self.words) > KNOWN_WORDS:
+            self._forget()
+        place = pc.index_in(words, value_set=self.words)
+        if place.null_count:
+            missing = place.is_null()
+            others = words.filter(missing).dictionary_encode()
+            new = [int.from_bytes(hashlib.md5(w).digest()[:4]) % self.dim for w in others.dictionary.cast(pa.binary()).to_pylist()]
+            at = place.fill_null(0).to_numpy(zero_copy_only=False).copy()
+            at[missing.to_numpy(zero_copy_only=False)] = len(self.words) + others.indices.to_numpy()
+            self.words, self.bucket = pa.concat_arrays([self.words, others.dictionary]), np.concatenate([self.bucket, np.array(new, dtype=np.int64)])
+            return self.bucket[at]
+        return self.bucket[place.to_numpy()]
+
+
+def _encoded(encode: Encoder, texts: pa.Array) -> np.ndarray:
+    return np.asarray(encode(texts if getattr(encode, "takes_arrow", False) else texts.to_pylist()))
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Lists of doubles that end where ``ends`` says; null where ``valid`` is false."""
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    mask = None if valid is None or valid.all() else pa.array(~valid)
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.float64()), mask=mask)
 
 
 def embed(text: Column, encoder: Encoder | None = None) -> Column:
     """``array<double>`` of each text; null text is encoded as empty text."""
     encode = encoder or hashed_counts()
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(list(encode([t or "" for t in texts])), dtype=object)
+            m = _encoded(encode, pc.fill_null(texts, ""))
+            yield _lists(m.ravel(), np.arange(1, len(texts) + 1) * (m.shape[1] if len(texts) else 0))
 
     return run(text)
 
@@ -84,32 +117,34 @@ def neighbour_similarity(sentences: Column, encoder: Encoder | None = None) -> C
     """
     encode = encoder or hashed_counts()
 
-    def similarities(rows: list) -> list[np.ndarray]:
-        m = encode([s for r in rows for s in r])
-        dots = (m[1:] * m[:-1]).sum(axis=1)
-        squares = (m * m).sum(axis=1)
+    def similarities(rows: pa.ListArray) -> pa.Array:
+        m = _encoded(encode, rows.flatten())
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        dots = np.einsum("ij,ij->i", m[1:], m[:-1])
+        squares = np.einsum("ij,ij->i", m, m)
         norms = np.sqrt(squares[1:] * squares[:-1])
         cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms != 0)  # not a number where a vector is none
-        ends = np.cumsum([len(r) for r in rows]).tolist()
-        return [cosine[end - len(r) : end - 1] if len(r) else np.zeros(0) for r, end in zip(rows, ends)]
+        ends = np.cumsum(sizes)
+        within = np.ones(len(cosine), dtype=bool)
+        within[ends[(ends > 0) & (ends < len(m))] - 1] = False
+        return _lists(cosine[within], np.cumsum(np.maximum(sizes - 1, 0)))
 
-    def tried(rows: list) -> list[np.ndarray | None]:
+    def tried(rows: pa.ListArray) -> list[pa.Array]:
         try:
-            return similarities(rows)
+            return [similarities(rows)]
         except Exception:  # whatever a pluggable encoder raises
-            return [None] if len(rows) == 1 else [x for r in rows for x in tried([r])]
+            return [_lists(np.zeros(0), np.zeros(1), np.array([False]))] if len(rows) == 1 else [x for i in range(len(rows)) for x in tried(rows.slice(i, 1))]
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            out, held, size = [], [], 0
-            for row in rows:
-                held.append(row if row is not None else [])
-                size += len(held[-1])
-                if size >= HELD_SENTENCES:
-                    out += tried(held)
-                    held, size = [], 0
-            yield pd.Series(out + (tried(held) if held else []), dtype=object)
+            out, first, size = [], 0, 0
+            for i, n in enumerate(pc.fill_null(pc.list_value_length(rows), 0).to_pylist()):
+                size += n
+                if size >= HELD_SENTENCES or i + 1 == len(rows):
+                    out += tried(rows.slice(first, i + 1 - first))
+                    first, size = i + 1, 0
+            yield pa.concat_arrays(out) if out else _lists(np.zeros(0), np.zeros(0))
 
     return run.asNondeterministic()(sentences)
 
