@@ -17,16 +17,25 @@ CHUNKS_A_DOCUMENT, DOCUMENTS = 1 << 21, 1 << 42
 HEAD_CHARS = 512
 
 
-def encoded(rows: DataFrame, text: Column, name: str, encoder: Encoder | None = None) -> DataFrame:
-    """``rows`` with the vector of ``text`` as ``name``. Each different text is encoded once, however many rows have it, into the shared folder.
+def _keyed(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with the SHA-256 of ``text`` as ``_key`` and a number as ``_row``, in the shared folder; null text is empty text."""
+    return S.stored(rows.withColumns({"_key": F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), "_row": F.monotonically_increasing_id()}))
+
+
+def _vectors(keyed: DataFrame, text: Column, name: str, encoder: Encoder | None = None) -> DataFrame:
+    """(_key, ``name``): the vector of each different text, encoded once, in the shared folder.
 
-    Texts meet their vectors by their SHA-256; null text is empty text.
+    The row that stands for a text is found by numbers alone; texts are neither sorted nor aggregated.
     """
-    own = F.coalesce(text, F.lit(""))
-    keyed = rows.withColumn("_key", F.unhex(F.sha2(own, 256)))
-    vectors = keyed.select("_key", own.alias("_text")).dropDuplicates(["_key"])
-    vectors = S.stored(vectors.select("_key", embed(F.col("_text"), encoder).alias(name)))
-    return keyed.join(vectors, "_key").drop("_key")
+    first = keyed.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row")
+    texts = keyed.select("_row", "_key", F.coalesce(text, F.lit("")).alias("_text")).join(first.hint("shuffle_hash"), "_row", "left_semi")
+    return S.stored(texts.select("_key", embed(F.col("_text"), encoder).alias(name)))
+
+
+def encoded(rows: DataFrame, text: Column, name: str, encoder: Encoder | None = None) -> DataFrame:
+    """``rows`` with the vector of ``text`` as ``name``. ``rows`` are worked out once; each different text is encoded once, however many of them have it."""
+    keyed = _keyed(rows, text)
+    return keyed.join(_vectors(keyed, text, name, encoder), "_key").drop("_key", "_row")
 
 
 def passages(
@@ -44,17 +53,17 @@ def passages(
     place = F.coalesce("segment", F.lit(0)) * 2 + F.when(F.col("split") == "part2", 1).otherwise(0)
     fits = (place < CHUNKS_A_DOCUMENT) & F.col("doc_idx").between(-DOCUMENTS, DOCUMENTS - 1)
     number = F.when(fits, F.col("doc_idx") * CHUNKS_A_DOCUMENT + place).otherwise(F.raise_error(F.lit("a document's index or number of chunks is too large")).cast("long"))
-    index = chunks.select("doc_idx", "content", number.alias("id"))
-    index = S.stored(encoded(index, F.col("content"), "embedding", encoder))
+    index = _keyed(chunks.select("doc_idx", "content", number.alias("id")), F.col("content"))
+    vectors = _vectors(index, F.col("content"), "embedding", encoder)
     expanded = retrieval.expand(queries.select("query_id", "query"), dictionary if dictionary is not None else retrieval.expansion_table(docs.sparkSession))
     asked = encoded(expanded.select("query_id", "query", "expanded_query"), F.col("query"), "as_asked", encoder)
     asked = S.stored(encoded(asked, F.col("expanded_query"), "embedding", encoder).select("query_id", "embedding", "as_asked"))
-    found = retrieval.knn(asked.select("query_id", "embedding"), index, 2 * top_k).withColumnRenamed("rank", "retrieval_rank").drop("similarity")
+    found = retrieval.knn(asked.select("query_id", "embedding"), index.select("id", "_key").join(vectors, "_key"), 2 * top_k).withColumnRenamed("rank", "retrieval_rank").drop("similarity")
     found = S.stored(found)
     # A chunk is a candidate of many queries: its beginning is encoded once, and not at all where it is the whole.
-    heads = index.join(found.select("id").distinct(), "id", "left_semi")
-    short = heads.where(F.length("content") <= HEAD_CHARS).select("id", "doc_idx", "content", F.col("embedding").alias("head"))
-    long = encoded(heads.where(F.length("content") > HEAD_CHARS).drop("embedding"), F.substring("content", 1, HEAD_CHARS), "head", encoder)
+    heads = S.stored(index.drop("_row").join(found.select("id").distinct(), "id", "left_semi"))
+    short = heads.where(F.length("content") <= HEAD_CHARS).join(vectors, "_key").select("id", "doc_idx", "content", F.col("embedding").alias("head"))
+    long = encoded(heads.where(F.length("content") > HEAD_CHARS).drop("_key"), F.substring("content", 1, HEAD_CHARS), "head", encoder)
     found = found.join(short.unionByName(long.select(*short.columns)), "id").join(asked.select("query_id", "as_asked"), "query_id")
     found = found.withColumn("cos", F.round(cosine(F.col("as_asked"), F.col("head")), 6)).drop("as_asked", "head")
     fields = [c for c in docs.columns if c not in ("text", "doc_idx")]

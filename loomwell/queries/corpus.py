@@ -16,6 +16,7 @@ BUILT = "2025-01-01T00:00:00"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
+    S.narrow_batches(spark)
     path = F.concat(F.lit("/docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return S.table(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), "text", path.alias("source_path"))
 

@@ -66,6 +66,7 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
 
 def images(spark: SparkSession, d: str) -> DataFrame:
     """The bytes of each document as an image of 64 pixels a row, in the form of Spark's image source."""
+    S.narrow_batches(spark)
     raw = F.encode("text", "UTF-8")
     height = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / 192)).cast("int")
     data = F.concat(raw, F.encode(F.repeat(F.lit(" "), height * 192 - F.octet_length("text")), "UTF-8"))

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch between Spark and its Python workers where rows are whole documents.
+BATCH_ROWS = 1000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Let the session send documents to Python workers in batches of ``BATCH_ROWS`` rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 #: The folder of a local session that names none.
 _own_dir: str | None = None
 

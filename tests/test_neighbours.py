@@ -78,3 +78,35 @@ def test_lists_of_equal_vectors_and_none(spark):
     assert [r["id"] for r in inverted_lists.search(asked, built, rows, lists, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
     none = inverted_lists.fit(rows.limit(0))
     assert inverted_lists.search(asked, inverted_lists.build(rows.limit(0), none), rows.limit(0), none, 5).count() == 0
+
+
+def test_each_text_is_encoded_once_and_none_is_sorted(spark, tmp_path, monkeypatch):
+    from loomwell.functions.encoders import hashed_counts
+    from loomwell.plans import answering
+
+    log, plans, store = str(tmp_path / "seen"), [], answering.S.stored
+
+    def encoder(texts):
+        with open(log, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return hashed_counts()(texts)
+
+    def stored(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return store(frame)
+
+    monkeypatch.setattr(answering.S, "stored", stored)
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"text {i % 5}") for i in range(70)], "id long, text string")
+    out = answering.encoded(rows, F.col("text"), "v", encoder).collect()
+    assert sorted(open(log).read().split("\n")[:-1]) == ["", *(f"text {i}" for i in range(5))]
+    assert len(out) == 70 and all(r["v"] == hashed_counts()([r["text"] or ""])[0].tolist() for r in out)
+    assert plans and not any("SortAggregate" in p or "SortMergeJoin" in p for p in plans)
+
+
+def test_documents_reach_python_in_narrow_batches(spark, small):
+    from loomwell.queries import corpus, images
+
+    for query in (corpus.sentence_clusters, corpus.index_manifest, images.image_quality):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        query(spark, small)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
