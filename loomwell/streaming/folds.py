@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.text import safe_key
 from ..operators.checkpoints import LISTED, expired, latest, resume
-from ..operators.conversation import LISTS, SCALARS, parsed_updates
+from ..operators.conversation import LISTS, SCALARS, merge_profiles, parsed_updates
 from ..sources.tables import delete_folder, read_or_empty
 
 PROFILE = "conv_id long, chief_complaint string, " + ", ".join(f"{c} string" for c in SCALARS) + ", severity int, " + ", ".join(f"{c} array<string>" for c in LISTS)
@@ -28,10 +28,10 @@ class ProfileFold(StatefulProcessor):
     """One conversation's profile: a value with the newest of each element and the turn it is from, and a map of the lists' values.
 
     A value is written when it is new, so that a long list costs an update nothing. A timer of event time, moved on by each
-    update, ends the state as a whole; updates without times (``silence_ms`` None) have none.
+    update, ends the state as a whole.
     """
 
-    def __init__(self, silence_ms: int | None):
+    def __init__(self, silence_ms: int):
         self.silence_ms = silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -41,7 +41,7 @@ class ProfileFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names, latest = [x.split()[0] for x in _STATE.split(", ")], None
-        now = timerValues.getCurrentWatermarkInMs() if self.silence_ms is not None else 0
+        now = timerValues.getCurrentWatermarkInMs()
         held = dict(zip(names, self.newest.get())) if self.newest.exists() else dict.fromkeys(names)
         if held["due"] is not None:
             self.handle.deleteTimer(held["due"])
@@ -49,18 +49,16 @@ class ProfileFold(StatefulProcessor):
                 self._end()
                 held = dict.fromkeys(names)
         for frame in rows:
-            if self.silence_ms is not None:
-                newest = frame["at"].max().value // 1_000_000
-                latest = newest if latest is None else max(latest, newest)
+            newest = frame["at"].max().value // 1_000_000
+            latest = newest if latest is None else max(latest, newest)
             self._newer(held, frame, "chief_complaint", "chief_turn")
             for c in _NEWEST:
                 self._newer(held, frame[frame["ok"] & frame[c].notna()], c, f"{c}_turn")
             for name, value, turn in {(e["list"], e["value"], 0) for own in frame["entries"] if own is not None for e in own}:
                 if not self.values.containsKey((name, value)):
                     self.values.updateValue((name, value), (turn,))
-        if self.silence_ms is not None:
-            held["due"] = max(latest + self.silence_ms, held["due"] or 0, now + 1)
-            self.handle.registerTimer(held["due"])
+        held["due"] = max(latest + self.silence_ms, held["due"] or 0, now + 1)
+        self.handle.registerTimer(held["due"])
         self.newest.update(tuple(held[n] for n in names))
         lists = {c: [] for c in LISTS}
         for name, value in self.values.keys():
@@ -95,13 +93,14 @@ class ProfileFold(StatefulProcessor):
 def fold_profiles(updates: DataFrame, time: str | None = None, silence_ms: int = SILENCE_MS, delay: str = "1 day") -> DataFrame:
     """Streaming form of ``merge_profiles``: emits a conversation's profile whenever turns of it arrive, in any order.
 
-    What an update says is worked out by the batch form's own expressions before the fold, so that odd severities count alike. State is kept in RocksDB,
-    by a value and a map for each conversation. Where ``updates`` has a ``time`` column, the state goes when the stream's clock, ``delay`` behind the newest time, is
-    ``silence_ms`` past a conversation's last update; turns after that begin a new profile. Without times it stays.
+    State is kept in RocksDB. Without times it stays, and the fold is the batch form itself: Spark's aggregation of a stream, which combines the turns of a task before
+    they move and has no Python. Where ``updates`` has a ``time`` column, the state goes when the stream's clock, ``delay`` behind the newest time, is ``silence_ms`` past a
+    conversation's last update; turns after that begin a new profile. An aggregation has no such end, so these are folded by ``ProfileFold``, of updates that
+    the batch form's own expressions have parsed, so that odd severities count alike.
     """
     updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     if time is None:
-        return parsed_updates(updates).groupBy("conv_id").transformWithStateInPandas(ProfileFold(None), PROFILE, "Update", "None")
+        return merge_profiles(updates)
     rows = parsed_updates(updates.withColumn("at", F.col(time)), "at").withWatermark("at", delay)
     return rows.groupBy("conv_id").transformWithStateInPandas(ProfileFold(silence_ms), PROFILE, "Update", "EventTime")
 

@@ -131,6 +131,13 @@ def test_odd_severities_and_late_turns_count_alike(spark, tmp_path):
     assert [batch[100 + i]["severity"] for i in range(5)] == [None, None, None, 8, 3]
 
 
+def test_profiles_without_times_fold_in_spark(spark, tmp_path):
+    """Nothing is called in Python for each conversation."""
+    updates = _odd_updates(spark)
+    plan = folds.fold_profiles(_stream(spark, updates, str(tmp_path / "in"), 1))._jdf.queryExecution().logical().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "TransformWithState" not in plan
+
+
 def test_profiles_of_ended_conversations_go(spark, tmp_path):
     """By the stream's clock: one that is silent for a day ends, one that goes on keeps what it had."""
     folder = str(tmp_path / "in")
