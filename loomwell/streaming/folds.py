@@ -201,29 +201,40 @@ def upsert_checkpoints(log: DataFrame, folder: str, buckets: int = 64) -> DataSt
     return log.writeStream.foreachBatch(write)
 
 
-def expire(log: DataFrame, days: int = 7) -> DataFrame:
+#: Groups that ``expire`` deals conversations into.
+EXPIRY_BUCKETS = 1024
+
+
+def expire(log: DataFrame, days: int = 7, buckets: int = EXPIRY_BUCKETS) -> DataFrame:
     """(conversation_id, ts) of each conversation whose last checkpoint of ``log`` is older than ``days`` behind the newest.
 
     A stream's clock is its watermark, the newest time seen. The state has a conversation's last time only, and ends
     with it: an expired conversation is emitted once, to be deleted, and leaves; one that is saved again begins anew.
+    Python is called for each of ``buckets`` that has new rows or something due, not for each conversation. The state of such a bucket, its conversations' names and
+    last times, is written again; ``buckets`` holds for the life of a stream's checkpoint.
     """
     listed = log.where(F.col("conversation_id").startswith(LISTED)).select(safe_key(F.col("conversation_id")).alias("conversation_id"), "ts")
-    kept = listed.withWatermark("ts", "0 seconds")
+    kept = listed.withColumn("bucket", bucket_of(buckets)).withWatermark("ts", "0 seconds")
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            yield pd.DataFrame({"conversation_id": [key[0]], "ts": pd.to_datetime([state.get[0]], unit="us", utc=True)})
+        held = pd.Series(state.get[1], index=state.get[0], dtype="int64") if state.exists else pd.Series(dtype="int64")
+        clock = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            newest = [batch.dropna(subset="ts").groupby("conversation_id")["ts"].max() for batch in batches]
+            saved = pd.concat([t.dt.as_unit("us").astype("int64") for t in newest])
+            held = pd.concat([held, saved]).groupby(level=0).max()
+        due = held // 1000 + days * 86_400_000
+        gone = held[due < clock]
+        if len(gone):
+            yield pd.DataFrame({"conversation_id": gone.index.to_numpy(object), "ts": pd.to_datetime(gone.to_numpy(), unit="us", utc=True)})
+        left = held[due >= clock]
+        if len(left):
+            state.update((left.index.to_list(), left.to_list()))
+            state.setTimeoutTimestamp(max(int(due[left.index].min()), clock, 1))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            newest = batch["ts"].max().value // 1000
-            last = newest if last is None else max(last, newest)
-        state.update((last,))
-        # A time that the watermark has passed already is due at once.
-        state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-
-    return kept.groupBy("conversation_id").applyInPandasWithState(fold, "conversation_id string, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    return kept.groupBy("bucket").applyInPandasWithState(fold, "conversation_id string, ts timestamp", "names array<string>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 __all__ = ["PROFILE", "bucket_of", "current_checkpoints", "expire", "expired", "fold_profiles", "resume_streamed", "upsert_checkpoints"]

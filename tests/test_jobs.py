@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import same_rows
@@ -274,6 +275,36 @@ def test_streamed_expiry(spark, tmp_path):
     assert sorted(r[0] for r in gone) == ["conv_a", "conv_b", "conv_c", "conv_d"] and {r[0]: str(r[1])[:10] for r in gone}["conv_b"] == "2025-01-07"
 
 
+def test_streamed_expiry_of_many_conversations_in_a_bucket(spark, tmp_path):
+    """What goes and when is as by a loop over batches, for any number of buckets; saves without a time count for nothing."""
+    days = [
+        [("conv_a", 1), ("conv_b", 1), ("conv_c", 2), ("conv_d", 3), ("conv_n", None)],
+        [("conv_a", 9), ("conv_a", 4), ("conv_e", 10)],
+        [("conv_b", 12), ("conv_c", 11), ("conv_n", None)],
+        [("conv_c", 25), ("conv_f", 18)],
+        [("conv_e", 26), ("conv_g", 40), ("conv_g", 31)],
+    ]
+    folder = str(tmp_path / "in")
+    time = lambda n: None if n is None else str(pd.Timestamp("2025-01-01") + pd.Timedelta(days=n))
+    for rows in days:
+        frame = spark.createDataFrame([(c, time(n)) for c, n in rows], "conversation_id string, at string")
+        frame.select("conversation_id", F.col("at").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    held, expected, clock = {}, [], pd.Timestamp(0)
+    for rows in [*days, []]:
+        fresh = [(c, pd.Timestamp(time(n))) for c, n in rows if n is not None]
+        for c, at in fresh:
+            held[c] = max(at, held.get(c, at))
+        for c in [c for c, at in held.items() if at + pd.Timedelta(days=7) < clock]:
+            expected.append((c, str(held.pop(c))))
+        clock = max([clock, *(at for _, at in fresh)])
+    for buckets in (1, 3):
+        gone = []
+        stream = spark.readStream.schema("conversation_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+        query = folds.expire(stream, buckets=buckets).writeStream.outputMode("append").foreachBatch(lambda batch, n, to=gone: to.extend((r[0], str(r[1])) for r in batch.collect()))
+        assert query.option("checkpointLocation", str(tmp_path / f"c{buckets}")).trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted(gone) == sorted(expected) and len(gone) > 5
+
+
 def test_chunks_where_the_encoder_fails(spark):
     """A document that the encoder fails on stays whole; one whose similarities are no numbers is cut by counts."""
     import numpy as np
