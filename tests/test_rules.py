@@ -93,6 +93,21 @@ def test_claim_lists(spark):
     assert (got[3]["overall_confidence"], got[3]["recommendations"]) == (0.5, [TEXTS["validation_error"]])
 
 
+def test_claims_meet_their_verdicts_in_one_sort(spark):
+    """No join, and as many tasks as are asked for; claims without a response, claims that stand twice and verdicts without a batch or an order count as by the rules."""
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 0, "a"), (1, 1, "b"), (None, 0, "c"), (2, 0, "d"), (2, None, "e"), (3, 0, "f"), (4, 0, "g")], "response_id long, claim_idx int, claim_text string")
+    given = spark.createDataFrame(
+        [(1, 0, 0, True, 0.3, 0), (1, 0, 1, True, 0.4, 1), (1, 0, 1, False, 0.5, 2), (None, 0, 0, True, 0.6, 0), (2, 0, 0, True, 0.7, 0), (2, None, 0, True, 0.8, 0), (3, 0, 0, True, 0.9, None), (4, 0, 0, True, 1.5, 0), (9, 0, 0, True, 0.5, 0)],
+        "response_id long, batch int, claim_index int, is_supported boolean, confidence double, ord int",
+    )
+    out = claims.with_verdicts(rows, given.withColumn("supporting_sources", F.array("ord")), partitions=7)
+    assert out.columns == ["response_id", "claim_idx", "claim_text", "is_supported", "confidence", "supporting_sources", "voided"] and out.schema["claim_idx"].dataType == rows.schema["claim_idx"].dataType
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "hashpartitioning(response_id" in plan and ", 7)" in plan
+    got = sorted((r["claim_text"], r["is_supported"], r["confidence"], r["voided"]) for r in out.collect())
+    assert got == [("a", True, 0.3, False), ("a", True, 0.3, False), ("b", False, 0.5, False), ("c", True, 0.6, False), ("d", True, 0.7, True), ("e", None, None, True), ("f", None, None, True), ("g", True, 1.5, True)]
+
+
 def docs(spark, *texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_idx long, text string")
 
