@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ DEFAULT_THRESHOLD = 0.3
 MAX_MB = 5
 MIN_SIDE = 100
 QUALITY_THRESHOLD = 0.6
+#: Pixels that are worked on at a time, or one row of them.
+STRIP = 1 << 16
 #: The reason that files without a readable image share with small ones.
 UNREADABLE = "Low resolution."
 WEIGHTS = {"blur_score": 0.30, "brightness_score": 0.20, "contrast_score": 0.20, "color_balance_score": 0.10, "dental_focus_score": 0.20}
@@ -74,25 +77,46 @@ def admission(images: DataFrame, max_bytes: int = MAX_MB * 1024 * 1024) -> DataF
 def pixel_stats(images: DataFrame) -> DataFrame:
     """(path, the columns of ``STATS``) of Spark's ``image`` rows of 8-bit samples: BGR, BGR with alpha, which is ignored, or grey; unreadable ones are left out.
 
-    Images stay in their partition; seven numbers for each leave it.
+    Images stay in their partition; seven numbers for each leave it. Their samples are read in the Arrow batch that they come in, strip by strip.
     """
-    rows = images.where("image.height > 0 and image.nChannels in (1, 3, 4)").select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    readable = images.where("image.height > 0 and image.width > 0 and image.nChannels in (1, 3, 4)")
+    rows = readable.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([(p, *_stats(_bgr(np.frombuffer(d, np.uint8).reshape(h, w, n)))) for p, h, w, n, d in batch.itertuples(index=False)], columns=["path", *STATS])
+            sizes = zip(*[batch.column(c).to_pylist() for c in ("height", "width", "nChannels")])
+            stats = [_stats(np.frombuffer(data.as_buffer(), np.uint8).reshape(size)) for size, data in zip(sizes, batch.column("data"))]
+            columns = np.array(stats, dtype=np.float64).reshape(-1, len(STATS)).T
+            yield pa.RecordBatch.from_arrays([batch.column("path").cast(pa.string()), *map(pa.array, columns)], names=["path", *STATS])
 
-    return rows.mapInPandas(run, "path string, " + ", ".join(f"{c} double" for c in STATS))
+    return rows.mapInArrow(run, "path string, " + ", ".join(f"{c} double" for c in STATS))
 
 
 def _bgr(samples: np.ndarray) -> np.ndarray:
     return np.repeat(samples, 3, axis=2) if samples.shape[2] == 1 else samples[:, :, :3]
 
 
-def _stats(bgr: np.ndarray) -> tuple[float, ...]:
+def _stats(samples: np.ndarray) -> tuple[float, ...]:
+    """Statistics of one image, from sums over strips of ``STRIP`` pixels; the sums are whole numbers, so strips change nothing."""
+    height, width = samples.shape[:2]
+    step = max(1, STRIP // width)
+    sums = np.zeros(8, dtype=object)
+    for first in range(0, height, step):
+        # With the rows above and below; beyond the image, rows are reflected.
+        rows = np.abs(np.arange(first - 1, min(first + step, height) + 1))
+        rows = np.clip(np.where(rows < height, rows, 2 * (height - 1) - rows), 0, height - 1)
+        sums += [int(x) for x in _sums(_bgr(samples[rows]))]
+    e1, e2, g1, g2, b, g, r, oral = (int(x) for x in sums)
+    n = height * width
+    return (n * e2 - e1 * e1) / (n * n), g1 / n, math.sqrt((n * g2 - g1 * g1) / (n * n)), b / n, g / n, r / n, oral / n
+
+
+def _sums(bgr: np.ndarray) -> tuple[float, ...]:
+    """Sums over the rows of a strip but for its first and last one: edges and their squares, grey and its squares, blue, green, red, pixels of gums or teeth."""
     b, g, r = (bgr[:, :, i].astype(np.float64) for i in range(3))
     gray = np.rint(0.114 * b + 0.587 * g + 0.299 * r)
-    edge = np.pad(gray, 1, mode="reflect")
+    edge = np.pad(gray, ((0, 0), (1, 1)), mode="reflect")
+    b, g, r, gray = b[1:-1], g[1:-1], r[1:-1], gray[1:-1]
     laplacian = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * gray
     top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
     span = top - low
@@ -102,7 +126,7 @@ def _stats(bgr: np.ndarray) -> tuple[float, ...]:
     hue = np.rint(np.where(span > 0, sector * 30 % 180, 0))
     gum = (hue <= 20) & (saturation >= 50) & (top >= 50)
     tooth = (saturation <= 50) & (top >= 180)
-    return laplacian.var(), gray.mean(), gray.std(), b.mean(), g.mean(), r.mean(), float((gum | tooth).mean())
+    return laplacian.sum(), (laplacian**2).sum(), gray.sum(), (gray**2).sum(), b.sum(), g.sum(), r.sum(), (gum | tooth).sum()
 
 
 def quality_scores(stats: DataFrame) -> DataFrame:

@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch between Spark and its Python workers where rows are whole documents.
 BATCH_ROWS = 1000
+#: Bytes at which such a batch ends before.
+BATCH_BYTES = 16 << 20
 
 
 def narrow_batches(spark: SparkSession) -> None:
-    """Let the session send documents to Python workers in batches of ``BATCH_ROWS`` rows."""
+    """Let the session send documents to Python workers in batches of ``BATCH_ROWS`` rows, or of ``BATCH_BYTES``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 #: The folder of a local session that names none.

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from checks import same_rows
@@ -363,6 +364,37 @@ def test_images_made_of_documents(spark, small):
         assert abs(r["color_balance_score"] - (1 - (abs(b - g) + abs(g - red) + abs(red - b)) / 765)) < 1e-6
 
 
+def test_images_in_strips(monkeypatch):
+    """Strips of any height give the same numbers, exact ones, and the memory of a large image doesn't grow with it."""
+    import tracemalloc
+
+    import numpy as np
+
+    def plain(image):
+        n, (b, g, r) = image[:, :, 0].size, (image[:, :, [0, 1, 2] if image.shape[2] > 1 else [0, 0, 0]].astype(float).transpose(2, 0, 1))
+        gray = np.rint(0.114 * b + 0.587 * g + 0.299 * r)
+        edge = np.pad(gray, 1, mode="reflect")
+        edge = edge[:-2, 1:-1] + edge[2:, 1:-1] + edge[1:-1, :-2] + edge[1:-1, 2:] - 4 * gray
+        moments = lambda x: (int(x.sum()), int((x * x).sum()))
+        (e1, e2), (g1, g2) = moments(edge), moments(gray)
+        return ((n * e2 - e1 * e1) / (n * n), g1 / n, ((n * g2 - g1 * g1) / (n * n)) ** 0.5, b.mean(), g.mean(), r.mean())
+
+    noise = np.random.default_rng(3)
+    for shape in ((1, 1, 3), (1, 9, 1), (9, 1, 4), (2, 5, 3), (33, 64, 3)):
+        image = noise.integers(0, 256, shape, dtype=np.uint8)
+        found = set()
+        for strip in (1, 64, 150, 1 << 16):
+            monkeypatch.setattr(vision, "STRIP", strip)
+            found.add(vision._stats(image))
+        assert len(found) == 1 and found.pop()[:6] == pytest.approx(plain(image), abs=1e-9)
+    image = noise.integers(0, 256, (50_000, 64, 3), dtype=np.uint8)
+    tracemalloc.start()
+    vision._stats(image)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * image.nbytes
+
+
 def test_rule_triples(spark):
     docs = spark.createDataFrame([(0, "Fluoride prevents caries. A filling treats the cavity. Nothing here at all.")], "doc_idx long, text string")
     names = spark.createDataFrame([("fluoride",), ("caries",), ("filling",), ("cavity",)], "name string")
