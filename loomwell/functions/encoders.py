@@ -7,6 +7,7 @@ callable of that shape takes its place, for instance one that runs a model which
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,7 +86,14 @@ class hashed_counts:  # noqa: N801  used like a function
 
 
 def _encoded(encode: Encoder, texts: pa.Array) -> np.ndarray:
-    return np.asarray(encode(texts if getattr(encode, "takes_arrow", False) else texts.to_pylist()))
+    """A row for each text, null being empty text; an encoder that gives other rows has failed."""
+    if not len(texts):
+        return np.zeros((0, 0))
+    texts = pc.fill_null(texts, "")
+    m = np.asarray(encode(texts if getattr(encode, "takes_arrow", False) else texts.to_pylist()))
+    if m.ndim != 2 or len(m) != len(texts):
+        raise ValueError(f"the encoder gave an array of shape {m.shape} for {len(texts)} texts")
+    return m
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
@@ -102,23 +110,23 @@ def embed(text: Column, encoder: Encoder | None = None) -> Column:
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            m = _encoded(encode, pc.fill_null(texts, ""))
-            yield _lists(m.ravel(), np.arange(1, len(texts) + 1) * (m.shape[1] if len(texts) else 0))
+            m = _encoded(encode, texts)
+            yield _lists(m.ravel(), np.arange(1, len(texts) + 1) * m.shape[1])
 
     return run(text)
 
 
-def neighbour_similarity(sentences: Column, encoder: Encoder | None = None) -> Column:
+def neighbour_similarity(sentences: Column, encoder: Encoder | None = None, failed_as_null: bool = False) -> Column:
     """For an array of sentences, the cosine of each one with the one before it (one less than sentences).
 
-    The sentences of several rows are encoded together, ``HELD_SENTENCES`` or so at once. A row whose sentences the
-    encoder fails on is null, the others are not harmed. The function counts as not deterministic, lest Spark
-    evaluates it a second time for a filter that it infers.
+    The sentences of several rows are encoded together, ``HELD_SENTENCES`` or so at once, and row by row where the
+    encoder fails on them. Where it fails on a row alone, the job fails; with ``failed_as_null`` that row is null, which
+    the worker logs, and the others are not harmed. The function counts as not deterministic, lest Spark evaluates it
+    a second time for a filter that it infers.
     """
     encode = encoder or hashed_counts()
 
-    def similarities(rows: pa.ListArray) -> pa.Array:
-        m = _encoded(encode, rows.flatten())
+    def similarities(rows: pa.ListArray, m: np.ndarray) -> pa.Array:
         sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
         dots = np.einsum("ij,ij->i", m[1:], m[:-1])
         squares = np.einsum("ij,ij->i", m, m)
@@ -131,9 +139,15 @@ def neighbour_similarity(sentences: Column, encoder: Encoder | None = None) -> C
 
     def tried(rows: pa.ListArray) -> list[pa.Array]:
         try:
-            return [similarities(rows)]
+            m = _encoded(encode, rows.flatten())
         except Exception:  # whatever a pluggable encoder raises
-            return [_lists(np.zeros(0), np.zeros(1), np.array([False]))] if len(rows) == 1 else [x for i in range(len(rows)) for x in tried(rows.slice(i, 1))]
+            if len(rows) > 1:
+                return [x for i in range(len(rows)) for x in tried(rows.slice(i, 1))]
+            if not failed_as_null:
+                raise
+            logging.getLogger(__name__).exception("The encoder failed on the %d sentences of a row, which is null", len(rows.flatten()))
+            return [_lists(np.zeros(0), np.zeros(1), np.array([False]))]
+        return [similarities(rows, m)]
 
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -23,9 +23,9 @@ def with_sentences(docs: DataFrame) -> DataFrame:
     return docs.withColumn("sentences", sentences(F.col("text")))
 
 
-def with_similarities(docs: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """``similarities``: of each sentence but the first with the one before it."""
-    return docs.withColumn("similarities", neighbour_similarity(F.col("sentences"), encoder))
+def with_similarities(docs: DataFrame, encoder: Encoder | None = None, failed_as_null: bool = False) -> DataFrame:
+    """``similarities``: of each sentence but the first with the one before it; where the encoder fails, the job fails, or they are null."""
+    return docs.withColumn("similarities", neighbour_similarity(F.col("sentences"), encoder, failed_as_null))
 
 
 def segments(n: Column, starts_anew: Column) -> Column:
@@ -50,7 +50,8 @@ def by_count(n: Column) -> Column:
 
 def _pieces(docs: DataFrame, threshold: float, overlap: int, min_chars: int, max_chars: int, encoder: Encoder | None) -> DataFrame:
     """Each part of each segment (doc_idx, source_doc_id, cluster, first, last, part), ``kept`` unless it is too short; every document has one at least."""
-    rows = with_similarities(with_sentences(docs.select("doc_idx", "text")), encoder)
+    # The default encoder takes any text: what it fails for (memory, say) is no document's fault.
+    rows = with_similarities(with_sentences(docs.select("doc_idx", "text")), encoder, failed_as_null=encoder is not None)
     n = F.size("sentences")
     rows = rows.select("doc_idx", "text", "sentences", n.alias("n"), doc_id(F.col("doc_idx"), F.col("text")).alias("source_doc_id"), "similarities")
     short = F.array(F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")))
@@ -103,8 +104,8 @@ def chunk(
 ) -> DataFrame:
     """Rows (doc_idx, source_doc_id, chunk_id, cluster, first, last, chunk_size, split, content, segment, unit_id) of ``docs`` (doc_idx, text).
 
-    A document of at most three sentences passes unchanged, without chunk columns, and so does one that the encoder
-    fails on. One whose similarities are not all numbers is cut by counts. A chunk is a segment
+    A document of at most three sentences passes unchanged, without chunk columns, and so does one that a given ``encoder``
+    fails on, which the worker logs; if the default one fails, the job does. One whose similarities are not all numbers is cut by counts. A chunk is a segment
     with ``overlap`` sentences on each side; one shorter than ``min_chars`` is dropped; one longer than
     ``max_chars`` is cut once, after the last full stop before its middle, and its parts have no chunk id;
     ``segment`` and ``unit_id`` tell where they come from.

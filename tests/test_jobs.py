@@ -329,6 +329,55 @@ def test_chunks_where_the_encoder_fails(spark):
     assert sorted(x[:2] for x in got[2]) == [(0, 2), (3, 5), (6, 8)]
 
 
+def test_a_failing_encoder_fails_the_queries(spark, small, monkeypatch):
+    """Where the default encoder fails, no query takes a document for a single cluster, for one without pairs or for a whole chunk."""
+    from pyspark.errors import PythonException
+
+    from loomwell import registry
+    from loomwell.functions import encoders
+
+    def broken(texts):
+        raise MemoryError("no room for the words")
+
+    monkeypatch.setattr(encoders, "hashed_counts", lambda: broken)
+    for query in ("sentence_clusters", "adjacent_similarity", "semantic_chunks", "chunk_stats", "index_manifest"):
+        with pytest.raises(PythonException, match="no room for the words"):
+            registry.QUERIES[query](spark, small).collect()
+
+
+def test_an_encoder_without_a_row_for_each_text_fails(spark):
+    from pyspark.errors import PythonException
+
+    from loomwell.functions import encoders
+    from loomwell.operators import chunking
+
+    text = lambda word: " ".join(f"Sentence number {i} of the {word} text is long enough." for i in range(5))
+    docs = chunking.with_sentences(spark.createDataFrame([(0, text("plain")), (1, text("strange"))], "doc_idx long, text string"))
+
+    def short(texts):
+        """One row too few for the strange document."""
+        return encoders.hashed_counts()([t for t in texts if "strange" not in t or "number 3" not in t])
+
+    with pytest.raises(PythonException, match="for 5 texts"):
+        chunking.with_similarities(docs, short).collect()
+    got = {r["doc_idx"]: r["similarities"] for r in chunking.with_similarities(docs, short, failed_as_null=True).collect()}
+    assert len(got[0]) == 4 and got[1] is None
+
+
+def test_an_encoder_that_fails_on_many_rows_is_given_each_alone(spark):
+    """Rows, empty ones and null sentences among them, have the similarities that they have in one batch."""
+    from loomwell.functions import encoders
+
+    def narrow(texts):
+        if not 0 < len(texts) <= 3:
+            raise MemoryError("no room for the texts")
+        return encoders.hashed_counts()(texts)
+
+    rows = spark.createDataFrame([(0, ["a b", "a c", None]), (1, []), (2, ["x"]), (3, ["a b", "a b"]), (4, None)], "id long, s array<string>").coalesce(1)
+    alone, whole = (rows.select("id", encoders.neighbour_similarity(F.col("s"), e).alias("x")).orderBy("id").collect() for e in (narrow, None))
+    assert alone == whole and [[round(x, 6) for x in r["x"] or []] for r in whole] == [[0.5, 0.0], [], [], [1.0], []]
+
+
 def test_similarities_are_worked_out_once(spark, small):
     from loomwell import registry
 
